@@ -1,0 +1,53 @@
+"""Size checks that stand in front of every broadcast."""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: the data model stores level codes in 16 bits, so no role has more levels.
+MAX_LEVELS = 65_535
+
+# Rows a settled table may hold before it stays an ordinary distributed frame.
+SETTLE_ROWS = 200_000
+
+
+class Settled(NamedTuple):
+    df: DataFrame
+    rows: int | None  # None: larger than the bound, still lazy
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None
+
+
+def settle(df: DataFrame, max_rows: int = SETTLE_ROWS) -> Settled:
+    """Evaluate ``df`` once if it has at most ``max_rows`` rows.
+
+    A table within the bound comes back as a local relation whose exact size the
+    optimizer knows, and carries a broadcast hint. A larger one comes back
+    unchanged, so its joins shuffle and adaptive execution splits their skew.
+    Never more than ``max_rows + 1`` rows reach the driver.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return Settled(df, None)
+    local = df.sparkSession.createDataFrame(table, schema=df.schema)
+    return Settled(F.broadcast(local), table.num_rows)
+
+
+def level_counts(labels: DataFrame, column: str) -> dict:
+    """Rows per level of one categorical column, refused past the 16-bit code space."""
+    counts = (
+        labels.where(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .limit(MAX_LEVELS + 1)
+        .toArrow()
+        .to_pylist()
+    )
+    if len(counts) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; it is not a categorical role")
+    return {row[column]: row["n"] for row in sorted(counts, key=lambda r: str(r[column]))}
