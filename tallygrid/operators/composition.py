@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.operators.ranktest import MIN_CELLS_PER_SIDE
+from tallygrid.operators.sets import safe_name
 from tallygrid.plans.sizing import MAX_LEVELS, settle
 
-COLUMN_OF = {"type": "type", "cond": "cond", "sample": "sample"}
+ROLES = ("type", "cond", "sample")
 
 
 def fields(cells: DataFrame, extras: list[str] = ()) -> list[str]:
@@ -94,17 +94,14 @@ def default_rows(cells: DataFrame, part: str, extras: list[str] = ()) -> list[st
     return axes[0]
 
 
-def export_header(part: str, rows: list[str], display: dict[str, str]) -> list[str]:
-    """Unique column names of the export, in the object's own words."""
-    def clean(name: str) -> str:
-        return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower() or "field"
-
+def export_header(part: str, rows: list[str]) -> list[str]:
+    """Unique column names of the export; a carried column goes by its own, file-safe name."""
     fixed = ["cells", "row_total", "samples", "fraction"]
     out: list[str] = []
     for field in [*rows, part]:
-        base = clean(display.get(field, field))
+        base = field if field in ROLES else safe_name(field)
         name, k = base, 2
         while name in out or name in fixed:
-            name, k = f"{base}_{k}", k + 1
+            name, k = f"{base}-{k}", k + 1
         out.append(name)
     return out + fixed

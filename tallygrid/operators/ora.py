@@ -28,33 +28,33 @@ def ora(
     """Sets over-represented in ``query`` (gene, optional pos) against the annotated background.
 
     ``by`` names query columns that tell several queries apart; all of them run in
-    the same joins. The population N is taken over every set given, before the size
+    the same joins. The population is taken over every set given, before the size
     window and the source filter. BH counts the sets reported per query.
     """
     by = list(by or [])
     inside = folded_members(members, background)
     universe = annotated_background(background, members)
-    size = inside.groupBy("source", "set_id", "set_name").agg(F.count(F.lit(1)).alias("K"))
+    size = inside.groupBy("source", "set_id", "set_name").agg(F.count(F.lit(1)).alias("set_size"))
     spelled = query.select(
         *by, F.upper("gene").alias("u"), "gene", (F.col("pos") if "pos" in query.columns else F.lit(0)).alias("pos"))
     asked = spelled.groupBy(*by, "u").agg(F.min_by("gene", "pos").alias("gene")).join(universe, "u", "left_semi")
     # The distinct names of a query are read twice; a list within the bound is evaluated once.
     asked = settle(asked).df
-    drawn = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    size = settle(size.where(F.col("K").between(*sizes))).df
-    hits = inside.join(asked, "u").groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("k"))
+    drawn = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn"))
+    size = settle(size.where(F.col("set_size").between(*sizes))).df
+    hits = inside.join(asked, "u").groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("overlap_size"))
     rows = hits.join(size, "set_id")
     if by:
         rows = rows.join(settle(drawn).df, by)
     else:
-        rows = rows.withColumn("n", drawn.select("n").scalar())
+        rows = rows.withColumn("drawn", drawn.select("drawn").scalar())
     if sources is not None:
         rows = rows.where(F.col("source").isin(sources))
-    rows = rows.withColumn("N", universe.agg(F.count(F.lit(1)).alias("N")).scalar())
-    ln_p = ln_hypergeom_tail(F.col("k"), F.col("K"), F.col("n"), F.col("N"))
+    rows = rows.withColumn("population", universe.agg(F.count(F.lit(1)).alias("v")).scalar())
+    ln_p = ln_hypergeom_tail(F.col("overlap_size"), F.col("set_size"), F.col("drawn"), F.col("population"))
     rows = (
         rows.withColumn("ln_p", ln_p)
-        .withColumn("fold", (F.col("k") / F.col("n")) / (F.col("K") / F.col("N")))
+        .withColumn("fold", (F.col("overlap_size") / F.col("drawn")) / (F.col("set_size") / F.col("population")))
         .withColumn("p", F.least(F.lit(1.0), F.coalesce(F.exp("ln_p"), F.lit(0.0))))
         .withColumn("nlp", F.greatest(F.lit(0.0), -F.col("ln_p") / math.log(10)))
         .drop("ln_p")
@@ -93,7 +93,7 @@ def bh_both(rows: DataFrame, by: list[str], small: bool) -> DataFrame:
 def top_terms(terms: DataFrame, n: int = 15, rank_by: str = "significance", by: list[str] | None = None) -> DataFrame:
     """The figure's terms: most significant first, or largest overlap first."""
     order = ([F.col("nlp_adj").desc(), F.col("fold").desc()] if rank_by == "significance"
-             else [F.col("k").desc(), F.col("padj")])
+             else [F.col("overlap_size").desc(), F.col("padj")])
     window = Window.partitionBy(*(by or [])).orderBy(*order, "set_id")
     if by:
         return terms.withColumn("place", F.row_number().over(window)).where(F.col("place") <= n)

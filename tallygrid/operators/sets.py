@@ -43,9 +43,9 @@ def folded_members(members: DataFrame, background: DataFrame) -> DataFrame:
 
 
 def set_index(members: DataFrame, background: DataFrame) -> DataFrame:
-    """Per set: its size K inside the background."""
+    """Per set: its size inside the background."""
     return folded_members(members, background).groupBy("source", "set_id", "set_name").agg(
-        F.count(F.lit(1)).alias("K"))
+        F.count(F.lit(1)).alias("set_size"))
 
 
 def minimum_size(members: DataFrame) -> int:
@@ -55,7 +55,7 @@ def minimum_size(members: DataFrame) -> int:
 
 
 def in_window(index: DataFrame, min_size: int, max_size: int) -> DataFrame:
-    return index.agg(F.count_if(F.col("K").between(min_size, max_size)).alias("in_window"),
+    return index.agg(F.count_if(F.col("set_size").between(min_size, max_size)).alias("in_window"),
                      F.count(F.lit(1)).alias("sets"))
 
 
