@@ -147,10 +147,10 @@ pv AS (
               ELSE greatest(0.0, -({ln_tail} + ln(2)) / ln(10)) END AS raw FROM zs),
 rk AS (SELECT *, row_number() OVER (PARTITION BY grp, tested ORDER BY raw DESC) AS rank FROM pv),
 de AS MATERIALIZED (
-  SELECT gene, grp, n1, n2, pct1, pct2, lfc, p, least(1.0, p * m) AS padj,
+  SELECT gene, grp, n1, n2, pct1, pct2, lfc, p, CASE WHEN tested THEN least(1.0, p * m) END AS padj,
          CASE WHEN tested THEN least(1.0, MIN(p * m / rank) OVER (PARTITION BY grp, tested ORDER BY rank
               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS fdr,
-         greatest(0.0, raw - log10(m)) AS nlp FROM rk)"""
+         CASE WHEN tested THEN greatest(0.0, raw - log10(m)) END AS nlp FROM rk)"""
 
 
 DE_COLUMNS = ("gene, grp, n1, n2, pct1, pct2, " + ", ".join(
@@ -165,6 +165,10 @@ def lnchoose_sql(n: str, k: str) -> str:
     return f"(lgamma(({n}) + 1) - lgamma(({k}) + 1) - lgamma(({n}) - ({k}) + 1))"
 
 
+# Upper case with the German sharp s written out, as Unicode full case mapping has it.
+UPPER = "upper(replace(gene, 'ß', 'ss'))"
+
+
 def ora_sql(prefix: str, query: str, sizes: tuple[int, int], sources: str = "TRUE", by: str = "") -> str:
     """CTEs ending in ``ora``; ``query`` selects [by,] gene."""
     key = f"{by}, " if by else ""
@@ -174,10 +178,10 @@ def ora_sql(prefix: str, query: str, sizes: tuple[int, int], sources: str = "TRU
             f" - {lnchoose_sql('population', 'drawn')}")
     return f"""{prefix},
 owner AS (SELECT set_id, MIN(source_pos) AS source_pos FROM members GROUP BY 1),
-mine AS (SELECT DISTINCT source, set_id, upper(gene) AS u FROM members JOIN owner USING (set_id, source_pos)),
-uni AS MATERIALIZED (SELECT DISTINCT upper(gene) AS u FROM genes WHERE upper(gene) IN (SELECT upper(gene) FROM members)),
-inside AS MATERIALIZED (SELECT * FROM mine WHERE u IN (SELECT upper(gene) FROM genes)),
-asked AS MATERIALIZED (SELECT DISTINCT {key}upper(gene) AS u FROM ({query}) WHERE upper(gene) IN (SELECT u FROM uni)),
+mine AS (SELECT DISTINCT source, set_id, {UPPER} AS u FROM members JOIN owner USING (set_id, source_pos)),
+uni AS MATERIALIZED (SELECT DISTINCT {UPPER} AS u FROM genes WHERE {UPPER} IN (SELECT {UPPER} FROM members)),
+inside AS MATERIALIZED (SELECT * FROM mine WHERE u IN (SELECT {UPPER} FROM genes)),
+asked AS MATERIALIZED (SELECT DISTINCT {key}{UPPER} AS u FROM ({query}) WHERE {UPPER} IN (SELECT u FROM uni)),
 drawn AS (SELECT {key}COUNT(*) AS drawn FROM asked {'GROUP BY ' + by if by else ''}),
 ks AS (SELECT source, set_id, COUNT(*) AS set_size FROM inside GROUP BY 1, 2),
 hit AS (SELECT {key}set_id, COUNT(*) AS overlap_size FROM inside JOIN asked USING (u) GROUP BY ALL),

@@ -274,8 +274,8 @@ def _(spark, sf):
 # ---- quantile summaries ----
 
 
-def quantile_sql(source: str, keys: str, value: str, marks: dict[str, float]) -> str:
-    picks = ", ".join(f"{r(f'MAX(CASE WHEN i = least(n, CAST(floor({f} * n) AS BIGINT) + 1) THEN v END)')} AS {name}"
+def quantile_sql(source: str, keys: str, value: str, marks: dict[str, float], digits: int = 6) -> str:
+    picks = ", ".join(f"{r(f'MAX(CASE WHEN i = least(n, CAST(floor({f} * n) AS BIGINT) + 1) THEN v END)', digits)} AS {name}"
                       for name, f in marks.items())
     part = f"PARTITION BY {keys}" if keys else ""
     lead = f"{keys}, " if keys else ""

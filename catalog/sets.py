@@ -1 +1,356 @@
-"""To come."""
+"""Queries over feature sets, names and over-representation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import (ORA_COLUMNS, RETAIL, SETS, TEXT, ora_rounded, ora_sql, r, register, retail, rounded, table, text)
+from catalog.tests_ranks import BY_TYPE, TEXT_MARKERS
+from catalog.base import lnchoose_sql, rank_test_sql
+from tallygrid.functions import special
+from tallygrid.operators import ora, ranktest, sets
+from tallygrid.sources import views
+
+
+def library(spark, sf):
+    return views.retail_sets(spark, sf)
+
+
+@register("union_parts", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members WHERE source IN ('brand', 'type')")
+def _(spark, sf):
+    lib = library(spark, sf)
+    return lib.where("source = 'brand'").unionByName(lib.where("source = 'type'")).select("source", "set_id", "gene")
+
+
+@register("enabled_sets", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members WHERE source = 'size' "
+          "UNION ALL SELECT 'mine', 'MY_' || gene, gene FROM members WHERE source = 'type'")
+def _(spark, sf):
+    lib = library(spark, sf)
+    mine = lib.where("source = 'type'").withColumns({
+        "source": F.lit("mine"), "set_id": F.concat(F.lit("MY_"), "gene"), "set_name": F.col("gene")})
+    return sets.enabled(lib, ["size"], mine).select("source", "set_id", "gene")
+
+
+@register("dedupe_sets", f"""{RETAIL}{SETS}, twice AS (SELECT source, source_pos, set_id, gene FROM members
+  UNION ALL SELECT 'copy', 9, set_id, 'X' || gene FROM members)
+SELECT source, set_id, gene FROM twice JOIN (SELECT set_id, MIN(source_pos) AS source_pos FROM twice GROUP BY 1) USING (set_id, source_pos)""")
+def _(spark, sf):
+    lib = library(spark, sf)
+    copy = lib.withColumns({"source": F.lit("copy"), "source_pos": F.lit(9), "gene": F.concat(F.lit("X"), "gene")})
+    return sets.first_collection(lib.unionByName(copy)).select("source", "set_id", "gene")
+
+
+@register("annotated_background", f"""{RETAIL}{SETS} SELECT DISTINCT upper(gene) AS u FROM genes
+WHERE upper(gene) IN (SELECT upper(gene) FROM members WHERE source_pos = 2 AND set_id < 'SIZE_2')""")
+def _(spark, sf):
+    small = library(spark, sf).where("source_pos = 2 AND set_id < 'SIZE_2'")
+    return sets.annotated_background(retail(spark, sf).genes, small)
+
+
+@register("query_in_background", f"{RETAIL} SELECT gene FROM genes WHERE gene IN (SELECT gene FROM counts WHERE count > 100)")
+def _(spark, sf):
+    heavy = views.retail_counts(spark, sf).where("count > 100").select("gene").distinct()
+    return heavy.join(retail(spark, sf).genes, "gene", "left_semi").select("gene")
+
+
+@register("set_index", f"""{RETAIL}{SETS} SELECT source, set_id, COUNT(DISTINCT upper(gene)) AS set_size FROM members
+WHERE upper(gene) IN (SELECT upper(gene) FROM genes) GROUP BY 1, 2""")
+def _(spark, sf):
+    return sets.set_index(library(spark, sf), retail(spark, sf).genes).select("source", "set_id", "set_size")
+
+
+@register("sets_in_window", f"""{RETAIL}{SETS}, k AS (SELECT set_id, COUNT(DISTINCT upper(gene)) AS n FROM members GROUP BY 1)
+SELECT COUNT(*) FILTER (n BETWEEN 10 AND 40) AS in_window, COUNT(*) AS sets FROM k""")
+def _(spark, sf):
+    return sets.in_window(sets.set_index(library(spark, sf), retail(spark, sf).genes), 10, 40)
+
+
+@register("minimum_set_size", f"{RETAIL}{SETS} SELECT CASE WHEN MAX(n) < 200 THEN 3 ELSE 10 END AS min_size FROM "
+          "(SELECT COUNT(DISTINCT set_id) AS n FROM members GROUP BY source)")
+def _(spark, sf):
+    lib = library(spark, sf)
+    return lib.limit(1).select(F.lit(sets.minimum_size(lib)).cast("long").alias("min_size"))
+
+
+@register("library_coverage", f"""{RETAIL}{SETS}, l AS (SELECT DISTINCT upper(gene) AS u FROM members WHERE source = 'brand'),
+b AS (SELECT DISTINCT upper(gene) AS u FROM genes)
+SELECT (SELECT COUNT(*) FROM l) AS library, (SELECT COUNT(*) FROM b) AS measured, (SELECT COUNT(*) FROM l JOIN b USING (u)) AS annotated""")
+def _(spark, sf):
+    return sets.library_coverage(library(spark, sf).where("source = 'brand'"), retail(spark, sf).genes)
+
+
+@register("set_coverage", f"""{RETAIL}{SETS}, have AS (SELECT DISTINCT lower(gene) AS l FROM counts WHERE count > 100)
+SELECT source, set_id, COUNT(h.l) AS found, COUNT(*) - COUNT(h.l) AS missing
+FROM (SELECT DISTINCT source, set_id, lower(gene) AS l FROM members) m LEFT JOIN have h USING (l) GROUP BY 1, 2""")
+def _(spark, sf):
+    heavy = views.retail_counts(spark, sf).where("count > 100").select("gene").distinct()
+    return sets.set_coverage(library(spark, sf), heavy)
+
+
+@register("find_sets", f"""{RETAIL}{SETS} SELECT DISTINCT source, set_id FROM members
+WHERE contains(lower(set_id || ' ' || replace(set_id, '_', ' ')), 'brand') AND contains(lower(set_id), '1')
+ORDER BY set_id LIMIT 40""")
+def _(spark, sf):
+    return sets.find_sets(library(spark, sf), "Brand 1").select("source", "set_id")
+
+
+@register("derive_collection", f"""{RETAIL}{SETS} SELECT 'Chosen' AS source, 'C_' || set_id AS set_id, gene FROM members
+WHERE set_id IN (SELECT 'BRAND_Brand_' || p_size FROM part WHERE p_size % 2 = 0)""")
+def _(spark, sf):
+    return sets.derive(library(spark, sf), terms(spark, sf), "C_", "Chosen").select("source", "set_id", "gene")
+
+
+def terms(spark, sf):
+    """A curated list: even sizes keep the brand of that number, odd ones are judged out."""
+    size = table(spark, sf, "part").select("p_size").distinct()
+    return size.select(F.concat(F.lit("BRAND_Brand_"), "p_size").alias("set_id"), (F.col("p_size") % 2 == 0).alias("keep"))
+
+
+@register("stale_terms", f"""{RETAIL}{SETS} SELECT DISTINCT 'BRAND_Brand_' || p_size AS set_id FROM part
+WHERE 'BRAND_Brand_' || p_size NOT IN (SELECT set_id FROM members)""")
+def _(spark, sf):
+    return sets.stale_terms(library(spark, sf), terms(spark, sf))
+
+
+@register("unjudged_terms", f"""{RETAIL}{SETS} SELECT DISTINCT set_id, source FROM members WHERE regexp_matches(set_id, 'ECON|PROMO|_Brand_')
+AND set_id NOT IN (SELECT 'BRAND_Brand_' || p_size FROM part)""")
+def _(spark, sf):
+    return sets.unjudged_terms(library(spark, sf), terms(spark, sf), "ECON|PROMO|_Brand_")
+
+
+@register("distinct_first", """SELECT p_brand || '/' || p_type AS gene, MIN(p_partkey) AS pos FROM part GROUP BY 1""")
+def _(spark, sf):
+    rows = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("gene"), F.col("p_partkey").alias("pos"))
+    return sets.keep_first(rows, "gene", "pos")
+
+
+@register("distinct_last", """SELECT p_name AS set_name, arg_max([p_brand, p_type], p_partkey) AS genes, MIN(p_partkey) AS pos FROM part GROUP BY 1""")
+def _(spark, sf):
+    rows = table(spark, sf, "part").select(
+        F.col("p_name").alias("set_name"), F.array("p_brand", "p_type").alias("genes"), F.col("p_partkey").alias("pos"))
+    return sets.keep_last(rows)
+
+
+@register("missing_genes", """SELECT DISTINCT upper(p_brand) || '/' || p_type AS word FROM part WHERE p_size > 40 AND
+lower(upper(p_brand) || '/' || p_type) NOT IN (SELECT lower(p_brand || '/' || p_type) FROM part WHERE p_size <= 40)""")
+def _(spark, sf):
+    part = table(spark, sf, "part").withColumn("gene", F.concat_ws("/", "p_brand", "p_type"))
+    words = part.where("p_size > 40").select(F.col("p_partkey").alias("pos"), F.concat_ws("/", F.upper("p_brand"), "p_type").alias("word"))
+    known = part.where("p_size <= 40").groupBy("gene").agg(F.min("p_partkey").alias("gene_id"))
+    return sets.resolve(words, known)[1].select("word")
+
+
+@register("resolve_genes", f"""{RETAIL} SELECT gene, gene_id, MIN(p_partkey) AS pos FROM part JOIN genes ON lower(gene) = lower(p_brand || '/' || p_type) GROUP BY 1, 2""")
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    words = part.select(F.col("p_partkey").alias("pos"), F.concat_ws("/", F.upper("p_brand"), F.lower("p_type")).alias("word"))
+    return sets.resolve(words, retail(spark, sf).genes)[0]
+
+
+@register("gene_lookup", """WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+')) AS word FROM benchmark),
+g AS (SELECT word AS gene, MIN(doc_id) AS gene_id FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+')) AS word FROM documents) GROUP BY 1)
+SELECT word, COALESCE(e.gene, (SELECT arg_min(gene, (gene_id, gene)) FROM g f WHERE lower(f.gene) = lower(word))) AS gene
+FROM w LEFT JOIN g e ON e.gene = w.word""".replace("\\\\", "\\"))
+def _(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", views.WORD_BREAK)).alias("word")).distinct()
+    genes = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", views.WORD_BREAK)).alias("gene")).groupBy(
+        "gene").agg(F.min("doc_id").alias("doc_id"))
+    return sets.lookup(words, genes.select("gene", F.struct("doc_id", "gene").alias("gene_id")))
+
+
+@register("parse_gene_list", """WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[\\s,;|]+')) AS word FROM conversations),
+g AS (SELECT DISTINCT lower(word) AS l FROM (SELECT unnest(regexp_split_to_array(text, '[\\s,;|]+')) AS word FROM benchmark) WHERE word <> '')
+SELECT lower(word) AS gene, COUNT(*) AS asked, COUNT(DISTINCT word) AS spellings FROM w JOIN g ON lower(word) = l GROUP BY 1""")
+def _(spark, sf):
+    asked = sets.pasted_words(table(spark, sf, "conversations"), key="conv_id")
+    genes = sets.pasted_words(table(spark, sf, "benchmark")).select(F.lower("word").alias("gene")).distinct().withColumn(
+        "gene_id", F.xxhash64("gene"))
+    index = sets.name_index(genes)
+    return asked.withColumn("l", F.lower("word")).join(index, "l").groupBy("gene").agg(
+        F.count(F.lit(1)).alias("asked"), F.count_distinct("word").alias("spellings"))
+
+
+@register("rank_genes", f"""{TEXT} SELECT gene, CASE WHEN gene = 'en' THEN 0 WHEN starts_with(gene, 'en') THEN 1 ELSE 2 END AS band FROM genes
+WHERE contains(gene, 'en') ORDER BY band, length(gene), gene LIMIT 8""")
+def _(spark, sf):
+    return sets.rank_genes(text(spark, sf).genes.select("gene"), "EN ").withColumn("band", F.col("band").cast("long"))
+
+
+@register("merge_genes", f"""{RETAIL}, b AS (SELECT 0 AS turn, gene_id AS pos, gene FROM genes UNION ALL
+  SELECT 1, p_partkey, p_brand || '/' || p_type FROM part UNION ALL SELECT 1, p_partkey, p_name FROM part),
+f AS (SELECT gene, MIN((turn, pos)) AS w FROM b GROUP BY 1)
+SELECT gene, CAST(w[1] AS BIGINT) AS turn, w[2] AS pos FROM f ORDER BY w DESC, gene DESC LIMIT 100""")
+def _(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.explode(F.array(
+        F.concat_ws("/", "p_brand", "p_type"), F.col("p_name"))).alias("gene"))
+    return sets.merge_genes(retail(spark, sf).genes.withColumnRenamed("gene_id", "pos"), part).withColumn(
+        "turn", F.col("turn").cast("long"))
+
+
+@register("gene_names", """WITH g AS (SELECT p_partkey AS gene_id, 'P' || p_partkey AS id, p_name AS alias FROM part),
+n AS (SELECT alias, COUNT(*) AS n FROM g GROUP BY 1)
+SELECT gene_id, id, alias, CASE WHEN n > 1 THEN alias || ' (' || id || ')' ELSE alias END AS display, alias AS bare, id AS other FROM g JOIN n USING (alias)""")
+def _(spark, sf):
+    return sets.gene_names(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("gene_id"), F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("alias")))
+
+
+@register("readable_name", f"""{RETAIL}{SETS}, s AS (SELECT DISTINCT 'GOBP_' || set_id AS set_id FROM members UNION SELECT DISTINCT set_id FROM members),
+w AS (SELECT set_id, lower(replace(regexp_replace(set_id, '^(HALLMARK|GOBP|GOMF|GOCC|KEGG_MEDICUS|KEGG|REACTOME|WP|BIOCARTA|HP|MODULE)_', ''), '_', ' ')) AS w FROM s)
+SELECT set_id, upper(w[1:1]) || w[2:] AS name FROM w""")
+def _(spark, sf):
+    ids = library(spark, sf).select(F.explode(F.array("set_id", F.concat(F.lit("GOBP_"), "set_id"))).alias("set_id")).distinct()
+    return ids.select("set_id", sets.readable_name(F.col("set_id")).alias("name"))
+
+
+_SPECIES = r"""WITH g AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS gene FROM documents),
+v AS (SELECT COUNT(*) FILTER (regexp_matches(gene, '[A-Za-z]{2}') AND l = upper(l)) AS up,
+  COUNT(*) FILTER (regexp_matches(gene, '[A-Za-z]{2}') AND l <> upper(l) AND regexp_matches(gene, '^[A-Z][a-z]')) AS ti,
+  COUNT(*) FILTER (regexp_matches(gene, '(?i)^ENSMUS[GTP]\d')) AS mo, COUNT(*) FILTER (regexp_matches(gene, '(?i)^ENS[GTP]\d')) AS hu
+  FROM (SELECT gene, regexp_replace(gene, '[^A-Za-z]', '', 'g') AS l FROM g) WHERE TRUE)
+SELECT CASE WHEN mo + hu >= 10 THEN CASE WHEN mo > hu THEN 'mouse' ELSE 'human' END WHEN ti > up THEN 'mouse' ELSE 'human' END AS species,
+  CASE WHEN mo + hu >= 10 THEN 'accession' WHEN up + ti > 0 THEN 'symbols' ELSE 'default' END AS decided_by,
+  CASE WHEN mo + hu >= 10 THEN greatest(mo, hu) / CAST(mo + hu AS DOUBLE) WHEN up + ti > 0 THEN greatest(up, ti) / CAST(up + ti AS DOUBLE) ELSE 0.0 END AS support FROM v"""
+
+
+@register("detect_species", _SPECIES)
+def _(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", views.WORD_BREAK)).alias("gene")).distinct()
+    return sets.detect_species(words)
+
+
+@register("match_rate", r"""WITH g AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS gene FROM documents),
+b AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS gene FROM benchmark)
+SELECT COUNT(b.gene) / CAST(COUNT(*) AS DOUBLE) AS rate FROM g LEFT JOIN b USING (gene)""")
+def _(spark, sf):
+    words = lambda t: table(spark, sf, t).select(F.explode(F.split("text", views.WORD_BREAK)).alias("gene")).distinct()
+    return sets.match_rate(words("documents"), words("benchmark"))
+
+
+# ---- over-representation ----
+
+TOP30 = "SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY nlp DESC, abs(lfc) DESC, gene) AS i FROM de) WHERE i <= 30"
+CONTRAST_DE = rank_test_sql(
+    RETAIL, "SELECT cell_id, CASE cond WHEN 'ASIA' THEN 'compare' ELSE 'control' END AS grp FROM lab WHERE cond IN ('ASIA', 'AFRICA')",
+    "grp = 'compare'", 0.1, 0.0, carry=True)
+
+
+def de(spark, sf):
+    return ranktest.wilcoxon(retail(spark, sf), None, "AFRICA", "ASIA")
+
+
+def strongest(spark, sf):
+    return de(spark, sf).orderBy(*ranktest.display_order()).limit(30).select("gene")
+
+
+def _ora(name: str, query: str, sizes=(3, 500), sources: str = "TRUE"):
+    return f"{ora_sql(CONTRAST_DE + SETS, query, sizes, sources)} SELECT {ORA_COLUMNS} FROM ora"
+
+
+@register("ora", _ora("ora", TOP30))
+def _(spark, sf):
+    return ora_rounded(ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500)))
+
+
+@register("ora_up", _ora("ora_up", "SELECT gene FROM de WHERE p < 0.2 AND lfc > 0"))
+def _(spark, sf):
+    up = de(spark, sf).where("p < 0.2 AND lfc > 0").select("gene")
+    return ora_rounded(ora.ora(up, library(spark, sf), retail(spark, sf).genes, (3, 500)))
+
+
+@register("ora_down", _ora("ora_down", "SELECT gene FROM de WHERE p < 0.2 AND lfc < 0"))
+def _(spark, sf):
+    down = de(spark, sf).where("p < 0.2 AND lfc < 0").select("gene")
+    return ora_rounded(ora.ora(down, library(spark, sf), retail(spark, sf).genes, (3, 500)))
+
+
+@register("ora_by_source", _ora("ora_by_source", TOP30, (10, 500), "source = 'type'"))
+def _(spark, sf):
+    return ora_rounded(ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (10, 500), ["type"]))
+
+
+@register("ora_every_group", f"""{ora_sql(rank_test_sql(RETAIL, BY_TYPE) + SETS, "SELECT grp, gene FROM de WHERE lfc > 0", (3, 500), by="grp")}
+SELECT grp, {ORA_COLUMNS} FROM ora""")
+def _(spark, sf):
+    up = ranktest.markers(retail(spark, sf)).where("lfc > 0").select("grp", "gene")
+    return ora_rounded(ora.ora(up, library(spark, sf), retail(spark, sf).genes, (3, 500), by=["grp"]), "grp")
+
+
+WORD_SETS = """, members AS MATERIALIZED (SELECT 'letters' AS source, 0 AS source_pos, left(gene, 2) AS set_id, gene, gene_id AS pos FROM genes)"""
+
+
+@register("ora_words", f"""{ora_sql(TEXT_MARKERS + WORD_SETS, "SELECT grp, gene FROM de WHERE padj < 0.05 AND lfc > 0", (10, 500), by="grp")}
+SELECT grp, {ORA_COLUMNS} FROM ora""")
+def _(spark, sf):
+    m = text(spark, sf)
+    lib = m.genes.select(F.lit("letters").alias("source"), F.lit(0).alias("source_pos"), F.substring("gene", 1, 2).alias("set_id"),
+                         F.substring("gene", 1, 2).alias("set_name"), "gene", F.col("gene_id").alias("pos"))
+    up = ranktest.markers(m).where(ranktest.significant(lfc=0.0) & (F.col("lfc") > 0)).select("grp", "gene")
+    return ora_rounded(ora.ora(up, lib, m.genes, (10, 500), by=["grp"]), "grp")
+
+
+@register("ora_overlap", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))},
+ov AS (SELECT set_id, list_sort(list(gene)) AS overlap FROM (SELECT DISTINCT set_id, gene FROM members WHERE gene IN ({TOP30})) GROUP BY 1)
+SELECT set_id, overlap FROM ora JOIN ov USING (set_id)""")
+def _(spark, sf):
+    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    return terms_.select("set_id", "overlap")
+
+
+@register("ora_top", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT set_id, {r('padj')} AS padj, overlap_size FROM ora
+ORDER BY overlap_size DESC, round(padj, 9), set_id LIMIT 15""")
+def _(spark, sf):
+    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500)).withColumn("padj", F.round("padj", 9))
+    return rounded(ora.top_terms(terms_, 15, "overlap").select("set_id", "padj", "overlap_size"), "padj")
+
+
+@register("term_detail", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT set_id, de.gene, {r('lfc')} AS lfc, {r('de.nlp * lfc')} AS combined
+FROM ora JOIN members USING (set_id) JOIN de ON upper(de.gene) = upper(members.gene) WHERE de.gene IN ({TOP30})""")
+def _(spark, sf):
+    top = settled_top(spark, sf)
+    terms_ = ora.ora(top.select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500))
+    return rounded(ora.term_detail(terms_, library(spark, sf), top).select("set_id", "gene", "lfc", "combined"), "lfc", "combined")
+
+
+def settled_top(spark, sf):
+    return de(spark, sf).orderBy(*ranktest.display_order()).limit(30)
+
+
+@register("ora_color_domain", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT {r('MIN(nlp_adj)')} AS lo,
+{r('greatest(-log10(0.05) * 1.2, MAX(nlp_adj))')} AS hi FROM ora""")
+def _(spark, sf):
+    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500))
+    return rounded(ora.colour_domain(terms_), "lo", "hi")
+
+
+_T = f"{lnchoose_sql('K', 'i')} + {lnchoose_sql('N - K', 'n - i')} - {lnchoose_sql('N', 'n')}".replace("K", "sz").replace("N", "pop")
+
+
+@register("hypergeom_tail", f"""WITH v AS (SELECT p_partkey, p_size AS sz, 22000 AS pop, CAST(floor(p_retailprice) AS BIGINT) AS n, p_size // 3 AS k FROM part),
+s AS (SELECT *, unnest(range(k, least(sz, n) + 1)) AS i FROM v), t AS (SELECT p_partkey, {_T} AS t FROM s),
+m AS (SELECT p_partkey, MAX(t) AS top FROM t GROUP BY 1)
+SELECT p_partkey, {r('least(0.0, top + ln(SUM(exp(t - top))))')} AS ln_p FROM t JOIN m USING (p_partkey) GROUP BY p_partkey, top""")
+def _(spark, sf):
+    size = F.col("p_size").cast("long")
+    ln_p = special.ln_hypergeom_tail(F.floor(size / 3), size, F.floor("p_retailprice"), F.lit(22000).cast("long"))
+    return rounded(table(spark, sf, "part").select("p_partkey", ln_p.alias("ln_p")), "ln_p")
+
+
+def _bh_rows(spark, sf):
+    p = (F.col("o_totalprice") + 1) / 600000
+    return table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("grp"), p.alias("p"), (-F.log10(p)).alias("nlp"))
+
+
+_BH = """WITH v AS (SELECT o_orderkey, o_orderpriority AS grp, (o_totalprice + 1) / 600000 AS p FROM orders),
+k AS (SELECT *, -log10(p) AS nlp, row_number() OVER (PARTITION BY grp ORDER BY p) AS rank, COUNT(*) OVER (PARTITION BY grp) AS m FROM v)"""
+_WEAKER = "OVER (PARTITION BY grp ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@register("bh", f"{_BH} SELECT o_orderkey, grp, {r(f'least(1.0, MIN(p * m / rank) {_WEAKER})')} AS padj FROM k")
+def _(spark, sf):
+    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"], small=True).select("o_orderkey", "grp", "padj"), "padj")
+
+
+@register("bh_log", f"{_BH} SELECT o_orderkey, grp, {r(f'MAX(greatest(0.0, nlp - log10(CAST(m AS DOUBLE) / rank))) {_WEAKER}')} AS nlp_adj FROM k")
+def _(spark, sf):
+    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"], small=False).select("o_orderkey", "grp", "nlp_adj"), "nlp_adj")

@@ -1 +1,194 @@
-"""To come."""
+"""Queries over sources and sinks: files are written from the tables, read back, and compared."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from catalog.base import RETAIL, SETS, TEXT, r, register, retail, rounded, table, text
+from catalog.cells import PSEUDOBULK, _comp_sql, placed, pseudobulk
+from catalog.scoring import SEED
+from catalog.sets import library, strongest
+from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
+from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
+from tallygrid.operators.matrix import Matrix
+from tallygrid.plans.session import ensure_checkpoint_dir
+from tallygrid.sources import bundle, genesets, tables, views
+
+TAG = "tallygrid/bundle@1"
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+# ---- bundles ----
+
+
+def _bundles(spark, sf, chunk_genes: int):
+    """The retail object as bundle rows of at most 400 cells, kept as a table while it is read several times."""
+    m = retail(spark, sf)
+    path = scratch(spark, "bundles")
+    bundle.build(Matrix(m.expr, placed(spark, sf), m.genes), TAG, 400, chunk_genes).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+EXPR = f"{RETAIL} SELECT gene, l.i AS cell_id, {r('value')} AS value FROM expr JOIN (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS i FROM lab) l USING (cell_id)"
+
+
+@register("ingest_bundle", EXPR)
+def _(spark, sf):
+    return rounded(bundle.ingest(_bundles(spark, sf, 0)).expr, "value")
+
+
+@register("ingest_collection", EXPR)
+def _(spark, sf):
+    return rounded(bundle.ingest(_bundles(spark, sf, 64)).expr, "value")
+
+
+@register("ingest_cells", f"{RETAIL} SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_id, type, sample, cond FROM lab")
+def _(spark, sf):
+    return bundle.ingest(_bundles(spark, sf, 0)).cells.select("cell_id", "type", "sample", "cond")
+
+
+@register("check_same_genes", "SELECT CAST(COUNT(*) AS BIGINT) AS parts, 0 AS differing FROM (SELECT DISTINCT (row_number() OVER (ORDER BY c_custkey) - 1) // 400 FROM customer)")
+def _(spark, sf):
+    meta = bundle.part_meta(_bundles(spark, sf, 0))
+    return meta.agg(F.count_distinct("part").alias("parts")).withColumn(
+        "differing", bundle.violations(meta).where("rule = 'gene list'").agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@register("validate_object", "SELECT 'none' AS part, 'none' AS rule FROM region WHERE FALSE")
+def _(spark, sf):
+    return bundle.violations(bundle.part_meta(_bundles(spark, sf, 0)))
+
+
+@register("columns_in_every_part", """SELECT event_type AS "column", COUNT(DISTINCT user_id) AS parts FROM events GROUP BY 1
+HAVING COUNT(DISTINCT user_id) = (SELECT COUNT(DISTINCT user_id) FROM events)""")
+def _(spark, sf):
+    meta = table(spark, sf, "events").groupBy(F.col("user_id").alias("part")).agg(F.collect_set("event_type").alias("columns"))
+    return bundle.columns_in_every_part(meta)
+
+
+# ---- feature sets ----
+
+
+@register("read_gmt", f"{RETAIL}{SETS} SELECT set_id, gene FROM members")
+def _(spark, sf):
+    path = scratch(spark, "gmt")
+    genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"])
+    lines = library(spark, sf).groupBy("set_id").agg(genes.alias("g")).select(
+        F.concat_ws("\t", "set_id", F.lit("https://example.org/about"), F.array_join("g", "\t")).alias("value"))
+    lines.write.text(path)
+    return genesets.read_gmt(spark, path).select("set_id", "gene")
+
+
+@register("read_msig", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members")
+def _(spark, sf):
+    path = scratch(spark, "packed")
+    packed = genesets.pack(library(spark, sf).where("source IN ('brand', 'type', 'size')"), "any", "r1")
+    # One packed text per file, as libraries are shipped: each row goes to a folder of its own.
+    packed.withColumn("source", F.split("value", "\t")[2]).write.partitionBy("source").text(path)
+    files = f"{path}/*"
+    return genesets.read_packed(spark, files).select("source", "set_id", "gene")
+
+
+@register("sets_to_text", f"{RETAIL}{SETS} SELECT string_agg(gene, ', ' ORDER BY pos) AS members, set_id FROM members GROUP BY source, set_id")
+def _(spark, sf):
+    parts = F.split("value", ": ")
+    named = library(spark, sf).withColumn("set_name", F.col("set_id"))
+    return genesets.sets_to_text(named).select(parts[1].alias("members"), parts[0].alias("set_id"))
+
+
+@register("parse_sets", f"{RETAIL}{SETS} SELECT set_id AS set_name, string_agg(gene, ',' ORDER BY pos) AS members FROM members GROUP BY source, set_id")
+def _(spark, sf):
+    named = library(spark, sf).withColumn("set_name", F.col("set_id"))
+    texts = genesets.sets_to_text(named).select(F.split("value", ": ")[0].alias("path"), "value")
+    return genesets.parse_sets(texts).select("set_name", F.array_join("genes", ",").alias("members"))
+
+
+@register("manifest_defaults", """SELECT n_name AS source, r_name AS species FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0""")
+def _(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    entries = F.collect_list(F.struct(
+        F.col("n_name").alias("source"), F.concat("n_name", F.lit(".gs")).alias("file"), F.lit(1).alias("nSets"),
+        F.lit(1).alias("nGenes"), (F.col("n_nationkey") % 2 == 0).alias("on"), F.lit(False).alias("projected")))
+    per = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(entries.alias("sources"))
+    whole = per.agg(F.map_from_entries(F.collect_list(F.struct("r_name", F.struct(
+        F.col("r_name").alias("label"), F.lit("r1").alias("release"), "sources")))).alias("species"))
+    path = scratch(spark, "manifest")
+    whole.coalesce(1).write.json(path)
+    return genesets.read_manifest(spark, path).where("on").select("source", "species")
+
+
+# ---- pseudobulk and result tables ----
+
+
+@register("read_pseudobulk", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT sample, type, n_cells FROM pb WHERE type = 'BUILDING')
+SELECT g.gene, k.sample, k.type, CAST(k.n_cells AS BIGINT) AS n_cells, COALESCE(pb.count, 0.0) AS count
+FROM (SELECT DISTINCT gene FROM pb WHERE type = 'BUILDING') g CROSS JOIN k LEFT JOIN pb ON pb.gene = g.gene AND pb.sample = k.sample AND pb.type = k.type""")
+def _(spark, sf):
+    pb = pseudobulk(spark, sf).where("type = 'BUILDING'").withColumn("h", F.concat_ws("||", "sample", "type", "n_cells"))
+    path = scratch(spark, "pseudobulk")
+    pb.groupBy("gene").pivot("h").agg(F.sum("count")).na.fill(0).write.csv(path, sep="\t", header=True)
+    return tables.read_pseudobulk(spark, path).withColumn("n_cells", F.col("n_cells").cast("long"))
+
+
+def _round_trip(spark, df, name: str):
+    path = scratch(spark, name)
+    tables.export_csv(df, path)
+    return spark.read.csv(path, header=True)
+
+
+@register("export_deg", f"""{TEXT_DE} SELECT gene, printf('%.4f', pct1) AS "pct.1", printf('%.4f', pct2) AS "pct.2",
+CASE WHEN lfc > 0 THEN 'higher in de' ELSE 'higher in en + fr' END AS direction FROM de""")
+def _(spark, sf):
+    out = tables.deg_table(text_contrast(spark, sf), "de", "en + fr")
+    return _round_trip(spark, out.select("gene", "`pct.1`", "`pct.2`", "direction"), "deg")
+
+
+@register("export_markers", f"""{TEXT_MARKERS} SELECT grp AS cluster, gene, printf('%.4f', pct1) AS "pct.1" FROM de WHERE {SIG} AND lfc > 0""")
+def _(spark, sf):
+    return _round_trip(spark, tables.markers_table(ranktest.markers(text(spark, sf))).select("cluster", "gene", "`pct.1`"), "markers")
+
+
+@register("export_composition", f"""{TEXT}{_comp_sql('type', 'sample')} SELECT row0 AS sample, part AS type, cells, row_total, samples, printf('%.6f', fraction) AS fraction FROM comp""")
+def _(spark, sf):
+    comp = composition.composition(text(spark, sf).cells, "type", ["sample"])
+    out = _round_trip(spark, tables.composition_table(comp, composition.export_header("type", ["sample"])), "composition")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("cells", "row_total", "samples")})
+
+
+@register("export_pseudobulk", f"""{RETAIL}{PSEUDOBULK} SELECT gene, SUM(count) AS total FROM pb JOIN (SELECT DISTINCT sample, cond FROM lab) USING (sample)
+WHERE type = 'BUILDING' AND cond IN ('ASIA', 'EUROPE') AND n_cells >= 10 GROUP BY 1""")
+def _(spark, sf):
+    pb = pseudobulk(spark, sf)
+    columns = tables.pseudobulk_columns(pb, retail(spark, sf).cells, "BUILDING", ["ASIA"], ["EUROPE"])
+    wide = _round_trip(spark, tables.pseudobulk_wide(pb, columns), "pseudobulk")
+    total = sum((F.col(f"`{c}`").cast("double") for c in wide.columns[1:]), F.lit(0.0))
+    return wide.select("gene", total.alias("total"))
+
+
+@register("export_enrichment")
+def _(spark, sf):
+    terms = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    return _round_trip(spark, tables.enrichment_table(terms), "enrichment")
+
+
+@register("export_scores")
+def _(spark, sf):
+    m = retail(spark, sf)
+    sets = views.retail_sets(spark, sf).where("set_id = 'TYPE_PROMO'").select("set_id", "gene", "pos")
+    summary = score.score_summary(score.score_many(m, sets), m.cells, ["type"])
+    return _round_trip(spark, tables.scores_table(summary, "type"), "scores")
+
+
+@register("export_coexpression")
+def _(spark, sf):
+    m = retail(spark, sf)
+    axis = axes.group_axis(m.cells)
+    rows = correlate.correlate(m, axis, correlate.seed_profile(m, axis, SEED))
+    return _round_trip(spark, tables.coexpression_table(correlate.corr_top(rows, 25, [SEED])), "coexpression")

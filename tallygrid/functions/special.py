@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
@@ -69,16 +69,25 @@ def ln_choose(n: Column, k: Column) -> Column:
 
 
 def ln_hypergeom_tail(k: Column, set_size: Column, drawn: Column, population: Column) -> Column:
-    """ln P(X >= k) by log-sum-exp over at most ``set_size`` terms; NULL when the tail is empty."""
+    """ln P(X >= k): the first term in log space, the rest as ratios folded from the far end.
+
+    At most ``set_size`` cheap steps. A fold that overflows means the tail is one.
+    NULL when the tail is empty.
+    """
+    k, set_size, drawn, population = (c.cast("long") for c in (k, set_size, drawn, population))
+    first = F.greatest(k, drawn - (population - set_size))
     last = F.least(set_size, drawn)
-    span = F.when(k <= last, F.sequence(k, last)).otherwise(F.array().cast("array<bigint>"))
-    terms = F.filter(
-        F.transform(span, lambda i: ln_choose(set_size, i) + ln_choose(population - set_size, drawn - i)),
-        lambda t: t.isNotNull(),
-    )
-    top = F.array_max(terms)
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.exp(t - top))
-    return F.when(F.size(terms) > 0, F.least(F.lit(0.0), top + F.ln(total) - ln_choose(population, drawn)))
+    steps = F.when(first < last, F.sequence(last - 1, first, F.lit(-1).cast("long"))).otherwise(
+        F.array().cast("array<bigint>"))
+
+    def ratio(i: Column) -> Column:
+        return ((set_size - i).cast("double") * (drawn - i)
+                / ((i + 1).cast("double") * (population - set_size - drawn + i + 1)))
+
+    rest = F.aggregate(steps, F.lit(1.0), lambda acc, i: F.lit(1.0) + acc * ratio(i))
+    start = (ln_choose(set_size, first) + ln_choose(population - set_size, drawn - first)
+             - ln_choose(population, drawn))
+    return F.when(first <= last, F.least(F.lit(0.0), start + F.ln(rest)))
 
 
 # ---- seeded draws: 32-bit arithmetic on non-negative longs ----
@@ -100,12 +109,19 @@ def string_seed(text: Column) -> Column:
     return F.when(h >= 2**31, F.lit(2**32) - h).otherwise(h)
 
 
-def seeded_uniform(seed: Column, k: Column) -> Column:
-    """Draw number ``k`` (from 0) of the public mulberry32 generator, as a pure function of (seed, k)."""
-    # The generator's published increment and multipliers.
-    step = _times32((k + 1).bitwiseAND(F.lit(_MASK)), F.lit(0x6D2B79F5).cast("long"))
-    s = (seed + step).bitwiseAND(F.lit(_MASK))
-    t = _times32(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1)))
-    mixed = (t + _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_MASK))
-    t = mixed.bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / 4294967296.0
+def seeded_uniform(df: DataFrame, seed: str, k: str, out: str) -> DataFrame:
+    """Draw number ``k`` (from 0) of the public mulberry32 generator, as a pure function of (seed, k).
+
+    Each step is its own column, so no step's expression is written out twice.
+    """
+    # The generator's published increment, shifts and multipliers.
+    step = _times32((F.col(k) + 1).bitwiseAND(F.lit(_MASK)), F.lit(0x6D2B79F5).cast("long"))
+    t, s = F.col("_t"), F.col("_s")
+    return (
+        df.withColumn("_s", (F.col(seed) + step).bitwiseAND(F.lit(_MASK)))
+        .withColumn("_t", _times32(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1))))
+        .withColumn("_s", _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61))))
+        .withColumn("_t", (t + s).bitwiseAND(F.lit(_MASK)).bitwiseXOR(t))
+        .withColumn(out, t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / 4294967296.0)
+        .drop("_s", "_t")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
@@ -230,7 +230,7 @@ def feature_cells(m: Matrix, gene: str, floor: float = 0.0, top: float | None =
     v = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
     return (
         m.cells.join(values, "cell_id", "left").withColumn("in_panel", inside).withColumn("value", v)
-        .withColumn("shade", F.when("in_panel", F.least(F.lit(1.0), F.greatest(
+        .withColumn("shade", F.when(F.col("in_panel"), F.least(F.lit(1.0), F.greatest(
             F.lit(0.0), (F.col("value") - floor) / span))))
         .select("cell_id", "in_panel", "value", "shade").orderBy("in_panel", "value", "cell_id"))
 
@@ -301,13 +301,10 @@ def aggregate_columns(parts: DataFrame, cells: DataFrame, by: list[str],
         "gene", *by, "n", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def per_gene(expr: DataFrame, fn, schema: str, finest: Column | None = None) -> DataFrame:
-    """User hook: a pandas function over each (gene, value bucket) slice of the non-zeros.
+def per_gene(expr: DataFrame, fn, schema: str) -> DataFrame:
+    """User hook: a pandas function over batches of non-zeros, run where the rows lie.
 
-    Slices keep a common gene from meeting one task; ``fn`` returns partial rows that
-    the caller combines with an ordinary aggregate, like any partial aggregate.
+    ``fn`` sees any number of genes at once and returns partial rows per gene, which
+    the caller combines with an ordinary aggregate. No gene is gathered in one task.
     """
-    part = finest if finest is not None else F.pmod(F.hash("cell_id"), F.lit(64)).cast("long")
-    return expr.withColumn("slice", part).groupBy("gene", "slice").applyInPandas(fn, schema)
-
-
+    return expr.mapInPandas(lambda batches: (fn(batch) for batch in batches), schema)

@@ -203,7 +203,7 @@ def adjust(df: DataFrame, by: list[str], n_features: int, small: bool = False) -
     candidate.columns = ("p",)
     out = step_up(df, by, "nlp", candidate, "_q", small)
     return out.withColumns({
-        "fdr": F.least(F.lit(1.0), F.col("_q")),
+        "fdr": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("_q"))),
         "padj": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("p") * m)),
         "nlp": F.when(F.col("p").isNotNull(), F.greatest(F.lit(0.0), F.col("nlp") - F.log10(F.lit(m)))),
     }).select(*[c for c in COLUMNS if c in {*out.columns, "fdr", "padj", "nlp"}],

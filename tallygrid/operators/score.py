@@ -45,30 +45,28 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     # One array per (set, bin), bounded by the set's own size.
     taken = mine.groupBy("set_id", "bin").agg(F.array_sort(F.collect_list("at")).alias("taken"))
     bin_size = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("bin_size"))
-    names = mine.groupBy("set_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"]), "|")
-        .alias("names"), F.count(F.lit(1)).alias("size"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"]), "|")
+    seeds = mine.groupBy("set_id").agg(listed.alias("names"), F.count(F.lit(1)).alias("size"))
+    seeds = settle(seeds.select("set_id", "size", string_seed(F.col("names")).alias("seed"))).df
     members = (
-        mine.join(taken, ["set_id", "bin"]).join(bin_size, "bin").join(names, "set_id")
+        mine.join(taken, ["set_id", "bin"]).join(bin_size, "bin").join(seeds, "set_id")
         .withColumn("pool", F.col("bin_size") - F.size("taken"))
         .withColumn("draws", F.least(F.lit(ctrl), F.col("pool") * REDRAW).cast("long"))
     )
     order = Window.partitionBy("set_id").orderBy("pos")
     members = members.withColumn(
         "first_draw", F.sum("draws").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    draws = (
-        members.where("draws > 0")
-        .select("set_id", "bin", "pool", "taken", string_seed(F.col("names")).alias("seed"),
-                F.coalesce("first_draw", F.lit(0)).alias("first_draw"),
-                F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("i"))
-        .withColumn("pick", F.floor(seeded_uniform(F.col("seed"), F.col("first_draw") + F.col("i")) * F.col("pool")))
-        .withColumn("at", F.col("pick") + F.size(F.filter("taken", lambda x, j: x - j <= F.col("pick"))))
-    )
+    draws = members.where("draws > 0").select(
+        "set_id", "bin", "pool", "taken", "seed", F.coalesce("first_draw", F.lit(0)).alias("first_draw"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("i"))
+    draws = seeded_uniform(draws.withColumn("k", F.col("first_draw") + F.col("i")), "seed", "k", "u")
+    draws = draws.withColumn("pick", F.floor(F.col("u") * F.col("pool"))).withColumn(
+        "at", F.col("pick") + F.size(F.filter("taken", lambda x, j: x - j <= F.col("pick"))))
     controls = draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))
     totals = settle(controls.groupBy("set_id").agg(F.sum("c").alias("total"))).df
     controls = controls.join(totals, "set_id").select("set_id", "gene", (-F.col("c") / F.col("total")).alias("weight"))
     # A set none of whose bins holds another gene is compared with every gene outside it, once each.
-    size = settle(mine.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))).df
+    size = seeds.select("set_id", "size")
     bare = [r["set_id"] for r in size.join(totals, "set_id", "left_anti").collect()]
     positive = mine.join(size, "set_id").select("set_id", "gene", (1.0 / F.col("size")).alias("weight"))
     weights = positive.unionByName(controls)

@@ -150,7 +150,9 @@ def step_up(
         tested = F.col(strength).isNotNull()
         part = Window.partitionBy(*keys, "_tested")
         down = part.orderBy(F.col(strength).desc())
-        follow = down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # "This and all weaker ranks" as a running frame from the weak end: linear, where a
+        # frame that ends at unbounded following is evaluated anew for every row.
+        follow = part.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return (
             df.withColumn("_tested", tested)
             .withColumn("_rank", F.row_number().over(down))
@@ -173,10 +175,10 @@ def step_up(
     ties = ties.join(per.select(*keys, "_b", "_off"), [*keys, "_b"]).withColumn(
         "_cand", at_rank(F.col("_off") + F.col("_cum"))
     )
-    weaker = Window.partitionBy(*keys, "_b").orderBy(*desc).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
+    weaker = Window.partitionBy(*keys, "_b").orderBy(F.col(strength)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     best = ties.groupBy(*keys, "_b").agg(pick("_cand").alias("_best"))
-    after = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("_after", pick("_best").over(after)).drop("_best")
     solved = (
         ties.withColumn("_own", pick("_cand").over(weaker))
