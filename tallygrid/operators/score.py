@@ -62,8 +62,9 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     draws = seeded_uniform(draws.withColumn("k", F.col("first_draw") + F.col("i")), "seed", "k", "u")
     draws = draws.withColumn("pick", F.floor(F.col("u") * F.col("pool"))).withColumn(
         "at", F.col("pick") + F.size(F.filter("taken", lambda x, j: x - j <= F.col("pick"))))
-    controls = draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))
-    totals = settle(controls.groupBy("set_id").agg(F.sum("c").alias("total"))).df
+    # Read three times below, so evaluated once while it is within the bound.
+    controls = settle(draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))).df
+    totals = controls.groupBy("set_id").agg(F.sum("c").alias("total"))
     controls = controls.join(totals, "set_id").select("set_id", "gene", (-F.col("c") / F.col("total")).alias("weight"))
     # A set none of whose bins holds another gene is compared with every gene outside it, once each.
     size = seeds.select("set_id", "size")

@@ -167,9 +167,9 @@ def ingest(files: DataFrame) -> Matrix:
         "n_counts float, n_genes float, pct_mito float, extras map<string,string>")
     genes = meta.orderBy("part").limit(1).select(F.posexplode("genes").alias("gene_id", "gene"))
     shared = columns_in_every_part(meta).agg(F.collect_list("column").alias("c")).select("c").scalar()
-    cells = cells.join(offset, "part").select(
+    cells = cells.join(offset, "part").withColumn("_shared", shared).select(
         "part", place, "type", "sample", "cond", "x", "y", "n_counts", "n_genes", "pct_mito",
-        F.map_filter("extras", lambda k, _: F.array_contains(shared, k)).alias("extras"))
+        F.map_filter("extras", lambda k, _: F.array_contains(F.col("_shared"), k)).alias("extras"))
     # A sample two parts place in different conditions keeps the first part's.
     owner = cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
     cells = labelled_only(cells.drop("cond").join(settle(owner).df, "sample"))
@@ -212,8 +212,10 @@ def build(m: Matrix, tag: str, cells_per_part: int = 4096, chunk_genes: int = 0)
     at = {g: i for i, g in enumerate(names)}
     cells = numbered(m.cells, [], "cell_id", out="_at").withColumns({
         "part": F.floor(F.col("_at") / cells_per_part), "local_id": F.col("_at") % cells_per_part})
-    rows = m.nonzero().join(cells.select("cell_id", "part", "local_id"), "cell_id").select("part", "local_id", "gene", "value")
-    keep = ["part", "local_id", "type", "sample", "cond", "x", "y"]
+    rows = m.nonzero().join(cells.select("cell_id", "part", "local_id"), "cell_id").select(
+        F.col("part").alias("part"), F.col("local_id").alias("local_id"), "gene", "value")
+    sheet = cells.select(F.col("part").alias("of_part"), *[
+        F.col(c).alias(c) for c in ("local_id", "type", "sample", "cond", "x", "y")])
 
     def pack(key: tuple, values: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
         labels = labels.sort_values("local_id")
@@ -254,5 +256,5 @@ def build(m: Matrix, tag: str, cells_per_part: int = 4096, chunk_genes: int = 0)
                 box.writestr(name, data, zipfile.ZIP_STORED if name == "expr.chunk.bin" else zipfile.ZIP_DEFLATED)
         return pd.DataFrame({"part": [f"part-{key[0]:06d}.zip"], "content": [out.getvalue()]})
 
-    return rows.groupBy("part").cogroup(cells.select(*keep).groupBy("part")).applyInPandas(
+    return rows.groupBy("part").cogroup(sheet.groupBy("of_part")).applyInPandas(
         pack, "part string, content binary")
