@@ -130,21 +130,26 @@ def labelled_only(cells: DataFrame) -> DataFrame:
 def pseudobulk(counts: DataFrame, cells: DataFrame) -> DataFrame:
     """Summed counts per gene, sample and type, with the cells behind each column."""
     labels = cells.select("cell_id", "sample", "type")
-    sizes = labels.groupBy("sample", "type").agg(F.count(F.lit(1)).alias("n_cells"))
+    sizes = pseudobulk_sizes(cells)
     sums = counts.join(labels, "cell_id").groupBy("gene", "sample", "type").agg(F.sum("count").alias("count"))
     return sums.join(settle(sizes).df, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
 
 
-def merge_pseudobulk(parts: DataFrame) -> DataFrame:
+def pseudobulk_sizes(cells: DataFrame) -> DataFrame:
+    """Cells behind each (sample, type) column, columns without a single count included."""
+    return cells.groupBy("sample", "type").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def merge_pseudobulk(parts: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Union of several parts' columns; counts add, and so do the cells behind a shared column.
 
-    ``parts`` carries a ``part`` column. Cells are added once per (part, column),
-    not once per gene.
+    ``parts`` carries a ``part`` column. ``columns`` (part, sample, type, n_cells) lists
+    every part's columns; without it they are read off the rows, once per part and
+    not once per gene, and a part's column that holds no count at all goes unseen.
     """
-    sizes = (
-        parts.groupBy("part", "sample", "type").agg(F.max("n_cells").alias("n_cells"))
-        .groupBy("sample", "type").agg(F.sum("n_cells").alias("n_cells"))
-    )
+    if columns is None:
+        columns = parts.groupBy("part", "sample", "type").agg(F.max("n_cells").alias("n_cells"))
+    sizes = columns.groupBy("sample", "type").agg(F.sum("n_cells").alias("n_cells"))
     sums = parts.groupBy("gene", "sample", "type").agg(F.sum("count").alias("count"))
     return sums.join(settle(sizes).df, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
 

@@ -137,7 +137,7 @@ def test_composition_equals_a_tally(spark):
     at = {"type": 1, "sample": 2, "cond": 3, "extra": 4}
     assert composition.fields(cells, ["extra"]) == ["type", "cond", "extra", "sample"]
     for part in at:
-        for rows_by in composition.row_axes(composition.fields(cells, ["extra"]), part)[:5]:
+        for rows_by in composition.row_axes(composition.fields(cells, ["extra"]), part)[1::3]:
             tally, pools = {}, {}
             for r in rows:
                 key = tuple(r[at[f]] for f in rows_by)
@@ -193,7 +193,9 @@ def test_parts_that_arrive_add_up_once(spark, split):
             "part", "gene", "sample", "type", F.col("n_cells").cast("long"), F.col("count").cast("double")).coalesce(1).write.mode("append").parquet(f"{root}/in")
         if p in (3, 7):
             parts.keep_totals(parts.watch_parts(spark, f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination(120)
-    got = prep.merge_pseudobulk(parts.read_totals(spark, f"{root}/out"))
+    # One cell has no count at all, and it is a part's only cell of its column: the column list keeps it.
+    columns = cells.groupBy("part", "sample", "type").agg(F.count(F.lit(1)).alias("n_cells"))
+    got = prep.merge_pseudobulk(parts.read_totals(spark, f"{root}/out"), columns)
     want = prep.pseudobulk(counts, split.cells)
     rows = lambda df: sorted((r["gene"], r["sample"], r["type"], r["n_cells"], round(r["count"], 4)) for r in df.collect())
     assert rows(got) == rows(want)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import special
 
-TAIL = {0.5: 3.08538537725986882e-01, 1: 1.58655253931457074e-01, 2: 2.27501319481791947e-02, 3: 1.34989803163009328e-03,
+TAIL = {0.5: 3.08537538725986896e-01, 1: 1.58655253931457074e-01, 2: 2.27501319481791947e-02, 3: 1.34989803163009328e-03,
         5: 2.86651571879193277e-07, 8: 6.22096057427174049e-16, 12: 1.77648211207765304e-33, 20: 2.75362411860615560e-89,
         30: 4.90671392714790795e-198, 37: 5.72557122252392658e-300}
 LN_TAIL = {1: -1.84102164500926335, 5: -15.0649983939887271, 20: -203.917155371097294, 38.5: -745.695270290411258,
