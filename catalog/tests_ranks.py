@@ -119,7 +119,7 @@ def _(spark, sf):
 
 
 @register("combined_rank", f"""{rank_test_sql(RETAIL, CONTRAST, ONE, 0.1, 0.0, carry=True)}
-SELECT gene, row_number() OVER (ORDER BY abs(nlp * lfc) DESC, gene) AS place FROM de WHERE nlp * lfc IS NOT NULL""")
+SELECT gene, rank() OVER (ORDER BY abs(nlp * lfc) DESC) AS place FROM de WHERE nlp * lfc IS NOT NULL""")
 def _(spark, sf):
     return ranktest.combined_rank(contrast(spark, sf)).select("gene", F.col("place").cast("long").alias("place"))
 

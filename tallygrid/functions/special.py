@@ -42,13 +42,16 @@ def normal_tail(z: Column) -> Column:
     return F.when(x >= 2, F.greatest(F.exp(_fraction_ln_tail(x)), F.lit(5e-324))).otherwise(_series_tail(x))
 
 
-def two_sided_p(z: Column) -> Column:
-    return F.least(F.lit(1.0), normal_tail(z) * 2)
+def two_sided(df: DataFrame, z: str) -> DataFrame:
+    """Adds ``p`` and ``nlp`` (-log10 of it) of a z statistic; the tail is evaluated once, in log space.
 
-
-def two_sided_nlp(z: Column) -> Column:
-    """-log10 of the two-sided p, from the log tail."""
-    return F.greatest(F.lit(0.0), -(ln_normal_tail(z) + _LN2) / _LN10)
+    NULL z stays NULL. nlp keeps separating values whose p has reached the smallest double.
+    """
+    ln_p = F.col("_ln_tail") + _LN2
+    p = F.least(F.lit(1.0), F.greatest(F.exp(ln_p), F.lit(5e-324)))
+    known = F.col("_ln_tail").isNotNull()
+    return df.withColumn("_ln_tail", ln_normal_tail(F.col(z))).withColumns({
+        "p": F.when(known, p), "nlp": F.when(known, F.greatest(F.lit(0.0), -ln_p / _LN10))}).drop("_ln_tail")
 
 
 def ln_gamma(x: Column) -> Column:

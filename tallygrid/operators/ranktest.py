@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.functions.special import two_sided_nlp, two_sided_p
+from tallygrid.functions.special import two_sided
 from tallygrid.operators.matrix import Matrix, scope, sides_overlap
-from tallygrid.plans.ordering import step_up, value_bucket
+from tallygrid.plans.ordering import descending_rank, step_up, value_bucket
 from tallygrid.plans.sizing import level_counts, settle
 
 # Fixed value: fewer cells than this on a side and nothing is tested.
@@ -178,15 +178,13 @@ def _rank_sums(values: DataFrame, kept: DataFrame, total: int) -> DataFrame:
     spread = n1 * n2 / 12 * (n + 1 - tie_sum / (n * (n - 1)))
     gap = F.abs(rank - n1 * (n1 + 1) / 2 - mean) - 0.5
     flat = (F.col("spread") <= 0) | (F.col("all_d") == 0)
-    return (
-        per.withColumn("spread", spread)
-        .withColumn("z", F.when(~flat, gap / F.sqrt("spread")))
-        .select(
-            "gene", "grp", "n1", "n2", "pct1", "pct2", "lfc",
-            F.when(F.col("tested"), F.when(flat, 1.0).otherwise(two_sided_p(F.col("z")))).alias("p"),
-            F.when(F.col("tested"), F.when(flat, 0.0).otherwise(two_sided_nlp(F.col("z")))).alias("nlp"),
-        )
-    )
+    per = per.withColumn("spread", spread).withColumn(
+        "z", F.when(F.col("tested") & ~flat, gap / F.sqrt("spread")))
+    # Nothing varies: tested, and nothing found.
+    return two_sided(per, "z").select(
+        "gene", "grp", "n1", "n2", "pct1", "pct2", "lfc",
+        F.when(F.col("tested"), F.coalesce("p", F.lit(1.0))).alias("p"),
+        F.when(F.col("tested"), F.coalesce("nlp", F.lit(0.0))).alias("nlp"))
 
 
 def adjust(df: DataFrame, by: list[str], n_features: int, small: bool = False) -> DataFrame:
@@ -238,10 +236,9 @@ def top_markers(de: DataFrame, n: int = 5, threshold: float = 0.05, lfc: float =
 
 
 def combined_rank(de: DataFrame) -> DataFrame:
-    """Tested rows with their place by |combined score| within each group."""
-    order = Window.partitionBy("grp").orderBy(F.abs("combined").desc(), "gene")
-    return de.withColumn("combined", combined_score()).where("combined IS NOT NULL").withColumn(
-        "place", F.row_number().over(order))
+    """Tested rows with their place by |combined score| within each group; equal scores share a place."""
+    scored = de.withColumn("combined", combined_score()).where("combined IS NOT NULL")
+    return descending_rank(scored.withColumn("_size", F.abs("combined")), ["grp"], "_size", "place").drop("_size")
 
 
 def table_view(de: DataFrame, search: str = "", only_significant: bool = False) -> DataFrame:

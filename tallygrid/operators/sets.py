@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.plans.ordering import numbered
 from tallygrid.plans.sizing import settle
 
 # Offered set sizes. A library whose every collection is small starts at 3.
@@ -212,10 +213,10 @@ def gene_names(genes: DataFrame) -> DataFrame:
         (F.col("_n") > 1) & (F.col("other") != F.col("bare")),
         F.concat(F.col("bare"), F.lit(" ("), F.col("other"), F.lit(")"))).otherwise(F.col("bare"))
     first = named.join(shared, "bare").withColumn("display", bracket)
-    repeat = F.row_number().over(Window.partitionBy("display").orderBy("gene_id"))
-    return first.withColumn("_k", repeat).withColumn(
-        "display", F.when(F.col("_k") > 1, F.concat_ws(" #", "display", F.col("_k").cast("string")))
-        .otherwise(F.col("display"))).select("gene_id", "id", "alias", "display", "bare", "other")
+    again = numbered(first, ["display"], "gene_id", out="_k")
+    return again.withColumn("display", F.when(
+        F.col("_k") > 0, F.concat_ws(" #", "display", (F.col("_k") + 1).cast("string"))).otherwise(
+        F.col("display"))).select("gene_id", "id", "alias", "display", "bare", "other")
 
 
 def readable_name(set_id: Column) -> Column:

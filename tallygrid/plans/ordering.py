@@ -126,6 +126,19 @@ def numbered(
     )
 
 
+def descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """1 + the number of strictly greater values within ``keys``; ties share a rank."""
+    keys = list(keys)
+    ties = df.groupBy(*keys, value_bucket(F.col(value)).alias("_b"), value).agg(F.count(F.lit(1)).alias("_c"))
+    inside = _up_to_here([*keys, "_b"], [F.col(value).desc()])
+    ties = ties.withColumn("_in", F.sum("_c").over(inside) - F.col("_c"))
+    per = ties.groupBy(*keys, "_b").agg(F.sum("_c").alias("_nb"))
+    per = per.withColumn("_off", F.sum("_nb").over(_up_to_here(keys, [F.col("_b").desc()])) - F.col("_nb"))
+    place = ties.join(per.select(*keys, "_b", "_off"), [*keys, "_b"]).select(
+        *keys, value, (F.col("_off") + F.col("_in") + 1).alias(out))
+    return df.join(place, [*keys, value])
+
+
 def step_up(
     df: DataFrame,
     keys: Sequence[str],
