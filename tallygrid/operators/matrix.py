@@ -33,9 +33,13 @@ class Matrix:
             return self.expr.where(F.col("gene").isin(genes))
         return self.expr.join(genes.select("gene").distinct(), "gene", "left_semi")
 
-    def write(self, path: str, partitions: int) -> None:
-        """Gene-ordered Parquet, so row-group statistics turn a gene read into a slice."""
-        (self.expr.repartitionByRange(partitions, "gene", "cell_id")
+    def write(self, path: str) -> None:
+        """Gene-ordered Parquet, so row-group statistics turn a gene read into a slice.
+
+        Ranges split on the cell too, so a common gene spans files. Their number follows
+        the data: shuffle partitions, coalesced by adaptive execution.
+        """
+        (self.expr.repartitionByRange("gene", "cell_id")
          .sortWithinPartitions("gene", "cell_id").write.parquet(f"{path}/expr"))
         self.cells.write.parquet(f"{path}/cells")
         self.genes.write.parquet(f"{path}/genes")

@@ -139,7 +139,6 @@ def prepared(spark: SparkSession, sf_dir: str, view: str) -> Matrix:
         ensure_checkpoint_dir(spark)
         root = spark.sparkContext.getCheckpointDir()
         path = f"{root}/matrix-{app}-{view}-{zlib.crc32(sf_dir.encode()):08x}"
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        VIEWS[view](spark, sf_dir).write(path, tasks)
+        VIEWS[view](spark, sf_dir).write(path)
         _prepared[key] = Matrix.read(spark, path)
     return _prepared[key]
