@@ -11,7 +11,7 @@ from tallygrid.functions.special import ln_hypergeom_tail
 from tallygrid.operators.ranktest import combined_score
 from tallygrid.operators.sets import SIZE_MAX, SIZE_MIN, annotated_background, folded_members
 from tallygrid.plans.ordering import step_up
-from tallygrid.plans.sizing import settle
+from tallygrid.plans.sizing import evaluate_once, settle
 
 CUT = -math.log10(0.05)
 
@@ -38,8 +38,7 @@ def ora(
     spelled = query.select(
         *by, F.upper("gene").alias("u"), "gene", (F.col("pos") if "pos" in query.columns else F.lit(0)).alias("pos"))
     asked = spelled.groupBy(*by, "u").agg(F.min_by("gene", "pos").alias("gene")).join(universe, "u", "left_semi")
-    # The distinct names of a query are read twice; a list within the bound is evaluated once.
-    asked = settle(asked).df
+    asked = evaluate_once(asked).df
     drawn = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn"))
     size = settle(size.where(F.col("set_size").between(*sizes))).df
     hits = inside.join(asked, "u").groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("overlap_size"))
@@ -59,7 +58,7 @@ def ora(
         .withColumn("nlp", F.greatest(F.lit(0.0), -F.col("ln_p") / math.log(10)))
         .drop("ln_p")
     )
-    settled = settle(rows)
+    settled = evaluate_once(rows)
     out = bh_both(settled.df, by, settled.small)
     if overlap:
         # At most sizes[1] names per set, so each list is bounded by the size window.

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tallygrid.functions.special import two_sided
 from tallygrid.operators.matrix import Matrix, scope, sides_overlap
 from tallygrid.plans.ordering import descending_rank, step_up, value_bucket
-from tallygrid.plans.sizing import level_counts, settle
+from tallygrid.plans.session import cut_lineage
+from tallygrid.plans.sizing import SETTLE_ROWS, Settled, evaluate_once, level_counts, settle
 
 # Fixed value: fewer cells than this on a side and nothing is tested.
 MIN_CELLS_PER_SIDE = 3
@@ -91,7 +92,12 @@ def _test(m: Matrix, labels: DataFrame, sizes: dict, wanted: list, gates: Gates)
         [(g, sizes[g], total - sizes[g]) for g in report],
         f"grp {grp_type.simpleString()}, n1 bigint, n2 bigint",
     )
-    kept = settle(_gated(values, sizes, F.broadcast(size_table), total, gates))
+    kept = _gated(values, sizes, F.broadcast(size_table), total, gates)
+    if gates.pct == 0 and gates.lfc == 0 and features * len(report) > SETTLE_ROWS:
+        # Nothing will be gated out, so the size is known without looking.
+        kept = Settled(cut_lineage(kept), None)
+    else:
+        kept = evaluate_once(kept)
     tested = kept.df.where("tested").select("gene").distinct()
     if gates.pct > 0 or gates.lfc > 0:
         # The gates keep few genes; only their values reach the value-level shuffle.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions.special import seeded_uniform, string_seed
 from tallygrid.operators.matrix import Matrix
 from tallygrid.plans.ordering import index_quantiles, numbered
-from tallygrid.plans.sizing import settle
+from tallygrid.plans.sizing import evaluate_once, settle
 
 # Bins, controls per gene, and how often a small pool may be redrawn.
 BINS, CONTROLS, REDRAW = 24, 100, 4
@@ -40,7 +40,7 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     A control pool is its bin without the set's members, in bin order. The pool is
     never listed: the i-th non-member sits at bin place i plus the members before it.
     """
-    bins = settle(bins.select("gene", "bin", "at")).df
+    bins = evaluate_once(bins.select("gene", "bin", "at")).df
     mine = sets.join(bins, "gene").select("set_id", "gene", "pos", "bin", "at")
     # One array per (set, bin), bounded by the set's own size.
     taken = mine.groupBy("set_id", "bin").agg(F.array_sort(F.collect_list("at")).alias("taken"))
@@ -62,8 +62,7 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     draws = seeded_uniform(draws.withColumn("k", F.col("first_draw") + F.col("i")), "seed", "k", "u")
     draws = draws.withColumn("pick", F.floor(F.col("u") * F.col("pool"))).withColumn(
         "at", F.col("pick") + F.size(F.filter("taken", lambda x, j: x - j <= F.col("pick"))))
-    # Read three times below, so evaluated once while it is within the bound.
-    controls = settle(draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))).df
+    controls = evaluate_once(draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))).df
     totals = controls.groupBy("set_id").agg(F.sum("c").alias("total"))
     controls = controls.join(totals, "set_id").select("set_id", "gene", (-F.col("c") / F.col("total")).alias("weight"))
     # A set none of whose bins holds another gene is compared with every gene outside it, once each.

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.plans.session import cut_lineage
+
 # Fixed value: the data model stores level codes in 16 bits, so no role has more levels.
 MAX_LEVELS = 65_535
 
@@ -38,6 +40,12 @@ def settle(df: DataFrame, max_rows: int = SETTLE_ROWS) -> Settled:
     return Settled(F.broadcast(local), table.num_rows)
 
 
+def evaluate_once(df: DataFrame, max_rows: int = SETTLE_ROWS) -> Settled:
+    """For a costly frame that several later steps read: settled if small, else a reliable checkpoint."""
+    settled = settle(df, max_rows)
+    return settled if settled.small else Settled(cut_lineage(df), None)
+
+
 def level_counts(labels: DataFrame, column: str) -> dict:
     """Rows per level of one categorical column, refused past the 16-bit code space."""
     counts = (
