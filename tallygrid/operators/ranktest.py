@@ -104,6 +104,9 @@ def _test(m: Matrix, labels: DataFrame, sizes: dict, wanted: list, gates: Gates)
         tested = settle(tested).df
         values = values.join(tested, "gene", "left_semi")
     ranked = _rank_sums(values, kept.df, total)
+    if not kept.small:
+        # The corrections read the rows twice; the ranks behind them are not computed again.
+        ranked = cut_lineage(ranked)
     return adjust(ranked, ["grp"], features, small=kept.small)
 
 
