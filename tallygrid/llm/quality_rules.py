@@ -33,7 +33,7 @@ LEAST_GROUP = 200
 SIGNALS = {
     "word_length": ("word_chars", "n_words", 2.0, True),
     "symbol_share": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.2, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.35, False),
     "repeat_share": ("n_repeat_words", "n_words", 0.2, False),
     "upper_share": ("n_upper", "n_letters", 0.2, False),
 }
@@ -185,7 +185,7 @@ cm AS (SELECT *, SUM(n) OVER (PARTITION BY level, lang, source, sig ORDER BY buc
 q AS (SELECT level, lang, source, sig, total, MIN(CASE WHEN 4 * cum >= total THEN val END) AS q1,
              MIN(CASE WHEN 4 * cum >= 2 * total THEN val END) AS q2, MIN(CASE WHEN 4 * cum >= 3 * total THEN val END) AS q3
       FROM cm GROUP BY ALL),
-r AS (SELECT *, greatest(3.0 * (q3 - q1), [2.0, 0.1, 0.2, 0.2, 0.2][sig]) AS reach FROM q),
+r AS (SELECT *, greatest(3.0 * (q3 - q1), [2.0, 0.1, 0.35, 0.2, 0.2][sig]) AS reach FROM q),
 lim AS MATERIALIZED (
   SELECT level, lang, source, MAX(total) AS total, MAX(CASE WHEN sig = 1 THEN q2 - reach END) AS lo1,
          [MAX(CASE WHEN sig = 1 THEN q2 + reach END), MAX(CASE WHEN sig = 2 THEN q2 + reach END),
