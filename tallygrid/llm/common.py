@@ -43,3 +43,10 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

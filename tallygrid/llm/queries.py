@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import language_id, quality_classifier, quality_rules
+from tallygrid.llm import (
+    language_id, ngram_join, packing, piece_encoding, quality_classifier, quality_rules, token_counts,
+)
+from tallygrid.llm.common import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +38,26 @@ def op2(spark, sf):
     return quality_classifier.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op5_ngram_join")
+def op5(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_token_counts")
+def op7(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf):
+    return piece_encoding.digests(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op10_language_id")
 def op10(spark, sf):
     return language_id.languages(table(spark, sf, "documents"))
