@@ -128,20 +128,27 @@ def learn(docs: DataFrame) -> Profiles:
     return Profiles([row["lang"] for row in top], grams, ranks)
 
 
-def identify(profiles: Profiles, text: str | None) -> tuple[str, float]:
-    """The nearest language and 1 minus its distance as a share of the largest possible."""
+def similarities(profiles: Profiles, text: str | None) -> np.ndarray | None:
+    """1 minus the distance to every profile as a share of the largest possible; None without a letter."""
     points = letters(text) if text else ()
     if not len(points) or not profiles.names:
-        return "und", 0.0
+        return None
     found, counts = np.unique(ngrams(points), return_counts=True)
     found = found[np.argsort(-counts, kind="stable")[:PROFILE]]
     at = np.minimum(np.searchsorted(profiles.grams, found), len(profiles.grams) - 1)
     known = profiles.grams[at] == found
     away = np.abs(profiles.ranks[:, at] - np.arange(len(found)))
     away = np.where(known & (profiles.ranks[:, at] < PROFILE), away, PROFILE)
-    distance = away.sum(axis=1)
-    best = int(distance.argmin())
-    return profiles.names[best], float(1 - distance[best] / (PROFILE * len(found)))
+    return 1 - away.sum(axis=1) / (PROFILE * len(found))
+
+
+def identify(profiles: Profiles, text: str | None) -> tuple[str, float]:
+    """The nearest language and its similarity."""
+    near = similarities(profiles, text)
+    if near is None:
+        return "und", 0.0
+    best = int(near.argmax())
+    return profiles.names[best], float(near[best])
 
 
 def languages(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
@@ -161,19 +168,19 @@ def languages(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     return map_batches(source, "doc_id long, held_out boolean, lang_pred string, score double", make)
 
 
-def reject_unknown(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
+def reject_unknown(docs: DataFrame, profiles: Profiles | None = None, margin: float = 0.05) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a recognised language
-    that is not at odds with the row's own label."""
+    that is not at odds with the row's own label by more than ``margin`` of similarity."""
     profiles = profiles or learn(docs)
-    learned = set(profiles.names)
+    place = {name: k for k, name in enumerate(profiles.names)}
+
+    def keeps(text: str | None, lang: str | None) -> bool:
+        near = similarities(profiles, text)
+        return near is not None and (lang not in place or near[place[lang]] >= near.max() - margin)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keep = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                name, _ = identify(profiles, text)
-                keep.append(name != "und" and (lang is None or lang not in learned or lang == name))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if batch.num_rows:
+                rows = zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+                yield batch.filter(pa.array([keeps(text, lang) for text, lang in rows], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
