@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import (
-    language_id, ngram_join, packing, piece_encoding, quality_classifier, quality_rules, token_counts,
+    chat_format, language_id, ngram_join, order_minhash, packing, piece_encoding, quality_classifier, quality_rules,
+    token_counts, warc,
 )
 from tallygrid.llm.common import vocabulary
 
@@ -38,11 +39,29 @@ def op2(spark, sf):
     return quality_classifier.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op3_order_minhash")
+def op3(spark, sf):
+    return order_minhash.edit_likeness(table(spark, sf, "documents"))
+
+
+@query("op4_chat_format")
+def op4(spark, sf):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.read_back(chat_format.formatted(rows, vocabulary("byte_bpe_50k.json")))
+
+
 @query("op5_ngram_join")
 def op5(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op6_warc", warc.ORACLE)
+def op6(spark, sf):
+    return warc.archived_pages(table(spark, sf, "pages"))
+
+
 @query("op7_token_counts")
 def op7(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
