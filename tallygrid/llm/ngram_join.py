@@ -2,10 +2,14 @@
 
 Equal sets are one class from the start, so copies are never expanded. Classes meet by
 MinHash banding: the numbers of bands and rows follow from the similarity and the target
-recall, every class is shuffled once per band under the band's hash, and classes under one
-hash whose sizes allow the similarity are candidates. Each distinct candidate is then
-verified on the full sets of n-grams, so that the links are exact; what banding may miss is
-bounded by the target recall. Groups are connected components of links.
+recall, and every class is shuffled once per band under the band's hash. Classes that share
+a hash are tied to the smallest of them, and the components of these ties are clusters: two
+classes that meet in any band are in one cluster. Within a cluster every pair with a common
+n-gram is then verified on the full sets, by counting common n-grams over posting lists in
+memory: the links are exact, no row is ever made for a pair, and all that leaves a task is
+each class's number of links and a spanning forest. A large cluster is cut into blocks of
+bounded size, and each pair of blocks is a task. What banding may miss is bounded by the
+target recall. Groups are connected components of links.
 
 Words are runs of visible characters; a text of fewer words than an n-gram is one n-gram.
 A set is named by 64 bits of its hash.
@@ -18,6 +22,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from tallygrid.llm.common import map_batches, stored, texts
 WORDS, SIMILARITY = 5, 0.8
 #: Share of links at exactly the wanted similarity that banding must find, and hash rows allowed.
 RECALL, MOST_ROWS = 0.9999, 300
+#: N-grams of the classes in one block of a cluster, about.
+BLOCK_GRAMS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,15 +116,13 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return map_batches(source, "doc_id long, node long, n int, bands array<long>", make)
 
 
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a band hash and may be similar by size."""
-    banded = classes.select(F.explode("bands").alias("band"), "node", "n")
-    left, right = banded.alias("l"), banded.alias("r")
-    small, large = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
+def ties(classes: DataFrame) -> DataFrame:
+    """Distinct (a, b): every class with the smallest class under one of its band hashes."""
+    banded = classes.select(F.explode("bands").alias("band"), "node")
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     return (
-        left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.node") < F.col("r.node"))
-                  & (small >= F.lit(similarity) * large))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+        banded.join(shared, "band").where(F.col("node") != F.col("least"))
+        .select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     )
 
 
@@ -139,33 +144,102 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return map_batches(picked, "node long, grams array<long>", make).dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose full sets have at least the similarity, with their Jaccard index."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+class Block:
+    """Posting lists over the n-grams of some classes, for counting common n-grams."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        self.kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(ids, kind="stable")]
+        self.count = np.bincount(ids, minlength=len(self.kinds))
+        self.start = np.cumsum(self.count) - self.count
+
+    def common(self, grams: np.ndarray) -> np.ndarray:
+        """Number of n-grams that each class of the block has in common with ``grams``."""
+        at = np.minimum(np.searchsorted(self.kinds, grams), len(self.kinds) - 1)
+        at = at[self.kinds[at] == grams]
+        count = self.count[at]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.arange(total) + np.repeat(self.start[at] - (ends - count), count)
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
+
+
+def linked_in(nodes: list[int], members: list[int], sets: list[np.ndarray], first: list[bool], same: bool,
+              similarity: float) -> list[tuple[int, int, int]]:
+    """(node, linked documents, smallest node reached) of the classes with a link between the two
+    blocks, of which ``first`` marks the one; ``same``: there is one block, compared with itself."""
+    left = [k for k, f in enumerate(first) if f]
+    right = left if same else [k for k, f in enumerate(first) if not f]
+    if not left or not right:
+        return []
+    block = Block([sets[k] for k in right])
+    right_at, weight = np.array(right), np.array(members, dtype=np.int64)
+    more = np.zeros(len(nodes), dtype=np.int64)
+    root = list(range(len(nodes)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in left:
+        common = block.common(sets[k])
+        near = right_at[common >= similarity * (len(sets[k]) + block.sizes - common) - 1e-9]
+        near = near[near > k] if same else near
+        if len(near):
+            more[k] += weight[near].sum()
+            more[near] += weight[k]
+            for j in near.tolist():
+                a, b = find(k), find(j)
+                if a != b:
+                    low, high = (a, b) if nodes[a] < nodes[b] else (b, a)
+                    root[high] = low
+    return [(nodes[k], int(more[k]), nodes[find(k)]) for k in np.flatnonzero(more).tolist()]
+
+
+def links(sets: DataFrame, clusters: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(node, more, root): per class and task the number of linked documents of other classes and
+    the smallest class reached by links."""
+    sized = clusters.join(classes.select("node", "members", "n"), "node")
+    blocks = sized.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        sets.join(sized.join(blocks, "label").withColumn("own", own), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                (F.col("own") <= F.col("other")).alias("first"), "node", "members", "grams")
+        .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    )
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                values.append(common / (len(both) - common))
-            jaccard = pa.array(values, pa.float64())
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), jaccard], ["a", "b", "jaccard"])
-            return out.filter(pa.array(np.array(values) >= similarity))
-        return work
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"),
-                       "a long, b long, jaccard double", make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def result() -> pa.RecordBatch:
+            nodes, members, grams, first = map(list, zip(*rows)) if rows else ([], [], [], [])
+            found = linked_in(nodes, members, grams, first, bool(now) and now[1] == now[2], similarity)
+            columns = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "more", "root"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j")))
+            rest = zip(*(batch.column(c).to_pylist() for c in ("node", "members", "first")))
+            for k, (key, (node, members, first)) in enumerate(zip(keys, rest)):
+                if key != now:
+                    yield result()
+                    now, rows = key, []
+                rows.append((node, members, batch.column("grams")[k].values.to_numpy().view(np.uint64), first))
+        yield result()
+
+    return dealt.mapInArrow(run, "node long, more long, root long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component, by the smallest
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each connected component of (a, b), by the smallest
     neighbouring label and by jumping to the label's own label, until nothing changes."""
     edges = stored(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+        pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(
         edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         .select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels")
@@ -194,20 +268,15 @@ class Join:
             self.signatures.where(F.col("node").isNotNull()).groupBy("node").agg(
                 F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"),
                 F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-        pairs = stored(candidates(self.classes, similarity), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.classes.select("rep", "node").join(ends, "node", "left_semi")
-        sets = stored(full_sets(docs, wanted, words), "sets")
-        self.links = stored(verified(pairs, sets, similarity), "links")
+        clusters = components(stored(ties(self.classes), "ties"))
+        wanted = self.classes.select("rep", "node").join(clusters, "node", "left_semi")
+        self.links = stored(links(full_sets(docs, wanted, words), clusters, self.classes, similarity), "links")
 
     def documents(self) -> DataFrame:
         """(doc_id, class_id, n_links, set_id): the smallest id of each document's group, how many
         other documents it is linked to, and the smallest id with the same set of n-grams."""
-        both = self.links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
-            self.links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        sizes = self.classes.select(F.col("node").alias("other"), F.col("members").alias("more"))
-        linked = both.join(sizes, "other").groupBy("node").agg(F.sum("more").alias("more"))
-        label = components(self.links)
+        linked = self.links.groupBy("node").agg(F.sum("more").alias("more"))
+        label = components(self.links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         named = self.classes.select("node", "rep", "members").join(linked, "node", "left").join(label, "node", "left")
         named = named.withColumn("label", F.coalesce("label", "node"))
         groups = named.groupBy("label").agg(F.min("rep").alias("class_id"))

@@ -56,6 +56,13 @@ def test_join_equals_all_pairs(spark):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == plain(rows)
 
 
+def test_blocks_of_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_GRAMS", 500)
+    rows = corpus()
+    out = nj.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == plain(rows)
+
+
 def test_one_document_of_each_group(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS)
