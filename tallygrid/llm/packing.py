@@ -17,7 +17,9 @@ each; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from tallygrid.llm.common import stored, texts, vocabulary
 ROOM = 2048
 END = 0
 #: Parts of texts one worker remembers in each of two generations, and their greatest length.
-PARTS, LONG_PART = 200_000, 48
+PARTS, LONG_PART = 300_000, 48
 _SHIFT = 44
 
 
@@ -39,74 +41,100 @@ class TokenBytes:
     """Ids of texts as little-endian 32-bit numbers.
 
     The pre-tokenizer begins a new word at every blank before a visible character, so parts
-    cut there are encoded on their own and remembered. A text with an added token is
-    encoded whole.
+    cut there are encoded on their own and remembered, and a run of letters is a word apart
+    from the mark behind it. New parts in Latin letters go to the rank file of the same
+    vocabulary, whose library is the faster one for single words; all others, and whole texts
+    that hold an added token, go to the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_rank = rank_encoding(ranks) if ranks else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def whole(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def part(self, part: str) -> bytes:
+        """Ids of a part with the blank before it."""
+        ids = self.known.get(part) or self.older.get(part)
+        if ids is None:
+            if part[-1] in _MARKS and part[:-1].isalpha():
+                ids = self.part(part[:-1]) + self.mark(part[-1])
+            elif self.by_rank is not None and max(part) < _BEYOND_LATIN:
+                ids = packed(self.by_rank.encode_ordinary(" " + part))
+            else:
+                ids = self.whole(" " + part)
+        if len(part) <= LONG_PART:
+            if len(self.known) >= PARTS:
+                self.older, self.known = self.known, {}
+            self.known[part] = ids
+        return ids
 
-    def batch(self, items: list[str]) -> Iterator[bytes]:
-        for text in items:
-            yield self.one(text)
+    @functools.cache
+    def mark(self, mark: str) -> bytes:
+        return self.whole(mark)
 
     def one(self, text: str) -> bytes:
         if any(a in text for a in self.added):
-            return self.whole([text])[0]
+            return self.whole(text)
         head, *rest = _PART.split(text)
-        known, older = self.known, self.older
+        known = self.known
         out = [known.get(part) for part in rest]
         if None in out:
-            fresh: dict[str, list[int]] = {}
-            for k, found in enumerate(out):
-                if found is None:
-                    if (found := older.get(rest[k])) is None:
-                        fresh.setdefault(rest[k], []).append(k)
-                    else:
-                        out[k] = known[rest[k]] = found
-            for (part, places), ids in zip(fresh.items(), self.whole([" " + p for p in fresh]) if fresh else ()):
-                for k in places:
-                    out[k] = ids
-                if len(part) <= LONG_PART:
-                    known[part] = ids
-            if len(known) >= PARTS:
-                self.older, self.known = known, {}
-        return (self.whole([head])[0] if head else b"") + b"".join(out)
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = self.part(rest[k])
+        return (self.whole(head) if head else b"") + b"".join(out)
 
 
 _PART = re.compile(r" (?=\S)")
+_MARKS = ".,;:!?"
+_BEYOND_LATIN = "\u0250"
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def rank_encoding(path: str):
+    """The encoding of a rank file, cut into words by the public pattern of its vocabulary."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.cache
-def token_bytes(path: str) -> TokenBytes:
-    return TokenBytes(path)
+def token_bytes(path: str, ranks: str | None) -> TokenBytes:
+    return TokenBytes(path, ranks)
 
 
-def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
+def pieces(docs: DataFrame, path: str, room: int = ROOM, ranks: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, shard, place): every document's pieces;
     ``place`` numbers the pieces of one length within a shard."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, place long"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = token_bytes(path)
-        end = np.array([END], dtype="<u4").tobytes()
+        model = token_bytes(path, ranks)
+        end = packed([END])
         seen = [0] * (room + 1)
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             places, owners = [], []
-            for k, ids in enumerate(model.batch(texts(batch))):
+            for k, ids in enumerate(map(model.one, texts(batch))):
                 ids += end
                 total = len(ids) // 4
                 start, piece = 0, 0
@@ -192,9 +220,12 @@ def best_fit(counts: dict[int, int], room: int = ROOM) -> np.ndarray:
     return np.array(runs, dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, path: str | None = None, room: int = ROOM) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    cut = stored(pieces(docs, path or vocabulary("byte_bpe_50k.json"), room), "pieces")
+def pack(docs: DataFrame, path: str | None = None, room: int = ROOM, ranks: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece. ``path`` is the
+    tokenizer's file and ``ranks`` optionally the rank file of the same vocabulary."""
+    if path is None:
+        path, ranks = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    cut = stored(pieces(docs, path, room, ranks), "pieces")
     per = cut.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -69,7 +69,7 @@ def op7(spark, sf):
 
 @query("op8_best_fit_packing")
 def op8(spark, sf):
-    return packing.pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf, "documents"))
 
 
 @query("op9_sentencepiece")
