@@ -104,8 +104,11 @@ def tail_sql(x: str) -> tuple[str, str]:
 
 
 def rank_test_sql(prefix: str, labels: str, want: str = "TRUE", pct: float = 0.1, lfc: float = 0.25,
-                  carry: bool = False) -> str:
-    """CTEs ending in ``de``: the dense definition of the rank-sum test with gates and corrections."""
+                  carry: bool = False, floor: int = 3, every: bool = False) -> str:
+    """CTEs ending in ``de``: the dense definition of the rank-sum test with gates and corrections.
+    ``every``: all measured genes take part, those without a value too."""
+    base = ("SELECT gene, COALESCE(ad, 0) AS ad, COALESCE(total, 0.0) AS total FROM genes LEFT JOIN gs USING (gene)"
+            if every else "SELECT * FROM gs")
     ln_tail, tail = tail_sql("abs(z)")
     keep = "TRUE" if carry else f"abs(lfc) >= {lfc}"
     return f"""{prefix},
@@ -114,14 +117,15 @@ nn AS (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM genes) AS m FROM lb),
 sz AS (SELECT grp, COUNT(*) AS n1 FROM lb GROUP BY 1),
 nz AS MATERIALIZED (SELECT gene, grp, value FROM expr JOIN lb USING (cell_id) WHERE value <> 0),
 pg AS (SELECT gene, grp, COUNT(*) AS d, SUM(exp(CAST(value AS DOUBLE)) - 1) AS s FROM nz GROUP BY 1, 2),
-g AS MATERIALIZED (SELECT gene, SUM(d) AS ad, SUM(s) AS total FROM pg GROUP BY 1),
+gs AS (SELECT gene, SUM(d) AS ad, SUM(s) AS total FROM pg GROUP BY 1),
+g AS MATERIALIZED ({base}),
 cand AS (
   SELECT g.gene, sz.grp, n1, n - n1 AS n2, COALESCE(d, 0) AS d, ad, n, m, COALESCE(s, 0.0) AS s, total
   FROM g CROSS JOIN sz CROSS JOIN nn LEFT JOIN pg ON pg.gene = g.gene AND pg.grp = sz.grp),
 gated AS (
   SELECT *, CAST(d AS DOUBLE) / n1 AS pct1, CAST(ad - d AS DOUBLE) / n2 AS pct2,
          log2(s / n1 + 1) - log2((total - s) / n2 + 1) AS lfc
-  FROM cand WHERE n1 >= 3 AND n2 >= 3 AND ({want})),
+  FROM cand WHERE n1 >= {floor} AND n2 >= {floor} AND ({want})),
 kept AS MATERIALIZED (SELECT *, abs(lfc) >= {lfc} AS tested FROM gated WHERE (pct1 >= {pct} OR pct2 >= {pct}) AND ({keep})),
 tg AS MATERIALIZED (
   SELECT gene, value, COUNT(*) AS c FROM nz WHERE gene IN (SELECT gene FROM kept WHERE tested) GROUP BY 1, 2),
@@ -133,8 +137,8 @@ rs AS (
   SELECT nz.gene, nz.grp, SUM(before + (c + 1) / 2 + CASE WHEN value > 0 THEN n - ad ELSE 0 END) AS r
   FROM nz JOIN tr USING (gene, value) JOIN g USING (gene) CROSS JOIN nn GROUP BY 1, 2),
 zz AS (
-  SELECT k.*, COALESCE(r, 0.0) + (n1 - d) * (neg + (1 + (n - ad)) / 2.0) AS r1,
-         t + CASE WHEN n - ad > 1 THEN CAST(n - ad AS DOUBLE) * (n - ad) * (n - ad) - (n - ad) ELSE 0 END AS ties
+  SELECT k.*, COALESCE(r, 0.0) + (n1 - d) * (COALESCE(neg, 0.0) + (1 + (n - ad)) / 2.0) AS r1,
+         COALESCE(t, 0.0) + CASE WHEN n - ad > 1 THEN CAST(n - ad AS DOUBLE) * (n - ad) * (n - ad) - (n - ad) ELSE 0 END AS ties
   FROM kept k LEFT JOIN rs ON rs.gene = k.gene AND rs.grp = k.grp LEFT JOIN gt ON gt.gene = k.gene),
 zv AS (
   SELECT *, CAST(n1 AS DOUBLE) * n2 / 12 * (n + 1 - ties / (CAST(n AS DOUBLE) * (n - 1))) AS var,

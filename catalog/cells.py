@@ -220,8 +220,8 @@ def _(spark, sf):
 @register("n_per_cond", f"""{RETAIL} SELECT level, COUNT(cell_id) AS cells FROM
   (SELECT r_name AS level FROM region UNION ALL SELECT 'ATLANTIS') LEFT JOIN lab ON cond = level GROUP BY 1""")
 def _(spark, sf):
-    names = [x["r_name"] for x in table(spark, sf, "region").select("r_name").limit(1000).collect()]
-    return aggregate.cells_per(retail(spark, sf).cells, "cond", [*names, "ATLANTIS"])
+    names = table(spark, sf, "region").select(F.col("r_name").alias("level")).union(spark.createDataFrame([("ATLANTIS",)], "level string"))
+    return aggregate.cells_per(retail(spark, sf).cells, "cond", names)
 
 
 @register("cells_per_type", f"{RETAIL} SELECT type AS level, COUNT(*) AS cells FROM lab GROUP BY 1")
@@ -249,7 +249,7 @@ def _(spark, sf):
 @register("min_replicates", f"""{RETAIL} SELECT MIN(n) AS min_replicates FROM
   (SELECT r_name, COUNT(DISTINCT sample) AS n FROM region LEFT JOIN lab ON cond = r_name GROUP BY 1)""")
 def _(spark, sf):
-    names = [x["r_name"] for x in table(spark, sf, "region").select("r_name").limit(1000).collect()]
+    names = table(spark, sf, "region").select(F.col("r_name").alias("cond"))
     return aggregate.min_replicates(retail(spark, sf).cells, names)
 
 

@@ -229,7 +229,7 @@ def _(spark, sf):
 
 # ---- over-representation ----
 
-TOP30 = "SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY nlp DESC, abs(lfc) DESC, gene) AS i FROM de) WHERE i <= 30"
+ASKED = "SELECT gene FROM de WHERE p < 0.2"
 CONTRAST_DE = rank_test_sql(
     RETAIL, "SELECT cell_id, CASE cond WHEN 'ASIA' THEN 'compare' ELSE 'control' END AS grp FROM lab WHERE cond IN ('ASIA', 'AFRICA')",
     "grp = 'compare'", 0.1, 0.0, carry=True)
@@ -240,16 +240,17 @@ def de(spark, sf):
 
 
 def strongest(spark, sf):
-    return de(spark, sf).orderBy(*ranktest.display_order()).limit(30).select("gene")
+    """Every gene of the contrast under the threshold, either direction."""
+    return de(spark, sf).where("p < 0.2")
 
 
 def _ora(name: str, query: str, sizes=(3, 500), sources: str = "TRUE"):
     return f"{ora_sql(CONTRAST_DE + SETS, query, sizes, sources)} SELECT {ORA_COLUMNS} FROM ora"
 
 
-@register("ora", _ora("ora", TOP30))
+@register("ora", _ora("ora", ASKED))
 def _(spark, sf):
-    return ora_rounded(ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500)))
+    return ora_rounded(ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500)))
 
 
 @register("ora_up", _ora("ora_up", "SELECT gene FROM de WHERE p < 0.2 AND lfc > 0"))
@@ -264,9 +265,9 @@ def _(spark, sf):
     return ora_rounded(ora.ora(down, library(spark, sf), retail(spark, sf).genes, (3, 500)))
 
 
-@register("ora_by_source", _ora("ora_by_source", TOP30, (10, 500), "source = 'type'"))
+@register("ora_by_source", _ora("ora_by_source", ASKED, (10, 500), "source = 'type'"))
 def _(spark, sf):
-    return ora_rounded(ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (10, 500), ["type"]))
+    return ora_rounded(ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (10, 500), ["type"]))
 
 
 @register("ora_every_group", f"""{ora_sql(rank_test_sql(RETAIL, BY_TYPE) + SETS, "SELECT grp, gene FROM de WHERE lfc > 0", (3, 500), by="grp")}
@@ -289,37 +290,33 @@ def _(spark, sf):
     return ora_rounded(ora.ora(up, lib, m.genes, (10, 500), by=["grp"]), "grp")
 
 
-@register("ora_overlap", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))},
-ov AS (SELECT set_id, list_sort(list(gene)) AS overlap FROM (SELECT DISTINCT set_id, gene FROM members WHERE gene IN ({TOP30})) GROUP BY 1)
+@register("ora_overlap", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))},
+ov AS (SELECT set_id, list_sort(list(gene)) AS overlap FROM (SELECT DISTINCT set_id, gene FROM members WHERE gene IN ({ASKED})) GROUP BY 1)
 SELECT set_id, overlap FROM ora JOIN ov USING (set_id)""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
     return terms_.select("set_id", "overlap")
 
 
-@register("ora_top", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT set_id, {r('padj')} AS padj, overlap_size FROM ora
+@register("ora_top", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))} SELECT set_id, {r('padj')} AS padj, overlap_size FROM ora
 ORDER BY overlap_size DESC, round(padj, 9), set_id LIMIT 15""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500)).withColumn("padj", F.round("padj", 9))
+    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500)).withColumn("padj", F.round("padj", 9))
     return rounded(ora.top_terms(terms_, 15, "overlap").select("set_id", "padj", "overlap_size"), "padj")
 
 
-@register("term_detail", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT set_id, de.gene, {r('lfc')} AS lfc, {r('de.nlp * lfc')} AS combined
-FROM ora JOIN members USING (set_id) JOIN de ON upper(de.gene) = upper(members.gene) WHERE de.gene IN ({TOP30})""")
+@register("term_detail", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))} SELECT set_id, de.gene, {r('lfc')} AS lfc, {r('de.nlp * lfc')} AS combined
+FROM ora JOIN members USING (set_id) JOIN de ON upper(de.gene) = upper(members.gene) WHERE de.gene IN ({ASKED})""")
 def _(spark, sf):
-    top = settled_top(spark, sf)
+    top = strongest(spark, sf)
     terms_ = ora.ora(top.select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500))
     return rounded(ora.term_detail(terms_, library(spark, sf), top).select("set_id", "gene", "lfc", "combined"), "lfc", "combined")
 
 
-def settled_top(spark, sf):
-    return de(spark, sf).orderBy(*ranktest.display_order()).limit(30)
-
-
-@register("ora_color_domain", f"""{ora_sql(CONTRAST_DE + SETS, TOP30, (3, 500))} SELECT {r('MIN(nlp_adj)')} AS lo,
+@register("ora_color_domain", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))} SELECT {r('MIN(nlp_adj)')} AS lo,
 {r('greatest(-log10(0.05) * 1.2, MAX(nlp_adj))')} AS hi FROM ora""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500))
+    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500))
     return rounded(ora.colour_domain(terms_), "lo", "hi")
 
 
@@ -348,9 +345,9 @@ _WEAKER = "OVER (PARTITION BY grp ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNB
 
 @register("bh", f"{_BH} SELECT o_orderkey, grp, {r(f'least(1.0, MIN(p * m / rank) {_WEAKER})')} AS padj FROM k")
 def _(spark, sf):
-    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"], small=True).select("o_orderkey", "grp", "padj"), "padj")
+    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"]).select("o_orderkey", "grp", "padj"), "padj")
 
 
 @register("bh_log", f"{_BH} SELECT o_orderkey, grp, {r(f'MAX(greatest(0.0, nlp - log10(CAST(m AS DOUBLE) / rank))) {_WEAKER}')} AS nlp_adj FROM k")
 def _(spark, sf):
-    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"], small=False).select("o_orderkey", "grp", "nlp_adj"), "nlp_adj")
+    return rounded(ora.bh_both(_bh_rows(spark, sf), ["grp"]).select("o_orderkey", "grp", "nlp_adj"), "nlp_adj")

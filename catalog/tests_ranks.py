@@ -57,6 +57,18 @@ def _(spark, sf):
     return de_rounded(ranktest.markers(retail(spark, sf), where="ASIA", want=["BUILDING"]))
 
 
+NARROW = "SELECT cell_id, sample || '/' || type || '/' || cast(floor(c_acctbal / 2000) AS INTEGER) AS grp FROM lab"
+
+
+@register("markers_one_small", f"{rank_test_sql(RETAIL, NARROW, floor=1)} SELECT {DE_COLUMNS} FROM de")
+def _(spark, sf):
+    """Groups of one or two cells, tested without the floor."""
+    m = retail(spark, sf)
+    balance = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell_id"), F.floor(F.col("c_acctbal") / 2000).cast("int").alias("step"))
+    cells = m.cells.join(balance, "cell_id").withColumn("narrow", F.concat_ws("/", "sample", "type", F.col("step").cast("string")))
+    return de_rounded(ranktest.markers(m.with_cells(cells), "narrow", min_cells=1))
+
+
 @register("markers_top", f"""{TEXT_MARKERS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY nlp DESC, abs(lfc) DESC, gene) AS rank
   FROM de WHERE {SIG} AND lfc > 0)
 SELECT grp, gene, rank, {r('lfc')} AS lfc, {r('nlp')} AS nlp FROM o WHERE rank <= 5""")
@@ -86,12 +98,12 @@ def _(spark, sf):
     return de_rounded(contrast(spark, sf, ranktest.MARKER_GATES))
 
 
-@register("de_all_genes", f"{rank_test_sql(RETAIL, CONTRAST, ONE, 0.0, 0.0, carry=True)} SELECT {DE_COLUMNS} FROM de")
+@register("de_all_genes", f"{rank_test_sql(RETAIL, CONTRAST, ONE, 0.0, 0.0, carry=True, every=True)} SELECT {DE_COLUMNS} FROM de")
 def _(spark, sf):
     return de_rounded(contrast(spark, sf, ranktest.NO_GATES))
 
 
-@register("de_all_words", f"{rank_test_sql(TEXT, TEXT_CONTRAST, ONE, 0.0, 0.0, carry=True)} SELECT {DE_COLUMNS} FROM de")
+@register("de_all_words", f"{rank_test_sql(TEXT, TEXT_CONTRAST, ONE, 0.0, 0.0, carry=True, every=True)} SELECT {DE_COLUMNS} FROM de")
 def _(spark, sf):
     return de_rounded(text_contrast(spark, sf, ranktest.NO_GATES))
 

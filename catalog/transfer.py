@@ -12,58 +12,78 @@ from catalog.scoring import SEED
 from catalog.sets import library, strongest
 from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
 from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
-from tallygrid.operators.matrix import Matrix
+from tallygrid.plans.ordering import numbered
 from tallygrid.plans.session import ensure_checkpoint_dir
 from tallygrid.sources import bundle, genesets, tables, views
 
-TAG = "tallygrid/bundle@1"
-
-
 def scratch(spark, name: str) -> str:
     """A fresh folder below the shared one."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-# ---- bundles ----
+# ---- parts ----
 
 
-def _bundles(spark, sf, chunk_genes: int):
-    """The retail object as bundle rows of at most 400 cells, kept as a table while it is read several times."""
-    m = retail(spark, sf)
-    path = scratch(spark, "bundles")
-    bundle.build(Matrix(m.expr, placed(spark, sf), m.genes), TAG, 400, chunk_genes).write.parquet(path)
-    return spark.read.parquet(path)
+def _blocks(spark, sf) -> bundle.Parts:
+    """The retail object in blocks of 400 customers."""
+    cells = numbered(placed(spark, sf), [], "cell_id", out="_at").withColumn("part", F.expr("_at div 400")).drop("_at")
+    return bundle.dealt(retail(spark, sf), cells)
+
 
+def _nations(spark, sf) -> bundle.Parts:
+    """The retail object with a part per nation, whose own gene list is what its customers bought."""
+    whole = bundle.dealt(retail(spark, sf), placed(spark, sf).withColumn("part", F.col("sample")))
+    bought = whole.expr.select("part", "gene").distinct()
+    return whole._replace(genes=whole.genes.join(bought, ["part", "gene"], "left_semi"))
 
-EXPR = f"{RETAIL} SELECT gene, l.i AS cell_id, {r('value')} AS value FROM expr JOIN (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS i FROM lab) l USING (cell_id)"
 
+def _expr_sql(order: str) -> str:
+    return (f"{RETAIL} SELECT gene, l.i AS cell_id, {r('value')} AS value FROM expr JOIN "
+            f"(SELECT cell_id, row_number() OVER (ORDER BY {order}) - 1 AS i FROM lab) l USING (cell_id)")
 
-@register("ingest_bundle", EXPR)
+
+@register("ingest_bundle", _expr_sql("cell_id"))
 def _(spark, sf):
-    return rounded(bundle.ingest(_bundles(spark, sf, 0)).expr, "value")
+    return rounded(bundle.ingest(_blocks(spark, sf)).expr, "value")
 
 
-@register("ingest_collection", EXPR)
+@register("ingest_collection", _expr_sql("sample, cell_id"))
 def _(spark, sf):
-    return rounded(bundle.ingest(_bundles(spark, sf, 64)).expr, "value")
+    """Written part by part, read back and joined."""
+    path = scratch(spark, "parts")
+    for name, frame in zip(bundle.Parts._fields, _nations(spark, sf)):
+        frame.write.parquet(f"{path}/{name}")
+    return rounded(bundle.ingest(bundle.read_parts(spark, path)).expr, "value")
 
 
 @register("ingest_cells", f"{RETAIL} SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_id, type, sample, cond FROM lab")
 def _(spark, sf):
-    return bundle.ingest(_bundles(spark, sf, 0)).cells.select("cell_id", "type", "sample", "cond")
+    return bundle.ingest(_blocks(spark, sf)).cells.select("cell_id", "type", "sample", "cond")
+
+
+LISTS = """, own AS (SELECT DISTINCT sample AS part, gene FROM expr JOIN lab USING (cell_id)),
+lists AS (SELECT part, list_sort(list(gene)) AS g FROM own GROUP BY 1),
+differ AS (SELECT part FROM lists WHERE g <> (SELECT g FROM lists ORDER BY part LIMIT 1))"""
 
 
-@register("check_same_genes", "SELECT CAST(COUNT(*) AS BIGINT) AS parts, 0 AS differing FROM (SELECT DISTINCT (row_number() OVER (ORDER BY c_custkey) - 1) // 400 FROM customer)")
+@register("check_same_genes", f"{RETAIL}{LISTS} SELECT (SELECT COUNT(*) FROM lists) AS parts, (SELECT COUNT(*) FROM differ) AS differing")
 def _(spark, sf):
-    meta = bundle.part_meta(_bundles(spark, sf, 0))
-    return meta.agg(F.count_distinct("part").alias("parts")).withColumn(
-        "differing", bundle.violations(meta).where("rule = 'gene list'").agg(F.count(F.lit(1)).alias("n")).scalar())
+    genes = _nations(spark, sf).genes
+    return bundle.gene_lists(genes).agg(F.count(F.lit(1)).alias("parts")).withColumn(
+        "differing", bundle.differing_lists(genes).agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-@register("validate_object", "SELECT 'none' AS part, 'none' AS rule FROM region WHERE FALSE")
+@register("validate_object", f"""{RETAIL}{LISTS}
+SELECT part, 'gene list' AS rule FROM differ
+UNION ALL SELECT DISTINCT sample, 'value outside the cells' FROM expr JOIN lab USING (cell_id) WHERE c_acctbal < 0
+UNION ALL SELECT DISTINCT sample, 'cell without a label' FROM lab WHERE c_acctbal > 9000""")
 def _(spark, sf):
-    return bundle.violations(bundle.part_meta(_bundles(spark, sf, 0)))
+    """Parts of the nations with faults: customers in debt are missing, rich ones have no condition."""
+    parts = _nations(spark, sf)
+    balance = F.col("x")
+    cells = parts.cells.where(balance >= 0).withColumn("cond", F.when(balance <= 9000, F.col("cond")))
+    return bundle.violations(parts._replace(cells=cells))
 
 
 @register("columns_in_every_part", """SELECT event_type AS "column", COUNT(DISTINCT user_id) AS parts FROM events GROUP BY 1
@@ -174,7 +194,7 @@ def _(spark, sf):
 
 @register("export_enrichment")
 def _(spark, sf):
-    terms = ora.ora(strongest(spark, sf), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    terms = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
     return _round_trip(spark, tables.enrichment_table(terms), "enrichment")
 
 

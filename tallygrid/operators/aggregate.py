@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
 from tallygrid.plans.ordering import index_quantiles, numbered
-from tallygrid.plans.sizing import MAX_LEVELS, level_counts, settle
 
 QUARTILES = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
 
@@ -15,25 +14,25 @@ QUARTILES = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
 # ---- cells ----
 
 
-def cells_per(cells: DataFrame, column: str, levels: list | None = None) -> DataFrame:
-    """Cells per level; levels named but empty stay with 0."""
+def cells_per(cells: DataFrame, column: str, levels: DataFrame | list | None = None) -> DataFrame:
+    """Cells per level; levels named, in a list or a frame with ``level``, but empty stay with 0."""
     counts = cells.groupBy(F.col(column).alias("level")).agg(F.count(F.lit(1)).alias("cells"))
     if levels is None:
         return counts
-    known = cells.sparkSession.createDataFrame([(v,) for v in levels], "level string")
+    known = levels if isinstance(levels, DataFrame) else cells.sparkSession.createDataFrame([(v,) for v in levels], "level string")
     return known.join(counts, "level", "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
 def grid_proportions(cells: DataFrame) -> DataFrame:
     """type, sample, cells, prop: each type's share of the sample, absent pairs included as zero."""
     pairs = cells.groupBy("type", "sample").agg(F.count(F.lit(1)).alias("cells"))
-    types = F.array(*[F.lit(t) for t in level_counts(cells, "type")])
-    # One entry per type, so a sample's list is bounded by the level dictionary.
+    types = pairs.agg(F.collect_set("type").alias("v")).scalar()
+    # A sample's list has one entry per type, as the grid of the result has.
     per = pairs.groupBy("sample").agg(
         F.sum("cells").alias("total"), F.collect_list(F.struct("type", "cells")).alias("seen"))
-    absent = F.transform(F.array_except(types, F.col("seen.type")),
+    absent = F.transform(F.array_except("types", F.col("seen.type")),
                          lambda t: F.struct(t.alias("type"), F.lit(0).cast("long").alias("cells")))
-    return per.select("sample", "total", F.explode(F.concat("seen", absent)).alias("e")).select(
+    return per.withColumn("types", types).select("sample", "total", F.explode(F.concat("seen", absent)).alias("e")).select(
         "e.type", "sample", "e.cells", (F.col("e.cells") / F.col("total")).alias("prop"))
 
 
@@ -42,18 +41,18 @@ def sample_conditions(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
 
 
-def min_replicates(cells: DataFrame, conds: list | None = None) -> DataFrame:
+def min_replicates(cells: DataFrame, conds: DataFrame | list | None = None) -> DataFrame:
     """One row: fewest samples in any condition, a condition without samples counting 0."""
     per = sample_conditions(cells).groupBy("cond").agg(F.count(F.lit(1)).alias("n"))
     if conds is not None:
-        known = cells.sparkSession.createDataFrame([(c,) for c in conds], "cond string")
+        known = conds if isinstance(conds, DataFrame) else cells.sparkSession.createDataFrame([(c,) for c in conds], "cond string")
         per = known.join(per, "cond", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return per.agg(F.min("n").alias("min_replicates"))
 
 
 def type_facets(cells: DataFrame) -> DataFrame:
     """Per type and condition: mean, least and greatest sample proportion."""
-    props = grid_proportions(cells).join(settle(sample_conditions(cells)).df, "sample")
+    props = grid_proportions(cells).join(sample_conditions(cells), "sample")
     return props.groupBy("type", "cond").agg(
         F.count(F.lit(1)).alias("samples"), F.avg("prop").alias("mean"),
         F.min("prop").alias("lo"), F.max("prop").alias("hi"))
@@ -61,7 +60,7 @@ def type_facets(cells: DataFrame) -> DataFrame:
 
 def design(cells: DataFrame, types: list, control: list, compare: list, min_cells: int = 10, min_samples: int = 4) -> DataFrame:
     """Samples of each side of a contrast over the chosen types, and whether a replicate-level test is sound."""
-    of = settle(sample_conditions(cells)).df.where(F.col("cond").isin([*control, *compare]))
+    of = sample_conditions(cells).where(F.col("cond").isin([*control, *compare]))
     n = cells.where(F.col("type").isin(types)).groupBy("sample").agg(F.count(F.lit(1)).alias("cells"))
     used = of.join(n, "sample", "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
     kept = F.col("cells") >= min_cells
@@ -131,7 +130,8 @@ def dot_grid(m: Matrix, genes: DataFrame | list | None = None, by: str = "type")
     One aggregate by (gene, level); the zero pairs come from the level dictionary.
     """
     expr = m.expr if genes is None else m.panel(genes)
-    sizes = level_counts(m.cells, by)
+    n = m.cells.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    levels = n.agg(F.collect_list("grp").alias("v")).scalar()
     values = expr.join(m.cells.select("cell_id", F.col(by).alias("grp")), "cell_id").where("grp IS NOT NULL")
     pairs = values.groupBy("gene", "grp").agg(
         F.sum(F.col("value").cast("double")).alias("s"), F.count_if(F.col("value") > 0).alias("d"))
@@ -143,11 +143,9 @@ def dot_grid(m: Matrix, genes: DataFrame | list | None = None, by: str = "type")
                  else m.genes.join(genes.select("gene").distinct(), "gene", "left_semi")).select("gene")
     have = F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType))
     absent = F.transform(
-        F.array_except(F.array(*[F.lit(g) for g in sizes]), F.col("have.grp")),
+        F.array_except("levels", F.col("have.grp")),
         lambda g: F.struct(g.alias("grp"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("d")))
-    n = F.broadcast(m.expr.sparkSession.createDataFrame(
-        list(sizes.items()), f"grp {m.cells.schema[by].dataType.simpleString()}, n bigint"))
-    full = asked.join(seen, "gene", "left").withColumn("have", have)
+    full = asked.join(seen, "gene", "left").withColumns({"have": have, "levels": levels})
     return (
         full.select("gene", F.explode(F.concat("have", absent)).alias("e")).select("gene", "e.*").join(n, "grp")
         .select("gene", "grp", "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("d") / F.col("n")).alias("pct"))
@@ -159,7 +157,7 @@ def gene_in_group(m: Matrix, by: list[str]) -> DataFrame:
     n = m.cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     sums = m.expr.join(m.cells.select("cell_id", *by), "cell_id").groupBy("gene", *by).agg(
         F.sum(F.col("value").cast("double")).alias("s"), F.count_if(F.col("value") > 0).alias("d"))
-    return sums.join(settle(n).df, by).select(
+    return sums.join(n, by).select(
         "gene", *by, "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("d") / F.col("n")).alias("pct"))
 
 
@@ -181,12 +179,10 @@ def nonzero_percentile(m: Matrix, q: float = 0.99) -> DataFrame:
 
 def stride_sample(cells: DataFrame, by: str, most: int) -> DataFrame:
     """Every ``max(1, floor(n / most))``-th cell of each group, in cell order: cell_id, grp, k."""
-    sizes = level_counts(cells, by)
     placed = numbered(cells.where(F.col(by).isNotNull()).select("cell_id", F.col(by).alias("grp")),
                       ["grp"], "cell_id", out="pos")
-    steps = F.broadcast(cells.sparkSession.createDataFrame(
-        [(g, max(1, n // most)) for g, n in sizes.items()],
-        f"grp {cells.schema[by].dataType.simpleString()}, step bigint"))
+    steps = cells.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("grp")).agg(
+        F.greatest(F.lit(1), F.expr(f"count(1) div {int(most)}")).alias("step"))
     return placed.join(steps, "grp").where("pos % step = 0").select(
         "cell_id", "grp", F.expr("pos div step").alias("k"))
 
@@ -196,7 +192,7 @@ def violin_values(m: Matrix, genes: DataFrame | list | None = None, by: str = "t
 
     Each group keeps fewer than 2*most cells, so the zero-filled result is genes x that.
     """
-    picked = settle(stride_sample(m.cells, by, most)).df
+    picked = stride_sample(m.cells, by, most)
     expr = m.expr if genes is None else m.panel(genes)
     asked = m.genes.select("gene") if genes is None else (
         m.genes.where(F.col("gene").isin(genes)).select("gene") if isinstance(genes, list)
@@ -289,15 +285,19 @@ def fine_partition(m: Matrix) -> DataFrame:
 
 
 def aggregate_columns(parts: DataFrame, cells: DataFrame, by: list[str],
-                      keep_types: list | None = None, keep_conds: list | None = None) -> DataFrame:
-    """Column means from fine parts: hidden types and conditions drop out before sums and sizes add up."""
+                      keep_types: list | DataFrame | None = None, keep_conds: list | DataFrame | None = None) -> DataFrame:
+    """Column means from fine parts: hidden types and conditions drop out before sums and sizes add up.
+    The levels kept are a list or a frame with that column."""
     def shown(df: DataFrame) -> DataFrame:
-        if keep_types is not None:
-            df = df.where(F.col("type").isin(keep_types))
-        return df if keep_conds is None else df.where(F.col("cond").isin(keep_conds))
+        for column, keep in (("type", keep_types), ("cond", keep_conds)):
+            if isinstance(keep, DataFrame):
+                df = df.join(keep.select(column).distinct(), column, "left_semi")
+            elif keep is not None:
+                df = df.where(F.col(column).isin(keep))
+        return df
 
     size = shown(cells).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return shown(parts).groupBy("gene", *by).agg(F.sum("s").alias("s")).join(settle(size, MAX_LEVELS).df, by).select(
+    return shown(parts).groupBy("gene", *by).agg(F.sum("s").alias("s")).join(size, by).select(
         "gene", *by, "n", (F.col("s") / F.col("n")).alias("mean"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallygrid.plans.ordering import value_bucket
 from tallygrid.plans.session import cut_lineage
-from tallygrid.plans.sizing import SETTLE_ROWS, settle
 
 MIN_CELLS_PER_POOL = 10
 WANTED_POOLS = 256
@@ -30,8 +29,7 @@ def group_axis(cells: DataFrame, by: str = "cond", min_cells: int = MIN_CELLS_PE
     """One bucket per type x level that holds enough cells."""
     sizes = cells.groupBy("type", F.col(by).alias("level")).agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= min_cells)
-    sizes = settle(sizes).df.withColumn("bucket", F.row_number().over(Window.orderBy("type", "level")) - 1)
-    sizes = settle(sizes).df
+    sizes = sizes.withColumn("bucket", F.row_number().over(Window.orderBy("type", "level")) - 1)
     assign = cells.select("cell_id", "type", F.col(by).alias("level")).join(sizes, ["type", "level"])
     return Axis(assign.select("cell_id", "bucket"), sizes.select("bucket", "n"), True)
 
@@ -48,22 +46,22 @@ def pool_axis(cells: DataFrame, want: int = WANTED_POOLS, within: list[str] | No
     group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     points = cells.select(
         "cell_id", group.alias("grp"), F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"))
-    sizes = settle(points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))).df
+    sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     room = F.floor(F.col("n") / MIN_CELLS_PER_POOL)
     share = F.greatest(F.lit(1).cast("long"), F.least(room, F.floor(F.lit(want) * F.col("n") / F.col("total") + 0.5)))
     nodes = sizes.withColumn("total", total).where(room >= 1).select(
         "grp", F.lit("").alias("path"), F.col("n"), share.alias("k"),
         F.lit(False).alias("by_x"), F.lit(False).alias("by_y"))
-    nodes = settle(nodes).df
+    nodes = cut_lineage(nodes)
     points = points.join(nodes.select("grp", "path"), "grp")
     done: list[DataFrame] = []
     while True:
-        splitting = settle(nodes.where("k > 1 AND n >= 2"), SETTLE_ROWS)
+        splitting = nodes.where("k > 1 AND n >= 2")
         done.append(nodes.where("NOT (k > 1 AND n >= 2)"))
-        if splitting.rows == 0:
+        if splitting.isEmpty():
             break
-        cuts = _cuts(points, splitting.df)
+        cuts = cut_lineage(_cuts(points, splitting))
         here = points.join(cuts.select("grp", "path", "axis", "tie", "a", "b", "id"), ["grp", "path"], "left")
         main = F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y"))
         other = F.when(F.col("tie"), F.when(F.col("axis") == "x", F.col("y")).otherwise(F.col("x"))).otherwise(
@@ -76,17 +74,17 @@ def pool_axis(cells: DataFrame, want: int = WANTED_POOLS, within: list[str] | No
         halves = F.explode(F.array(
             F.struct(F.lit("0").alias("side"), F.col("cut").alias("n"), first.alias("k")),
             F.struct(F.lit("1").alias("side"), (F.col("n") - F.col("cut")).alias("n"), (F.col("k") - first).alias("k"))))
-        nodes = settle(cuts.select(
+        nodes = cuts.select(
             "grp", "path", halves.alias("h"),
             (F.col("by_x") | (F.col("axis") == "x")).alias("by_x"),
             (F.col("by_y") | (F.col("axis") == "y")).alias("by_y"),
-        ).select("grp", F.concat("path", "h.side").alias("path"), "h.n", "h.k", "by_x", "by_y")).df
+        ).select("grp", F.concat("path", "h.side").alias("path"), "h.n", "h.k", "by_x", "by_y")
     leaves = done[0]
     for more in done[1:]:
         leaves = leaves.unionByName(more)
-    leaves = settle(leaves.select("grp", "path", "n")).df
-    leaves = settle(leaves.withColumn(
-        "bucket", F.row_number().over(Window.orderBy("grp", "path")) - 1)).df
+    leaves = leaves.select("grp", "path", "n")
+    leaves = leaves.withColumn(
+        "bucket", F.row_number().over(Window.orderBy("grp", "path")) - 1)
     assign = points.join(leaves, ["grp", "path"]).select("cell_id", "bucket")
     return Axis(assign, leaves.select("bucket", "n"), True)
 
@@ -106,7 +104,7 @@ def _cuts(points: DataFrame, nodes: DataFrame) -> DataFrame:
     axis = F.when(F.col("wx") >= F.col("wy"), "x").otherwise("y")
     nodes = nodes.join(span, key).withColumn("axis", axis).withColumn("cut", cut).withColumn(
         "tie", F.when(F.col("axis") == "x", F.col("by_y")).otherwise(F.col("by_x"))).drop("wx", "wy")
-    nodes = settle(nodes).df
+    nodes = cut_lineage(nodes)
     along = F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y"))
     across = F.when(F.col("tie"), F.when(F.col("axis") == "x", F.col("y")).otherwise(F.col("x"))).otherwise(
         F.lit(0.0).cast("float"))
@@ -123,13 +121,13 @@ def _cuts(points: DataFrame, nodes: DataFrame) -> DataFrame:
         upto = Window.partitionBy(*key).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         picked = counts.withColumn("_cum", F.sum("_c").over(upto)).where(
             (F.col("pos") > F.col("_cum") - F.col("_c")) & (F.col("pos") <= F.col("_cum")))
-        found = settle(picked.select(*key, *known, column, (F.col("pos") - F.col("_cum") + F.col("_c")).alias("pos"),
-                                     F.col("_c").alias("_left"))).df
+        found = cut_lineage(picked.select(*key, *known, column, (F.col("pos") - F.col("_cum") + F.col("_c")).alias("pos"),
+                                          F.col("_c").alias("_left")))
         alone = found.agg(F.max("_left")).first()[0] == 1
         found = found.drop("_left")
         if alone:
             # One cell left per node: its remaining columns need no further counting.
             known = [c for c in found.columns if c not in (*key, "pos")]
-            found = settle(rows.join(found.drop("pos"), [*key, *known]).select(*key, "a", "b", "id")).df
+            found = rows.join(found.drop("pos"), [*key, *known]).select(*key, "a", "b", "id")
             break
-    return settle(nodes.join(found.select(*key, "a", "b", "id"), key)).df
+    return nodes.join(found.select(*key, "a", "b", "id"), key)

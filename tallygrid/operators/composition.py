@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.ranktest import MIN_CELLS_PER_SIDE
 from tallygrid.operators.sets import safe_name
-from tallygrid.plans.sizing import MAX_LEVELS, settle
 
 ROLES = ("type", "cond", "sample")
 
@@ -41,7 +40,7 @@ def composition(cells: DataFrame, part: str, rows: list[str]) -> DataFrame:
     totals = fine.groupBy(*names).agg(
         F.sum("n").alias("row_total"), F.count_distinct("_sample").alias("samples"),
         F.min("_sample").alias("_one"))
-    return parts.join(settle(totals, MAX_LEVELS).df, names).select(
+    return parts.join(totals, names).select(
         *names, "part", "cells", "row_total", "samples",
         F.when(F.col("samples") == 1, F.col("_one")).alias("only_sample"),
         (F.col("cells") / F.col("row_total")).alias("fraction"))

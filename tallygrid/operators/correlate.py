@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.axes import Axis
 from tallygrid.operators.matrix import Matrix
-from tallygrid.plans.sizing import settle
 
 FLAT = 1e-12
 DETECTION_FLOOR = 0.1
@@ -70,14 +69,12 @@ def correlate(m: Matrix, axis: Axis, seed: DataFrame, method: str = "pearson",
     """
     if method == "spearman" and not axis.pooled:
         raise ValueError("ranks are taken over pooled axes")
-    seed = settle(seed).df
     # Cells that landed in a bucket, as one number.
     cells = (axis.sizes.agg(F.sum("n").alias("v")) if axis.pooled
              else axis.assign.agg(F.count(F.lit(1)).alias("v"))).first()["v"] or 0
     prof = profiles(m, axis)
     if method == "spearman":
         seed = _ranked(seed, [], "s").select("bucket", F.col("rank").alias("s"))
-        seed = settle(seed).df
     tot = seed.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     n, s_sum, s_sq = tot["n"], tot["s"] or 0.0, tot["q"] or 0.0
     joined = prof.join(seed, "bucket")
@@ -131,14 +128,13 @@ def pseudobulk_values(pb: DataFrame, cells: DataFrame, clusters: list | None = N
     if conds is not None:
         of = cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
         columns = columns.join(of.where(F.col("cond").isin(conds)), "sample", "left_semi")
-    columns = settle(columns)
-    kept = settle(columns.df.withColumn("bucket", F.row_number().over(Window.orderBy("sample", "type")) - 1))
-    inside = pb.join(kept.df, ["sample", "type"])
-    total = settle(inside.groupBy("bucket").agg(F.sum("count").alias("total"))).df
+    n = columns.count()
+    kept = columns.withColumn("bucket", F.row_number().over(Window.orderBy("sample", "type")) - 1)
+    inside = pb.join(kept, ["sample", "type"])
+    total = inside.groupBy("bucket").agg(F.sum("count").alias("total"))
     norm = F.log1p(F.col("count") / F.when(F.col("total") == 0, 1).otherwise(F.col("total")) * 1e4)
     values = inside.join(total, "bucket").select(
         "gene", "bucket", norm.alias("mean"), (F.col("count") > 0).cast("long").alias("hit"))
-    n = kept.rows if kept.small else columns.df.count()
     return values, n
 
 
@@ -146,7 +142,6 @@ def correlate_dense(values: DataFrame, n_columns: int, seed: DataFrame, min_pct:
     """Pearson over pseudobulk columns; fewer than three columns give no result."""
     if n_columns < 3:
         return values.select("gene", F.lit(None).cast("double").alias("r"), F.lit(0.0).alias("pct")).limit(0)
-    seed = settle(seed).df
     tot = seed.agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     x = F.col("mean")
     sums = values.join(seed, "bucket", "left").groupBy("gene").agg(
@@ -236,14 +231,13 @@ def composite(m: Matrix, axis: Axis, shape: DataFrame) -> DataFrame:
     baseline, so only non-zeros are summed.
     """
     weights = shape.select("gene", (F.col("sign") * F.col("weight")).alias("w"))
-    weights = settle(weights).df
     n = buckets_of(axis).count()
     prof = profiles(m, axis, weights)
     stat = prof.groupBy("gene").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
     mean = F.col("s") / n
     var = F.col("q") / n - mean * mean
-    scaled = settle(stat.join(weights, "gene").withColumn("var", var).where(F.col("var") > FLAT * FLAT).select(
-        "gene", mean.alias("mu"), (F.col("w") / F.sqrt(F.col("var") * n)).alias("scale"))).df
+    scaled = stat.join(weights, "gene").withColumn("var", var).where(F.col("var") > FLAT * FLAT).select(
+        "gene", mean.alias("mu"), (F.col("w") / F.sqrt(F.col("var") * n)).alias("scale"))
     base = scaled.agg(F.sum(-F.col("mu") * F.col("scale"))).first()[0] or 0.0
     sums = prof.join(scaled.select("gene", "scale"), "gene").groupBy("bucket").agg(
         F.sum(F.col("mean") * F.col("scale")).alias("s"))

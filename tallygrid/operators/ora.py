@@ -11,7 +11,7 @@ from tallygrid.functions.special import ln_hypergeom_tail
 from tallygrid.operators.ranktest import combined_score
 from tallygrid.operators.sets import SIZE_MAX, SIZE_MIN, annotated_background, folded_members
 from tallygrid.plans.ordering import step_up
-from tallygrid.plans.sizing import evaluate_once, settle
+from tallygrid.plans.session import cut_lineage
 
 CUT = -math.log10(0.05)
 
@@ -38,13 +38,13 @@ def ora(
     spelled = query.select(
         *by, F.upper("gene").alias("u"), "gene", (F.col("pos") if "pos" in query.columns else F.lit(0)).alias("pos"))
     asked = spelled.groupBy(*by, "u").agg(F.min_by("gene", "pos").alias("gene")).join(universe, "u", "left_semi")
-    asked = evaluate_once(asked).df
+    asked = cut_lineage(asked)
     drawn = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn"))
-    size = settle(size.where(F.col("set_size").between(*sizes))).df
+    size = size.where(F.col("set_size").between(*sizes))
     hits = inside.join(asked, "u").groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("overlap_size"))
     rows = hits.join(size, "set_id")
     if by:
-        rows = rows.join(settle(drawn).df, by)
+        rows = rows.join(drawn, by)
     else:
         rows = rows.withColumn("drawn", drawn.select("drawn").scalar())
     if sources is not None:
@@ -58,8 +58,7 @@ def ora(
         .withColumn("nlp", F.greatest(F.lit(0.0), -F.col("ln_p") / math.log(10)))
         .drop("ln_p")
     )
-    settled = evaluate_once(rows)
-    out = bh_both(settled.df, by, settled.small)
+    out = bh_both(cut_lineage(rows), by)
     if overlap:
         # At most sizes[1] names per set, so each list is bounded by the size window.
         names = (
@@ -69,11 +68,11 @@ def ora(
     return out
 
 
-def bh_both(rows: DataFrame, by: list[str], small: bool) -> DataFrame:
+def bh_both(rows: DataFrame, by: list[str]) -> DataFrame:
     """``padj`` from p and ``nlp_adj`` from nlp; m is the number of rows of each query."""
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
     if by:
-        rows = rows.join(settle(counts).df, by)
+        rows = rows.join(counts, by)
     else:
         rows = rows.withColumn("m", counts.select("m").scalar())
 
@@ -84,8 +83,8 @@ def bh_both(rows: DataFrame, by: list[str], small: bool) -> DataFrame:
         return F.greatest(F.lit(0.0), F.col("nlp") - F.log10(F.col("m") / rank))
 
     in_p.columns, in_log.columns = ("p", "m"), ("m",)
-    rows = step_up(rows, by, "nlp", in_p, "padj", small)
-    rows = step_up(rows, by, "nlp", in_log, "nlp_adj", small, combine="max")
+    rows = step_up(rows, by, "nlp", in_p, "padj")
+    rows = step_up(rows, by, "nlp", in_log, "nlp_adj", combine="max")
     return rows.withColumn("padj", F.least(F.lit(1.0), "padj")).drop("m")
 
 

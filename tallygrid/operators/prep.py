@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.plans.sizing import settle
 
 
 def lognormalize(counts: DataFrame) -> DataFrame:
@@ -94,7 +93,7 @@ def mito_percent(cells: DataFrame, column: str = "pct_mito") -> DataFrame:
 def split_spanning(cells: DataFrame) -> DataFrame:
     """Give a sample that spans conditions one id per condition; other samples keep theirs."""
     spread = cells.groupBy("sample").agg(F.count_distinct("cond").alias("_n"))
-    spanning = settle(spread.where("_n > 1").select("sample", F.lit(True).alias("_spans"))).df
+    spanning = spread.where("_n > 1").select("sample", F.lit(True).alias("_spans"))
     renamed = F.when(F.col("_spans"), F.concat_ws("|", "sample", "cond")).otherwise(F.col("sample"))
     return cells.join(spanning, "sample", "left").withColumn("sample", renamed).drop("_spans")
 
@@ -118,7 +117,7 @@ def groupings(cells: DataFrame, columns: list[str]) -> DataFrame:
 
 def level_order(cells: DataFrame, column: str) -> DataFrame:
     """Levels in first-appearance order: level, ord."""
-    first = settle(cells.groupBy(F.col(column).alias("level")).agg(F.min("cell_id").alias("_at"))).df
+    first = cells.groupBy(F.col(column).alias("level")).agg(F.min("cell_id").alias("_at"))
     return first.select("level", (F.row_number().over(Window.orderBy("_at")) - 1).alias("ord"))
 
 
@@ -132,7 +131,7 @@ def pseudobulk(counts: DataFrame, cells: DataFrame) -> DataFrame:
     labels = cells.select("cell_id", "sample", "type")
     sizes = pseudobulk_sizes(cells)
     sums = counts.join(labels, "cell_id").groupBy("gene", "sample", "type").agg(F.sum("count").alias("count"))
-    return sums.join(settle(sizes).df, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
+    return sums.join(sizes, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
 
 
 def pseudobulk_sizes(cells: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def merge_pseudobulk(parts: DataFrame, columns: DataFrame | None = None) -> Data
         columns = parts.groupBy("part", "sample", "type").agg(F.max("n_cells").alias("n_cells"))
     sizes = columns.groupBy("sample", "type").agg(F.sum("n_cells").alias("n_cells"))
     sums = parts.groupBy("gene", "sample", "type").agg(F.sum("count").alias("count"))
-    return sums.join(settle(sizes).df, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
+    return sums.join(sizes, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
 
 
 def repoint(cells: DataFrame, type_col: str | None = None, cond_col: str | None = None) -> DataFrame:

@@ -16,7 +16,6 @@ from tallygrid.functions.special import two_sided
 from tallygrid.operators.matrix import Matrix, scope, sides_overlap
 from tallygrid.plans.ordering import descending_rank, step_up, value_bucket
 from tallygrid.plans.session import cut_lineage
-from tallygrid.plans.sizing import SETTLE_ROWS, Settled, evaluate_once, level_counts, settle
 
 # Fixed value: fewer cells than this on a side and nothing is tested.
 MIN_CELLS_PER_SIDE = 3
@@ -48,16 +47,16 @@ def markers(
     where: list[str] | str | None = None,
     want: list | None = None,
     gates: Gates = MARKER_GATES,
+    min_cells: int = MIN_CELLS_PER_SIDE,
 ) -> DataFrame:
     """Every level of ``group`` against all other cells, in one pass.
 
     ``where`` limits the cells to some conditions. ``want`` limits which levels are
-    reported, never what they are compared with.
+    reported, never what they are compared with. A level with fewer than ``min_cells``
+    cells on either side is not tested. Genes without any value are not reported.
     """
     labels = scope(m.cells, conds=where).select("cell_id", F.col(group).alias("grp")).where("grp IS NOT NULL")
-    sizes = level_counts(labels, "grp")
-    wanted = [g for g in sizes if want is None or g in want]
-    return _test(m, labels, sizes, wanted, gates)
+    return _test(m, labels, want, gates, min_cells, every_gene=False)
 
 
 def wilcoxon(
@@ -67,7 +66,11 @@ def wilcoxon(
     compare: list[str] | str,
     gates: Gates = CONTRAST_GATES,
 ) -> DataFrame:
-    """One side's conditions against another's within some types; ``grp`` is 'compare'."""
+    """One side's conditions against another's within some types; ``grp`` is 'compare'.
+
+    Without a detection gate every measured gene has a row; one without a value on
+    either side has p = 1.
+    """
     if sides_overlap(control, compare):
         raise ValueError("the two sides share a condition")
     other = F.when(F.col("cond").isin([control] if isinstance(control, str) else list(control)), "control")
@@ -76,60 +79,55 @@ def wilcoxon(
         F.when(F.col("cond").isin([compare] if isinstance(compare, str) else list(compare)), "compare")
         .otherwise(other).alias("grp"),
     ).where("grp IS NOT NULL")
-    sizes = level_counts(both, "grp")
     gates = Gates(gates.pct, gates.lfc, carry=True)
-    return _test(m, both, sizes, ["compare"] if "compare" in sizes else [], gates)
-
-
-def _test(m: Matrix, labels: DataFrame, sizes: dict, wanted: list, gates: Gates) -> DataFrame:
-    total = sum(sizes.values())
-    report = [g for g in wanted if min(sizes[g], total - sizes[g]) >= MIN_CELLS_PER_SIDE]
-    features = m.genes.count()
-    values = m.nonzero().join(labels, "cell_id").select("gene", "grp", "value")
-    grp_type = labels.schema["grp"].dataType
-    spark = m.expr.sparkSession
-    size_table = spark.createDataFrame(
-        [(g, sizes[g], total - sizes[g]) for g in report],
-        f"grp {grp_type.simpleString()}, n1 bigint, n2 bigint",
-    )
-    kept = _gated(values, sizes, F.broadcast(size_table), total, gates)
-    if gates.pct == 0 and gates.lfc == 0 and features * len(report) > SETTLE_ROWS:
-        # Nothing will be gated out, so the size is known without looking.
-        kept = Settled(cut_lineage(kept), None)
-    else:
-        kept = evaluate_once(kept)
-    tested = kept.df.where("tested").select("gene").distinct()
+    return _test(m, both, ["compare"], gates, MIN_CELLS_PER_SIDE, every_gene=gates.pct <= 0)
+
+
+def _test(m: Matrix, labels: DataFrame, want: list | None, gates: Gates, min_cells: int, every_gene: bool) -> DataFrame:
+    """The matrix is labelled and reduced to (gene, value, group) counts once; gates and ranks
+    both start from that. What several steps read is written once, at every size."""
+    total = labels.agg(F.count(F.lit(1)).alias("v")).scalar()
+    sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("n1")).withColumn("n2", total - F.col("n1"))
+    report = sizes.where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
+    if want is not None:
+        report = report.where(F.col("grp").isin(list(want)) if want else F.lit(False))
+    reduced = cut_lineage(
+        m.nonzero().join(labels, "cell_id").groupBy("gene", "value", "grp").agg(F.count(F.lit(1)).alias("k")))
+    kept = cut_lineage(_gated(reduced, sizes, report, total, gates, m.genes if every_gene else None))
     if gates.pct > 0 or gates.lfc > 0:
-        # The gates keep few genes; only their values reach the value-level shuffle.
-        tested = settle(tested).df
-        values = values.join(tested, "gene", "left_semi")
-    ranked = _rank_sums(values, kept.df, total)
-    if not kept.small:
-        # The corrections read the rows twice; the ranks behind them are not computed again.
-        ranked = cut_lineage(ranked)
-    return adjust(ranked, ["grp"], features, small=kept.small)
-
-
-def _gated(values: DataFrame, sizes: dict, size_table: DataFrame, total: int, gates: Gates) -> DataFrame:
-    """(gene, grp) pairs that pass, absent pairs of common genes included."""
-    pairs = values.groupBy("gene", "grp").agg(
-        F.count(F.lit(1)).alias("d"), F.sum(F.expm1(F.col("value").cast("double"))).alias("s"))
-    # At most one entry per level, so the list is bounded by the level dictionary.
+        # The gates keep few genes; only their values reach the shuffles of the ranks.
+        reduced = reduced.join(kept.where("tested").select("gene").distinct(), "gene")
+    ranked = cut_lineage(_rank_sums(reduced, kept, total))
+    return adjust(ranked, ["grp"], m.genes.agg(F.count(F.lit(1)).alias("v")).scalar())
+
+
+def _gated(reduced: DataFrame, sizes: DataFrame, report: DataFrame, total: Column, gates: Gates,
+           every: DataFrame | None) -> DataFrame:
+    """(gene, grp) pairs that pass, absent pairs of common genes included; of all genes of ``every``, if given."""
+    k = F.col("k")
+    pairs = reduced.groupBy("gene", "grp").agg(
+        F.sum("k").alias("d"), F.sum(k * F.expm1(F.col("value").cast("double"))).alias("s"))
+    # A gene's list has one entry per group, as the full grid of the result may have.
     genes = pairs.groupBy("gene").agg(
         F.sum("d").alias("all_d"), F.sum("s").alias("all_s"),
         F.collect_list(F.struct("grp", "d", "s")).alias("seen"))
+    if every is not None:
+        none = F.array().cast(genes.schema["seen"].dataType)
+        genes = every.select("gene").join(genes, "gene", "left").select(
+            "gene", F.coalesce("all_d", F.lit(0)).alias("all_d"), F.coalesce("all_s", F.lit(0.0)).alias("all_s"),
+            F.coalesce("seen", none).alias("seen"))
     # A group without the gene can pass only if the other side is detected often enough.
-    need = gates.pct * (total - max(sizes.values(), default=0))
-    levels = F.array(*[F.lit(g) for g in sizes])
+    need = gates.pct * (total - sizes.agg(F.max("n1").alias("v")).scalar())
+    levels = report.agg(F.collect_list("grp").alias("v")).scalar()
     absent = F.transform(
-        F.array_except(levels, F.col("seen.grp")),
+        F.array_except("levels", F.col("seen.grp")),
         lambda g: F.struct(g.alias("grp"), F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("s")))
-    every = F.when(F.col("all_d") >= need, F.concat("seen", absent)).otherwise(F.col("seen"))
+    full = F.when(F.col("all_d") >= need, F.concat("seen", absent)).otherwise(F.col("seen"))
     d, s = F.col("d"), F.col("s")
     return (
-        genes.select("gene", "all_d", "all_s", F.explode(every).alias("e"))
+        genes.withColumn("levels", levels).select("gene", "all_d", "all_s", F.explode(full).alias("e"))
         .select("gene", "all_d", "all_s", "e.*")
-        .join(size_table, "grp")
+        .join(report, "grp")
         .withColumn("pct1", d / F.col("n1"))
         .withColumn("pct2", (F.col("all_d") - d) / F.col("n2"))
         .where((F.col("pct1") >= gates.pct) | (F.col("pct2") >= gates.pct))
@@ -141,14 +139,11 @@ def _gated(values: DataFrame, sizes: dict, size_table: DataFrame, total: int, ga
     )
 
 
-def _rank_sums(values: DataFrame, kept: DataFrame, total: int) -> DataFrame:
+def _rank_sums(reduced: DataFrame, kept: DataFrame, total: Column) -> DataFrame:
     """z, p and nlp for each kept pair that is to be tested."""
-    # 1. tie groups: equal values collapse before anything is ordered
+    # 1. tie groups: equal values have collapsed before anything is ordered
     k = F.col("k")
-    ties = (
-        values.groupBy("gene", value_bucket(F.col("value")).alias("b"), "value", "grp")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
+    ties = reduced.select("gene", value_bucket(F.col("value")).alias("b"), "value", "grp", "k")
     inside = Window.partitionBy("gene", "b")
     upto = inside.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     c = F.col("c").cast("double")
@@ -166,7 +161,7 @@ def _rank_sums(values: DataFrame, kept: DataFrame, total: int) -> DataFrame:
     spans = spans.unionByName(empty, allowMissingColumns=True)
     gene = Window.partitionBy("gene")
     upto = gene.orderBy("b").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    zeros = F.lit(total) - F.col("all_d")
+    zeros = total - F.col("all_d")
     block = F.sum("k").over(Window.partitionBy("gene", "b"))
     spans = (
         spans.withColumn("all_d", F.sum("k").over(gene))
@@ -196,23 +191,24 @@ def _rank_sums(values: DataFrame, kept: DataFrame, total: int) -> DataFrame:
         F.when(F.col("tested"), F.coalesce("nlp", F.lit(0.0))).alias("nlp"))
 
 
-def adjust(df: DataFrame, by: list[str], n_features: int, small: bool = False) -> DataFrame:
+def adjust(df: DataFrame, by: list[str], n_features: Column | int) -> DataFrame:
     """Bonferroni ``padj``, Benjamini-Hochberg ``fdr`` and the adjusted ``nlp``.
 
     Both corrections count every feature measured; BH ranks run over tested rows only,
     along the raw nlp, and before nlp is clamped.
     """
-    m = float(max(n_features, 1))
+    n_features = n_features if isinstance(n_features, Column) else F.lit(n_features)
+    m = F.greatest(n_features, F.lit(1)).cast("double")
 
     def candidate(rank: Column) -> Column:
         return F.col("p") * m / rank
 
     candidate.columns = ("p",)
-    out = step_up(df, by, "nlp", candidate, "_q", small)
+    out = step_up(df, by, "nlp", candidate, "_q")
     return out.withColumns({
         "fdr": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("_q"))),
         "padj": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("p") * m)),
-        "nlp": F.when(F.col("p").isNotNull(), F.greatest(F.lit(0.0), F.col("nlp") - F.log10(F.lit(m)))),
+        "nlp": F.when(F.col("p").isNotNull(), F.greatest(F.lit(0.0), F.col("nlp") - F.log10(m))),
     }).select(*[c for c in COLUMNS if c in {*out.columns, "fdr", "padj", "nlp"}],
               *[c for c in by if c not in COLUMNS])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions.special import seeded_uniform, string_seed
 from tallygrid.operators.matrix import Matrix
 from tallygrid.plans.ordering import index_quantiles, numbered
-from tallygrid.plans.sizing import evaluate_once, settle
+from tallygrid.plans.session import cut_lineage
 
 # Bins, controls per gene, and how often a small pool may be redrawn.
 BINS, CONTROLS, REDRAW = 24, 100, 4
@@ -40,14 +40,14 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     A control pool is its bin without the set's members, in bin order. The pool is
     never listed: the i-th non-member sits at bin place i plus the members before it.
     """
-    bins = evaluate_once(bins.select("gene", "bin", "at")).df
+    bins = cut_lineage(bins.select("gene", "bin", "at"))
     mine = sets.join(bins, "gene").select("set_id", "gene", "pos", "bin", "at")
     # One array per (set, bin), bounded by the set's own size.
     taken = mine.groupBy("set_id", "bin").agg(F.array_sort(F.collect_list("at")).alias("taken"))
     bin_size = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("bin_size"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"]), "|")
     seeds = mine.groupBy("set_id").agg(listed.alias("names"), F.count(F.lit(1)).alias("size"))
-    seeds = settle(seeds.select("set_id", "size", string_seed(F.col("names")).alias("seed"))).df
+    seeds = seeds.select("set_id", "size", string_seed(F.col("names")).alias("seed"))
     members = (
         mine.join(taken, ["set_id", "bin"]).join(bin_size, "bin").join(seeds, "set_id")
         .withColumn("pool", F.col("bin_size") - F.size("taken"))
@@ -62,31 +62,25 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
     draws = seeded_uniform(draws.withColumn("k", F.col("first_draw") + F.col("i")), "seed", "k", "u")
     draws = draws.withColumn("pick", F.floor(F.col("u") * F.col("pool"))).withColumn(
         "at", F.col("pick") + F.size(F.filter("taken", lambda x, j: x - j <= F.col("pick"))))
-    controls = evaluate_once(draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c"))).df
+    controls = cut_lineage(draws.join(bins, ["bin", "at"]).groupBy("set_id", "gene").agg(F.count(F.lit(1)).alias("c")))
     totals = controls.groupBy("set_id").agg(F.sum("c").alias("total"))
     controls = controls.join(totals, "set_id").select("set_id", "gene", (-F.col("c") / F.col("total")).alias("weight"))
     # A set none of whose bins holds another gene is compared with every gene outside it, once each.
     size = seeds.select("set_id", "size")
-    bare = [r["set_id"] for r in size.join(totals, "set_id", "left_anti").collect()]
+    bare = size.join(totals, "set_id", "left_anti").agg(F.collect_list("set_id").alias("v")).scalar()
     positive = mine.join(size, "set_id").select("set_id", "gene", (1.0 / F.col("size")).alias("weight"))
-    weights = positive.unionByName(controls)
-    if bare:
-        rest = (
-            bins.select("gene", F.explode(F.array(*[F.lit(s) for s in bare])).alias("set_id"))
-            .join(mine, ["set_id", "gene"], "left_anti").join(size, "set_id")
-            .withColumn("all", bins.agg(F.count(F.lit(1)).alias("n")).scalar()))
-        weights = weights.unionByName(rest.select(
-            "set_id", "gene", (F.lit(-1.0) / (F.col("all") - F.col("size"))).alias("weight")))
-    return weights
+    rest = (
+        bins.select("gene", F.explode(bare).alias("set_id"))
+        .join(mine, ["set_id", "gene"], "left_anti").join(size, "set_id")
+        .withColumn("all", bins.agg(F.count(F.lit(1)).alias("n")).scalar()))
+    return positive.unionByName(controls).unionByName(rest.select(
+        "set_id", "gene", (F.lit(-1.0) / (F.col("all") - F.col("size"))).alias("weight")))
 
 
 def score_many(m: Matrix, sets: DataFrame, nbin: int = BINS, ctrl: int = CONTROLS) -> DataFrame:
     """set_id, cell_id, score for several sets(set_id, gene, pos) in one scan; every cell has a row."""
-    weights = settle(control_weights(sets, expression_bins(gene_averages(m), nbin), ctrl)).df
-    names = settle(sets.select("set_id").distinct(), 1000)
-    if not names.small:
-        raise ValueError("at most 1000 sets are scored together")
-    ids = F.array(*[F.lit(r["set_id"]) for r in names.df.collect()])
+    weights = control_weights(sets, expression_bins(gene_averages(m), nbin), ctrl)
+    ids = sets.agg(F.collect_set("set_id").alias("v")).scalar()
     blank = m.cells.select("cell_id", F.explode(ids).alias("set_id"), F.lit(0.0).alias("part"))
     parts = m.expr.join(weights, "gene").groupBy("set_id", "cell_id").agg(
         F.sum(F.col("value").cast("double") * F.col("weight")).alias("part"))

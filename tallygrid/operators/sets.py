@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.plans.ordering import numbered
-from tallygrid.plans.sizing import settle
 
 # Offered set sizes. A library whose every collection is small starts at 3.
 SIZE_MIN, SIZE_MIN_SMALL, SIZE_MAX, SMALL_LIBRARY = 10, 3, 500, 200
@@ -269,8 +268,3 @@ def match_rate(background: DataFrame, members: DataFrame) -> DataFrame:
     lib = members.select("gene").distinct().withColumn("hit", F.lit(True))
     return background.select("gene").join(lib, "gene", "left").agg(
         F.coalesce(F.try_divide(F.count("hit").cast("double"), F.count(F.lit(1))), F.lit(0.0)).alias("rate"))
-
-
-def bounded_words(words: list[str], spark) -> DataFrame:
-    """A user's own short list as (pos, word)."""
-    return settle(spark.createDataFrame(list(enumerate(words)), "pos int, word string")).df

@@ -16,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.plans.sizing import settle
-
 STEPS_PER_OCTAVE = 128
 # Lifts log2 of the smallest positive double above zero, so signs never mix.
 _LIFT = 1100 * STEPS_PER_OCTAVE
@@ -73,7 +71,6 @@ def index_quantiles(
         .select(*keys, "_b", "n", F.col("_q.name").alias("_name"),
                 (F.col("_q.pos") - F.col("_hi") + F.col("_nb")).alias("_pos"))
     )
-    targets = settle(targets).df
     picked = (
         source.join(targets, [*keys, "_b"])
         .groupBy(*keys, "n", "_name", "_pos", "_v")
@@ -115,9 +112,8 @@ def numbered(
     buckets = buckets.withColumn(
         "_off", F.sum("_nb").over(_up_to_here(keys, ["_b"])) - F.col("_nb")
     ).drop("_nb")
-    offsets = settle(
-        blocks.join(buckets, [*keys, "_b"]).select(*keys, *prefix, (F.col("_in") + F.col("_off")).alias("_start"))
-    ).df
+    offsets = blocks.join(buckets, [*keys, "_b"]).select(
+        *keys, *prefix, (F.col("_in") + F.col("_off")).alias("_start"))
     in_block = Window.partitionBy(*keys, *prefix).orderBy(row_id)
     return (
         rows.join(offsets, [*keys, *prefix])
@@ -145,34 +141,18 @@ def step_up(
     strength: str,
     at_rank,
     out: str,
-    small: bool,
     combine: str = "min",
 ) -> DataFrame:
     """Benjamini-Hochberg style step-up along descending ``strength`` within ``keys``.
 
     ``at_rank(rank)`` gives the candidate at a 1-based rank; each row receives the
     min (or max) of the candidates at its own and all weaker ranks. Rows with a NULL
-    strength stay NULL. ``small`` says the frame's size was checked and a plain window
-    per group is safe; otherwise ties are collapsed and buckets carry the running
-    values.
+    strength stay NULL. Ties are collapsed and buckets carry the running values, so a
+    group of any size is never ordered in one task.
     """
     keys = list(keys)
     pick = F.min if combine == "min" else F.max
     fold = F.least if combine == "min" else F.greatest
-    if small:
-        tested = F.col(strength).isNotNull()
-        part = Window.partitionBy(*keys, "_tested")
-        down = part.orderBy(F.col(strength).desc())
-        # "This and all weaker ranks" as a running frame from the weak end: linear, where a
-        # frame that ends at unbounded following is evaluated anew for every row.
-        follow = part.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            df.withColumn("_tested", tested)
-            .withColumn("_rank", F.row_number().over(down))
-            .withColumn("_cand", at_rank(F.col("_rank")))
-            .withColumn(out, F.when(tested, pick("_cand").over(follow)))
-            .drop("_tested", "_rank", "_cand")
-        )
     tested = df.where(F.col(strength).isNotNull())
     # Every column the candidate needs is a function of strength, so one row per
     # distinct strength carries a tie group's largest rank.

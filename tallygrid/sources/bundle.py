@@ -1,260 +1,116 @@
-"""Bundles: one zip per part with a gene-major sparse matrix, decoded in parallel into long tables.
+"""Objects that come in parts: checking the parts, joining them into one matrix, dealing one out.
 
-Each file is decoded by one task in slices of genes; a part is a few thousand to a
-few tens of thousands of cells by construction, and Spark's binary reader needs it
-below 2 GB. Parts present one object: cell ids are offset by the cells before.
+A collection is three frames. ``cells`` has (part, local_id, type, sample, cond, ...),
+``expr`` (part, gene, local_id, value) and ``genes`` (part, gene, pos). Cell ids of the
+whole follow from the parts' sizes; everything is a join or an aggregate by part.
 """
 
 from __future__ import annotations
 
-import io
-import json
-import re
-import zipfile
-import zlib
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
 from tallygrid.operators.prep import labelled_only
 from tallygrid.plans.ordering import numbered
-from tallygrid.plans.sizing import settle
 
-# The container's version tag and the little-endian layouts of its entries.
-SCHEMA_TAG = re.compile(r"^[\w-]+/bundle@1$")
-U16, I32, F32 = "<u2", "<i4", "<f4"
 
-_SLICE = 1_000_000  # values decoded per emitted batch
+class Parts(NamedTuple):
+    cells: DataFrame
+    expr: DataFrame
+    genes: DataFrame
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """part, content for every zip below a folder."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(
-        F.col("path").alias("part"), "content")
+def gene_lists(genes: DataFrame) -> DataFrame:
+    """part, n, h: size and order-aware digest of each part's gene list, added up gene by gene."""
+    return genes.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("gene", "pos").cast("decimal(38,0)")).alias("h"))
 
 
-def _open(content: bytes) -> tuple[zipfile.ZipFile, dict]:
-    box = zipfile.ZipFile(io.BytesIO(content))
-    meta = json.loads(box.read("meta.json"))
-    if not SCHEMA_TAG.match(meta.get("schema", "")):
-        raise ValueError(f"not a bundle this reader knows: {meta.get('schema')!r}")
-    return box, meta
+def differing_lists(genes: DataFrame) -> DataFrame:
+    """part: those whose gene list differs from the first part's."""
+    lists = gene_lists(genes)
+    first = lists.agg(F.min_by(F.struct("n", "h"), "part").alias("v")).select("v").scalar()
+    return lists.where((F.col("n") != first["n"]) | (F.col("h") != first["h"])).select("part")
 
 
-def _array(box: zipfile.ZipFile, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(box.read(name), dtype=kind)
-
-
-def _spans(box: zipfile.ZipFile, meta: dict) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first gene, last gene, cell ids, values) slices, from a flat or a chunked matrix."""
-    ptr = _array(box, "expr.indptr.i32", I32).astype(np.int64)
-    n = len(ptr) - 1
-    if "expr.chunk.bin" in box.namelist():
-        size, at = meta["chunkGenes"], _array(box, "expr.chunkptr.i32", I32)
-        packed = box.read("expr.chunk.bin")
-        for c, lo in enumerate(range(0, n, size)):
-            hi = min(n, lo + size)
-            raw = zlib.decompress(packed[at[c]:at[c + 1]], wbits=-15)
-            nnz = int(ptr[hi] - ptr[lo])
-            steps, values = np.frombuffer(raw, I32, nnz), np.frombuffer(raw, F32, nnz, nnz * 4)
-            run = np.cumsum(steps.astype(np.int64))
-            starts = ptr[lo:hi] - ptr[lo]
-            before = np.where(starts > 0, run[np.maximum(starts - 1, 0)], 0) if nnz else starts
-            yield lo, hi, run - np.repeat(before, np.diff(ptr[lo:hi + 1])), values
-        return
-    ids, values = _array(box, "expr.indices.i32", I32), _array(box, "expr.data.f32", F32)
-    lo = 0
-    while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + _SLICE, side="right")) - 1))
-        yield lo, hi, ids[ptr[lo]:ptr[hi]], values[ptr[lo]:ptr[hi]]
-        lo = hi
-
-
-def _expr_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part, content in zip(batch["part"], batch["content"]):
-            box, meta = _open(content)
-            ptr = _array(box, "expr.indptr.i32", I32).astype(np.int64)
-            genes = np.array(box.read("genes.txt").decode().splitlines(), dtype=object)
-            for lo, hi, ids, values in _spans(box, meta):
-                gene = np.repeat(genes[lo:hi], np.diff(ptr[lo:hi + 1]))
-                yield pd.DataFrame({"part": part, "gene": gene, "local_id": ids.astype(np.int64), "value": values})
-
-
-def _cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part, content in zip(batch["part"], batch["content"]):
-            box, meta = _open(content)
-            n = meta["nCells"]
-            xy, qc = _array(box, "embed.f32", F32).reshape(n, 2), _array(box, "qc.f32", F32).reshape(n, 3)
-            samples = meta["samples"]
-            code = _array(box, "sample.u16", U16)
-            extra = {e["key"]: np.array(e["levels"], dtype=object)[_array(box, e["file"], U16)]
-                     for e in meta.get("extras", [])}
-            yield pd.DataFrame({
-                "part": part, "local_id": np.arange(n),
-                "type": np.array(meta["clusters"], dtype=object)[_array(box, "cluster.u16", U16)],
-                "sample": np.array([s["id"] for s in samples], dtype=object)[code],
-                "cond": np.array([s["condition"] for s in samples], dtype=object)[code],
-                "x": xy[:, 0], "y": xy[:, 1], "n_counts": qc[:, 0], "n_genes": qc[:, 1], "pct_mito": qc[:, 2],
-                "extras": [dict(zip(extra, v)) for v in zip(*extra.values())] if extra else [{}] * n})
-
-
-def _meta_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for part, content in zip(batch["part"], batch["content"]):
-            box, meta = _open(content)
-            ptr = _array(box, "expr.indptr.i32", I32)
-            sizes = {e.filename: e.file_size for e in box.infolist()}
-            n, codes = meta["nCells"], _array(box, "cluster.u16", U16)
-            faults = [name for name, bad in (
-                ("gene offsets", len(ptr) != meta["nGenes"] + 1),
-                ("offsets descend", bool((np.diff(ptr.astype(np.int64)) < 0).any())),
-                ("stored values", int(ptr[-1]) != meta.get("nnz", int(ptr[-1]))),
-                ("type codes", len(codes) != n or bool((codes >= len(meta["clusters"])).any())),
-                ("sample codes", sizes.get("sample.u16") != 2 * n),
-                ("embedding", sizes.get("embed.f32") != 8 * n),
-                ("qc", sizes.get("qc.f32") != 12 * n),
-                ("roles", not meta["clusters"] or not meta["samples"])) if bad]
-            rows.append({
-                "part": part, "n_cells": n, "genes": box.read("genes.txt").decode().splitlines(),
-                "clusters": meta["clusters"], "conditions": meta.get("conditions", []),
-                "columns": [e["key"] for e in meta.get("extras", [])], "faults": faults,
-                "provenance": {k: v for k, v in (meta.get("provenance") or {}).items() if v is not None}})
-        yield pd.DataFrame(rows)
-
-
-def part_meta(files: DataFrame) -> DataFrame:
-    """One row per part: sizes, gene list, level lists, carried columns and what is wrong with it."""
-    return files.mapInPandas(
-        _meta_rows, "part string, n_cells bigint, genes array<string>, clusters array<string>, "
-        "conditions array<string>, columns array<string>, faults array<string>, provenance map<string,string>")
-
-
-def violations(meta: DataFrame) -> DataFrame:
-    """Every rule a part breaks, and parts whose gene list differs from the first part's."""
-    own = meta.select("part", F.explode("faults").alias("rule"))
-    digest = meta.select("part", F.xxhash64("genes").alias("h"))
-    first = digest.agg(F.min_by("h", "part").alias("h")).select("h").scalar()
-    return own.unionByName(digest.where(F.col("h") != first).select("part", F.lit("gene list").alias("rule")))
+def violations(parts: Parts) -> DataFrame:
+    """part, rule: every rule a part breaks."""
+    cells, expr, genes = parts
+    twice = cells.groupBy("part", "local_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    broken = (
+        ("gene list", differing_lists(genes)),
+        ("value outside the cells", expr.select("part", "local_id").distinct().join(cells, ["part", "local_id"], "left_anti")),
+        ("value outside the genes", expr.select("part", "gene").distinct().join(genes, ["part", "gene"], "left_anti")),
+        ("repeated cell", twice),
+        ("cell without a label", cells.where("type IS NULL OR sample IS NULL OR cond IS NULL")),
+    )
+    out = None
+    for rule, rows in broken:
+        mine = rows.select("part").distinct().withColumn("rule", F.lit(rule))
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def columns_in_every_part(meta: DataFrame) -> DataFrame:
-    """Extra columns that all parts carry."""
+    """Extra columns that all parts of meta(part, columns) carry."""
     n = meta.agg(F.count_distinct("part").alias("n")).select("n").scalar()
     return meta.select("part", F.explode("columns").alias("column")).groupBy("column").agg(
         F.count_distinct("part").alias("parts")).where(F.col("parts") == n)
 
 
-def ingest(files: DataFrame) -> Matrix:
-    """All parts as one object; refuses a collection with any violation instead of half-loading it."""
-    meta = part_meta(files)
-    broken = violations(meta).limit(20).collect()
-    if broken:
-        raise ValueError("; ".join(f"{r['part']}: {r['rule']}" for r in broken))
-    sizes = settle(meta.select("part", "n_cells")).df
+def offsets(cells: DataFrame) -> DataFrame:
+    """part, first_id: cells of the parts before, in part order."""
+    sizes = cells.groupBy("part").agg((F.max("local_id") + 1).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = settle(sizes.select("part", F.coalesce(F.sum("n_cells").over(before), F.lit(0)).alias("first_id"))).df
-    place = (F.col("first_id") + F.col("local_id")).alias("cell_id")
-    expr = files.mapInPandas(_expr_rows, "part string, gene string, local_id bigint, value float")
-    cells = files.mapInPandas(
-        _cell_rows, "part string, local_id bigint, type string, sample string, cond string, x float, y float, "
-        "n_counts float, n_genes float, pct_mito float, extras map<string,string>")
-    genes = meta.orderBy("part").limit(1).select(F.posexplode("genes").alias("gene_id", "gene"))
-    shared = columns_in_every_part(meta).agg(F.collect_list("column").alias("c")).select("c").scalar()
-    cells = cells.join(offset, "part").withColumn("_shared", shared).select(
-        "part", place, "type", "sample", "cond", "x", "y", "n_counts", "n_genes", "pct_mito",
-        F.map_filter("extras", lambda k, _: F.array_contains(F.col("_shared"), k)).alias("extras"))
-    # A sample two parts place in different conditions keeps the first part's.
-    owner = cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
-    cells = labelled_only(cells.drop("cond").join(settle(owner).df, "sample"))
-    return Matrix(
-        expr.join(offset, "part").select("gene", place, "value"), cells,
-        genes.select("gene", F.col("gene_id").cast("long").alias("gene_id")))
+    return sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_id"))
 
 
-# ---- writing parts ----
+def ingest(parts: Parts) -> Matrix:
+    """All parts as one object. A sample two parts place in different conditions keeps the first part's.
+
+    ``violations`` tells beforehand whether the parts agree.
+    """
+    first = offsets(parts.cells)
+    place = (F.col("first_id") + F.col("local_id")).alias("cell_id")
+    extra = [c for c in parts.cells.columns if c not in ("part", "local_id", "cell_id")]
+    cells = parts.cells.join(first, "part").select("part", place, *extra)
+    owner = cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
+    cells = labelled_only(cells.drop("cond").join(owner, "sample"))
+    lead = parts.genes.agg(F.min("part").alias("v")).scalar()
+    genes = parts.genes.where(F.col("part") == lead).select("gene", F.col("pos").cast("long").alias("gene_id"))
+    return Matrix(parts.expr.join(first, "part").select("gene", place, "value"), cells, genes)
 
 
 def assign_parts(cells: DataFrame, parts: int) -> DataFrame:
     """``part`` per cell: whole samples in turn when there are enough of them, else contiguous blocks."""
-    sizes = cells.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("first"))
-    samples = settle(sizes)
-    if samples.small and samples.rows >= parts:
-        turn = (F.row_number().over(Window.orderBy("first")) - 1) % parts
-        return cells.join(settle(samples.df.select("sample", turn.cast("long").alias("part"))).df, "sample")
+    sizes = cells.groupBy("sample").agg(F.min("cell_id").alias("first"))
+    turn = (F.row_number().over(Window.orderBy("first")) - 1) % parts
+    by_sample = sizes.select("sample", turn.cast("long").alias("_turn"))
+    samples = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
     total = cells.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return numbered(cells, [], "cell_id", out="_at").withColumn(
-        "part", F.floor(F.col("_at") * parts / total)).drop("_at")
-
+    block = F.floor(F.col("_at") * parts / total)
+    return numbered(cells, [], "cell_id", out="_at").join(by_sample, "sample").withColumn(
+        "part", F.when(samples >= parts, F.col("_turn")).otherwise(block)).select(*cells.columns, "part")
 
-def split_parts(m: Matrix, path: str, parts: int) -> None:
-    """Each part's expression and cells under their own folder."""
-    cells = assign_parts(m.cells, parts)
-    m.expr.join(cells.select("cell_id", "part"), "cell_id").write.partitionBy("part").parquet(f"{path}/expr")
-    cells.write.partitionBy("part").parquet(f"{path}/cells")
 
+def dealt(m: Matrix, cells: DataFrame) -> Parts:
+    """The object as parts; ``cells`` are its cells with a ``part``. Levels are those of the part's own cells."""
+    cells = numbered(cells, ["part"], "cell_id", out="local_id")
+    place = cells.select("cell_id", "part", "local_id")
+    expr = m.nonzero().join(place, "cell_id").select("part", "gene", "local_id", "value")
+    pos = numbered(m.genes, [], "gene_id", out="pos")
+    names = cells.agg(F.collect_set("part").alias("v")).scalar()
+    return Parts(cells.drop("cell_id"), expr, pos.select(F.explode(names).alias("part"), "gene", "pos"))
 
-def build(m: Matrix, tag: str, cells_per_part: int = 4096, chunk_genes: int = 0) -> DataFrame:
-    """part, content: the object as bundle files of at most ``cells_per_part`` cells each.
 
-    The cap bounds what one task assembles. ``chunk_genes`` > 0 writes the chunked matrix.
-    """
-    order = settle(m.genes.select("gene", "gene_id"))
-    if not order.small:
-        raise ValueError("a bundle lists its genes; this object has too many for one file")
-    names = [r["gene"] for r in order.df.orderBy("gene_id").collect()]
-    at = {g: i for i, g in enumerate(names)}
-    cells = numbered(m.cells, [], "cell_id", out="_at").withColumns({
-        "part": F.floor(F.col("_at") / cells_per_part), "local_id": F.col("_at") % cells_per_part})
-    rows = m.nonzero().join(cells.select("cell_id", "part", "local_id"), "cell_id").select(
-        F.col("part").alias("part"), F.col("local_id").alias("local_id"), "gene", "value")
-    sheet = cells.select(F.col("part").alias("of_part"), *[
-        F.col(c).alias(c) for c in ("local_id", "type", "sample", "cond", "x", "y")])
+def split_parts(m: Matrix, path: str, parts: int) -> None:
+    """Each part's expression, cells and genes under their own folder."""
+    for name, frame in zip(Parts._fields, dealt(m, assign_parts(m.cells, parts))):
+        frame.write.partitionBy("part").parquet(f"{path}/{name}")
 
-    def pack(key: tuple, values: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        labels = labels.sort_values("local_id")
-        g = values["gene"].map(at).to_numpy(dtype=np.int64)
-        order = np.lexsort((values["local_id"].to_numpy(), g))
-        ids, v = values["local_id"].to_numpy()[order].astype(I32), values["value"].to_numpy()[order].astype(F32)
-        ptr = np.concatenate([[0], np.cumsum(np.bincount(g, minlength=len(names)))])
-        clusters, code = np.unique(labels["type"].to_numpy(dtype=str), return_inverse=True)
-        pairs = labels.drop_duplicates("sample").sort_values("sample")
-        sample = np.searchsorted(pairs["sample"].to_numpy(dtype=str), labels["sample"].to_numpy(dtype=str))
-        totals = np.zeros((len(labels), 3), F32)
-        np.add.at(totals[:, 0], ids, v)
-        np.add.at(totals[:, 1], ids, 1)
-        meta = {"schema": tag, "nCells": len(labels), "nGenes": len(names), "nnz": len(v), "clusters": list(clusters),
-                "samples": [{"id": s, "condition": c} for s, c in zip(pairs["sample"], pairs["cond"])],
-                "conditions": sorted(set(pairs["cond"]))}
-        entries = {
-            "genes.txt": "\n".join(names).encode(), "cluster.u16": code.astype(U16).tobytes(),
-            "sample.u16": sample.astype(U16).tobytes(), "embed.f32": labels[["x", "y"]].to_numpy(F32).tobytes(),
-            "qc.f32": totals.tobytes(), "expr.indptr.i32": ptr.astype(I32).tobytes()}
-        if chunk_genes:
-            blobs, ends = [], [0]
-            first = ptr[np.minimum(np.searchsorted(ptr, np.arange(len(ids)), side="right") - 1, len(names))]
-            gaps = np.where(np.arange(len(ids)) == first, ids, ids - np.roll(ids, 1)).astype(I32)
-            for lo in range(0, len(names), chunk_genes):
-                s = slice(ptr[lo], ptr[min(lo + chunk_genes, len(names))])
-                packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-                blobs.append(packer.compress(gaps[s].tobytes() + v[s].tobytes()) + packer.flush())
-                ends.append(ends[-1] + len(blobs[-1]))
-            meta["chunkGenes"] = chunk_genes
-            entries |= {"expr.chunk.bin": b"".join(blobs), "expr.chunkptr.i32": np.array(ends, I32).tobytes()}
-        else:
-            entries |= {"expr.indices.i32": ids.tobytes(), "expr.data.f32": v.tobytes()}
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
-            box.writestr("meta.json", json.dumps(meta))
-            for name, data in entries.items():
-                box.writestr(name, data, zipfile.ZIP_STORED if name == "expr.chunk.bin" else zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"part": [f"part-{key[0]:06d}.zip"], "content": [out.getvalue()]})
 
-    return rows.groupBy("part").cogroup(sheet.groupBy("of_part")).applyInPandas(
-        pack, "part string, content binary")
+def read_parts(spark, path: str) -> Parts:
+    return Parts(*(spark.read.parquet(f"{path}/{name}") for name in Parts._fields))

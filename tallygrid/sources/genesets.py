@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallygrid.operators.sets import LIST_SEPARATORS, readable_name
+from tallygrid.operators.sets import readable_name
 
 # The packed format's tag, and what a GMT's second column may say instead of a gene.
 PACKED_TAG = "MSIG1"
@@ -32,28 +27,29 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
              & (F.size("sets") == F.col("head")[4].cast("int")))
     checked = opened.withColumn("sets", F.when(sound, F.col("sets")).otherwise(
         F.raise_error(F.lit("feature-set file does not match its header")).cast("array<string>")))
-    rows = checked.select("head", "symbols", F.explode("sets").alias("s")).select(
-        F.col("head")[1].alias("species"), F.col("head")[2].alias("source"), F.col("head")[3].alias("release"),
-        "symbols", F.split("s", "\t").alias("f"))
-    return rows.select(
-        "species", "source", "release", F.col("f")[0].alias("set_id"), F.col("f")[1].alias("set_name"), "symbols",
-        F.posexplode(F.split(F.col("f")[2], ",")).alias("pos", "at")).select(
-        "species", "source", "release", "set_id", "set_name",
-        F.element_at("symbols", F.col("at").cast("int") + 1).alias("gene"), F.col("pos").cast("long").alias("pos"))
+    # The dictionary of each file is a table of its own; a member is a join with it.
+    file = F.monotonically_increasing_id()
+    opened = checked.withColumn("file", file)
+    symbols = opened.select("file", F.posexplode("symbols").alias("at", "gene"))
+    rows = opened.select("file", "head", F.explode("sets").alias("s")).select(
+        "file", F.col("head")[1].alias("species"), F.col("head")[2].alias("source"), F.col("head")[3].alias("release"),
+        F.split("s", "\t").alias("f"))
+    rows = rows.select(
+        "file", "species", "source", "release", F.col("f")[0].alias("set_id"), F.col("f")[1].alias("set_name"),
+        F.posexplode(F.split(F.col("f")[2], ",")).alias("pos", "at"))
+    return rows.withColumn("at", F.col("at").cast("int")).join(symbols, ["file", "at"]).select(
+        "species", "source", "release", "set_id", "set_name", "gene", F.col("pos").cast("long").alias("pos"))
 
 
 def pack(members: DataFrame, species: str, release: str) -> DataFrame:
     """value: one packed text per source, from members(source, set_id, set_name, gene, pos)."""
-    symbols = members.select("source", "gene").distinct().groupBy("source").agg(
-        F.array_sort(F.collect_list("gene")).alias("symbols"))
-    sets = members.groupBy("source", "set_id", "set_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"]).alias("genes"))
-    # A symbol's index comes from a map built once per set, not from a search per member.
-    lines = sets.join(symbols, "source").withColumn(
-        "place", F.map_from_arrays("symbols", F.sequence(F.lit(0), F.size("symbols") - 1)))
-    lines = lines.select("source", "symbols", F.concat_ws("\t", "set_id", "set_name", F.array_join(
-        F.transform("genes", lambda g: F.col("place")[g].cast("string")), ",")).alias("line"))
-    return lines.groupBy("source", "symbols").agg(F.array_sort(F.collect_list("line")).alias("l")).select(
+    number = (F.row_number().over(Window.partitionBy("source").orderBy("gene")) - 1).cast("string")
+    symbols = members.select("source", "gene").distinct().withColumn("place", number)
+    sets = members.join(symbols, ["source", "gene"]).groupBy("source", "set_id", "set_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda s: s["place"]), ",").alias("places"))
+    lines = sets.groupBy("source").agg(F.array_sort(F.collect_list(F.concat_ws("\t", "set_id", "set_name", "places"))).alias("l"))
+    names = symbols.groupBy("source").agg(F.array_sort(F.collect_list("gene")).alias("symbols"))
+    return lines.join(names, "source").select(
         F.concat_ws("\n", F.concat_ws("\t", F.lit(PACKED_TAG), F.lit(species), "source", F.lit(release),
                                       F.size("l").cast("string"), F.size("symbols").cast("string")),
                     F.array_join("symbols", "\t"), F.array_join("l", "\n")).alias("value"))
@@ -95,80 +91,31 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.col("e.nGenes").alias("n_genes"), F.col("e.on").alias("on"))
 
 
-# ---- tolerant reading, one file per row ----
-
-# What a bracketed ``name: [members]`` pair and a quoted member look like.
-_PAIR = re.compile(r"""(?:(['"])(.+?)\1|([A-Za-z_][\w.\- ]*))\s*[:=]\s*(?:c\s*)?[\[(]([^\])]*)[\])]""")
-_QUOTED = re.compile(r"""(['"])(.*?)\1""")
-# The keys a JSON list of sets may use.
-_NAMES = ("name", "id", "set", "pathway", "term", "geneset", "gene_set", "label")
-_GENES = ("genes", "members", "symbols", "gene_symbols", "genesymbols", "ids", "list")
-
-
-def _tokens(chunk: str) -> list[str]:
-    quoted = [m[2] for m in _QUOTED.finditer(chunk)]
-    if quoted:
-        return quoted
-    return [w for w in re.split(r"[,;\s]+", chunk) if w and w != "c" and re.search("[A-Za-z0-9]", w)]
-
-
-def _from_json(body: str) -> list[tuple]:
-    """Sets of a well-formed JSON text: a list of records, name -> list, or name -> record."""
-    try:
-        doc = json.loads(body)
-    except ValueError:
-        return []
-
-    def field(rec: dict, keys: tuple):
-        return next((v for k, v in rec.items() if k.lower() in keys), None)
-
-    if isinstance(doc, list):
-        recs = [r for r in doc if isinstance(r, dict)]
-        return [(field(r, _NAMES) or f"set {i + 1}", field(r, _GENES)) for i, r in enumerate(recs)]
-    if isinstance(doc, dict):
-        return [(k, field(v, _GENES) if isinstance(v, dict) else v) for k, v in doc.items()]
-    return []
-
-
-def _from_text(body: str, fallback: str) -> list[tuple]:
-    """Sets of anything else: bracketed pairs, tab columns, ``Name: a, b`` lines, or one bare list."""
-    pairs = [(m[2] or m[3], _tokens(m[4])) for m in _PAIR.finditer(body)]
-    if pairs:
-        return pairs
-    lines = [s for s in (raw.strip() for raw in body.splitlines()) if s and not s.startswith("#")]
-    if any("\t" in s for s in lines):
-        rows = [[c.strip() for c in s.split("\t")] for s in lines]
-        return [(r[0], r[2:] if len(r) > 2 and re.search(DESCRIPTION, r[1]) else r[1:]) for r in rows if len(r) > 1]
-    named = [s.split(":", 1) for s in lines if s.find(":") > 0]
-    return [(n, _tokens(rest)) for n, rest in named] or [(fallback, _tokens(body))]
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, body in zip(batch["path"], batch["value"]):
-            body = body.strip()
-            sets = [s for s in _from_json(body) if isinstance(s[1], list)] or _from_text(body, path)
-            for pos, (name, members) in enumerate(sets):
-                name = re.sub(r"\s+", " ", str(name).strip())
-                clean = [str(g).strip().strip("'\"") for g in members if not isinstance(g, (dict, list, type(None)))]
-                genes = list(dict.fromkeys(g for g in clean if g))
-                if re.search("[A-Za-z0-9]", name) and genes:
-                    rows.append((path, pos, name, genes))
-        yield pd.DataFrame(rows, columns=["path", "pos", "set_name", "genes"])
+# ---- sets as people write them, one text per row ----
 
 
 def parse_sets(texts: DataFrame) -> DataFrame:
-    """path, set_name, genes, pos from texts(path, value), one pasted file per row; a repeated name's last list wins."""
-    parsed = texts.mapInPandas(_parse, "path string, pos int, set_name string, genes array<string>")
-    return parsed.groupBy("path", "set_name").agg(
-        F.max_by("genes", "pos").alias("genes"), F.min("pos").alias("pos"))
-
-
-def read_set_files(spark: SparkSession, path: str) -> DataFrame:
-    """Tolerant reader over a folder of set files."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return parse_sets(texts)
-
-
-__all__ = ["LIST_SEPARATORS", "pack", "parse_sets", "read_gmt", "read_manifest", "read_packed", "read_set_files", "sets_to_text"]
+    """path, set_name, genes, pos of texts(path, value). A text is a JSON object of lists, or lines of
+    tab-separated fields (a description in the second is dropped) or of ``Name: a, b``; any other line
+    adds to one set named by the path. The last of several sets of one name wins."""
+    is_json = F.ltrim("value").startswith("{")
+    object_ = F.from_json("value", "map<string,array<string>>")
+    listed = texts.where(is_json).select("path", F.posexplode(object_).alias("pos", "set_name", "genes"))
+    line = texts.where(~is_json).select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "line")).where(
+        F.trim("line") != "")
+    tabs = F.split("line", "\t")
+    described = (F.size(tabs) > 2) & F.trim(tabs[1]).rlike(DESCRIPTION)
+    fields = F.slice(tabs, F.when(described, 3).otherwise(2), F.size(tabs))
+    colon = F.instr("line", ":")
+    words = lambda text: F.split(text, r"[,;\s]+")
+    rows = line.select(
+        "path", "pos",
+        F.when(F.size(tabs) > 1, tabs[0]).when(colon > 1, F.substring_index("line", ":", 1)).alias("set_name"),
+        F.when(F.size(tabs) > 1, fields).when(colon > 1, words(F.expr("substring(line, instr(line, ':') + 1)")))
+        .otherwise(words(F.col("line"))).alias("genes"))
+    bare = rows.where("set_name IS NULL").groupBy("path").agg(
+        F.min("pos").alias("pos"), F.flatten(F.array_sort(F.collect_list(F.struct("pos", "genes")))["genes"]).alias("genes"))
+    found = listed.unionByName(rows.where("set_name IS NOT NULL")).unionByName(bare.withColumn("set_name", F.col("path")))
+    clean = F.array_distinct(F.filter(F.transform("genes", lambda g: F.trim(g)), lambda g: g != ""))
+    found = found.withColumns({"genes": clean, "set_name": F.trim("set_name")}).where(F.size("genes") > 0)
+    return found.groupBy("path", "set_name").agg(F.max_by("genes", "pos").alias("genes"), F.min("pos").alias("pos"))

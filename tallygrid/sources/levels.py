@@ -9,7 +9,6 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.plans.sizing import MAX_LEVELS, settle
 
 
 def union_levels(parts: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -21,17 +20,14 @@ def union_levels(parts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     first = parts.groupBy("level").agg(F.min(F.struct("part", "ord")).alias("at"))
     if known is not None:
         placed = first.join(known.withColumnRenamed("ord", "k"), "level", "left")
-        placed = settle(placed, MAX_LEVELS).df
         order = Window.orderBy(F.col("k").asc_nulls_last(), "at")
         return placed.select("level", (F.row_number().over(order) - 1).alias("ord"))
     step = Window.partitionBy("part").orderBy("ord")
-    pairs = settle(parts.withColumn("next", F.lead("level").over(step)).where("next IS NOT NULL AND next <> level")
-                   .select("level", "next").distinct(), MAX_LEVELS)
-    names = settle(first, MAX_LEVELS)
-    if not (pairs.small and names.small):
-        raise ValueError(f"more than {MAX_LEVELS} levels")
-    seen = [r["level"] for r in names.df.orderBy("at").collect()]
-    order = merged_order(seen, [(r["level"], r["next"]) for r in pairs.df.collect()])
+    pairs = parts.withColumn("next", F.lead("level").over(step)).where("next IS NOT NULL AND next <> level").select(
+        "level", "next").distinct()
+    # The level names themselves are the result: one list, ordered as a whole.
+    seen = [r["level"] for r in first.orderBy("at").collect()]
+    order = merged_order(seen, [(r["level"], r["next"]) for r in pairs.collect()])
     return parts.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], "level string, ord int")
 
 
@@ -63,7 +59,7 @@ def merged_order(seen: list[str], follows: list[tuple[str, str]]) -> list[str]:
 
 def recode(cells: DataFrame, levels: DataFrame, column: str) -> DataFrame:
     """Replace a level by its place in the merged order, kept beside the name."""
-    codes = settle(levels.select(F.col("level").alias(column), F.col("ord").alias(f"{column}_ord"))).df
+    codes = levels.select(F.col("level").alias(column), F.col("ord").alias(f"{column}_ord"))
     return cells.join(codes, column, "left")
 
 

@@ -5,7 +5,6 @@ import random
 from pyspark.sql import functions as F
 
 from tallygrid.operators import ora, ranktest
-from tallygrid.plans import sizing
 from tallygrid.plans.ordering import index_quantiles, numbered, value_bucket
 
 
@@ -71,7 +70,7 @@ def step_up(ps, m):
     return out
 
 
-def test_step_up_both_ways(spark):
+def test_step_up(spark):
     rng = random.Random(5)
     rows = []
     for g in ("hot", "cold"):
@@ -81,28 +80,17 @@ def test_step_up_both_ways(spark):
     df = spark.createDataFrame(rows, "gene string, grp string, p double").withColumn("nlp", -F.log10("p"))
     extra = spark.createDataFrame([("untested", "hot", None, None)], "gene string, grp string, p double, nlp double")
     df = df.unionByName(extra)
-    small = {r["gene"]: r for r in ranktest.adjust(df, ["grp"], 700, small=True).collect()}
-    large = {r["gene"]: r for r in ranktest.adjust(df, ["grp"], 700, small=False).collect()}
+    got = {r["gene"]: r for r in ranktest.adjust(df, ["grp"], 700).collect()}
     for g in ("hot", "cold"):
         mine = [r for r in rows if r[1] == g]
         for r, want in zip(mine, step_up([r[2] for r in mine], 700)):
-            assert abs(small[r[0]]["fdr"] - want) < 1e-12
-            assert abs(large[r[0]]["fdr"] - want) < 1e-12
-    assert small["untested"]["fdr"] is None and large["untested"]["fdr"] is None
-    assert small["untested"]["padj"] is None and small["untested"]["nlp"] is None
+            assert abs(got[r[0]]["fdr"] - want) < 1e-12
+    assert got["untested"]["fdr"] is None and got["untested"]["padj"] is None and got["untested"]["nlp"] is None
 
 
 def test_bh_fixture_and_log_form(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.5), ("c", 0.03)], "gene string, p double").withColumn("nlp", -F.log10("p"))
-    for small in (True, False):
-        got = {r["gene"]: r for r in ora.bh_both(df, [], small).collect()}
-        for g, want in (("a", 0.03), ("b", 0.5), ("c", 0.045)):
-            assert abs(got[g]["padj"] - want) < 1e-12
-            assert abs(10 ** -got[g]["nlp_adj"] - want) < 1e-12
-
-
-def test_settle_keeps_large_frames_lazy(spark):
-    df = spark.range(1000)
-    assert sizing.settle(df, 999).rows is None
-    kept = sizing.settle(df, 1000)
-    assert kept.small and kept.rows == 1000 and kept.df.count() == 1000
+    got = {r["gene"]: r for r in ora.bh_both(df, []).collect()}
+    for g, want in (("a", 0.03), ("b", 0.5), ("c", 0.045)):
+        assert abs(got[g]["padj"] - want) < 1e-12
+        assert abs(10 ** -got[g]["nlp_adj"] - want) < 1e-12

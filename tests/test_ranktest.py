@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrid.operators import ranktest
+from tallygrid.operators import aggregate, ranktest
+from tallygrid.operators.matrix import Matrix
 
 
 def dense(a, b):
@@ -49,12 +50,12 @@ def big(make):
 
 
 def test_stored_zeros_and_negatives(make):
-    a, b = [0, 0, 0, 1.5, 2.0], [0, 0, 1.0, 1.0, 0]
+    a, b = [0, 0.5, 0, 0, 2.5, 0.5, 0], [0, 1.0, 0, 0.5, 0, 0]
     m = make({"g": a + b}, labels(a, b))
     row = ranktest.wilcoxon(m, None, "B", "A", FREE).first()
-    assert abs(row["pct1"] - 0.4) < 1e-12 and abs(row["p"] - dense(a, b)) < 1e-12
-    a = [2.5, -0.75, 3.25, -0.75, 0.5, 4, -2.5, 1.25, 2.5, -0.25]
-    b = [-1.5, 0.25, -0.75, 1.75, -3.5, 0.5, -0.25, -1.25, 2.5, -0.5]
+    assert abs(row["pct1"] - 3 / 7) < 1e-12 and abs(row["p"] - dense(a, b)) < 1e-12
+    rng = random.Random(21)
+    a, b = ([round(rng.gauss(m, 2), 1) for _ in range(10)] for m in (0.8, -0.4))
     m = make({"g": a + b}, [("p", "s", "c")] * 10 + [("q", "s", "c")] * 10)
     rows = {r["grp"]: r for r in ranktest.markers(m, gates=FREE).collect()}
     assert abs(rows["p"]["p"] - dense(a, b)) < 1e-12 and abs(rows["q"]["p"] - dense(b, a)) < 1e-12
@@ -128,19 +129,34 @@ def test_reading_the_rows(big):
     assert counts["x"]["up"] == de.where(ranktest.significant() & (F.col("lfc") > 0) & (F.col("grp") == "x")).count()
 
 
-def test_large_results_take_the_distributed_path(big, monkeypatch):
-    """With the row bound at its least, every step takes the way beyond the bound and agrees."""
-    from tallygrid.plans import sizing
-
-    m = big[0]
-    free, gated = FREE, ranktest.Gates(0.1, 0.1)
-    small = [{(r["gene"], r["grp"]): r for r in ranktest.markers(m, gates=g).collect()} for g in (free, gated)]
-    monkeypatch.setattr(ranktest, "SETTLE_ROWS", 1)
-    monkeypatch.setattr(ranktest, "evaluate_once", lambda df: sizing.evaluate_once(df, 1))
-    monkeypatch.setattr(ranktest, "settle", lambda df: sizing.settle(df, 1))
-    for gates, want in zip((free, gated), small):
-        got = {(r["gene"], r["grp"]): r for r in ranktest.markers(m, gates=gates).collect()}
-        assert got.keys() == want.keys()
-        for k, r in got.items():
-            for c in ("pct1", "pct2", "lfc", "p", "padj", "fdr", "nlp"):
-                assert abs(r[c] - want[k][c]) < 1e-12, (k, c)
+def test_every_measured_gene_has_a_row_without_gates(make):
+    """Silent genes, and genes of a third condition only, are tested and not found."""
+    rng = random.Random(3)
+    labels_ = [("t", "s", "ABC"[i % 3]) for i in range(30)]
+    rows = {"both": [float(rng.choice([0, 1, 2])) for _ in range(30)], "silent": [0.0] * 30, "third": [float(i % 3 == 2) for i in range(30)]}
+    m = make(rows, labels_)
+    got = {r["gene"]: r for r in ranktest.wilcoxon(m, None, "A", "B", ranktest.NO_GATES).collect()}
+    assert set(got) == set(rows)
+    for g in ("silent", "third"):
+        assert (got[g]["p"], got[g]["padj"], got[g]["fdr"], got[g]["nlp"], got[g]["lfc"], got[g]["pct1"]) == (1, 1, 1, 0, 0, 0)
+    a, b = ([v for v, (_, _, c) in zip(rows["both"], labels_) if c == side] for side in "BA")
+    assert abs(got["both"]["p"] - dense(a, b)) < 1e-12
+    assert {r["gene"] for r in ranktest.wilcoxon(m, None, "A", "B").collect()} == {"both"}
+
+
+def test_small_groups_without_the_floor(make):
+    m = make({"g": [3.0, 1.0, 0, 2.0, 0, 0, 1.0, 0]}, [("one", "s", "c")] + [("two", "s", "c")] * 2 + [("rest", "s", "c")] * 5)
+    assert {r["grp"] for r in ranktest.markers(m, gates=FREE).collect()} == {"rest"}
+    got = {r["grp"]: r for r in ranktest.markers(m, gates=FREE, min_cells=1).collect()}
+    assert set(got) == {"one", "two", "rest"} and abs(got["one"]["p"] - dense([3.0], [1.0, 0, 2.0, 0, 0, 1.0, 0])) < 1e-12
+
+
+def test_many_levels(spark):
+    """More levels than 16 bits can number."""
+    cells = spark.range(70_000).select(
+        F.col("id").alias("cell_id"), F.concat(F.lit("t"), F.col("id")).alias("type"), F.lit("s").alias("sample"), F.lit("c").alias("cond"))
+    expr = spark.createDataFrame([("g", 5, 2.0)], "gene string, cell_id bigint, value float")
+    m = Matrix(expr, cells, spark.createDataFrame([("g", 0)], "gene string, gene_id bigint"))
+    rows = ranktest.markers(m, gates=ranktest.Gates(0.1, 0.0), min_cells=1).collect()
+    assert [r["grp"] for r in rows] == ["t5"]
+    assert aggregate.dot_grid(m).count() == 70_000

@@ -16,35 +16,45 @@ from tallygrid.streaming import parts
 @pytest.fixture(scope="module")
 def split(make, spark):
     rng = random.Random(4)
-    value = lambda g, c: 0.0 if (7 * g + 3 * c) % 5 == 0 else ((g + 1) * (c + 2)) % 11
-    dense = {f"G{g}": [float(value(g, c)) for c in range(25)] for g in range(6)}
-    m = make(dense, [(("Neuron", "Astrocyte")[c % 2], f"s{c // 6}", ("ctrl", "drug")[c // 12 % 2]) for c in range(25)])
+    dense = {f"G{g}": [float(rng.choice([0, 0, 1, 2, 5, 9])) for _ in range(25)] for g in range(6)}
+    m = make(dense, [(rng.choice(["dry", "wet"]), f"s{c // 6}", ("low", "high")[c // 12 % 2]) for c in range(25)])
     cells = m.cells.withColumns({"x": F.col("cell_id").cast("float"), "y": F.lit(rng.random()).cast("float")})
     return Matrix(m.expr, cells, m.genes)
 
 
-@pytest.mark.parametrize("chunk", [0, 4])
-def test_split_object_equals_the_whole(split, chunk):
-    files = bundle.build(split, "any-name/bundle@1", 7, chunk)
-    assert files.count() == 4
-    back = bundle.ingest(files)
+def in_blocks(m, size):
+    return bundle.dealt(m, m.cells.withColumn("part", F.floor(F.col("cell_id") / size)))
+
+
+def test_parts_equal_the_whole(split, spark):
+    parts = in_blocks(split, 7)
+    assert bundle.violations(parts).count() == 0 and parts.cells.select("part").distinct().count() == 4
+    back = bundle.ingest(parts)
     key = ["gene", "cell_id", "value"]
     assert sorted(map(tuple, back.expr.select(*key).collect())) == sorted(map(tuple, split.nonzero().select(*key).collect()))
     labels = ["cell_id", "type", "sample", "cond", "x"]
     assert sorted(map(tuple, back.cells.select(*labels).collect())) == sorted(map(tuple, split.cells.select(*labels).collect()))
     assert [r["gene"] for r in back.genes.orderBy("gene_id").collect()] == [f"G{g}" for g in range(6)]
-
-
-def test_damage_is_refused(split, spark):
-    good = bundle.build(split, "x/bundle@1", 100, 0)
-    wrong = bundle.build(split, "x/bundle@2", 100, 0)
-    with pytest.raises(Exception, match="not a bundle"):
-        bundle.part_meta(wrong).collect()
-    other = Matrix(split.expr.where("gene <> 'G0'"), split.cells, split.genes.where("gene <> 'G0'"))
-    both = good.unionByName(bundle.build(other, "x/bundle@1", 100, 0).withColumn("part", F.lit("part-9.zip")))
-    assert [tuple(r) for r in bundle.violations(bundle.part_meta(both)).collect()] == [("part-9.zip", "gene list")]
-    with pytest.raises(ValueError, match="gene list"):
-        bundle.ingest(both)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/parts-test"
+    bundle.split_parts(split, path, 3)
+    again = bundle.read_parts(spark, path)
+    assert bundle.ingest(again).expr.count() == split.nonzero().count() and bundle.violations(again).count() == 0
+
+
+def test_damage_is_found(split):
+    parts = in_blocks(split, 7)
+    short = parts.genes.where("NOT (part = 2 AND gene = 'G0')")
+    found = {tuple(r) for r in bundle.violations(parts._replace(genes=short)).collect()}
+    has = split.nonzero().where("gene = 'G0' AND cell_id BETWEEN 14 AND 20").count() > 0
+    assert found == {(2, "gene list")} | ({(2, "value outside the genes")} if has else set())
+    moved = parts.genes.withColumn("pos", F.when(F.col("part") == 3, 5 - F.col("pos")).otherwise(F.col("pos")))
+    assert {tuple(r) for r in bundle.violations(parts._replace(genes=moved)).collect()} == {(3, "gene list")}
+    cells = parts.cells.where("NOT (part = 1 AND local_id = 0)")
+    twice = cells.unionByName(cells.where("part = 0 AND local_id = 1")).withColumn(
+        "cond", F.when(F.col("part") < 3, F.col("cond")))
+    found = {tuple(r) for r in bundle.violations(parts._replace(cells=twice)).collect()}
+    assert found == {(1, "value outside the cells"), (0, "repeated cell"), (3, "cell without a label")}
 
 
 def test_parts_hold_whole_samples_when_they_can(split):
@@ -61,29 +71,27 @@ def test_level_union(spark):
         kn = spark.createDataFrame(list(enumerate(known)), "ord int, level string").select("level", "ord") if known else None
         return [r["level"] for r in levels.union_levels(df, kn).orderBy("ord").collect()]
 
-    assert order("ACE", "BCD", "AB", "DE") == list("ABCDE")
-    assert order(["e8.5"], ["e10.0"], ["e7.0"], ["e8.0"]) == ["e7.0", "e8.0", "e8.5", "e10.0"]
-    assert order(["Treated", "Control"], ["Control"], ["Treated"]) == ["Treated", "Control"]
-    assert sorted(order("BC", "CB")) == ["B", "C"]
-    assert order("ab", "cd", known=["d", "z", "a"]) == ["d", "a", "b", "c"]
+    assert order("KMP", "LMN", "KL", "NP") == list("KLMNP")
+    assert order(["day 12"], ["day 3"], ["day 3.5"]) == ["day 3", "day 3.5", "day 12"]
+    assert order(["warm", "cold"], ["cold"], ["warm"]) == ["warm", "cold"]
+    assert sorted(order("uv", "vu")) == ["u", "v"]
+    assert order("gh", "ij", known=["j", "q", "g"]) == ["j", "g", "h", "i"]
 
 
-DIALECTS = [
-    'my_sets = {"A": ["Cs", "Aco2",],  # note\n "B": ["Hk1", "Pkm"],}', '{"A": ["Cs", "Aco2"], "B": ["Hk1", "Pkm"]}',
-    '[{"name": "A", "genes": ["Cs", "Aco2"]}, {"id": "B", "symbols": ["Hk1", "Pkm"]}]', '{"A": {"genes": ["Cs", "Aco2"]}, "B": {"members": ["Hk1", "Pkm"]}}',
-    'list(A = c("Cs", "Aco2"), B = c("Hk1", "Pkm"))', 'list(A = c(Cs, Aco2), B = c(Hk1, Pkm))',
-    "A\ta description\tCs\tAco2\nB\thttp://x.org\tHk1\tPkm\n", "A\tCs\tAco2\nB\tHk1\tPkm", "A: Cs, Aco2\nB: Hk1; Pkm", "A: Cs, Aco2\r\nB: 'Hk1' 'Pkm'\r\n",
-    "A: X, Y\nA: Cs, Aco2, Cs\nB: Hk1, Pkm"]
+SPELLINGS = [
+    '{"North": ["Elm", "Oak"], "South": ["Fig", "Pine"]}', "North\tsome trees\tElm\tOak\nSouth\thttps://trees.example\tFig\tPine\n",
+    "North\tElm\tOak\nSouth\tFig\tPine", "North: Elm, Oak\nSouth: Fig; Pine", "North: Elm  Oak\r\n\r\nSouth: Fig,Pine\r\n",
+    "North: Ash\nNorth: Elm, Oak, Elm\nSouth: Fig, Pine"]
 
 
-def test_set_dialects(spark):
-    df = spark.createDataFrame([(f"f{i:02d}", t) for i, t in enumerate(DIALECTS)] + [("bare", "Cs Aco2 Mdh2")], "path string, value string")
+def test_set_spellings(spark):
+    texts = [(f"f{i}", t) for i, t in enumerate(SPELLINGS)] + [("bare", "Elm Oak\nFig")]
     got = {}
-    for r in genesets.parse_sets(df).collect():
+    for r in genesets.parse_sets(spark.createDataFrame(texts, "path string, value string")).collect():
         got.setdefault(r["path"], {})[r["set_name"]] = r["genes"]
-    assert got.pop("bare") == {"bare": ["Cs", "Aco2", "Mdh2"]}
+    assert got.pop("bare") == {"bare": ["Elm", "Oak", "Fig"]}
     for path, found in got.items():
-        assert found == {"A": ["Cs", "Aco2"], "B": ["Hk1", "Pkm"]}, path
+        assert found == {"North": ["Elm", "Oak"], "South": ["Fig", "Pine"]}, path
 
 
 def test_packed_file_must_match_its_header(spark, tmp_path):
