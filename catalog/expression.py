@@ -147,8 +147,8 @@ pick AS (SELECT cell_id, grp, i // greatest(1, n // 400) AS k FROM pos WHERE i %
 vals AS MATERIALIZED (SELECT g.gene, grp, k, COALESCE(value, CAST(0 AS FLOAT)) AS value
   FROM genes g CROSS JOIN pick LEFT JOIN expr e ON e.gene = g.gene AND e.cell_id = pick.cell_id)"""
 
-BANDWIDTH = """, used AS MATERIALIZED (SELECT gene, grp, value FROM (
-    SELECT *, COUNT(*) OVER (PARTITION BY gene, grp) AS c FROM vals) WHERE k % greatest(1, c // 300) = 0),
+BANDWIDTH = """, used AS MATERIALIZED (SELECT g.gene, type AS grp, COALESCE(value, CAST(0 AS FLOAT)) AS value
+  FROM genes g CROSS JOIN lab LEFT JOIN expr e ON e.gene = g.gene AND e.cell_id = lab.cell_id),
 ord AS (SELECT gene, grp, value, row_number() OVER (PARTITION BY gene, grp ORDER BY value) - 1 AS i, COUNT(*) OVER (PARTITION BY gene, grp) AS n FROM used),
 st AS (SELECT gene, grp, MAX(n) AS n, stddev_samp(CAST(value AS DOUBLE)) AS sd, MIN(value) AS lo, MAX(value) AS hi,
   CAST(MAX(CASE WHEN i = least(n - 1, CAST(floor(0.75 * n) AS BIGINT)) THEN value END) AS DOUBLE)
@@ -162,13 +162,18 @@ def _(spark, sf):
     return rounded(aggregate.violin_values(retail(spark, sf)), "value")
 
 
-@register("bandwidth", f"{VECTORS}{STRIDED}{BANDWIDTH} SELECT gene, grp, n, {r('h')} AS h FROM bw")
+@register("bandwidth", f"{VECTORS}{BANDWIDTH} SELECT gene, grp, n, {r('h')} AS h FROM bw")
 def _(spark, sf):
-    return rounded(shape.bandwidth(aggregate.violin_values(vectors(spark, sf)), ["gene", "grp"]), "h").select("gene", "grp", "n", "h")
+    return rounded(shape.bandwidth(shape.value_counts(vectors(spark, sf)), ["gene", "grp"]), "h").select("gene", "grp", "n", "h")
 
 
-@register("violin_density", f"""{VECTORS}{STRIDED}{BANDWIDTH},
-sp AS (SELECT gene, least(0.0, MIN(CAST(value AS DOUBLE))) AS a, MAX(CAST(value AS DOUBLE)) AS b FROM vals GROUP BY 1),
+@register("bandwidth_sparse", f"{RETAIL}{BANDWIDTH} SELECT gene, grp, n, {r('h')} AS h FROM bw")
+def _(spark, sf):
+    return rounded(shape.bandwidth(shape.value_counts(retail(spark, sf)), ["gene", "grp"]), "h").select("gene", "grp", "n", "h")
+
+
+@register("violin_density", f"""{VECTORS}{BANDWIDTH},
+sp AS (SELECT gene, least(0.0, MIN(CAST(value AS DOUBLE))) AS a, MAX(CAST(value AS DOUBLE)) AS b FROM used GROUP BY 1),
 gr AS (SELECT bw.*, a, b, step, a + (b - a) * step / 26 AS x FROM bw JOIN sp USING (gene) CROSS JOIN range(0, 27) AS s(step)),
 ms AS (SELECT gr.gene, gr.grp, step, CASE WHEN h <= 0 THEN MAX(CASE WHEN step = floor((lo - a) / (CASE WHEN a = b THEN 1.0 ELSE b - a END) * 26 + 0.5) THEN 1.0 ELSE 0.0 END)
   WHEN x < lo OR x > hi THEN 0.0 ELSE SUM(CASE WHEN abs((CAST(value AS DOUBLE) - x) / h) <= 4 THEN exp(-0.5 * ((CAST(value AS DOUBLE) - x) / h) * ((CAST(value AS DOUBLE) - x) / h)) ELSE 0.0 END) END AS mass

@@ -248,19 +248,19 @@ def _(spark, sf):
     return rounded(correlate.correlate(m, axis, correlate.seed_profile(m, axis, SEED)), "r", "pct")
 
 
-@register("within_set_corr", f"""{RETAIL}{AXIS}{SETS}, mem AS (SELECT DISTINCT set_id, gene FROM members WHERE source IN ('brand', 'type'))
+@register("within_set_corr", f"""{RETAIL}{AXIS}{SETS}, mem AS (SELECT DISTINCT set_id, gene FROM members)
 SELECT ma.set_id, a.gene AS gene_a, b.gene AS gene_b, {r('corr(a.mean, b.mean)')} AS r FROM mem ma JOIN mem mb ON mb.set_id = ma.set_id AND ma.gene <= mb.gene
 JOIN prof a ON a.gene = ma.gene JOIN prof b ON b.gene = mb.gene AND b.bucket = a.bucket GROUP BY 1, 2, 3""")
 def _(spark, sf):
     m = retail(spark, sf)
-    lib = views.retail_sets(spark, sf).where("source IN ('brand', 'type')")
+    lib = views.retail_sets(spark, sf)
     return rounded(correlate.within_set(m, axes.group_axis(m.cells), lib), "r")
 
 
 @register("set_coherence")
 def _(spark, sf):
     m = retail(spark, sf)
-    lib = views.retail_sets(spark, sf).where("source IN ('brand', 'type')")
+    lib = views.retail_sets(spark, sf)
     return rounded(correlate.set_coherence(m, axes.group_axis(m.cells), lib), "weight", "coherence", "mean_r")
 
 

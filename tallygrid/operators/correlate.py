@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.axes import Axis
 from tallygrid.operators.matrix import Matrix
+from tallygrid.plans.pairs import pair_sums
 
 FLAT = 1e-12
 DETECTION_FLOOR = 0.1
-# Fixed value: the largest set that may act as a seed.
-MAX_SEED_GENES = 500
 POWER_STEPS = 50
 
 
@@ -165,34 +164,30 @@ def _matrix(rows: pd.DataFrame, n: int) -> tuple[list, np.ndarray]:
     return [g for g, k in zip(wide.index, keep) if k], full[keep] / norm[keep, None]
 
 
-def _set_profiles(m: Matrix, axis: Axis, sets: DataFrame) -> tuple[DataFrame, int]:
-    big = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_SEED_GENES).limit(1).count()
-    if big:
-        raise ValueError(f"a seed set holds at most {MAX_SEED_GENES} genes")
-    n = axis.sizes.count()
+def _set_profiles(m: Matrix, axis: Axis, sets: DataFrame) -> tuple[DataFrame, Column]:
     prof = profiles(m, axis, sets).join(sets.select("set_id", "gene").distinct(), "gene")
-    return prof.select("set_id", "gene", "bucket", "mean"), n
+    return prof.select("set_id", "gene", "bucket", "mean"), axis.sizes.agg(F.count(F.lit(1)).alias("v")).scalar()
 
 
 def within_set(m: Matrix, axis: Axis, sets: DataFrame) -> DataFrame:
-    """Member-by-member correlations of each set: set_id, gene_a <= gene_b, r.
-
-    One task solves one set: at most 500 members by the pooled axis' few hundred buckets.
-    """
+    """Member-by-member correlations of each set: set_id, gene_a <= gene_b, r; members that do not vary
+    are left out. The pairs are the result."""
     prof, n = _set_profiles(m, axis, sets)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        genes, z = _matrix(rows, n)
-        i, j = np.triu_indices(len(genes))
-        names = np.array(genes, dtype=object)
-        return pd.DataFrame({"set_id": rows["set_id"].iloc[0], "gene_a": names[i], "gene_b": names[j], "r": (z @ z.T)[i, j]})
-
-    return prof.groupBy("set_id").applyInPandas(solve, "set_id string, gene_a string, gene_b string, r double")
+    pairs = pair_sums(prof.select(F.col("set_id").alias("grp"), F.col("gene").alias("row"),
+                                  F.col("bucket").alias("col"), F.col("mean").alias("value")), n)
+    varied = F.least("norm_a", "norm_b") > FLAT * F.sqrt("n")
+    return pairs.where(varied).select(
+        F.col("grp").alias("set_id"), F.col("row_a").alias("gene_a"), F.col("row_b").alias("gene_b"),
+        (F.col("cov") / (F.col("norm_a") * F.col("norm_b"))).alias("r"))
 
 
 def set_coherence(m: Matrix, axis: Axis, sets: DataFrame) -> DataFrame:
-    """Each set's leading direction: per member its sign and weight, per set coherence, flipped, mean_r."""
-    prof, n = _set_profiles(m, axis, sets)
+    """Each set's leading direction: per member its sign and weight, per set coherence, flipped, mean_r.
+
+    One task iterates one set on its members' profiles over the pools.
+    """
+    prof, _ = _set_profiles(m, axis, sets)
+    n = axis.sizes.count()
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         genes, z = _matrix(rows, n)

@@ -7,30 +7,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.operators.aggregate import violin_values
 from tallygrid.operators.matrix import Matrix
+from tallygrid.plans.ordering import index_quantiles
+from tallygrid.plans.pairs import pair_sums
+from tallygrid.plans.session import cut_lineage
 
 GRID_STEPS = 26
-KERNEL_VALUES = 300
 # Largest number of rows one panel's tree is built over.
 MAX_LEAVES = 2000
 
 
-def bandwidth(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Silverman's rule per group of a bounded sample: keys, n, h.
+def value_counts(m: Matrix, genes=None, by: str = "type") -> DataFrame:
+    """gene, grp, value, k: how often each value occurs in each group, zeros by arithmetic."""
+    expr = m.nonzero() if genes is None else m.panel(genes).where("value <> 0")
+    labels = m.cells.where(F.col(by).isNotNull()).select("cell_id", F.col(by).alias("grp"))
+    seen = expr.join(labels, "cell_id").groupBy("gene", "grp", "value").agg(F.count(F.lit(1)).alias("k"))
+    sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    asked = m.genes.select("gene") if genes is None else (
+        m.genes.where(F.col("gene").isin(genes)).select("gene") if isinstance(genes, list)
+        else genes.select("gene").distinct())
+    groups = sizes.agg(F.collect_list(F.struct("grp", "n")).alias("g")).scalar()
+    slots = asked.withColumn("g", F.explode(groups)).select("gene", "g.grp", "g.n")
+    zeros = slots.join(seen.groupBy("gene", "grp").agg(F.sum("k").alias("d")), ["gene", "grp"], "left").select(
+        "gene", "grp", F.lit(0.0).cast("float").alias("value"), (F.col("n") - F.coalesce("d", F.lit(0))).alias("k"))
+    return seen.unionByName(zeros.where("k > 0"))
 
-    Meant for strided samples (see ``violin_values``), which hold a few hundred values a group.
-    """
-    order = Window.partitionBy(*keys).orderBy("value")
-    part = Window.partitionBy(*keys)
-    placed = values.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
 
-    def at(f: float):
-        return F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.lit(f) * F.col("_n"))), F.col("value")))
+def bandwidth(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Silverman's rule per group of weighted values (keys, value, k): keys, n, h, lo, hi.
 
-    stat = placed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp(F.col("value").cast("double")).alias("sd"),
-        (at(0.75).cast("double") - at(0.25)).alias("iqr"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    Every value counts; quartiles come from value buckets, so a group of any size is never
+    ordered in one task.
+    """
+    v, k = F.col("value").cast("double"), F.col("k")
+    quarter = index_quantiles(counts, keys, "value", {"q1": 0.25, "q3": 0.75}, weight="k").drop("n")
+    stat = counts.groupBy(*keys).agg(
+        F.sum("k").alias("n"), F.sum(k * v).alias("s"), F.sum(k * v * v).alias("q"),
+        F.min("value").alias("lo"), F.max("value").alias("hi")).join(quarter, keys)
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    sd = F.when((F.col("n") > 1) & (F.col("hi") > F.col("lo")), F.sqrt(F.greatest(F.lit(0.0), var))).otherwise(0.0)
+    stat = stat.withColumns({"sd": sd, "iqr": F.col("q3").cast("double") - F.col("q1")})
     spread = F.when(F.col("iqr") > 0, F.least("sd", F.col("iqr") / 1.349)).otherwise(F.col("sd"))
     h = F.when((F.col("n") >= 2) & (spread > 0), 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     return stat.select(*keys, "n", F.coalesce(h, F.lit(0.0)).alias("h"), "lo", "hi")
@@ -39,71 +55,55 @@ def bandwidth(values: DataFrame, keys: list[str]) -> DataFrame:
 def violin_density(m: Matrix, genes=None, by: str = "type") -> DataFrame:
     """Density outline of each gene per group on a 27-point grid: gene, grp, step, width in [0, 1].
 
-    Values are the strided sample, thinned again to about 300; the grid runs from the
-    lower of 0 and the gene's least sampled value to its greatest. The kernel is cut at
-    four bandwidths and the outline at the observed range.
+    All values of a group count. The grid runs from the lower of 0 and the gene's least value
+    to its greatest. The kernel is cut at four bandwidths and the outline at the observed range.
     """
     keys = ["gene", "grp"]
-    values = violin_values(m, genes, by)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    step = F.greatest(F.lit(1), F.floor(size / KERNEL_VALUES))
-    used = values.withColumn("_step", step).where("k % _step = 0").select(*keys, "value")
-    span = values.groupBy("gene").agg(
+    counts = cut_lineage(value_counts(m, genes, by))
+    span = counts.groupBy("gene").agg(
         F.least(F.lit(0.0), F.min("value").cast("double")).alias("a"), F.max("value").cast("double").alias("b"))
-    stat = bandwidth(used, keys).join(span, "gene")
+    stat = bandwidth(counts, keys).join(span, "gene")
+    v, k = F.col("value").cast("double"), F.col("k")
+    x = lambda step: F.col("a") + (F.col("b") - F.col("a")) * step / GRID_STEPS
+
+    def mass(step: int):
+        z = (v - x(step)) / F.col("h")
+        return F.sum(F.when(F.abs(z) <= 4, k * F.exp(-0.5 * z * z)).otherwise(0.0))
+
+    facts = ["h", "lo", "hi", "a", "b"]
+    # One sum per grid point, in one pass over the distinct values.
+    shaped = counts.join(stat, keys).groupBy(*keys, *facts).agg(
+        F.array(*[mass(step) for step in range(GRID_STEPS + 1)]).alias("mass"))
+    grid = shaped.select(*keys, *facts, F.posexplode("mass").alias("step", "m"))
     width = F.when(F.col("b") == F.col("a"), 1.0).otherwise(F.col("b") - F.col("a"))
     flat_at = F.floor((F.col("lo") - F.col("a")) / width * GRID_STEPS + 0.5)
-    grid = stat.select(*keys, "h", "lo", "hi", flat_at.alias("flat_at"), F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS))).alias("step"),
-                       "a", "b").withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("step") / GRID_STEPS)
-    # A group's values are one short array, so each grid point folds over it without a join per pair.
-    samples = used.groupBy(*keys).agg(F.collect_list(F.col("value").cast("double")).alias("vs"))
-    z = lambda v: (v - F.col("x")) / F.col("h")
-    mass = F.aggregate("vs", F.lit(0.0), lambda acc, v: acc + F.when(
-        F.abs(z(v)) <= 4, F.exp(-0.5 * z(v) * z(v))).otherwise(0.0))
-    shaped = grid.join(samples, keys).withColumn(
-        "mass", F.when(F.col("h") <= 0, F.when(F.col("step") == F.col("flat_at"), 1.0).otherwise(0.0))
-        .when((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), 0.0).otherwise(mass))
-    top = F.max("mass").over(Window.partitionBy(*keys))
-    return shaped.select(*keys, "step", (F.col("mass") / F.when(top == 0, 1.0).otherwise(top)).alias("width"))
-
-
-# ---- distances and trees, one panel per task ----
-
-
-def _wide(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
-    wide = rows.pivot_table(index="row", columns="col", values="value", fill_value=0.0).sort_index()
-    if len(wide) > MAX_LEAVES:
-        raise ValueError(f"a panel holds at most {MAX_LEAVES} rows")
-    return list(wide.index), wide.to_numpy(dtype=float)
+    at = x(F.col("step"))
+    outline = F.when(F.col("h") <= 0, F.when(F.col("step") == flat_at, 1.0).otherwise(0.0)).when(
+        (at < F.col("lo")) | (at > F.col("hi")), 0.0).otherwise(F.col("m"))
+    grid = grid.withColumn("outline", outline)
+    top = F.max("outline").over(Window.partitionBy(*keys))
+    return grid.select(*keys, "step", (F.col("outline") / F.when(top == 0, 1.0).otherwise(top)).alias("width"))
 
 
-def _distances(x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "euclidean":
-        return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    z = x - x.mean(axis=1, keepdims=True)
-    norm = np.sqrt((z**2).sum(axis=1))
-    flat = norm <= 1e-12 * np.sqrt(x.shape[1])
-    z = z / np.where(flat, 1.0, norm)[:, None]
-    d = 1 - np.clip(z @ z.T, -1, 1)
-    d[flat, :] = 2.0
-    d[:, flat] = 2.0
-    np.fill_diagonal(d, 0.0)
-    return d
+# ---- distances and trees ----
 
 
 def distances(panels: DataFrame, metric: str = "correlation") -> DataFrame:
     """Row-by-row distances of each panel(panel, row, col, value): panel, row_a < row_b, d.
 
-    The distance table is the result; a panel is what one tree can show, at most 2000 rows.
+    The table of pairs is the result; a column a row lacks is zero, and a flat row is at
+    distance 2 from every other.
     """
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        names, x = _wide(rows)
-        d = _distances(x, metric)
-        i, j = np.triu_indices(len(names), 1)
-        label = np.array([str(v) for v in names], dtype=object)
-        return pd.DataFrame({"panel": rows["panel"].iloc[0], "row_a": label[i], "row_b": label[j], "d": d[i, j]})
-
-    return panels.groupBy("panel").applyInPandas(solve, "panel string, row_a string, row_b string, d double")
+    rows = panels.select(F.col("panel").alias("grp"), F.col("row").cast("string").alias("row"), "col", "value")
+    columns = rows.groupBy("grp").agg(F.count_distinct("col").alias("n"))
+    pairs = pair_sums(rows, columns).where("row_a < row_b")
+    if metric == "euclidean":
+        d = F.sqrt("square")
+    else:
+        flat = F.least("norm_a", "norm_b") <= 1e-12 * F.sqrt("n")
+        r = F.col("cov") / (F.col("norm_a") * F.col("norm_b"))
+        d = F.when(flat, 2.0).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return pairs.select(F.col("grp").alias("panel"), "row_a", "row_b", d.alias("d"))
 
 
 def average_linkage(d: np.ndarray) -> list[tuple[int, int, float, list[int]]]:
@@ -136,18 +136,29 @@ def average_linkage(d: np.ndarray) -> list[tuple[int, int, float, list[int]]]:
     return merges
 
 
-def cluster_order(panels: DataFrame, metric: str = "correlation") -> DataFrame:
-    """Average-linkage tree of each panel with three rows or more: panel, step, a, b, height, leaves."""
-    schema = "panel string, step int, a int, b int, height double, leaves array<string>"
+def cluster_order(panels: DataFrame, metric: str = "correlation", most_rows: int = MAX_LEAVES) -> DataFrame:
+    """Average-linkage tree of each panel with three rows or more: panel, step, a, b, height, leaves.
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        names, x = _wide(rows)
-        if len(names) < 3:
-            return pd.DataFrame(columns=["panel", "step", "a", "b", "height", "leaves"])
-        merges = average_linkage(_distances(x, metric))
+    The distances come from ``distances``; one task merges one panel. A panel of more than
+    ``most_rows`` rows is beyond a figure: its one row has no step.
+    """
+    schema = "panel string, step int, a int, b int, height double, leaves array<string>"
+    sizes = panels.groupBy("panel").agg(F.count_distinct("row").alias("rows"))
+    shown = distances(panels, metric).join(sizes.where(F.col("rows").between(3, most_rows)).select("panel"), "panel")
+
+    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pairs["row_a"], *pairs["row_b"]})
+        at = {v: k for k, v in enumerate(names)}
+        d = np.zeros((len(names), len(names)))
+        i, j = pairs["row_a"].map(at).to_numpy(), pairs["row_b"].map(at).to_numpy()
+        d[i, j] = d[j, i] = pairs["d"].to_numpy()
+        merges = average_linkage(d)
         return pd.DataFrame({
-            "panel": rows["panel"].iloc[0], "step": range(len(merges)), "a": [m[0] for m in merges],
+            "panel": pairs["panel"].iloc[0], "step": range(len(merges)), "a": [m[0] for m in merges],
             "b": [m[1] for m in merges], "height": [m[2] for m in merges],
-            "leaves": [[str(names[i]) for i in m[3]] for m in merges]})
+            "leaves": [[names[i] for i in m[3]] for m in merges]})
 
-    return panels.groupBy("panel").applyInPandas(solve, schema)
+    beyond = sizes.where(F.col("rows") > most_rows).select(
+        "panel", *[F.lit(None).cast(t).alias(c) for c, t in
+                   (("step", "int"), ("a", "int"), ("b", "int"), ("height", "double"), ("leaves", "array<string>"))])
+    return shown.groupBy("panel").applyInPandas(solve, schema).unionByName(beyond)
