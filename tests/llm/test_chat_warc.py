@@ -91,12 +91,11 @@ def test_archives_give_back_every_page(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
-def test_pushdown_and_headers_only(spark, monkeypatch):
+def test_pushdown_and_headers_only(spark):
     df, rows = pages(spark)
     path = shared_folder(spark, "warc-test")
     warc.write_pages(df, path)
     found = warc.read_archives(spark, path).where("record_type = 'revisit' and refers_to = 'urn:page:3'")
-    assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString().replace("isnotnull", "") or found.count()
     assert found.count() == sum(r[3:] == ("revisit", 3) for r in plain_records(rows))
     heads = warc.read_archives(spark, path, payload=False)
     assert heads.where("payload is not null").count() == 0 and heads.count() == len(rows)
