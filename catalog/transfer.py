@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import RETAIL, SETS, TEXT, r, register, retail, rounded, table, text
+from catalog.base import RETAIL, SETS, TEXT, ora_sql, r, register, retail, rounded, table, text
 from catalog.cells import PSEUDOBULK, _comp_sql, placed, pseudobulk
-from catalog.scoring import SEED
-from catalog.sets import library, strongest
+from catalog.scoring import AXIS, SEED, _corr_sql
+from catalog.sets import ASKED, CONTRAST_DE, library, strongest
 from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
 from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
 from tallygrid.plans.ordering import numbered
@@ -163,11 +163,29 @@ def _round_trip(spark, df, name: str):
     return spark.read.csv(path, header=True)
 
 
-@register("export_deg", f"""{TEXT_DE} SELECT gene, printf('%.4f', pct1) AS "pct.1", printf('%.4f', pct2) AS "pct.2",
+def _fixed_sql(v: str, digits: int) -> str:
+    return f"replace(printf('%.{digits}f', {v}), '-0.{'0' * digits}', '0.{'0' * digits}')"
+
+
+def _exp_sql(v: str) -> str:
+    return f"regexp_replace(printf('%.4e', {v}), 'e([+-])0([0-9])$', 'e\\1\\2')"
+
+
+def _p_sql(v: str) -> str:
+    return f"CASE WHEN {v} < 1e-308 THEN '<1e-308' WHEN {v} IS NULL THEN '' ELSE {_exp_sql(v)} END"
+
+
+def _written(df):
+    """Empty cells as empty texts, no negative zeros, whatever the reader makes of them."""
+    return df.select(*[F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"^-(0\.0+)$", "$1").alias(c) for c in df.columns])
+
+
+@register("export_deg", f"""{TEXT_DE} SELECT gene, {_fixed_sql('pct1', 4)} AS "pct.1", {_fixed_sql('pct2', 4)} AS "pct.2",
+{_fixed_sql('lfc', 4)} AS "log2FC", COALESCE({_fixed_sql('nlp * lfc', 3)}, '') AS combined, {_p_sql('p')} AS p, {_p_sql('padj')} AS padj,
+{_p_sql('fdr')} AS "fdr_BH", COALESCE({_fixed_sql('nlp', 4)}, '') AS neg_log10_padj,
 CASE WHEN lfc > 0 THEN 'higher in de' ELSE 'higher in en + fr' END AS direction FROM de""")
 def _(spark, sf):
-    out = tables.deg_table(text_contrast(spark, sf), "de", "en + fr")
-    return _round_trip(spark, out.select("gene", "`pct.1`", "`pct.2`", "direction"), "deg")
+    return _written(_round_trip(spark, tables.deg_table(text_contrast(spark, sf), "de", "en + fr"), "deg"))
 
 
 @register("export_markers", f"""{TEXT_MARKERS} SELECT grp AS cluster, gene, printf('%.4f', pct1) AS "pct.1" FROM de WHERE {SIG} AND lfc > 0""")
@@ -192,10 +210,13 @@ def _(spark, sf):
     return wide.select("gene", total.alias("total"))
 
 
-@register("export_enrichment")
+@register("export_enrichment", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))},
+ov AS (SELECT set_id, string_agg(gene, ' ' ORDER BY gene) AS genes FROM (SELECT DISTINCT set_id, gene FROM members WHERE gene IN ({ASKED})) GROUP BY 1)
+SELECT set_id AS id, source, CAST(overlap_size AS VARCHAR) AS overlap, CAST(set_size AS VARCHAR) AS "setSize", {_fixed_sql('fold', 3)} AS "foldEnrichment",
+{_exp_sql('p')} AS p, {_exp_sql('padj')} AS padj, genes FROM ora JOIN ov USING (set_id)""")
 def _(spark, sf):
     terms = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
-    return _round_trip(spark, tables.enrichment_table(terms), "enrichment")
+    return _written(_round_trip(spark, tables.enrichment_table(terms), "enrichment").drop("set"))
 
 
 @register("export_scores")
@@ -206,9 +227,12 @@ def _(spark, sf):
     return _round_trip(spark, tables.scores_table(summary, "type"), "scores")
 
 
-@register("export_coexpression")
+@register("export_coexpression", f"""{RETAIL}{AXIS}, c AS ({_corr_sql('SELECT COUNT(*) FROM ax')}), o AS (SELECT *,
+  row_number() OVER (ORDER BY r DESC, gene) AS i, row_number() OVER (ORDER BY r, gene DESC) AS j FROM c WHERE r IS NOT NULL),
+e AS (SELECT * FROM o WHERE i <= 25 UNION ALL SELECT * FROM o WHERE j <= 25)
+SELECT gene, {_fixed_sql('r', 4)} AS pearson_r, {_fixed_sql('pct', 4)} AS detected, CASE WHEN gene = '{SEED}' THEN 'yes' ELSE 'no' END AS is_seed_member FROM e""")
 def _(spark, sf):
     m = retail(spark, sf)
     axis = axes.group_axis(m.cells)
-    rows = correlate.correlate(m, axis, correlate.seed_profile(m, axis, SEED))
-    return _round_trip(spark, tables.coexpression_table(correlate.corr_top(rows, 25, [SEED])), "coexpression")
+    rows = rounded(correlate.correlate(m, axis, correlate.seed_profile(m, axis, SEED)), "r", "pct")
+    return _written(_round_trip(spark, tables.coexpression_table(correlate.corr_top(rows, 25, [SEED])), "coexpression"))
