@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import RETAIL, SETS, TEXT, ora_sql, r, register, retail, rounded, table, text
 from catalog.cells import PSEUDOBULK, _comp_sql, placed, pseudobulk
-from catalog.scoring import AXIS, SEED, _corr_sql
+from catalog.scoring import AXIS, MARKS, SCORES, SEED, _corr_sql, quantile_sql
 from catalog.sets import ASKED, CONTRAST_DE, library, strongest
 from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
 from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
@@ -188,9 +188,11 @@ def _(spark, sf):
     return _written(_round_trip(spark, tables.deg_table(text_contrast(spark, sf), "de", "en + fr"), "deg"))
 
 
-@register("export_markers", f"""{TEXT_MARKERS} SELECT grp AS cluster, gene, printf('%.4f', pct1) AS "pct.1" FROM de WHERE {SIG} AND lfc > 0""")
+@register("export_markers", f"""{TEXT_MARKERS} SELECT grp AS cluster, gene, {_fixed_sql('lfc', 4)} AS "log2FC", {_fixed_sql('pct1', 4)} AS "pct.1",
+{_fixed_sql('pct2', 4)} AS "pct.2", {_p_sql('p')} AS p, {_p_sql('padj')} AS padj, {_fixed_sql('nlp', 4)} AS neg_log10_padj
+FROM de WHERE {SIG} AND lfc > 0""")
 def _(spark, sf):
-    return _round_trip(spark, tables.markers_table(ranktest.markers(text(spark, sf))).select("cluster", "gene", "`pct.1`"), "markers")
+    return _written(_round_trip(spark, tables.markers_table(ranktest.markers(text(spark, sf))), "markers"))
 
 
 @register("export_composition", f"""{TEXT}{_comp_sql('type', 'sample')} SELECT row0 AS sample, part AS type, cells, row_total, samples, printf('%.6f', fraction) AS fraction FROM comp""")
@@ -219,12 +221,15 @@ def _(spark, sf):
     return _written(_round_trip(spark, tables.enrichment_table(terms), "enrichment").drop("set"))
 
 
-@register("export_scores")
+@register("export_scores", f"""{RETAIL}{SCORES}, sl AS (SELECT set_id, type, CAST(score AS FLOAT) AS v FROM sc JOIN lab USING (cell_id) WHERE set_id = 'TYPE_PROMO'),
+q AS ({quantile_sql('sl', 'set_id, type', 'v', MARKS, 5)}), a AS (SELECT set_id, type, AVG(CAST(v AS DOUBLE)) AS mean FROM sl GROUP BY 1, 2)
+SELECT type AS identity, CAST(n AS VARCHAR) AS cells, {_fixed_sql('med', 4)} AS median, {_fixed_sql(r('mean', 5), 4)} AS mean,
+{_fixed_sql('q1', 4)} AS q1, {_fixed_sql('q3', 4)} AS q3 FROM q JOIN a USING (set_id, type)""")
 def _(spark, sf):
     m = retail(spark, sf)
     sets = views.retail_sets(spark, sf).where("set_id = 'TYPE_PROMO'").select("set_id", "gene", "pos")
-    summary = score.score_summary(score.score_many(m, sets), m.cells, ["type"])
-    return _round_trip(spark, tables.scores_table(summary, "type"), "scores")
+    summary = rounded(score.score_summary(score.score_many(m, sets), m.cells, ["type"]), *MARKS, "mean", digits=5)
+    return _written(_round_trip(spark, tables.scores_table(summary, "type"), "scores"))
 
 
 @register("export_coexpression", f"""{RETAIL}{AXIS}, c AS ({_corr_sql('SELECT COUNT(*) FROM ax')}), o AS (SELECT *,
