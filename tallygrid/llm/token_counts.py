@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import map_batches, texts
 
-#: Length of a part and of one call to the library, in characters.
+#: Length of a part in characters, and of one call to the library in bytes.
 PART, CALL = 2_000, 500_000
 BLANK = "▁"
 
@@ -78,7 +78,7 @@ def lengths(path: str, batch: list[str]) -> list[int]:
         for part in (parts(text) if cut else [text]):
             owners.append(k)
             held.append(part)
-            size += len(part)
+            size += len(part.encode())
             if size >= CALL:
                 encode()
                 size = 0
