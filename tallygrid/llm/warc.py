@@ -92,7 +92,7 @@ def member_length(start: bytes) -> int | None:
     return fields[7] if fields[5] == b"sl" else None
 
 
-def headers(block: bytes) -> dict[str, str]:
+def headers(block: bytes | bytearray) -> dict[str, str]:
     """Header fields by lower-case name; the status or version line is left out."""
     lines = block.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines) if k.strip()}
@@ -114,7 +114,7 @@ class Archive:
                 return
             length = member_length(first)
             inflate = zlib.decompressobj(31)
-            text = inflate.decompress(first, 1 << 16)
+            text = bytearray(inflate.decompress(first, 1 << 16))
             pending = inflate.unconsumed_tail
 
             def more() -> bool:
@@ -140,7 +140,7 @@ class Archive:
                 if take and with_payload and fields["record_type"] != "revisit":
                     block = text[len(warc) + 4:]
                     size = int(headers(warc).get("content-length", len(block)))
-                    payload = block[:size].partition(_GAP)[2]
+                    payload = bytes(block[:size].partition(_GAP)[2])
             if take:
                 yield fields, payload
             at = at + length if length else self.stream.tell() - len(inflate.unused_data) - len(pending)
