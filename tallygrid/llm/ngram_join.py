@@ -301,10 +301,11 @@ def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
     kept = (
         Join(docs, **parameters).documents()
         .where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-        .select(F.col("doc_id").alias("_kept")).distinct()
+        .select(F.col("doc_id").alias("kept")).distinct()
     )
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]))
-    first = Window.partitionBy("_kept", "text").orderBy(*[c for c in docs.columns if c in ("lang", "source", "n_chars")] or ["_kept"])
-    number = F.row_number().over(first)
-    return rows.withColumn("_number", number).where(
-        (F.col("_number") == 1) | F.col("_kept").isNull()).select(*[docs[c] for c in docs.columns])
+    # Whole rows travel as one column, so no name of theirs can clash.
+    whole = docs.select(F.struct("*").alias("row"))
+    rows = whole.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept")))
+    order = [F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or [F.col("kept")]
+    number = F.row_number().over(Window.partitionBy("kept", "row.text").orderBy(*order))
+    return rows.withColumn("number", number).where((F.col("number") == 1) | F.col("kept").isNull()).select("row.*")
