@@ -103,6 +103,24 @@ def _(spark, sf):
     return prep.extra_column(docs.join(table(spark, sf, "labels"), "doc_id", "left"), "quality")
 
 
+@register("carried_columns", """WITH k AS (
+  SELECT 'c_mktsegment' AS "column", COUNT(DISTINCT c_mktsegment) AS levels FROM customer
+  UNION ALL SELECT 'c_name', COUNT(DISTINCT c_name) FROM customer
+  UNION ALL SELECT 'one', 1 UNION ALL SELECT 'debt', COUNT(DISTINCT c_acctbal < 0) FROM customer)
+SELECT "column", levels FROM k WHERE levels BETWEEN 2 AND 100""")
+def _(spark, sf):
+    cust = table(spark, sf, "customer").withColumns({"one": F.lit("x"), "debt": F.when(F.col("c_acctbal") < 0, "debt")})
+    return prep.carried_columns(cust, ["c_mktsegment", "c_name", "one", "debt"], 100)
+
+
+@register("recode_levels", f"""{RETAIL}, f AS (SELECT type, row_number() OVER (ORDER BY MIN(cell_id)) - 1 AS type_ord FROM lab GROUP BY 1)
+SELECT cell_id, type, type_ord FROM lab JOIN f USING (type)""")
+def _(spark, sf):
+    cells = retail(spark, sf).cells
+    coded = levels.recode(cells, prep.level_order(cells, "type"), "type")
+    return coded.select("cell_id", "type", F.col("type_ord").cast("long").alias("type_ord"))
+
+
 @register("groupings", """WITH k AS (
   SELECT 'c_mktsegment' AS "column", COUNT(DISTINCT c_mktsegment) AS levels, COUNT(*) AS n FROM customer
   UNION ALL SELECT 'c_name', COUNT(DISTINCT c_name), COUNT(*) FROM customer
@@ -150,6 +168,22 @@ def _(spark, sf):
     return prep.merge_pseudobulk(a.unionByName(b))
 
 
+@register("pseudobulk_merge_gate", f"""{RETAIL}{PSEUDOBULK} SELECT 'alike' AS parts, COUNT(*) AS n FROM pb
+UNION ALL SELECT 'other genes', 0 UNION ALL SELECT 'no table', 0""")
+def _(spark, sf):
+    """Rows merged of two parts with the same genes, with a gene that one lacks, and with a third part without a table."""
+    cells = retail(spark, sf).cells.withColumn("part", F.pmod("cell_id", F.lit(2)))
+    counts = views.retail_counts(spark, sf)
+    both = [prep.pseudobulk(counts, cells.where(F.col("part") == k)).withColumn("part", F.lit(k)) for k in (0, 1)]
+    parts = both[0].unionByName(both[1])
+    genes = retail(spark, sf).genes.select("gene", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("part"))
+    odd = (F.col("part") == 1) & F.col("gene").startswith("Brand#1")
+    cases = {"alike": genes.where("part < 2"), "other genes": genes.where((F.col("part") < 2) & ~odd), "no table": genes}
+    tallies = [prep.merge_pseudobulk(parts, part_genes=g).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("parts"), "n")
+               for c, g in cases.items()]
+    return tallies[0].unionByName(tallies[1]).unionByName(tallies[2])
+
+
 # ---- roles and filters ----
 
 
@@ -293,6 +327,18 @@ def _(spark, sf):
     return rounded(aggregate.qc_summary(cells, ["n_counts", "n_genes"]), *aggregate.QUARTILES)
 
 
+@register("qc_summary_mito", f"""{RETAIL}, s AS (SELECT o_custkey AS cell_id,
+  100 * SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / SUM(l_quantity) AS share
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+long AS (SELECT sample, 'pct_mito' AS covariate, CAST(share AS FLOAT) AS v FROM lab JOIN s USING (cell_id))
+{quantile_sql('long', 'sample, covariate', 'v', aggregate.QUARTILES)}""")
+def _(spark, sf):
+    item, order = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    share = item.join(order, item.l_orderkey == order.o_orderkey).groupBy(F.col("o_custkey").alias("cell_id")).agg(
+        (100 * F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("pct_mito"))
+    return rounded(aggregate.qc_summary(retail(spark, sf).cells.join(share, "cell_id"), ["pct_mito"]), *aggregate.QUARTILES)
+
+
 @register("centroids", f"""{RETAIL}{GEOMETRY}, p AS (SELECT type, x, y FROM lab JOIN geo USING (cell_id)),
 a AS ({quantile_sql('p', 'type', 'x', {'x': 0.5})}), b AS ({quantile_sql('p', 'type', 'y', {'y': 0.5})})
 SELECT type, x, y, a.n AS cells FROM a JOIN b USING (type)""")

@@ -195,6 +195,48 @@ def _(spark, sf):
         F.col("p_partkey").alias("gene_id"), F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("alias")))
 
 
+NAMES = """WITH p AS (SELECT p_partkey AS gene_id, 'P' || p_partkey AS other, p_name AS bare FROM part),
+n AS (SELECT bare, COUNT(*) AS n FROM p GROUP BY 1),
+g AS (SELECT gene_id, CASE WHEN n > 1 THEN bare || ' (' || other || ')' ELSE bare END AS gene, bare, other FROM p JOIN n USING (bare))"""
+
+
+def named_parts(spark, sf):
+    """Parts as genes with a display name, a bare name and an accession."""
+    return sets.gene_names(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("gene_id"), F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("alias")
+    )).withColumnRenamed("display", "gene")
+
+
+@register("resolve_any_name", NAMES + """, i AS (SELECT DISTINCT unnest([lower(gene), lower(bare), lower(other)]) AS l, gene, gene_id FROM g),
+w AS (SELECT p_partkey AS pos, ' p' || 2 * p_partkey AS word FROM part UNION ALL SELECT 1000000000 + p_partkey, upper(p_name) || ' ' FROM part)
+SELECT gene, gene_id, MIN(pos) AS pos FROM w JOIN i ON lower(trim(word)) = l GROUP BY 1, 2""")
+def _(spark, sf):
+    """Accessions and shared names resolve to every gene that answers to them."""
+    key = F.col("p_partkey")
+    words = table(spark, sf, "part").select(F.explode(F.array(
+        F.struct(key.alias("pos"), F.concat(F.lit(" p"), (2 * key).cast("string")).alias("word")),
+        F.struct((key + 1_000_000_000).alias("pos"), F.concat(F.upper("p_name"), F.lit(" ")).alias("word")))).alias("w")).select("w.*")
+    found, _ = sets.resolve(words, named_parts(spark, sf))
+    return found.select("gene", "gene_id", "pos")
+
+
+@register("rank_any_name", NAMES + """, b AS (SELECT gene, least(""" + ", ".join(
+    f"CASE WHEN lower({c}) = 'p1' THEN 0 WHEN starts_with(lower({c}), 'p1') THEN 1 WHEN contains(lower({c}), 'p1') THEN 2 ELSE 3 END"
+    for c in ("gene", "bare", "other")) + """) AS band FROM g)
+SELECT gene, band FROM b WHERE band < 3 ORDER BY band, length(gene), gene LIMIT 8""")
+def _(spark, sf):
+    return sets.rank_genes(named_parts(spark, sf), "P1").withColumn("band", F.col("band").cast("long"))
+
+
+@register("natural_order", r"""WITH n AS (SELECT DISTINCT p_brand || ' ' || p_size || '/' || p_type AS name FROM part)
+SELECT name, array_to_string(list_transform(regexp_extract_all(lower(name), '\d+|\D+'),
+  lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 20, '0') ELSE p END), '') AS sort_key FROM n""")
+def _(spark, sf):
+    name = F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"), F.lit("/"), "p_type")
+    names = table(spark, sf, "part").select(name.alias("name")).distinct()
+    return names.select("name", sets.natural_key(F.col("name")).alias("sort_key"))
+
+
 @register("readable_name", f"""{RETAIL}{SETS}, s AS (SELECT DISTINCT 'GOBP_' || set_id AS set_id FROM members UNION SELECT DISTINCT set_id FROM members),
 w AS (SELECT set_id, lower(replace(regexp_replace(set_id, '^(HALLMARK|GOBP|GOMF|GOCC|KEGG_MEDICUS|KEGG|REACTOME|WP|BIOCARTA|HP|MODULE)_', ''), '_', ' ')) AS w FROM s)
 SELECT set_id, upper(w[1:1]) || w[2:] AS name FROM w""")
@@ -219,6 +261,17 @@ def _(spark, sf):
     return sets.detect_species(words)
 
 
+@register("detect_species_accession", """WITH g AS (SELECT CASE WHEN p_size > 40 THEN 'ENSG' ELSE 'ENSMUSG' END || p_partkey AS id FROM part),
+v AS (SELECT COUNT(*) FILTER (starts_with(id, 'ENSMUSG')) AS mo, COUNT(*) FILTER (starts_with(id, 'ENSG')) AS hu FROM g)
+SELECT CASE WHEN mo > hu THEN 'mouse' ELSE 'human' END AS species, 'accession' AS decided_by, greatest(mo, hu) / CAST(mo + hu AS DOUBLE) AS support FROM v""")
+def _(spark, sf):
+    """The accession column settles the species before the display names are asked."""
+    prefix = F.when(F.col("p_size") > 40, "ENSG").otherwise("ENSMUSG")
+    genes = table(spark, sf, "part").select(
+        F.upper("p_name").alias("gene"), F.concat(prefix, F.col("p_partkey").cast("string")).alias("id"))
+    return sets.detect_species(genes, accession="id")
+
+
 @register("match_rate", r"""WITH g AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS gene FROM documents),
 b AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS gene FROM benchmark)
 SELECT COUNT(b.gene) / CAST(COUNT(*) AS DOUBLE) AS rate FROM g LEFT JOIN b USING (gene)""")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.base import (DE_COLUMNS, RETAIL, TEXT, VECTORS, de_rounded, r, rank_test_sql, register, retail, rounded,
                           table, tail_sql, text, vectors)
+from catalog.expression import grid_sql
 from tallygrid.functions import special
-from tallygrid.operators import ranktest
+from tallygrid.operators import aggregate, ranktest
 
 BY_TYPE = "SELECT cell_id, type AS grp FROM lab"
 BY_TYPE_IN_ASIA = f"{BY_TYPE} WHERE cond = 'ASIA'"
@@ -77,6 +78,15 @@ def _(spark, sf):
     return rounded(top.select("grp", "gene", F.col("rank").cast("long").alias("rank"), "lfc", "nlp"), "lfc", "nlp")
 
 
+@register("markers_dot_grid", f"""{TEXT_MARKERS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY nlp DESC, abs(lfc) DESC, gene) AS rank
+  FROM de WHERE {SIG} AND lfc > 0){grid_sql('type')}
+SELECT gene, grp, n, {r('mean')} AS mean, pct FROM dots WHERE gene IN (SELECT gene FROM o WHERE rank <= 5)""")
+def _(spark, sf):
+    """The five best markers of every type, each shown in all types."""
+    m = text(spark, sf)
+    return rounded(aggregate.dot_grid(m, ranktest.top_markers(ranktest.markers(m), 5)), "mean")
+
+
 @register("de_wilcoxon", f"{rank_test_sql(RETAIL, CONTRAST, ONE, 0.1, 0.0, carry=True)} SELECT {DE_COLUMNS} FROM de")
 def _(spark, sf):
     return de_rounded(contrast(spark, sf))

@@ -106,6 +106,17 @@ def _(spark, sf):
     return genesets.read_gmt(spark, path).select("set_id", "gene")
 
 
+@register("read_gmt_described", f"{RETAIL}{SETS} SELECT set_id, set_id AS set_name, gene FROM members")
+def _(spark, sf):
+    """Ad-hoc files: brands have a description in column two, types go on with their genes there, sizes leave it empty."""
+    path = scratch(spark, "gmt")
+    genes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda s: s["gene"]), "\t")
+    about = F.when(F.col("source") == "brand", "all parts of a brand").when(F.col("source") == "size", "")
+    library(spark, sf).groupBy("source", "set_id").agg(genes.alias("g")).select(
+        F.concat_ws("\t", "set_id", about, "g").alias("value")).write.text(path)
+    return genesets.read_gmt(spark, path, drop_second=False).select("set_id", "set_name", "gene")
+
+
 @register("read_msig", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members")
 def _(spark, sf):
     path = scratch(spark, "packed")

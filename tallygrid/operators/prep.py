@@ -106,6 +106,15 @@ def extra_column(cells: DataFrame, column: str) -> DataFrame:
     )
 
 
+def carried_columns(cells: DataFrame, columns: list[str], most_levels: int = 65_535) -> DataFrame:
+    """Columns that can travel with the cells: at least two levels, no annotation counted as one, and
+    no more than a 16-bit code can tell apart."""
+    levels = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("NA"))).alias(c) for c in columns]
+    long = cells.agg(*levels).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("levels")) for c in columns])).alias("s")).select("s.*")
+    return long.where(F.col("levels").between(2, most_levels))
+
+
 def groupings(cells: DataFrame, columns: list[str]) -> DataFrame:
     """Columns that group the cells: between 2 and 1000 levels, and fewer than 0.9 per cell."""
     wide = cells.agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(c).alias(c) for c in columns])
@@ -139,18 +148,30 @@ def pseudobulk_sizes(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sample", "type").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-def merge_pseudobulk(parts: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+def merge_pseudobulk(parts: DataFrame, columns: DataFrame | None = None, part_genes: DataFrame | None = None) -> DataFrame:
     """Union of several parts' columns; counts add, and so do the cells behind a shared column.
 
     ``parts`` carries a ``part`` column. ``columns`` (part, sample, type, n_cells) lists
     every part's columns; without it they are read off the rows, once per part and
     not once per gene, and a part's column that holds no count at all goes unseen.
+    ``part_genes`` (part, gene) lists the genes of every part: with it nothing is
+    merged unless each part has columns and all parts have the same genes.
     """
     if columns is None:
         columns = parts.groupBy("part", "sample", "type").agg(F.max("n_cells").alias("n_cells"))
     sizes = columns.groupBy("sample", "type").agg(F.sum("n_cells").alias("n_cells"))
     sums = parts.groupBy("gene", "sample", "type").agg(F.sum("count").alias("count"))
-    return sums.join(sizes, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
+    merged = sums.join(sizes, ["sample", "type"]).select("gene", "sample", "type", "n_cells", "count")
+    return merged if part_genes is None else merged.where(_alike(columns, part_genes).scalar())
+
+
+def _alike(columns: DataFrame, part_genes: DataFrame) -> DataFrame:
+    """One boolean: does every part have columns, and every gene occur in every part."""
+    carried = columns.select("part").distinct().withColumn("_carried", F.lit(True))
+    per_gene = part_genes.select("part", "gene").distinct().join(carried, "part", "left").groupBy("gene").agg(
+        F.count("_carried").alias("n"))
+    every = part_genes.agg(F.count_distinct("part")).scalar()
+    return per_gene.agg(F.coalesce(F.min("n"), F.lit(0)).alias("n")).select((F.col("n") == every).alias("alike"))
 
 
 def repoint(cells: DataFrame, type_col: str | None = None, cond_col: str | None = None) -> DataFrame:

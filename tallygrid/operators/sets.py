@@ -241,26 +241,34 @@ def natural_key(name: Column) -> Column:
 # ---- species ----
 
 
-def detect_species(genes: DataFrame, name: str = "gene") -> DataFrame:
-    """One row: human or mouse, what decided it, and the share that agreed. Every name votes."""
+def detect_species(genes: DataFrame, name: str = "gene", accession: str | None = None) -> DataFrame:
+    """One row: human or mouse, what decided it, and the share that agreed. Every name votes.
+
+    The ``accession`` column decides if it holds ten accessions, then the display name's
+    own accessions, then the case of the display names.
+    """
     n = F.col(name)
     letters = F.regexp_replace(n, "[^A-Za-z]", "")
     speaks = n.rlike("[A-Za-z]{2}") & (letters != "")
-    # The accession patterns of the two species.
-    mouse, human = n.rlike(r"(?i)^ENSMUS[GTP]\d"), n.rlike(r"(?i)^ENS[GTP]\d")
     is_upper = speaks & (letters == F.upper(letters))
     is_title = speaks & (letters != F.upper(letters)) & n.rlike("^[A-Z][a-z]")
-    v = genes.agg(F.count_if(mouse).alias("mouse"), F.count_if(human & ~mouse).alias("human"),
-                  F.count_if(is_upper).alias("upper"), F.count_if(is_title).alias("title"))
-    acc, cased = F.col("mouse") + F.col("human"), F.col("upper") + F.col("title")
-    said = F.when(acc >= 10, "accession").when(cased > 0, "symbols").otherwise("default")
-    return v.select(
-        F.when(acc >= 10, F.when(F.col("mouse") > F.col("human"), "mouse").otherwise("human"))
-        .when(F.col("title") > F.col("upper"), "mouse").otherwise("human").alias("species"),
-        said.alias("decided_by"),
-        F.when(acc >= 10, F.greatest("mouse", "human") / acc)
-        .when(cased > 0, F.greatest("upper", "title") / cased).otherwise(0.0).alias("support"),
-    )
+    # The accession patterns of the two species.
+    mouse, human = r"(?i)^ENSMUS[GTP]\d", r"(?i)^ENS[GTP]\d"
+    lists = [accession, name] if accession else [name]
+    votes = [c for k, col in enumerate(lists) for c in (
+        F.count_if(F.col(col).rlike(mouse)).alias(f"mouse{k}"), F.count_if(F.col(col).rlike(human)).alias(f"human{k}"))]
+    v = genes.agg(*votes, F.count_if(is_upper).alias("upper"), F.count_if(is_title).alias("title"))
+    cased = F.col("upper") + F.col("title")
+    species = F.when(F.col("title") > F.col("upper"), "mouse").otherwise("human")
+    said = F.when(cased > 0, "symbols").otherwise("default")
+    support = F.when(cased > 0, F.greatest("upper", "title") / cased).otherwise(0.0)
+    for k in reversed(range(len(lists))):
+        m, h = F.col(f"mouse{k}"), F.col(f"human{k}")
+        enough = m + h >= 10
+        species = F.when(enough, F.when(m > h, "mouse").otherwise("human")).otherwise(species)
+        said = F.when(enough, "accession").otherwise(said)
+        support = F.when(enough, F.greatest(m, h) / (m + h)).otherwise(support)
+    return v.select(species.alias("species"), said.alias("decided_by"), support.alias("support"))
 
 
 def match_rate(background: DataFrame, members: DataFrame) -> DataFrame:
