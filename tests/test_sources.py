@@ -207,3 +207,40 @@ def test_parts_that_arrive_add_up_once(spark, split):
     want = prep.pseudobulk(counts, split.cells)
     rows = lambda df: sorted((r["gene"], r["sample"], r["type"], r["n_cells"], round(r["count"], 4)) for r in df.collect())
     assert rows(got) == rows(want)
+
+
+def test_accessions_settle_the_species_before_names(spark):
+    def judged(rows, **more):
+        row = sets.detect_species(spark.createDataFrame(rows, "gene string, id string"), **more).collect()[0]
+        return row["species"], row["decided_by"], row["support"]
+
+    upper = [(f"ABC{k}", f"ENSMUSG{k}") for k in range(12)]
+    assert judged(upper, accession="id") == ("mouse", "accession", 1.0)
+    assert judged(upper) == ("human", "symbols", 1.0)
+    assert judged(upper[:9], accession="id") == ("human", "symbols", 1.0)  # too few accessions
+    turned = [(b, a) for a, b in upper]
+    assert judged(turned, accession="id") == ("mouse", "accession", 1.0)
+    assert judged([(None, None), ("7", "")], accession="id") == ("human", "default", 0.0)
+
+
+def test_pseudobulk_is_merged_only_of_like_parts(spark):
+    parts = spark.createDataFrame(
+        [(0, "g", "s", "t", 2, 5), (1, "g", "s", "t", 3, 1), (1, "h", "s", "t", 3, 4)],
+        "part int, gene string, sample string, type string, n_cells long, count long")
+    genes = [(p, g) for p in (0, 1) for g in "gh"]
+
+    def merged(genes):
+        listed = spark.createDataFrame(genes, "part int, gene string")
+        return sorted(map(tuple, prep.merge_pseudobulk(parts, part_genes=listed).collect()))
+
+    assert merged(genes) == [("g", "s", "t", 5, 6), ("h", "s", "t", 5, 4)]
+    assert merged(genes[:-1]) == []  # a part without the second gene
+    assert merged(genes + [(2, "g"), (2, "h")]) == []  # a part without a table
+    assert merged(genes + [(0, "x")]) == []
+
+
+def test_carried_columns_have_two_levels(spark):
+    cells = spark.createDataFrame([("a", None, "x"), ("b", "y", "x"), ("c", "y", "x")], "many string, gap string, one string")
+    out = prep.carried_columns(cells, ["many", "gap", "one"])
+    assert sorted(map(tuple, out.collect())) == [("gap", 2), ("many", 3)]
+    assert [r["column"] for r in prep.carried_columns(cells, ["many", "gap", "one"], 2).collect()] == ["gap"]
