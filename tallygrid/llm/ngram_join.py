@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import map_batches, stored, texts
@@ -94,8 +94,16 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, n, bands): the name and size of every document's set and its band hashes."""
+def text_key() -> Column:
+    """64 bits of a text's hash; with the id it finds a row again."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def signatures(docs: DataFrame, words: int, bands: int, rows: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, node, n, bands): the name and size of every document's set and its band hashes;
+    ``keyed``: and the key of its text."""
+    ids = ["doc_id", "key"] if keyed else ["doc_id"]
+
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             nodes, sizes, hashes = [], [], []
@@ -109,11 +117,12 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     known[node] = band_hashes(grams, bands, rows)
                 hashes.append(known.get(node))
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+                [*(batch.column(c) for c in ids), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
+                 pa.array(hashes, pa.list_(pa.int64()))], [*ids, "node", "n", "bands"])
         return work
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, "doc_id long, node long, n int, bands array<long>", make)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         *([text_key().alias("key")] if keyed else []))
+    return map_batches(source, ", ".join(f"{c} long" for c in ids) + ", node long, n int, bands array<long>", make)
 
 
 def ties(classes: DataFrame) -> DataFrame:
@@ -257,28 +266,33 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The parts of one similarity join: signatures, classes and links."""
+    """The parts of one similarity join: signatures, classes and links. ``keyed``: every class
+    also has its first row, by id (null last) and key of the text."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
-                 recall: float = RECALL, most_rows: int = MOST_ROWS):
+                 recall: float = RECALL, most_rows: int = MOST_ROWS, keyed: bool = False):
         bands, rows = choose_bands(similarity, recall, most_rows)
-        self.signatures = stored(signatures(docs, words, bands, rows), "signatures")
+        self.signatures = stored(signatures(docs, words, bands, rows, keyed), "signatures")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first") if keyed else None
         # Equal sets have equal sizes and band hashes, so any row's stand for the class.
         self.classes = stored(
             self.signatures.where(F.col("node").isNotNull()).groupBy("node").agg(
                 F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"),
-                F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+                F.first("n").alias("n"), F.first("bands").alias("bands"), *([first] if keyed else [])), "classes")
         clusters = components(stored(ties(self.classes), "ties"))
         wanted = self.classes.select("rep", "node").join(clusters, "node", "left_semi")
         self.links = stored(links(full_sets(docs, wanted, words), clusters, self.classes, similarity), "links")
 
+    def labelled(self, *columns: str) -> DataFrame:
+        """(node, columns, label): the classes, each with the smallest node of its group."""
+        label = components(self.links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return self.classes.select("node", *columns).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
     def documents(self) -> DataFrame:
         """(doc_id, class_id, n_links, set_id): the smallest id of each document's group, how many
         other documents it is linked to, and the smallest id with the same set of n-grams."""
         linked = self.links.groupBy("node").agg(F.sum("more").alias("more"))
-        label = components(self.links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        named = self.classes.select("node", "rep", "members").join(linked, "node", "left").join(label, "node", "left")
-        named = named.withColumn("label", F.coalesce("label", "node"))
+        named = self.labelled("rep", "members").join(linked, "node", "left")
         groups = named.groupBy("label").agg(F.min("rep").alias("class_id"))
         classes = named.join(groups, "label").select(
             "node", "class_id", F.col("rep").alias("set_id"),
@@ -295,17 +309,21 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of which each group of near copies keeps
-    the one with the smallest id. Wordless documents stay. Rows that share id and text are one
-    document. Of a group without any id, all rows stay."""
-    kept = (
-        Join(docs, **parameters).documents()
-        .where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-        .select(F.col("doc_id").alias("kept")).distinct()
+    """The rows of ``docs``, all columns as they are: one of each group of near copies, which is
+    the one with the smallest id, or of rows that share it the one with the smallest key of its
+    text. A null id comes after all others. Wordless documents stay. Rows that share id and text
+    are one document; wordless rows without an id are not told apart and all stay."""
+    chosen = (
+        Join(docs, keyed=True, **parameters).labelled("first").groupBy("label").agg(F.min("first").alias("first"))
+        .select("label", F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
     )
     # Whole rows travel as one column, so no name of theirs can clash.
-    whole = docs.select(F.struct("*").alias("row"))
-    rows = whole.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept")))
-    order = [F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or [F.col("kept")]
-    number = F.row_number().over(Window.partitionBy("kept", "row.text").orderBy(*order))
-    return rows.withColumn("number", number).where((F.col("number") == 1) | F.col("kept").isNull()).select("row.*")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
+    found = whole.join(chosen, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    wordless = ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = found.where(F.col("label").isNotNull() | wordless).select(
+        "row", "label", F.when(F.col("label").isNull(), F.struct("own_id", F.col("row.text"))).alias("empty"),
+        F.when(F.col("label").isNull() & F.col("own_id").isNull(), F.monotonically_increasing_id()).alias("lone"))
+    order = [F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or [F.col("row.text")]
+    number = F.row_number().over(Window.partitionBy("label", "empty", "lone").orderBy(*order))
+    return rows.withColumn("number", number).where("number = 1").select("row.*")

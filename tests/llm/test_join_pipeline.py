@@ -74,6 +74,22 @@ def test_one_document_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in plain(rows)} | wordless)
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Null ids and ids with several texts bring no copy of a kept document back."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [
+        (7, a), (None, a), (None, a + " more"),  # a copy and a near copy without an id
+        (None, b), (None, b), (None, b + " more"),  # a group without any id
+        (5, c), (5, c + " more"),  # near copies under one id
+        (3, d), (5, d + " more"),  # a copy of another document under an id that is kept
+        (None, ""), (None, ""), (None, None), (9, " "), (9, " "), (9, "")]  # wordless
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x") for i, t in rows], DOCS).repartition(3)
+    kept = [(r["doc_id"], (r["text"] or "").split()[:1]) for r in nj.one_of_each_group(docs).collect()]
+    assert sorted((i for i, w in kept if w and i is not None)) == [3, 5, 7]
+    assert sorted(w[0] for _, w in kept if w) == ["a0", "b0", "c0", "d0"]
+    assert sorted(str(i) for i, w in kept if not w) == ["9", "9", "None", "None", "None"]
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, "one two three four five six", "", "", 0, 0, ""), (7, "one two three four five six", "", "", 0, 0, "")]
     out = nj.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
