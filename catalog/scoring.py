@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import RETAIL, SETS, VECTORS, r, register, retail, rounded, vectors
+from catalog.base import ORACLES, RETAIL, SETS, VECTORS, r, register, retail, rounded, vectors
 from catalog.cells import PSEUDOBULK, placed, pseudobulk, quantile_sql
 from catalog.expression import AVERAGES
 from tallygrid.operators import axes, correlate, score
@@ -102,6 +102,49 @@ def _(spark, sf):
     return rounded(score.score_clip(scores(spark, sf)), "lo", "hi", digits=5)
 
 
+# The same over the whole library: every source's sets, named by source and id.
+ALL_SCORES = SCORES.replace("SELECT set_id, gene, pos FROM members WHERE source = 'type'",
+                            "SELECT source || '/' || set_id AS set_id, gene, pos FROM members")
+
+
+def all_sets(spark, sf):
+    return views.retail_sets(spark, sf).select(F.concat_ws("/", "source", "set_id").alias("set_id"), "gene", "pos")
+
+
+def all_scores(spark, sf):
+    return score.score_many(retail(spark, sf), all_sets(spark, sf))
+
+
+def of_all(name: str) -> str:
+    return ORACLES[name].replace(SCORES, ALL_SCORES)
+
+
+@register("control_weights_whole", of_all("control_weights"))
+def _(spark, sf):
+    out = score.control_weights(all_sets(spark, sf), score.expression_bins(score.gene_averages(retail(spark, sf))))
+    return rounded(out, "weight", digits=9)
+
+
+@register("score_many_whole", of_all("score_many"))
+def _(spark, sf):
+    return rounded(all_scores(spark, sf), "score", digits=5)
+
+
+@register("score_grid_whole", of_all("score_grid"))
+def _(spark, sf):
+    return rounded(score.score_grid(all_scores(spark, sf), retail(spark, sf).cells, ["type"]), "mean", digits=5)
+
+
+@register("score_summary_whole", of_all("score_summary"))
+def _(spark, sf):
+    return rounded(score.score_summary(all_scores(spark, sf), retail(spark, sf).cells, ["type"]), *MARKS, "mean", digits=5)
+
+
+@register("score_clip_whole", of_all("score_clip"))
+def _(spark, sf):
+    return rounded(score.score_clip(all_scores(spark, sf)), "lo", "hi", digits=5)
+
+
 # ---- axes ----
 
 
