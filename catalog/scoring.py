@@ -153,6 +153,11 @@ def _(spark, sf):
     return axes.cell_axis(retail(spark, sf).cells.where("type = 'BUILDING'")).assign
 
 
+@register("cell_axis_whole", f"{RETAIL} SELECT cell_id, cell_id AS bucket FROM lab")
+def _(spark, sf):
+    return axes.cell_axis(retail(spark, sf).cells).assign
+
+
 AXIS = """, gs AS (SELECT type, cond, COUNT(*) AS n FROM lab GROUP BY 1, 2 HAVING COUNT(*) >= 10),
 gx AS MATERIALIZED (SELECT type, cond, n, row_number() OVER (ORDER BY type, cond) - 1 AS bucket FROM gs),
 ax AS MATERIALIZED (SELECT cell_id, bucket FROM lab JOIN gx USING (type, cond)),

@@ -15,3 +15,12 @@ def test_scores_of_the_whole_library(spark):
     assert {s for s, _ in whole} == {"/".join(x) for x in lib}
     narrow = QUERIES["score_many"](spark, SF).collect()
     assert narrow and all(whole["type/" + r["set_id"], r["cell_id"]] == r["score"] for r in narrow)
+
+
+def test_wholes_hold_every_source_and_type(spark):
+    def distinct(name, *columns):
+        return {tuple(r) for r in QUERIES[name](spark, SF).select(*columns).distinct().collect()}
+    assert distinct("union_parts_whole", "source") == {("brand",), ("type",), ("size",)}
+    types = {(r["type"],) for r in retail(spark, SF).cells.select("type").distinct().collect()}
+    assert len(types) > 1 and distinct("read_pseudobulk_whole", "type") == types
+    assert QUERIES["cell_axis_whole"](spark, SF).count() == retail(spark, SF).cells.count()
