@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import (
     chat_format, language_id, ngram_join, order_minhash, packing, piece_encoding, quality_classifier, quality_rules,
-    token_counts, warc,
+    simhash_index, token_counts, warc,
 )
 from tallygrid.llm.common import vocabulary
 
@@ -80,3 +80,8 @@ def op9(spark, sf):
 @query("op10_language_id")
 def op10(spark, sf):
     return language_id.languages(table(spark, sf, "documents"))
+
+
+@query("op11_simhash_index")
+def op11(spark, sf):
+    return simhash_index.near_duplicates(table(spark, sf, "documents"))
