@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import (
-    chat_format, language_id, ngram_join, order_minhash, packing, piece_encoding, quality_classifier, quality_rules,
-    simhash_index, token_counts, warc,
+    chat_format, divergence_audit, language_id, ngram_join, order_minhash, packing, piece_encoding, quality_classifier,
+    quality_rules, simhash_index, token_counts, warc,
 )
 from tallygrid.llm.common import vocabulary
 
@@ -85,3 +85,8 @@ def op10(spark, sf):
 @query("op11_simhash_index")
 def op11(spark, sf):
     return simhash_index.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op13_divergence_audit", divergence_audit.ORACLE)
+def op13(spark, sf):
+    return divergence_audit.audit(table(spark, sf, "documents"))
