@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.llm import (
     chat_format, divergence_audit, language_id, ngram_join, order_minhash, packing, piece_encoding, quality_classifier,
-    quality_rules, simhash_index, token_counts, warc,
+    quality_rules, simhash_index, token_counts, treap_search, warc,
 )
 from tallygrid.llm.common import vocabulary
 
@@ -87,6 +87,11 @@ def op11(spark, sf):
     return simhash_index.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op12_treap_search", treap_search.ORACLE)
+def op12(spark, sf):
+    return treap_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op13_divergence_audit", divergence_audit.ORACLE)
 def op13(spark, sf):
     return divergence_audit.audit(table(spark, sf, "documents"))
