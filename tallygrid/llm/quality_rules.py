@@ -4,12 +4,20 @@ Each signal of a document is compared with the distribution of that signal among
 the documents of its language and source. Distributions are kept as mergeable
 quantile sketches: counts per logarithmic bucket, so that two sketches merge by
 adding counts, any quantile is known within a relative error of 1 %, and a group
-that holds a third of all rows is pre-aggregated before the shuffle. A group with
-few documents borrows the merged sketch of its language, then of the corpus.
+that holds a third of all rows is pre-aggregated before the shuffle. To a group's
+own sketch those of its language and of the corpus are added with the weight of
+``PRIOR`` documents each, at every size, so limits move smoothly from the corpus's
+to the group's own as a group grows.
+
+A limit lies ``REACH`` times as far beyond the ninth decile as this is from the
+median (below the first decile likewise), which is one bucket at least. Shares count events, so a document is
+out only if its count exceeds the limit by ``NOISE`` standard deviations of a count
+of that size: the allowance depends on the document's length, not on the corpus.
 
 Defined results: a null text counts as empty; null languages and sources are
-groups of their own; repeated rows give repeated results; an empty table gives an
-empty result; further columns are ignored.
+groups of their own; texts of any length are counted whole; repeated rows give
+repeated results; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,19 +31,20 @@ from tallygrid.llm.textstats import base_counts
 
 #: Ratio between the bounds of neighbouring sketch buckets.
 GAMMA = 1.02
-#: Quartile ranges beyond the median at which a document is an outlier.
-REACH = 3.0
-#: Documents a group needs before its own sketch is used.
-LEAST_GROUP = 200
-
-#: signal: (numerator, denominator, least spread, also a lower limit). The least spread is
-#: the smallest distance from the median that counts as evidence where quartiles coincide.
+#: Distances from the median to a tail decile between that decile and the limit.
+REACH = 6.0
+#: Standard deviations by which a count may exceed its limit.
+NOISE = 4.0
+#: Documents that the language's and the corpus's sketches each count for in a group, and units of a document's weight.
+PRIOR, UNIT = 20, 10_000
+
+#: signal: (numerator, denominator, a share of events). A signal that is no share has a lower limit too.
 SIGNALS = {
-    "word_length": ("word_chars", "n_words", 2.0, True),
-    "symbol_share": ("n_symbols", "n_words", 0.1, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.35, False),
-    "repeat_share": ("n_repeat_words", "n_words", 0.2, False),
-    "upper_share": ("n_upper", "n_letters", 0.2, False),
+    "word_length": ("word_chars", "n_words", False),
+    "symbol_share": ("n_symbols", "n_words", True),
+    "dup_line_share": ("n_dup_lines", "n_lines", True),
+    "repeat_share": ("n_repeat_words", "n_words", True),
+    "upper_share": ("n_upper", "n_letters", True),
 }
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
@@ -62,7 +71,7 @@ def base_failed() -> Column:
 
 def ratio(signal: str) -> Column:
     """A signal of one document; 0 where its denominator is 0."""
-    top, bottom, _, _ = SIGNALS[signal]
+    top, bottom, _ = SIGNALS[signal]
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
@@ -72,75 +81,80 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(level, lang, source, signal, bucket, n): level 0 the corpus, 1 a language, 2 a language and source."""
+    """(lang, source, signal, bucket, n) of the documents that pass the base rules."""
     each = F.explode(F.array(*[
         F.struct(F.lit(s).alias("signal"), bucket(ratio(s)).alias("bucket")) for s in SIGNALS]))
-    fine = (
+    return (
         counts.where(~base_failed()).select("lang", "source", each.alias("s"))
         .groupBy("lang", "source", "s.signal", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
     )
-    levels = F.explode(F.array(*[
-        F.struct(
-            F.lit(k).alias("level"),
-            (F.col("lang") if k > 0 else F.lit(None).cast("string")).alias("lang"),
-            (F.col("source") if k > 1 else F.lit(None).cast("string")).alias("source"))
-        for k in range(3)]))
-    return (
-        fine.select(levels.alias("g"), "signal", "bucket", "n")
-        .groupBy("g.level", "g.lang", "g.source", "signal", "bucket").agg(F.sum("n").alias("n"))
-    )
 
 
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, signal, total, q1, q2, q3) read from sketches; a group has some hundred buckets."""
-    group = ["level", "lang", "source", "signal"]
+def merged(fine: DataFrame) -> DataFrame:
+    """(lang, source, signal, bucket, weight): each group's sketch with those of its language and the corpus."""
+    def scaled(sketch: DataFrame, *keys: str) -> DataFrame:
+        # A sketch has some hundred buckets, so a window over it is small.
+        total = F.sum("n").over(Window.partitionBy(*keys, "signal"))
+        return sketch.withColumn("total", total).select(
+            *keys, "signal", "bucket", F.expr(f"({PRIOR * UNIT}L * n) div total").alias("weight"))
+    groups = fine.select("lang", "source", "signal").distinct()
+    language = scaled(fine.groupBy("lang", "signal", "bucket").agg(F.sum("n").alias("n")), "lang")
+    corpus = scaled(fine.groupBy("signal", "bucket").agg(F.sum("n").alias("n")))
+    columns = ["lang", "source", "signal", "bucket", "weight"]
+    # Sketches have some hundred buckets whatever the tables' size; each group gets its own copy.
+    from_language = groups.alias("g").join(
+        language.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.signal") == F.col("l.signal"))).select(
+        "g.lang", "g.source", "g.signal", "bucket", "weight")
+    from_corpus = groups.join(corpus, "signal").select(columns)
+    own = fine.withColumn("weight", F.col("n") * UNIT).select(columns)
+    return own.union(from_language).union(from_corpus).groupBy("lang", "source", "signal", "bucket").agg(
+        F.sum("weight").alias("weight"))
+
+
+def deciles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, signal, q1, q5, q9) read from sketches."""
+    group = ["lang", "source", "signal"]
     upto = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     value = F.when(F.col("bucket") <= -1_000_000, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")))
     placed = (
-        sketch.withColumn("cum", F.sum("n").over(upto))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
+        sketch.withColumn("cum", F.sum("weight").over(upto))
+        .withColumn("total", F.sum("weight").over(Window.partitionBy(*group)))
         .withColumn("value", value)
     )
-    return placed.groupBy(*group, "total").agg(*[
-        F.min(F.when(4 * F.col("cum") >= k * F.col("total"), F.col("value"))).alias(f"q{k}") for k in (1, 2, 3)])
+    return placed.groupBy(*group).agg(*[
+        F.min(F.when(10 * F.col("cum") >= k * F.col("total"), F.col("value"))).alias(f"q{k}") for k in (1, 5, 9)])
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """One row per group and level with the lower and upper limit of every signal."""
-    spread = F.col("q3") - F.col("q1")
-    q = quartiles(sketch)
+    """One row per group with the lower and upper limit of every signal."""
+    q = deciles(sketch)
+    # Nearer than one bucket two quantiles cannot be told apart.
+    least = (GAMMA - 1) * F.col("q5")
+    above, below = F.greatest(F.col("q9") - F.col("q5"), least), F.greatest(F.col("q5") - F.col("q1"), least)
     columns = []
-    for s, (_, _, least, both) in SIGNALS.items():
-        reach = F.greatest(REACH * spread, F.lit(float(least)))
+    for s, (_, _, share) in SIGNALS.items():
         mine = F.col("signal") == s
-        columns.append(F.max(F.when(mine, F.col("q2") + reach)).alias(f"{s}_max"))
-        if both:
-            columns.append(F.max(F.when(mine, F.col("q2") - reach)).alias(f"{s}_min"))
-    return q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *columns)
+        columns.append(F.max(F.when(mine, F.col("q9") + REACH * above)).alias(f"{s}_max"))
+        if not share:
+            columns.append(F.max(F.when(mine, F.col("q1") - REACH * below)).alias(f"{s}_min"))
+    return q.groupBy("lang", "source").agg(*columns)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, signals and the verdict ``kept`` of every document."""
     counts = stored(document_counts(docs), "quality_counts")
-    table = stored(limits(sketches(counts)), "quality_limits")
-    named = [c for c in table.columns if c.endswith(("_max", "_min"))]
-    fine = table.where((F.col("level") == 2) & (F.col("total") >= LEAST_GROUP)).select(
-        F.col("lang").alias("l2"), F.col("source").alias("s2"), F.struct(*named).alias("own"))
-    lang = table.where((F.col("level") == 1) & (F.col("total") >= LEAST_GROUP)).select(
-        F.col("lang").alias("l1"), F.struct(*named).alias("language"))
-    corpus = table.where(F.col("level") == 0).select(F.struct(*named).alias("corpus"))
-    # The joins are small per key and left to adaptive execution, which splits a hot source.
-    joined = (
-        counts.join(fine, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left")
-        .join(lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-        .join(F.broadcast(corpus.limit(1)), F.lit(True), "left")
-    )
-    use = F.coalesce("own", "language", "corpus")
+    fine = stored(sketches(counts), "quality_sketches")
+    table = stored(limits(merged(fine)), "quality_limits").withColumnsRenamed({"lang": "l2", "source": "s2"})
+    # A row per group: left to adaptive execution, which splits a hot source.
+    joined = counts.join(table, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left")
     good = F.lit(True)
-    for s, (_, _, _, both) in SIGNALS.items():
-        inside = ratio(s) <= use[f"{s}_max"]
-        if both:
-            inside &= ratio(s) >= use[f"{s}_min"]
+    for s, (top, bottom, share) in SIGNALS.items():
+        high = F.col(f"{s}_max")
+        if share:
+            expected = high * F.col(bottom)
+            inside = F.col(top) <= expected + NOISE * F.sqrt(expected + 1)
+        else:
+            inside = (ratio(s) <= high) & (ratio(s) >= F.col(f"{s}_min"))
         good &= F.coalesce(inside, F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -176,28 +190,31 @@ f AS MATERIALIZED (
 s AS (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS sig, unnest([v1, v2, v3, v4, v5]) AS v FROM f WHERE NOT base_failed),
 b AS (SELECT lang, source, sig, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln(1.02)) AS BIGINT) ELSE -1000000 END AS bucket, COUNT(*) AS n
       FROM s GROUP BY ALL),
-lv AS (SELECT 2 AS level, lang, source, sig, bucket, n FROM b
-       UNION ALL SELECT 1, lang, NULL, sig, bucket, SUM(n) FROM b GROUP BY ALL
-       UNION ALL SELECT 0, NULL, NULL, sig, bucket, SUM(n) FROM b GROUP BY ALL),
-cm AS (SELECT *, SUM(n) OVER (PARTITION BY level, lang, source, sig ORDER BY bucket) AS cum,
-              SUM(n) OVER (PARTITION BY level, lang, source, sig) AS total,
-              CASE WHEN bucket = -1000000 THEN 0.0 ELSE pow(1.02, bucket) END AS val FROM lv),
-q AS (SELECT level, lang, source, sig, total, MIN(CASE WHEN 4 * cum >= total THEN val END) AS q1,
-             MIN(CASE WHEN 4 * cum >= 2 * total THEN val END) AS q2, MIN(CASE WHEN 4 * cum >= 3 * total THEN val END) AS q3
+bl AS (SELECT *, SUM(n) OVER (PARTITION BY lang, sig) AS total FROM (SELECT lang, sig, bucket, SUM(n) AS n FROM b GROUP BY ALL)),
+bc AS (SELECT *, SUM(n) OVER (PARTITION BY sig) AS total FROM (SELECT sig, bucket, SUM(n) AS n FROM b GROUP BY ALL)),
+g AS (SELECT DISTINCT lang, source, sig FROM b),
+m AS (SELECT lang, source, sig, bucket, SUM(weight) AS weight FROM (
+        SELECT lang, source, sig, bucket, n * 10000 AS weight FROM b
+        UNION ALL SELECT g.lang, g.source, g.sig, bucket, (200000 * n) // total FROM g JOIN bl ON g.lang IS NOT DISTINCT FROM bl.lang AND g.sig = bl.sig
+        UNION ALL SELECT g.lang, g.source, g.sig, bucket, (200000 * n) // total FROM g JOIN bc USING (sig)) GROUP BY ALL),
+cm AS (SELECT *, SUM(weight) OVER (PARTITION BY lang, source, sig ORDER BY bucket) AS cum,
+              SUM(weight) OVER (PARTITION BY lang, source, sig) AS total,
+              CASE WHEN bucket = -1000000 THEN 0.0 ELSE pow(1.02, bucket) END AS val FROM m),
+q AS (SELECT lang, source, sig, MIN(CASE WHEN 10 * cum >= total THEN val END) AS q1,
+             MIN(CASE WHEN 10 * cum >= 5 * total THEN val END) AS q5, MIN(CASE WHEN 10 * cum >= 9 * total THEN val END) AS q9
       FROM cm GROUP BY ALL),
-r AS (SELECT *, greatest(3.0 * (q3 - q1), [2.0, 0.1, 0.35, 0.2, 0.2][sig]) AS reach FROM q),
+e AS (SELECT *, q9 + 6.0 * greatest(q9 - q5, (1.02 - 1) * q5) AS up, q1 - 6.0 * greatest(q5 - q1, (1.02 - 1) * q5) AS down FROM q),
 lim AS MATERIALIZED (
-  SELECT level, lang, source, MAX(total) AS total, MAX(CASE WHEN sig = 1 THEN q2 - reach END) AS lo1,
-         [MAX(CASE WHEN sig = 1 THEN q2 + reach END), MAX(CASE WHEN sig = 2 THEN q2 + reach END),
-          MAX(CASE WHEN sig = 3 THEN q2 + reach END), MAX(CASE WHEN sig = 4 THEN q2 + reach END),
-          MAX(CASE WHEN sig = 5 THEN q2 + reach END)] AS hi FROM r GROUP BY ALL),
+  SELECT lang, source, MAX(CASE WHEN sig = 1 THEN down END) AS lo1,
+         [MAX(CASE WHEN sig = 1 THEN up END), MAX(CASE WHEN sig = 2 THEN up END), MAX(CASE WHEN sig = 3 THEN up END),
+          MAX(CASE WHEN sig = 4 THEN up END), MAX(CASE WHEN sig = 5 THEN up END)] AS hi FROM e GROUP BY ALL),
 j AS (
-  SELECT f.*, coalesce(a.lo1, l.lo1, z.lo1) AS lo1, coalesce(a.hi, l.hi, z.hi) AS hi
-  FROM f LEFT JOIN lim a ON a.level = 2 AND a.total >= 200 AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source
-  LEFT JOIN lim l ON l.level = 1 AND l.total >= 200 AND l.lang IS NOT DISTINCT FROM f.lang
-  LEFT JOIN lim z ON z.level = 0)
+  SELECT f.*, lo1, hi, hi[2] * n_words AS e2, hi[3] * n_lines AS e3, hi[4] * n_words AS e4, hi[5] * n_letters AS e5
+  FROM f LEFT JOIN lim a ON a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(v1 >= lo1 AND v1 <= hi[1] AND v2 <= hi[2] AND v3 <= hi[3] AND v4 <= hi[4] AND v5 <= hi[5], TRUE) AS kept,
+       NOT base_failed AND coalesce(
+         v1 >= lo1 AND v1 <= hi[1] AND n_symbols <= e2 + 4.0 * sqrt(e2 + 1) AND n_dup_lines <= e3 + 4.0 * sqrt(e3 + 1)
+         AND n_repeat_words <= e4 + 4.0 * sqrt(e4 + 1) AND n_upper <= e5 + 4.0 * sqrt(e5 + 1), TRUE) AS kept,
        n_lines, n_upper, n_letters
 FROM j
 """

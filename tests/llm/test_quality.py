@@ -55,18 +55,37 @@ def test_limits_follow_the_group(spark):
     assert not out.pop(5000) and all(out.values())
 
 
-def test_sketch_quartiles_are_close_and_merge(spark):
+def test_sketch_deciles_are_close_and_merge(spark):
+    """A large group's deciles are its own; a group of one document has nearly those of its language and the corpus."""
     rng = np.random.default_rng(1)
-    values = np.round(rng.lognormal(1, 1, 4000), 3)
-    counts = [(f"l{k % 2}", "s", 100, int(v * 100), 0, 0, 0, 1, 0, 1) for k, v in enumerate(values)]
+    values = np.round(rng.lognormal(1, 1, 40_000), 3)
+    counts = [("l0", "s", 100, int(v * 100), 0, 0, 0, 1, 0, 1) for v in values] + [("l1", None, 100, 5_000_000, 0, 0, 0, 1, 0, 1)]
     df = spark.createDataFrame(counts, "lang string, source string, n_words long, word_chars long, n_symbols long, "
                                "n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long")
-    got = {(r["level"], r["lang"]): r for r in qr.quartiles(qr.sketches(df)).where("signal = 'word_length'").collect()}
-    whole = np.sort([c[3] / 100 for c in counts])
-    for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
+    fine = qr.sketches(df)
+    assert sum(r["n"] for r in fine.where("signal = 'word_length'").collect()) == len(counts)
+    got = {r["lang"]: r for r in qr.deciles(qr.merged(fine)).where("signal = 'word_length'").collect()}
+    whole = np.sort([c[3] / 100 for c in counts[:-1]])
+    for name, q in (("q1", 0.1), ("q5", 0.5), ("q9", 0.9)):
         exact = whole[int(np.ceil(q * len(whole))) - 1]
-        assert exact <= got[0, None][name] * 1.0000001 <= exact * qr.GAMMA * 1.000001
-    assert got[0, None]["total"] == got[1, "l0"]["total"] + got[1, "l1"]["total"]
+        assert exact / qr.GAMMA <= got["l0"][name] * 1.0000001 <= exact * qr.GAMMA ** 2
+    # 21 of its 41 documents' weight are the language's one document, itself.
+    assert got["l1"]["q9"] >= 50_000 and got["l1"]["q1"] < 10
+
+
+def test_limits_move_smoothly_with_the_group(spark):
+    """From one document to many the ninth decile goes from the corpus's to the group's own, without a jump at a size."""
+    base = [("a", "big", 100, 500, 0, 0, 0, 1, 0, 1)] * 900 + [("a", "big", 100, 520, 0, 0, 0, 1, 0, 1)] * 100
+    schema = ("lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+              "n_repeat_words long, n_lines long, n_upper long, n_letters long")
+    medians = []
+    for size in (1, 30, 60, 400):
+        rows = base + [("a", "own", 100, 900, 0, 0, 0, 1, 0, 1)] * size
+        own = qr.deciles(qr.merged(qr.sketches(spark.createDataFrame(rows, schema)))).where(
+            "signal = 'word_length' AND source = 'own'").first()
+        medians.append((own["q1"], own["q5"], own["q9"]))
+    q1, q5, q9 = zip(*medians)
+    assert q1 == tuple(sorted(q1)) and q5[0] < 5.2 < q5[2] and q9[0] < 5.5 and q9[3] > 8.8 and q1[2] < 5.2 < q1[3]
 
 
 def test_flattened_trees_equal_nested_walk():
