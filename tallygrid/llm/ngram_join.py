@@ -16,7 +16,8 @@ A set is named by 64 bits of its hash.
 
 Defined results: a null or wordless text has no n-grams, is linked to nothing and is its
 own class; repeated rows are copies; a null id stays null and takes part like any other row;
-an empty table gives an empty result; further columns are ignored.
+texts of any length take part with all their n-grams; an empty table gives an empty result;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from tallygrid.llm.common import map_batches, stored, texts
 WORDS, SIMILARITY = 5, 0.8
 #: Share of links at exactly the wanted similarity that banding must find, and hash rows allowed.
 RECALL, MOST_ROWS = 0.9999, 300
-#: N-grams of the classes in one block of a cluster, about.
-BLOCK_GRAMS = 1_000_000
+#: N-grams and classes in one block of a cluster, about. Near copies share their posting lists, so
+#: the work of a pair of blocks grows with the product of their classes.
+BLOCK_GRAMS, BLOCK_CLASSES = 1_000_000, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,10 +101,10 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def signatures(docs: DataFrame, words: int, bands: int, rows: int, keyed: bool = False) -> DataFrame:
-    """(doc_id, node, n, bands): the name and size of every document's set and its band hashes;
-    ``keyed``: and the key of its text."""
-    ids = ["doc_id", "key"] if keyed else ["doc_id"]
+def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, key, node, n, bands): the key of every document's text, the name and size of its set
+    and its band hashes."""
+    ids = ["doc_id", "key"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,8 +123,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, keyed: bool =
                  pa.array(hashes, pa.list_(pa.int64()))], [*ids, "node", "n", "bands"])
         return work
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                         *([text_key().alias("key")] if keyed else []))
-    return map_batches(source, ", ".join(f"{c} long" for c in ids) + ", node long, n int, bands array<long>", make)
+                         text_key().alias("key"))
+    return map_batches(source, "doc_id long, key long, node long, n int, bands array<long>", make)
 
 
 def ties(classes: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def ties(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, grams) of the wanted (rep, node)."""
+    """(node, grams) of the wanted (node, first), by the id and the key of the text of their first rows."""
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             nodes, sets = [], []
@@ -148,8 +150,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
         return work
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = source.join(wanted, source["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node")
+    source = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"), F.col("text").cast("string").alias("text"))
+    # Only rows of one id and one text meet their class, however many rows have no id or the same.
+    picked = source.join(wanted, source["own_id"].eqNullSafe(wanted["first.doc_id"]) & (source["own_key"] == wanted["first.key"])).select(
+        "text", "node")
     return map_batches(picked, "node long, grams array<long>", make).dropDuplicates(["node"])
 
 
@@ -212,7 +216,8 @@ def links(sets: DataFrame, clusters: DataFrame, classes: DataFrame, similarity:
     """(node, more, root): per class and task the number of linked documents of other classes and
     the smallest class reached by links."""
     sized = clusters.join(classes.select("node", "members", "n"), "node")
-    blocks = sized.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    blocks = sized.groupBy("label").agg(F.ceil(F.greatest(
+        F.sum("n") / BLOCK_GRAMS, F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         sets.join(sized.join(blocks, "label").withColumn("own", own), "node")
@@ -266,21 +271,21 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The parts of one similarity join: signatures, classes and links. ``keyed``: every class
-    also has its first row, by id (null last) and key of the text."""
+    """The parts of one similarity join: signatures, classes and links. A class's first row is
+    that of the smallest id (null last), then of the smallest key of the text."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
-                 recall: float = RECALL, most_rows: int = MOST_ROWS, keyed: bool = False):
+                 recall: float = RECALL, most_rows: int = MOST_ROWS):
         bands, rows = choose_bands(similarity, recall, most_rows)
-        self.signatures = stored(signatures(docs, words, bands, rows, keyed), "signatures")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first") if keyed else None
+        self.signatures = stored(signatures(docs, words, bands, rows), "signatures")
         # Equal sets have equal sizes and band hashes, so any row's stand for the class.
         self.classes = stored(
             self.signatures.where(F.col("node").isNotNull()).groupBy("node").agg(
                 F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"),
-                F.first("n").alias("n"), F.first("bands").alias("bands"), *([first] if keyed else [])), "classes")
+                F.first("n").alias("n"), F.first("bands").alias("bands"),
+                F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "classes")
         clusters = components(stored(ties(self.classes), "ties"))
-        wanted = self.classes.select("rep", "node").join(clusters, "node", "left_semi")
+        wanted = self.classes.select("first", "node").join(clusters, "node", "left_semi")
         self.links = stored(links(full_sets(docs, wanted, words), clusters, self.classes, similarity), "links")
 
     def labelled(self, *columns: str) -> DataFrame:
@@ -314,7 +319,7 @@ def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
     text. A null id comes after all others. Wordless documents stay. Rows that share id and text
     are one document; wordless rows without an id are not told apart and all stay."""
     chosen = (
-        Join(docs, keyed=True, **parameters).labelled("first").groupBy("label").agg(F.min("first").alias("first"))
+        Join(docs, **parameters).labelled("first").groupBy("label").agg(F.min("first").alias("first"))
         .select("label", F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
     )
     # Whole rows travel as one column, so no name of theirs can clash.
@@ -324,6 +329,6 @@ def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
     rows = found.where(F.col("label").isNotNull() | wordless).select(
         "row", "label", F.when(F.col("label").isNull(), F.struct("own_id", F.col("row.text"))).alias("empty"),
         F.when(F.col("label").isNull() & F.col("own_id").isNull(), F.monotonically_increasing_id()).alias("lone"))
-    order = [F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] or [F.col("row.text")]
+    order = [F.col(f"row.{c}") for c in docs.columns if c in ("lang", "source", "n_chars")] + [F.col("row").cast("string")]
     number = F.row_number().over(Window.partitionBy("label", "empty", "lone").orderBy(*order))
     return rows.withColumn("number", number).where("number = 1").select("row.*")

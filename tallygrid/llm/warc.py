@@ -1,16 +1,27 @@
 """WARC archives as a PySpark data source.
 
 Writing: each task writes compressed archives of limited size under names of its own attempt,
-and the commit lists the files of successful attempts, so that retries leave nothing behind
-that is read. Every record is one gzip member whose extra field holds the member's length.
+and the commit adds a list of the files of successful attempts, so that retries leave nothing
+behind that is read. Appending adds a list beside the others; overwriting adds its own, then
+removes the earlier lists and their files. Every record is one gzip member whose extra field
+holds the member's length.
 
 Reading: partitions are planned from the listed files by size. Equality filters on record
 headers are pushed down. A record's headers are inflated first; where they fail a filter or the
 payload is not asked for, the reader goes on at the next member without inflating the rest.
 Members without the length field, from other writers, are inflated in steps to find their end.
 
+A folder with lists has what they name; a folder without one, as other writers leave it, has all
+its ``.warc.gz`` files but for those whose names begin with ``_``, which are of writes under way.
+
 Files are reached through Arrow's file systems, so a shared folder may be local, HDFS or an
 object store.
+
+Defined results: a null payload is an empty one and a null header is left out and read back as
+null; line ends inside headers become blanks; payloads of any length are written and read
+whole, one record at a time; records without rows make an empty archive folder, which is read
+as no rows; repeated rows are repeated records; columns of a written frame beyond the schema's
+are refused by Spark. For pages see ``archived_pages``.
 """
 
 from __future__ import annotations
@@ -28,14 +39,15 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage,
 )
 
-from tallygrid.llm.common import shared_folder
+from tallygrid.llm.common import shared_folder, stored
 
 SCHEMA = ("record_id string, record_type string, target_uri string, payload_digest string, "
           "payload_bytes long, refers_to string, payload binary")
 HEADERS = [c.split()[0] for c in SCHEMA.split(", ")][:-1]
 #: Bytes of one archive, of one partition of small archives, and of one batch of payloads.
 ARCHIVE, PARTITION, BATCH = 64 << 20, 32 << 20, 8 << 20
-LISTING = "_archives"
+#: Lists of committed files begin with this name, files of writes with ``_part``.
+LISTING = "_archives-"
 #: Fixed values of the formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_HEAD = struct.Struct("<4sIBBH2sHII")
@@ -157,6 +169,22 @@ def record_fields(warc: dict[str, str], http: dict[str, str]) -> dict:
     }
 
 
+# ---- lists of committed files ----
+
+def listings(system, folder: str) -> list[str]:
+    from pyarrow import fs
+
+    infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(i.path for i in infos if i.type == fs.FileType.File and i.base_name.startswith(LISTING))
+
+
+def listed(system, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files that a list names."""
+    with system.open_input_stream(path) as f:
+        found = [line.rsplit("\t", 1) for line in f.read().decode().splitlines()]
+    return [(name, int(size)) for name, size in found]
+
+
 # ---- the data source ----
 
 class Archives(InputPartition):
@@ -182,14 +210,13 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, folder = file_system(self.path)
-        listing = f"{folder}/{LISTING}"
-        if system.get_file_info(listing).type == fs.FileType.File:
-            with system.open_input_stream(listing) as f:
-                found = [line.rsplit("\t", 1) for line in f.read().decode().splitlines()]
-            sized = [(f"{folder}/{name}", int(size)) for name, size in found]
+        lists = listings(system, folder)
+        if lists:
+            sized = [(f"{folder}/{name}", size) for path in lists for name, size in listed(system, path)]
         else:
             infos = system.get_file_info(fs.FileSelector(folder, recursive=True))
-            sized = [(i.path, i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith((".warc.gz",))]
+            sized = [(i.path, i.size) for i in infos
+                     if i.type == fs.FileType.File and i.path.endswith(".warc.gz") and not i.base_name.startswith("_")]
         out, held, size = [], [], 0
         for name, more in sorted(sized):
             if held and size + more > PARTITION:
@@ -229,15 +256,15 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
-        stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        stem = f"_part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         files: list[tuple[str, int]] = []
         out, size = None, 0
         for batch in iterator:
@@ -260,9 +287,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
+        before = listings(system, folder) if self.overwrite else []
         lines = "".join(f"{name}\t{size}\n" for m in messages if m is not None for name, size in m.files)
-        with system.open_output_stream(f"{folder}/{LISTING}") as f:
+        with system.open_output_stream(f"{folder}/{LISTING}{uuid.uuid4().hex}") as f:
             f.write(lines.encode())
+        old = [name for path in before for name, _ in listed(system, path)]
+        for path in (*before, *(f"{folder}/{name}" for name in old)):
+            system.delete_file(path)
 
     def abort(self, messages) -> None:
         system, folder = file_system(self.path)
@@ -285,7 +316,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -303,10 +334,12 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"),
         payload.alias("payload")).withColumns({"payload_digest": F.sha2("payload", 256),
                                                "payload_bytes": F.octet_length("payload").cast("long")})
-    first = (
+    # Written, so that its size is known when the join is planned: small, it is broadcast and no
+    # payload is shuffled; otherwise payloads meet their digests in a shuffle.
+    first = stored(
         rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest"))
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    )
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first"),
+        "copied_digests")
     joined = rows.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
@@ -330,22 +363,24 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 def archived_pages(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from archives of the pages.
 
-    A response's size and digest are taken from its payload, a revisit's from its headers. Defined
-    results: a null html is an empty payload; rows that repeat the smallest page_id of a payload are
-    all responses; rows without a page_id revisit where any equal page has one; an empty table gives
-    an empty result; further columns are ignored.
+    Responses are read with their payloads, of which size and digest are taken; of revisits only
+    the headers are read. Both reads push their record type down, so that the other type's payloads
+    are never inflated. Defined results: a null html is an empty payload; a html of any length is
+    archived whole; rows that repeat the smallest page_id of a payload are all responses; rows
+    without a page_id revisit where any equal page has one; an empty table gives an empty result;
+    further columns are ignored, whatever their names.
     """
-    path = shared_folder(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = shared_folder(spark, "warc")
     write_pages(pages, path)
-    records = read_archives(pages.sparkSession, path)
-    response = F.col("record_type") == "response"
     page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return records.select(
-        number("record_id").alias("page_id"),
-        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", number("refers_to").alias("refers_to"))
+    responses = read_archives(spark, path).where("record_type = 'response'").select(
+        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    revisits = read_archives(spark, path, payload=False).where("record_type = 'revisit'").select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return responses.union(revisits)
 
 
 ORACLE = """

@@ -117,3 +117,39 @@ def test_foreign_archive(spark, tmp_path, payload):
     assert [r["record_id"] for r in rows] == [r["record_id"] for r in records]
     assert [r["payload"] for r in rows] == [r["payload"] if payload else None for r in records]
     assert [r["payload_bytes"] for r in rows] == [len(r["payload"]) for r in records]
+
+
+def test_appends_add_and_overwrite_replaces(spark):
+    path = shared_folder(spark, "warc-test")
+    page = lambda k: spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}</p>" * 30)], "page_id long, url string, html string")
+    ids = lambda: sorted(r["record_id"] for r in warc.read_archives(spark, path).collect())
+    warc.write_pages(page(1), path)
+    warc.write_pages(page(2), path)
+    warc.write_pages(page(3), path)
+    assert ids() == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    warc.page_records(page(4)).write.format("warc").mode("overwrite").save(path)
+    assert ids() == ["urn:page:4"]
+    warc.write_pages(page(5).limit(0), path)
+    assert ids() == ["urn:page:4"]
+
+
+def test_files_of_a_write_under_way_are_not_read(spark, tmp_path):
+    """Neither in a folder without lists nor in one with them."""
+    record = lambda k: {"record_id": f"urn:page:{k}", "record_type": "response", "target_uri": None, "payload_digest": None,
+                        "payload_bytes": 0, "refers_to": None, "payload": None}
+    (tmp_path / "_part-000000-x-0.warc.gz").write_bytes(warc.member(warc.record_bytes(record(1))))
+
+    def read():
+        reader = warc.WarcReader({"path": str(tmp_path)})
+        return [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert read() == []
+    warc.register(spark)
+    warc.page_records(spark.createDataFrame([(7, "u", "h")], "page_id long, url string, html string")).write.format("warc").mode("append").save(str(tmp_path))
+    assert read() == ["urn:page:7"]
+
+
+def test_registered_query_pushes_record_types_down(spark):
+    """Both reads test the type while they scan: no comparison with it is left above the scans."""
+    df, rows = pages(spark)
+    plan = warc.archived_pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "= response" not in plan and "= revisit" not in plan

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from tallygrid.llm import ngram_join as nj
 
@@ -57,8 +58,9 @@ def test_join_equals_all_pairs(spark):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == plain(rows)
 
 
-def test_blocks_of_large_clusters(spark, monkeypatch):
-    monkeypatch.setattr(nj, "BLOCK_GRAMS", 500)
+@pytest.mark.parametrize("block", [("BLOCK_GRAMS", 500), ("BLOCK_CLASSES", 3)])
+def test_blocks_of_large_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(nj, *block)
     rows = corpus()
     out = nj.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == plain(rows)
@@ -90,6 +92,48 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert sorted(str(i) for i, w in kept if not w) == ["9", "9", "None", "None", "None"]
 
 
+def test_a_third_of_the_rows_without_ids_and_a_third_with_one(spark):
+    """Near copies without ids, and under one id, meet only their own class when full sets are fetched."""
+    rnd = random.Random(2)
+    base = [f"w{k}" for k in range(200)]
+
+    def near(k):
+        words = list(base)
+        words[rnd.randrange(200)] = f"x{k}"
+        return " ".join(words)
+    rows = [(None, near(k)) for k in range(100)] + [(1, near(k)) for k in range(100, 200)] + [(k, near(k)) for k in range(200, 300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x") for i, t in rows], DOCS).repartition(3)
+    join = nj.Join(docs)
+    fetched = nj.full_sets(docs, join.classes.select("first", "node"), nj.WORDS)
+    met = [int(n.value()) for n in _row_counts(fetched)]
+    assert fetched.count() == join.classes.count() and max(met, default=0) <= len(rows)
+    out = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in join.documents().collect()), key=repr)
+    sets = [grams(t) for _, t in rows]
+    links = [sum(10 * len(a & b) >= 8 * len(a | b) for b in sets) - 1 for a in sets]
+    assert out == sorted(((i, 1, n) for (i, _), n in zip(rows, links)), key=repr)
+
+
+def _row_counts(df):
+    """Rows that joins of an executed plan gave."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if "Adaptive" in node.nodeName():
+            return walk(node.executedPlan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows"))
+        below = node.plan() if "QueryStage" in node.nodeName() else None
+        if below is not None:
+            walk(below)
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+    walk(plan)
+    assert found
+    return found
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, "one two three four five six", "", "", 0, 0, ""), (7, "one two three four five six", "", "", 0, 0, "")]
     out = nj.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
