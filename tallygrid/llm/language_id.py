@@ -5,14 +5,20 @@ frequency. A document's own list is compared with each profile by the out-of-pla
 distance: the sum over its n-grams of the difference in rank, or the profile length
 where the profile lacks the n-gram. Profiles are counted over all labelled texts.
 
+Profiles are sparse: for each n-gram the languages that list it and its rank there, so a
+text costs the entries of its own n-grams. They go to the tasks in blocks of at most
+``BLOCK_LANGUAGES`` languages, about, however many labels there are; with several blocks each
+is a pass over the texts that keeps the nearest language so far.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; with
 nothing to learn from, every text is ``und``; ties go to the smaller language name;
-repeated rows score equally; an empty table gives an empty result; further columns
-are ignored.
+texts of any length are read whole; repeated rows score equally; an empty table gives
+an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,23 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import id_fold, map_batches
+from tallygrid.llm.common import id_fold, map_batches, stored
 from tallygrid.llm.textstats import LETTER, UPPER, classes, code_points
 
 #: N-grams of one to this many characters; three code points fill 63 bits.
 LONGEST = 3
 #: Length of a profile and of a document's list.
 PROFILE = 400
-#: Language labels the profiles may have; each is one list of ``PROFILE`` numbers.
-MOST_LANGUAGES = 20_000
+#: Languages whose profiles are held at once; each is ``PROFILE`` entries at most.
+BLOCK_LANGUAGES = 10_000
 #: Distinct n-grams a task holds before it passes its partial counts on.
 HELD = 1_000_000
 
 
 class Profiles(NamedTuple):
+    """The entries (language, rank) of each n-gram, one n-gram after the other."""
+
     names: list[str]
-    grams: np.ndarray  # sorted, over all languages
-    ranks: np.ndarray  # [language, gram]; PROFILE where a language lacks the gram
+    grams: np.ndarray  # sorted
+    starts: np.ndarray  # first entry of each n-gram, and the end
+    langs: np.ndarray
+    ranks: np.ndarray
 
 
 def letters(text: str) -> np.ndarray:
@@ -107,25 +117,26 @@ def _add(held: dict, lang: str, found: list[np.ndarray]) -> None:
     held[lang] = grams, counts
 
 
-def learn(docs: DataFrame) -> Profiles:
-    """Profiles of every language among the labelled documents outside the held-out fold."""
+def learn(docs: DataFrame) -> Iterator[Profiles]:
+    """Profiles of every language among the labelled documents outside the held-out fold, in blocks.
+    With nothing to learn from, one block without languages."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold("doc_id", 4) != 2))
     counts = gram_counts(labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    top = (
-        counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("top"))
-        .limit(MOST_LANGUAGES + 1).collect()
-    )
-    if len(top) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} language labels")
-    top.sort(key=lambda row: row["lang"])
-    grams = np.unique(np.array([g["gram"] for row in top for g in row["top"]], dtype=np.int64))
-    ranks = np.full((len(top), len(grams)), PROFILE, dtype=np.int32)
-    for k, row in enumerate(top):
-        own = np.array([g["gram"] for g in row["top"]], dtype=np.int64)
-        ranks[k, np.searchsorted(grams, own)] = np.arange(len(own))
-    return Profiles([row["lang"] for row in top], grams, ranks)
+    # Counts are dealt by language and n-gram; each task hands on its first PROFILE of a language only.
+    top = stored(counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE), "profiles")
+    blocks = max(1, math.ceil(top.select("lang").distinct().count() / BLOCK_LANGUAGES))
+    for k in range(blocks):
+        mine = top.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).select("lang", "gram", "rank").toArrow()
+        yield packed(mine["lang"].to_pylist(), mine["gram"].to_numpy(), mine["rank"].to_numpy() - 1)
+
+
+def packed(langs: list[str], grams: np.ndarray, ranks: np.ndarray) -> Profiles:
+    names, lang = np.unique(np.array(langs, dtype=object), return_inverse=True) if langs else (np.zeros(0, object), np.zeros(0, np.int64))
+    order = np.lexsort((lang, grams))
+    kinds, starts = np.unique(grams[order], return_index=True)
+    return Profiles(names.tolist(), kinds.astype(np.int64), np.r_[starts, len(grams)].astype(np.int64),
+                    lang[order].astype(np.int32), ranks[order].astype(np.int32))
 
 
 def similarities(profiles: Profiles, text: str | None) -> np.ndarray | None:
@@ -136,10 +147,13 @@ def similarities(profiles: Profiles, text: str | None) -> np.ndarray | None:
     found, counts = np.unique(ngrams(points), return_counts=True)
     found = found[np.argsort(-counts, kind="stable")[:PROFILE]]
     at = np.minimum(np.searchsorted(profiles.grams, found), len(profiles.grams) - 1)
-    known = profiles.grams[at] == found
-    away = np.abs(profiles.ranks[:, at] - np.arange(len(found)))
-    away = np.where(known & (profiles.ranks[:, at] < PROFILE), away, PROFILE)
-    return 1 - away.sum(axis=1) / (PROFILE * len(found))
+    own = np.flatnonzero(profiles.grams[at] == found)
+    start = profiles.starts[at[own]]
+    size = profiles.starts[at[own] + 1] - start
+    entry = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    # An n-gram that a profile lacks is PROFILE away; one that it has is nearer by this.
+    nearer = PROFILE - np.abs(profiles.ranks[entry] - np.repeat(own, size))
+    return np.bincount(profiles.langs[entry], nearer, minlength=len(profiles.names)) / (PROFILE * len(found))
 
 
 def identify(profiles: Profiles, text: str | None) -> tuple[str, float]:
@@ -151,36 +165,53 @@ def identify(profiles: Profiles, text: str | None) -> tuple[str, float]:
     return profiles.names[best], float(near[best])
 
 
-def languages(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
+def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    profiles = profiles or learn(docs)
-
-    def make():
+    def nearest(profiles: Profiles):
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            named = [identify(profiles, t) for t in batch.column("text").to_pylist()]
+            best = list(zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist()))
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                name, score = identify(profiles, text)
+                old, reached = best[k]
+                if name != "und" and (old == "und" or (-score, name) < (-reached, old)):
+                    best[k] = name, score
+            names, scores = zip(*best)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([n for n, _ in named], pa.string()),
-                 pa.array([s for _, s in named], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                [*(batch.column(c) for c in ("doc_id", "held_out", "text")), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "text", "lang_pred", "score"])
         return work
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, "doc_id long, held_out boolean, lang_pred string, score double", make)
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("text").cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = "doc_id long, held_out boolean, text string, lang_pred string, score double"
+    return over_blocks(out, schema, learn(docs), nearest).drop("text")
+
 
+def over_blocks(df: DataFrame, schema, blocks: Iterator[Profiles], make) -> DataFrame:
+    """``df`` after one pass for each block; passes but the last are written, so that a task holds one block."""
+    for k, profiles in enumerate(blocks):
+        df = map_batches(stored(df, "languages") if k else df, schema, lambda p=profiles: make(p))
+    return df
 
-def reject_unknown(docs: DataFrame, profiles: Profiles | None = None, margin: float = 0.05) -> DataFrame:
+
+def reject_unknown(docs: DataFrame, margin: float = 0.05) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a recognised language
     that is not at odds with the row's own label by more than ``margin`` of similarity."""
-    profiles = profiles or learn(docs)
-    place = {name: k for k, name in enumerate(profiles.names)}
-
-    def keeps(text: str | None, lang: str | None) -> bool:
-        near = similarities(profiles, text)
-        return near is not None and (lang not in place or near[place[lang]] >= near.max() - margin)
+    def nearest(profiles: Profiles):
+        place = {name: k for k, name in enumerate(profiles.names)}
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rows = zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-                yield batch.filter(pa.array([keeps(text, lang) for text, lang in rows], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row = batch.column("row")
+            best, own = batch.column("best").to_pylist(), batch.column("own").to_pylist()
+            for k, (text, lang) in enumerate(zip(row.field("text").to_pylist(), row.field("lang").to_pylist())):
+                near = similarities(profiles, text)
+                if near is not None:
+                    best[k] = max(float(near.max()), best[k] or 0.0)
+                    own[k] = float(near[place[lang]]) if lang in place else own[k]
+            return pa.RecordBatch.from_arrays(
+                [row, pa.array(best, pa.float64()), pa.array(own, pa.float64())], ["row", "best", "own"])
+        return work
+    none = F.lit(None).cast("double")
+    whole = docs.select(F.struct("*").alias("row"), none.alias("best"), none.alias("own"))
+    judged = over_blocks(whole, whole.schema, learn(docs), nearest)
+    return judged.where(F.col("best").isNotNull() & (F.col("own").isNull() | (F.col("own") >= F.col("best") - margin))).select("row.*")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallygrid.llm import language_id as li
 from tallygrid.llm import order_minhash as om
@@ -35,14 +36,15 @@ def test_profiles_and_distances(spark):
     words = {"xx": ["lorem", "ipsum", "dolor", "été"], "yy": ["quick", "brown", "foxes", "jump"]}
     rows = [(k, " ".join(rnd.choice(words[lang]) for _ in range(12)), lang, 1, 0.0) for k, lang in enumerate(["xx", "yy"] * 30)]
     docs = spark.createDataFrame(rows, DOCS)
-    profiles = li.learn(docs)
+    profiles, = li.learn(docs)
     learned = {r["doc_id"] for r in docs.where(li.id_fold("doc_id", 4) != 2).collect()}
     tops = {}
     for lang in words:
         counts = Counter(g for k, t, name, _, _ in rows if name == lang and k in learned for g in plain_grams(t))
         tops[lang] = plain_top(counts)
-        own = profiles.ranks[profiles.names.index(lang)]
-        assert [int(g) for g in profiles.grams[np.argsort(own)][:len(tops[lang])]] == [code(g) for g in tops[lang]]
+        mine = profiles.langs == profiles.names.index(lang)
+        listed = np.repeat(profiles.grams, np.diff(profiles.starts))[mine][np.argsort(profiles.ranks[mine])]
+        assert listed.tolist() == [code(g) for g in tops[lang]] and sorted(profiles.ranks[mine]) == list(range(len(listed)))
     for _, text, _, _, _ in rows[:6] + [(0, "Ipsum; foxes 12 DOLOR", "", 0, 0)]:
         mine = plain_top(Counter(plain_grams(text)))
         for lang in words:
@@ -68,6 +70,45 @@ def test_language_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in li.languages(nothing).collect()} == {"und"}
 
 
+def test_blocks_of_languages_give_the_same(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(k, "".join(rnd.choice("abcdefgh"[k % 5:]) for _ in range(40)), f"l{k % 7}", 0, 0.0) for k in range(140)]
+    rows += [(200, None, "l1", 0, 0.0), (201, rows[0][1], "l6", 0, 0.0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = sorted(map(tuple, li.languages(docs).collect()))
+    kept = sorted(map(repr, li.reject_unknown(docs).collect()))
+    monkeypatch.setattr(li, "BLOCK_LANGUAGES", 2)
+    assert len(list(li.learn(docs))) == 4
+    assert sorted(map(tuple, li.languages(docs).collect())) == whole
+    assert sorted(map(repr, li.reject_unknown(docs).collect())) == kept and 0 < len(kept) < len(rows)
+
+
+def test_thirty_thousand_labels(spark):
+    """More labels than one block holds; every text is nearest to its own label's profile."""
+    text = lambda k: "".join(chr(97 + (k // 26 ** j) % 26) for j in range(4)) * 3
+    docs = spark.range(30_000, numPartitions=4).select(
+        (F.col("id") * 4).alias("doc_id"), F.concat(*[F.repeat(F.concat(*[
+            F.char(97 + (F.floor(F.col("id") / 26 ** j) % 26).cast("int")) for j in range(4)]), 3)]).alias("text"),
+        F.format_string("%05d", "id").alias("lang"))
+    held_out = docs.where(li.id_fold("doc_id", 4) == 2).count()
+    blocks = list(li.learn(docs))
+    assert len(blocks) == 3 and sum(len(b.names) for b in blocks) == 30_000 - held_out
+    assert all(len(b.ranks) <= len(b.names) * li.PROFILE for b in blocks)
+    some = docs.where("doc_id % 3000 = 0").where(li.id_fold("doc_id", 4) != 2).select("text", "lang").collect()
+    assert some and all(r["text"] == text(int(r["lang"])) for r in some)
+    for r in some:
+        best = min(((-s, n) for n, s in (li.identify(b, r["text"]) for b in blocks)))
+        own = max(li.similarities(b, r["text"])[b.names.index(r["lang"])] for b in blocks if r["lang"] in b.names)
+        assert own == -best[0] == 1
+
+
+def test_profiles_are_cut_before_they_are_gathered(spark):
+    order = li.Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    counts = spark.createDataFrame([("a", 1, 2)], "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    plan = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= li.PROFILE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def plain_print(text, k=om.K, size=om.TUPLE, functions=om.FUNCTIONS):
     if not text:
         return [0] * functions
