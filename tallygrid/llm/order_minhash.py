@@ -7,29 +7,38 @@ in the same order.
 
 For comparison with an edited text every document needs the next one by id. Documents are
 dealt into ranges of ids and sorted within them; each range also gets the first document of
-the next one, so that neighbours meet in one pass over the texts.
+the next one, so that neighbours meet in one pass over the texts. Ranges are cut at a sample
+of the ids, taken by hash; their number follows from the bytes of the texts alone. Many
+rows of one id are cut by the hash of their text too; a task streams its rows and computes
+the fingerprint of a run of equal texts once.
 
 Defined results: a null text counts as empty; an empty text has the all-zero fingerprint; a
-text shorter than a k-mer is one k-mer; equal ids are ordered by text, a null id comes first;
-a single document is its own neighbour; an empty table gives an empty result; further columns
-are ignored.
+text shorter than a k-mer is one k-mer; texts of any length are hashed whole; equal ids are
+ordered by the hash of their text, a null id comes first; a single document is its own
+neighbour; an empty table gives an empty result; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.llm.common import map_batches, stored, texts
 from tallygrid.llm.ngram_join import mix
 from tallygrid.llm.textstats import code_points
 
 #: Length of a k-mer in code points, k-mers per tuple, and hash functions.
 K, TUPLE, FUNCTIONS = 8, 2, 64
+#: Bytes of text in a range, about, and sampled ids per range.
+RANGE_BYTES, SAMPLED = 16 << 20, 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 2048
 _LOW = np.uint64(0xFFFFFFFF)
@@ -96,8 +105,6 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every document."""
-    from tallygrid.llm.common import map_batches, texts
-
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             prints = [written(fingerprint(t)) for t in texts(batch)]
@@ -107,31 +114,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(source, "doc_id long, fingerprint string", make)
 
 
+def cuts(narrow: DataFrame) -> np.ndarray:
+    """The (key, mark) at which ranges of about ``RANGE_BYTES`` begin, but for the first; by a sample of the rows."""
+    size = narrow.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    count = max(1, math.ceil((size["bytes"] or 0) / RANGE_BYTES))
+    every = max(1, size["rows"] // (count * SAMPLED))
+    chosen = narrow.where(F.pmod(F.xxhash64("key", "mark"), F.lit(every)) == 0).select("key", "mark").distinct().toArrow()
+    places = np.rec.fromarrays([chosen["key"].to_numpy(), chosen["mark"].to_numpy()], names="key,mark")
+    places.sort(order=("key", "mark"))
+    return places[[k * len(places) // count for k in range(1, count)]] if len(places) else places
+
+
+def place(bounds: np.ndarray, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The number of bounds at or before each (key, mark)."""
+    low, high = np.searchsorted(bounds["key"], key, "left"), np.searchsorted(bounds["key"], key, "right")
+    out = high.copy()
+    for k in np.flatnonzero(low < high):  # the key itself is a bound
+        out[k] = low[k] + np.searchsorted(bounds["mark"][low[k]:high[k]], mark[k], "right")
+    return out
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """(part, guest, key, doc_id, text) sorted by the first three within each partition: rows of a
-    range of ids, then the first row of the next range as its guest; after the last the first."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    doc_id = F.col("doc_id").cast("long")
-    source = docs.select(
-        F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key"), doc_id.alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # One bound per partition, then one smallest id per partition.
-    fractions = [k / parts for k in range(1, parts)] or [0.5]
-    bounds = source.agg(F.percentile_approx("key", fractions, 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    source = source.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
-    firsts = sorted((row["part"], row["key"]) for row in source.groupBy("part").agg(F.min("key").alias("key")).collect())
-    rows = source.select("part", F.lit(0).alias("guest"), "key", "doc_id", "text")
-    if not firsts:
-        return rows
-    hosts = [(key, firsts[k - 1][0]) for k, (_, key) in enumerate(firsts)]
-    hosts = docs.sparkSession.createDataFrame(hosts, "key long, host int")
-    guests = (
-        source.where(F.col("key").isin([key for _, key in firsts])).join(F.broadcast(hosts), "key")
-        .groupBy("host", "key", "doc_id").agg(F.min("text").alias("text"))
-        .select(F.col("host").alias("part"), F.lit(1).alias("guest"), "key", "doc_id", "text")
-    )
-    return rows.union(guests).repartitionByRange(parts, "part").sortWithinPartitions("part", "guest", "key", "text")
+    """(part, guest, key, mark, doc_id, text) sorted by the first four within each partition: rows of
+    a range, then the first row of the next range as its guest; after the last range the first."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("mark"),
+                         doc_id.alias("doc_id"), text.alias("text"))
+    narrow = stored(source.select("key", "mark", F.octet_length("text").alias("bytes")), "id_ranges")
+    bounds = cuts(narrow)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(place(bounds, key.to_numpy(), mark.to_numpy()))
+
+    # A row per range.
+    firsts = narrow.groupBy(part("key", "mark").alias("part")).agg(F.min(F.struct("key", "mark")).alias("first")).select(
+        "part", "first.*").orderBy("part").toPandas()
+    first = {(k, m): int(p) for k, m, p in zip(firsts["key"], firsts["mark"], np.roll(firsts["part"], 1))}
+
+    @F.pandas_udf("array<int>")
+    def parts(key: pd.Series, mark: pd.Series) -> pd.Series:
+        own = place(bounds, key.to_numpy(), mark.to_numpy())
+        hosts = (first.get(row) for row in zip(key, mark))
+        return pd.Series([[p] if host is None else [p, host] for p, host in zip(own.tolist(), hosts)])
+
+    rows = source.select(F.posexplode(parts("key", "mark")).alias("guest", "part"), "key", "mark", "doc_id", "text")
+    return rows.repartition("part").sortWithinPartitions("part", "guest", "key", "mark")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -140,18 +168,21 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before, repeated = None, (None, ())  # the text of a run of equal ones, and its result
         for batch in batches:
             out = []
             columns = (batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))
             for part, guest, doc_id, text in zip(*columns):
-                own = fingerprint(text)
+                own = before[3] if before is not None and before[2] == text else fingerprint(text)
                 if before is not None and before[0] == part:
                     _, last_id, last_text, last = before
-                    changed = edited(last_text, text)
-                    new = fingerprint(changed)
-                    out.append((last_id, len(last_text), hashlib.sha256(changed.encode()).hexdigest(),
-                                written(last), written(new), likeness(last, new), likeness(last, own)))
+                    if own is not last or last is not repeated[0]:
+                        changed = edited(last_text, text)
+                        new = fingerprint(changed)
+                        shown = (len(last_text), hashlib.sha256(changed.encode()).hexdigest(),
+                                 written(last), written(new), likeness(last, new), likeness(last, own))
+                        repeated = (last if own is last else None, shown)
+                    out.append((last_id, *repeated[1]))
                 before = None if guest else (part, doc_id, text, own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * len(names), kinds)], list(names))

@@ -58,8 +58,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    # Bounded by ``most`` rows of two numbers.
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # Bounded by ``most`` rows of two numbers. An id that many rows have counts once, with the smallest of its texts.
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
+        F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     table = statistics(picked, "doc_id", "y").toArrow()
     order = np.lexsort((table["y"].to_numpy(), table["doc_id"].to_numpy()))
     x = np.array(table["stats"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))

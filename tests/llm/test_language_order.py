@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.llm import language_id as li
@@ -141,7 +142,19 @@ def test_fingerprints():
     assert near > 0.9 and om.likeness(om.fingerprint(text), om.fingerprint(swapped)) < 0.75
 
 
-def test_neighbours_by_id(spark):
+def test_ranges_follow_bytes_and_split_one_id(spark, monkeypatch):
+    """With few shuffle partitions there are as many ranges as the bytes ask for, also within one id."""
+    monkeypatch.setattr(om, "RANGE_BYTES", 400)
+    rows = [(7 if k % 3 else k, f"text {k} " * 3, "", 0, 0.0) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    parts = om.with_neighbours(docs).where("guest = 0").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).collect()
+    assert len(parts) > 10 and max(r["n"] for r in parts) < 100 and sum(r["n"] for r in parts) == 300
+    assert sum(r["keys"] == 1 for r in parts) > 5
+
+
+@pytest.mark.parametrize("size", [16 << 20, 300])
+def test_neighbours_by_id(spark, monkeypatch, size):
+    monkeypatch.setattr(om, "RANGE_BYTES", size)
     rnd = random.Random(6)
     ids = rnd.sample(range(10 ** 12), 60) + [-5]
     rows = [(i, "".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, 40))), None, 0, 0.0) for i in ids]

@@ -105,6 +105,55 @@ def test_flattened_trees_equal_nested_walk():
     assert ((score >= 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_growth_equals_exhaustive_search(monkeypatch):
+    """Trees grown from histograms against a search over every feature and edge, by plain sums."""
+    monkeypatch.setattr(qc, "TREES", 3)
+    monkeypatch.setattr(qc, "DEPTH", 2)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (rng.random(300) < 1 / (1 + np.exp(-3 * x[:, 0] + 2 * (x[:, 1] > 0.4)))).astype(float)
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    margin = np.full(len(y), np.log(rate / (1 - rate)))
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, qc.BINS)[1:-1]))) for f in range(3)]
+
+    def best_split(rows, grad, hess):
+        top, found = 1e-9, None
+        for f in range(3):
+            for edge in edges[f]:
+                left = [k for k in rows if x[k, f] <= edge]
+                right = [k for k in rows if x[k, f] > edge]
+                hl, hr = hess[left].sum(), hess[right].sum()
+                if hl < qc.LEAST_WEIGHT or hr < qc.LEAST_WEIGHT:
+                    continue
+                gl, gr = grad[left].sum(), grad[right].sum()
+                gain = gl ** 2 / (hl + qc.RIDGE) + gr ** 2 / (hr + qc.RIDGE) - (gl + gr) ** 2 / (hl + hr + qc.RIDGE)
+                if gain > top + 1e-12:
+                    top, found = gain, (left, right)
+        return found or (list(rows), [])
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = y - p, p * (1 - p)
+        nodes = [list(range(300))]
+        for _ in range(2):
+            nodes = [part for rows in nodes for part in best_split(rows, grad, hess)]
+        for rows in nodes:
+            if rows:
+                margin[rows] += qc.RATE * grad[rows].sum() / (hess[rows].sum() + qc.RIDGE)
+    assert np.allclose(qc.predict(qc.grow(x, y), x), 1 / (1 + np.exp(-margin)))
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """A labelled id on very many rows counts once; very long texts are read whole."""
+    docs = spark.createDataFrame([(k, f"text {k}", "", "", "", "") for k in range(60)] + [(3, f"again {k}", "", "", "", "") for k in range(500)]
+                                 + [(5, None, "", "", "", ""), (100, "long " * 60_000, "", "", "", "")], DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(100, 1)] * 3, "doc_id long, quality int")
+    x, y = qc.sample(docs, labels)
+    wanted = labels.where(qc.id_fold("doc_id", 3) != 1).select("doc_id").distinct().count()
+    assert len(x) == len(y) == wanted
+    assert len(qc.sample(docs, labels, 10)[0]) == 10
+    assert qc.quality_scores(docs, labels).count() == docs.count()
+
+
 def test_classifier_learns_outside_the_fold_and_scores_all(spark):
     good = [(k, " ".join(f"word{(k * 7 + j * j) % 97}" for j in range(60)) + ".", "en", "s", "", "") for k in range(240)]
     poor = [(1000 + k, " ".join(["BUY!!"] * 40 + [f"N{k}!!"] * 20), "en", "s", "", "") for k in range(240)]
