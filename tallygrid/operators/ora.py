@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions.special import ln_hypergeom_tail
 from tallygrid.operators.ranktest import combined_score
 from tallygrid.operators.sets import SIZE_MAX, SIZE_MIN, annotated_background, folded_members
-from tallygrid.plans.ordering import step_up
+from tallygrid.plans.ordering import Candidate, step_up
 from tallygrid.plans.session import cut_lineage
 
 CUT = -math.log10(0.05)
@@ -76,15 +76,10 @@ def bh_both(rows: DataFrame, by: list[str]) -> DataFrame:
     else:
         rows = rows.withColumn("m", counts.select("m").scalar())
 
-    def in_p(rank: Column) -> Column:
-        return F.col("p") * F.col("m") / rank
-
-    def in_log(rank: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.col("nlp") - F.log10(F.col("m") / rank))
-
-    in_p.columns, in_log.columns = ("p", "m"), ("m",)
-    rows = step_up(rows, by, "nlp", in_p, "padj")
-    rows = step_up(rows, by, "nlp", in_log, "nlp_adj", combine="max")
+    rows = step_up(rows, by, "nlp", {
+        "padj": Candidate(lambda rank: F.col("p") * F.col("m") / rank, ("p", "m")),
+        "nlp_adj": Candidate(
+            lambda rank: F.greatest(F.lit(0.0), F.col("nlp") - F.log10(F.col("m") / rank)), ("m",), most=True)})
     return rows.withColumn("padj", F.least(F.lit(1.0), "padj")).drop("m")
 
 

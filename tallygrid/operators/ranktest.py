@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.special import two_sided
 from tallygrid.operators.matrix import Matrix, scope, sides_overlap
-from tallygrid.plans.ordering import descending_rank, step_up, value_bucket
+from tallygrid.plans.ordering import Candidate, descending_rank, step_up, value_bucket
 from tallygrid.plans.session import cut_lineage
 
 # Fixed value: fewer cells than this on a side and nothing is tested.
 MIN_CELLS_PER_SIDE = 3
+# Buckets of a gene's values per power of two; each holds at most about 1.1 million distinct 32-bit floats.
+BUCKETS_PER_OCTAVE = 8
 
 COLUMNS = ["gene", "grp", "n1", "n2", "pct1", "pct2", "lfc", "p", "padj", "fdr", "nlp"]
 
@@ -84,49 +86,75 @@ def wilcoxon(
 
 
 def _test(m: Matrix, labels: DataFrame, want: list | None, gates: Gates, min_cells: int, every_gene: bool) -> DataFrame:
-    """The matrix is labelled and reduced to (gene, value, group) counts once; gates and ranks
-    both start from that. What several steps read is written once, at every size."""
+    """One job from the matrix to p-values: label and reduce to (gene, value, group) counts, rank within
+    buckets of a gene, carry over buckets, and gate. What the corrections read several times is written."""
     total = labels.agg(F.count(F.lit(1)).alias("v")).scalar()
     sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("n1")).withColumn("n2", total - F.col("n1"))
     report = sizes.where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
     if want is not None:
         report = report.where(F.col("grp").isin(list(want)) if want else F.lit(False))
-    reduced = cut_lineage(
-        m.nonzero().join(labels, "cell_id").groupBy("gene", "value", "grp").agg(F.count(F.lit(1)).alias("k")))
-    kept = cut_lineage(_gated(reduced, sizes, report, total, gates, m.genes if every_gene else None))
-    if gates.pct > 0 or gates.lfc > 0:
-        # The gates keep few genes; only their values reach the shuffles of the ranks.
-        reduced = reduced.join(kept.where("tested").select("gene").distinct(), "gene")
-    ranked = cut_lineage(_rank_sums(reduced, kept, total))
+    reduced = m.nonzero().join(labels, "cell_id").groupBy("gene", "value", "grp").agg(F.count(F.lit(1)).alias("k"))
+    genes = _rank_masses(reduced, total)
+    if every_gene:
+        # Genes without a value: nothing seen, everything in the block of zeros.
+        none = F.array().cast(genes.schema["seen"].dataType)
+        blank = {"all_d": F.lit(0), "all_s": F.lit(0.0), "ties": F.lit(0.0), "neg": F.lit(0), "seen": none}
+        genes = m.genes.select("gene").join(genes, "gene", "left").select(
+            "gene", *[F.coalesce(c, v).alias(c) for c, v in blank.items()])
+    pairs = _gated(genes, sizes, report, total, gates)
+    ranked = cut_lineage(_p_values(pairs, total))
     return adjust(ranked, ["grp"], m.genes.agg(F.count(F.lit(1)).alias("v")).scalar())
 
 
-def _gated(reduced: DataFrame, sizes: DataFrame, report: DataFrame, total: Column, gates: Gates,
-           every: DataFrame | None) -> DataFrame:
-    """(gene, grp) pairs that pass, absent pairs of common genes included; of all genes of ``every``, if given."""
-    k = F.col("k")
-    pairs = reduced.groupBy("gene", "grp").agg(
-        F.sum("k").alias("d"), F.sum(k * F.expm1(F.col("value").cast("double"))).alias("s"))
+def _rank_masses(reduced: DataFrame, total: Column) -> DataFrame:
+    """A row per gene with what its test needs: detected cells, sum of expm1, tie term and negative
+    values of all groups, and the same with the rank mass of each group seen.
+
+    Two passes over the order of a gene's values. The first works inside a bucket: equal values of a group
+    have collapsed, ranks are running totals, and groups are folded once the ranks are known. What is left
+    of a bucket is its carry, a row per group. The second runs over the carries of a gene and adds what
+    stands before each bucket.
+    """
+    k, c = F.col("k"), F.col("c").cast("double")
+    bucket = value_bucket(F.col("value"), BUCKETS_PER_OCTAVE).alias("b")
+    inside = Window.partitionBy("gene", "b")
+    upto = inside.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    values = reduced.select("gene", bucket, "value", "grp", "k").withColumns({
+        "upto": F.sum("k").over(upto), "c": F.sum("k").over(Window.partitionBy("gene", "b", "value"))})
+    carries = (
+        values
+        .groupBy("gene", "b", "grp").agg(
+            F.sum("k").alias("k"), F.sum(k * F.expm1(F.col("value").cast("double"))).alias("s"),
+            F.sum(k * (F.col("upto") - (c - 1) / 2)).alias("mass"), F.sum(k * (c * c - 1)).alias("tie"))
+    )
+    upto = Window.partitionBy("gene").orderBy("b").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    block = F.sum("k").over(Window.partitionBy("gene", "b"))
+    whole = Window.partitionBy("gene")
+    carries = (
+        carries.withColumn("all_d", F.sum("k").over(whole))
+        .withColumn("start", F.sum("k").over(upto) - block + F.when(F.col("b") > 0, total - F.col("all_d")).otherwise(0))
+    )
+    per = carries.groupBy("gene", "grp").agg(
+        F.sum("k").alias("d"), F.sum("s").alias("s"), F.sum(F.col("mass") + k * F.col("start")).alias("r"),
+        F.sum("tie").alias("tie"), F.sum(F.when(F.col("b") < 0, k).otherwise(0)).alias("neg"))
     # A gene's list has one entry per group, as the full grid of the result may have.
-    genes = pairs.groupBy("gene").agg(
-        F.sum("d").alias("all_d"), F.sum("s").alias("all_s"),
-        F.collect_list(F.struct("grp", "d", "s")).alias("seen"))
-    if every is not None:
-        none = F.array().cast(genes.schema["seen"].dataType)
-        genes = every.select("gene").join(genes, "gene", "left").select(
-            "gene", F.coalesce("all_d", F.lit(0)).alias("all_d"), F.coalesce("all_s", F.lit(0.0)).alias("all_s"),
-            F.coalesce("seen", none).alias("seen"))
+    return per.groupBy("gene").agg(
+        F.sum("d").alias("all_d"), F.sum("s").alias("all_s"), F.sum("tie").alias("ties"), F.sum("neg").alias("neg"),
+        F.collect_list(F.struct("grp", "d", "s", "r")).alias("seen"))
+
+
+def _gated(genes: DataFrame, sizes: DataFrame, report: DataFrame, total: Column, gates: Gates) -> DataFrame:
+    """(gene, grp) pairs that pass, absent pairs of common genes included."""
     # A group without the gene can pass only if the other side is detected often enough.
     need = gates.pct * (total - sizes.agg(F.max("n1").alias("v")).scalar())
     levels = report.agg(F.collect_list("grp").alias("v")).scalar()
     absent = F.transform(
         F.array_except("levels", F.col("seen.grp")),
-        lambda g: F.struct(g.alias("grp"), F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("s")))
+        lambda g: F.struct(g.alias("grp"), F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("s"), F.lit(0.0).alias("r")))
     full = F.when(F.col("all_d") >= need, F.concat("seen", absent)).otherwise(F.col("seen"))
     d, s = F.col("d"), F.col("s")
     return (
-        genes.withColumn("levels", levels).select("gene", "all_d", "all_s", F.explode(full).alias("e"))
-        .select("gene", "all_d", "all_s", "e.*")
+        genes.withColumn("levels", levels).select("gene", "all_d", "all_s", "ties", "neg", F.inline(full))
         .join(report, "grp")
         .withColumn("pct1", d / F.col("n1"))
         .withColumn("pct2", (F.col("all_d") - d) / F.col("n2"))
@@ -135,45 +163,12 @@ def _gated(reduced: DataFrame, sizes: DataFrame, report: DataFrame, total: Colum
         .where(~F.isnan("lfc") & (F.abs("lfc") < float("inf")))
         .withColumn("tested", F.abs("lfc") >= gates.lfc)
         .where(F.lit(True) if gates.carry else F.col("tested"))
-        .select("gene", "grp", "d", "n1", "n2", "pct1", "pct2", "lfc", "tested")
     )
 
 
-def _rank_sums(reduced: DataFrame, kept: DataFrame, total: Column) -> DataFrame:
-    """z, p and nlp for each kept pair that is to be tested."""
-    # 1. tie groups: equal values have collapsed before anything is ordered
-    k = F.col("k")
-    ties = reduced.select("gene", value_bucket(F.col("value")).alias("b"), "value", "grp", "k")
-    inside = Window.partitionBy("gene", "b")
-    upto = inside.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    c = F.col("c").cast("double")
-    ties = ties.withColumn("c", F.sum("k").over(Window.partitionBy("gene", "b", "value"))).withColumn(
-        "before", F.sum("k").over(upto) - F.col("c"))
-    # 2. per bucket: rank mass relative to the bucket's own start
-    spans = ties.groupBy("gene", "b", "grp").agg(
-        F.sum("k").alias("k"), F.sum(k * (F.col("before") + (c + 1) / 2)).alias("mass"),
-        F.sum(k * (c * c - 1)).alias("tie"))
-    # 3. kept pairs ride along as empty spans, so the last step needs no join
-    facts = ["d", "n1", "n2", "pct1", "pct2", "lfc", "tested"]
-    empty = kept.select(
-        "gene", F.lit(0).cast("long").alias("b"), "grp", F.lit(0).cast("long").alias("k"),
-        F.lit(0.0).alias("mass"), F.lit(0.0).alias("tie"), *facts)
-    spans = spans.unionByName(empty, allowMissingColumns=True)
-    gene = Window.partitionBy("gene")
-    upto = gene.orderBy("b").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    zeros = total - F.col("all_d")
-    block = F.sum("k").over(Window.partitionBy("gene", "b"))
-    spans = (
-        spans.withColumn("all_d", F.sum("k").over(gene))
-        .withColumn("ties", F.sum("tie").over(gene))
-        .withColumn("neg", F.sum(F.when(F.col("b") < 0, k).otherwise(0)).over(gene))
-        .withColumn("start", F.sum("k").over(upto) - block + F.when(F.col("b") > 0, zeros).otherwise(0))
-    )
-    per = spans.groupBy("gene", "grp", "all_d", "ties", "neg").agg(
-        F.sum(F.col("mass") + k * F.col("start")).alias("r"),
-        *[F.max(f).alias(f) for f in facts]).where("tested IS NOT NULL")
-    # 4. the zero block enters by arithmetic
-    z0 = zeros.cast("double")
+def _p_values(pairs: DataFrame, total: Column) -> DataFrame:
+    """z, p and nlp for each pair that is to be tested; the zero block enters by arithmetic."""
+    z0 = (total - F.col("all_d")).cast("double")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     rank = F.col("r") + (n1 - F.col("d")) * (F.col("neg") + (z0 + 1) / 2)
@@ -182,7 +177,7 @@ def _rank_sums(reduced: DataFrame, kept: DataFrame, total: Column) -> DataFrame:
     spread = n1 * n2 / 12 * (n + 1 - tie_sum / (n * (n - 1)))
     gap = F.abs(rank - n1 * (n1 + 1) / 2 - mean) - 0.5
     flat = (F.col("spread") <= 0) | (F.col("all_d") == 0)
-    per = per.withColumn("spread", spread).withColumn(
+    per = pairs.withColumn("spread", spread).withColumn(
         "z", F.when(F.col("tested") & ~flat, gap / F.sqrt("spread")))
     # Nothing varies: tested, and nothing found.
     return two_sided(per, "z").select(
@@ -200,11 +195,7 @@ def adjust(df: DataFrame, by: list[str], n_features: Column | int) -> DataFrame:
     n_features = n_features if isinstance(n_features, Column) else F.lit(n_features)
     m = F.greatest(n_features, F.lit(1)).cast("double")
 
-    def candidate(rank: Column) -> Column:
-        return F.col("p") * m / rank
-
-    candidate.columns = ("p",)
-    out = step_up(df, by, "nlp", candidate, "_q")
+    out = step_up(df, by, "nlp", {"_q": Candidate(lambda rank: F.col("p") * m / rank, ("p",))})
     return out.withColumns({
         "fdr": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("_q"))),
         "padj": F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("p") * m)),

@@ -11,19 +11,19 @@ group has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS_PER_OCTAVE = 128
-# Lifts log2 of the smallest positive double above zero, so signs never mix.
-_LIFT = 1100 * STEPS_PER_OCTAVE
 
 
-def value_bucket(value: Column) -> Column:
-    """A monotone, signed bucket number; zero has a bucket of its own."""
-    size = F.floor(F.log2(F.abs(value).cast("double")) * STEPS_PER_OCTAVE) + _LIFT
+def value_bucket(value: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
+    """A monotone, signed bucket number; zero has a bucket of its own. ``steps`` buckets per power of two."""
+    # The lift keeps log2 of the smallest positive double above zero, so signs never mix.
+    size = F.floor(F.log2(F.abs(value).cast("double")) * steps) + 1100 * steps
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
@@ -135,51 +135,47 @@ def descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "
     return df.join(place, [*keys, value])
 
 
-def step_up(
-    df: DataFrame,
-    keys: Sequence[str],
-    strength: str,
-    at_rank,
-    out: str,
-    combine: str = "min",
-) -> DataFrame:
-    """Benjamini-Hochberg style step-up along descending ``strength`` within ``keys``.
+@dataclass(frozen=True)
+class Candidate:
+    """One correction of a step-up: ``at_rank(rank)`` is the candidate at a 1-based rank, a function of
+    the strength, ``columns`` and the rank; each row gets the least of the candidates at its own and all
+    weaker ranks, or the ``most``."""
+
+    at_rank: Callable[[Column], Column]
+    columns: tuple[str, ...] = ()
+    most: bool = False
 
-    ``at_rank(rank)`` gives the candidate at a 1-based rank; each row receives the
-    min (or max) of the candidates at its own and all weaker ranks. Rows with a NULL
-    strength stay NULL. Ties are collapsed and buckets carry the running values, so a
-    group of any size is never ordered in one task.
+
+def step_up(df: DataFrame, keys: Sequence[str], strength: str, candidates: dict[str, Candidate]) -> DataFrame:
+    """Benjamini-Hochberg style step-ups along descending ``strength`` within ``keys``, all in one pass.
+
+    Rows are reduced to one per distinct strength, which stands for its tie group's largest rank; the
+    rank's offset and the best candidate of weaker buckets are carried from bucket to bucket over a table
+    of a row per bucket, so a group of any size is never ordered in one task and rows move twice however
+    many corrections there are. Rows with a NULL strength stay NULL. ``df`` is read several times; an
+    expensive one should be written before.
     """
     keys = list(keys)
-    pick = F.min if combine == "min" else F.max
-    fold = F.least if combine == "min" else F.greatest
+    bucket = value_bucket(F.col(strength)).alias("_b")
     tested = df.where(F.col(strength).isNotNull())
-    # Every column the candidate needs is a function of strength, so one row per
-    # distinct strength carries a tie group's largest rank.
-    others = [c for c in df.columns if c not in keys and c != strength]
-    ties = (
-        tested.groupBy(*keys, strength, value_bucket(F.col(strength)).alias("_b"))
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in others if c in _uses(at_rank)])
-    )
-    desc = [F.col(strength).desc()]
-    ties = ties.withColumn("_cum", F.sum("_c").over(_up_to_here([*keys, "_b"], desc)))
-    per = ties.groupBy(*keys, "_b").agg(F.sum("_c").alias("_nb"))
-    per = per.withColumn("_off", F.sum("_nb").over(_up_to_here(keys, [F.col("_b").desc()])) - F.col("_nb"))
-    ties = ties.join(per.select(*keys, "_b", "_off"), [*keys, "_b"]).withColumn(
-        "_cand", at_rank(F.col("_off") + F.col("_cum"))
-    )
-    weaker = Window.partitionBy(*keys, "_b").orderBy(F.col(strength)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    best = ties.groupBy(*keys, "_b").agg(pick("_cand").alias("_best"))
+    needed = dict.fromkeys(c for x in candidates.values() for c in x.columns if c not in keys and c != strength)
+    ties = tested.groupBy(*keys, strength, bucket).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in needed])
+    per = tested.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_nb"))
+    stronger = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offset = per.select(*keys, "_b", F.coalesce(F.sum("_nb").over(stronger), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_b")
+    upto = inside.orderBy(F.col(strength).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ties.join(offset, [*keys, "_b"]).withColumn("_rank", F.col("_off") + F.sum("_c").over(upto))
+    weaker = inside.orderBy(strength).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pick = {name: F.max if c.most else F.min for name, c in candidates.items()}
+    fold = {name: F.greatest if c.most else F.least for name, c in candidates.items()}
+    own = ranked.select(*keys, strength, "_b", *[pick[name](c.at_rank(F.col("_rank"))).over(weaker).alias(f"_own_{name}")
+                                                 for name, c in candidates.items()])
+    # The value at a bucket's strongest row is the bucket's best.
+    best = own.groupBy(*keys, "_b").agg(*[pick[name](f"_own_{name}").alias(f"_best_{name}") for name in candidates])
     after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_after", pick("_best").over(after)).drop("_best")
-    solved = (
-        ties.withColumn("_own", pick("_cand").over(weaker))
-        .join(best, [*keys, "_b"])
-        .select(*keys, strength, fold("_own", F.coalesce("_after", "_own")).alias(out))
-    )
+    carried = best.select(*keys, "_b", *[pick[name](f"_best_{name}").over(after).alias(f"_after_{name}") for name in candidates])
+    solved = own.join(carried, [*keys, "_b"]).select(*keys, strength, *[
+        fold[name](f"_own_{name}", F.coalesce(f"_after_{name}", f"_own_{name}")).alias(name) for name in candidates])
     return df.join(solved, [*keys, strength], "left")
-
-
-def _uses(at_rank) -> tuple[str, ...]:
-    return getattr(at_rank, "columns", ())
