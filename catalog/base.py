@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
+from tallygrid.operators.setindex import SetIndex
 from tallygrid.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,17 @@ def vectors(spark, sf) -> Matrix:
     return views.prepared(spark, sf, "vectors")
 
 
+_indexes: dict[tuple[str, str, str], SetIndex] = {}
+
+
+def set_index(spark, sf, library: str, members: DataFrame, background: DataFrame) -> SetIndex:
+    """The library's index over the background, written once per application as a user of several queries would."""
+    key = (spark.sparkContext.applicationId, sf, library)
+    if key not in _indexes:
+        _indexes[key] = SetIndex.build(members, background)
+    return _indexes[key]
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Round computed doubles and drop negative zeros, for comparison across engines."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (ORA_COLUMNS, RETAIL, SETS, TEXT, ora_rounded, ora_sql, r, register, retail, rounded, table, text)
+from catalog.base import (ORA_COLUMNS, RETAIL, SETS, TEXT, ora_rounded, ora_sql, r, register, retail, rounded, set_index, table, text)
 from catalog.tests_ranks import BY_TYPE, TEXT_MARKERS
 from catalog.base import lnchoose_sql, rank_test_sql
 from tallygrid.functions import special
@@ -16,6 +16,10 @@ def library(spark, sf):
     return views.retail_sets(spark, sf)
 
 
+def retail_index(spark, sf):
+    return set_index(spark, sf, "retail", library(spark, sf), retail(spark, sf).genes)
+
+
 @register("union_parts", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members WHERE source IN ('brand', 'type')")
 def _(spark, sf):
     lib = library(spark, sf)
@@ -75,13 +79,13 @@ def _(spark, sf):
 @register("set_index", f"""{RETAIL}{SETS} SELECT source, set_id, COUNT(DISTINCT upper(gene)) AS set_size FROM members
 WHERE upper(gene) IN (SELECT upper(gene) FROM genes) GROUP BY 1, 2""")
 def _(spark, sf):
-    return sets.set_index(library(spark, sf), retail(spark, sf).genes).select("source", "set_id", "set_size")
+    return retail_index(spark, sf).sizes.select("source", "set_id", "set_size")
 
 
 @register("sets_in_window", f"""{RETAIL}{SETS}, k AS (SELECT set_id, COUNT(DISTINCT upper(gene)) AS n FROM members GROUP BY 1)
 SELECT COUNT(*) FILTER (n BETWEEN 10 AND 40) AS in_window, COUNT(*) AS sets FROM k""")
 def _(spark, sf):
-    return sets.in_window(sets.set_index(library(spark, sf), retail(spark, sf).genes), 10, 40)
+    return sets.in_window(retail_index(spark, sf).sizes, 10, 40)
 
 
 @register("minimum_set_size", f"{RETAIL}{SETS} SELECT CASE WHEN MAX(n) < 200 THEN 3 ELSE 10 END AS min_size FROM "
@@ -336,31 +340,31 @@ def _ora(name: str, query: str, sizes=(3, 500), sources: str = "TRUE"):
 
 @register("ora", _ora("ora", ASKED))
 def _(spark, sf):
-    return ora_rounded(ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500)))
+    return ora_rounded(ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (3, 500)))
 
 
 @register("ora_up", _ora("ora_up", "SELECT gene FROM de WHERE p < 0.2 AND lfc > 0"))
 def _(spark, sf):
     up = de(spark, sf).where("p < 0.2 AND lfc > 0").select("gene")
-    return ora_rounded(ora.ora(up, library(spark, sf), retail(spark, sf).genes, (3, 500)))
+    return ora_rounded(ora.ora_index(up, retail_index(spark, sf), (3, 500)))
 
 
 @register("ora_down", _ora("ora_down", "SELECT gene FROM de WHERE p < 0.2 AND lfc < 0"))
 def _(spark, sf):
     down = de(spark, sf).where("p < 0.2 AND lfc < 0").select("gene")
-    return ora_rounded(ora.ora(down, library(spark, sf), retail(spark, sf).genes, (3, 500)))
+    return ora_rounded(ora.ora_index(down, retail_index(spark, sf), (3, 500)))
 
 
 @register("ora_by_source", _ora("ora_by_source", ASKED, (10, 500), "source = 'type'"))
 def _(spark, sf):
-    return ora_rounded(ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (10, 500), ["type"]))
+    return ora_rounded(ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (10, 500), ["type"]))
 
 
 @register("ora_every_group", f"""{ora_sql(rank_test_sql(RETAIL, BY_TYPE) + SETS, "SELECT grp, gene FROM de WHERE lfc > 0", (3, 500), by="grp")}
 SELECT grp, {ORA_COLUMNS} FROM ora""")
 def _(spark, sf):
     up = ranktest.markers(retail(spark, sf)).where("lfc > 0").select("grp", "gene")
-    return ora_rounded(ora.ora(up, library(spark, sf), retail(spark, sf).genes, (3, 500), by=["grp"]), "grp")
+    return ora_rounded(ora.ora_index(up, retail_index(spark, sf), (3, 500), by=["grp"]), "grp")
 
 
 WORD_SETS = """, members AS MATERIALIZED (SELECT 'letters' AS source, 0 AS source_pos, left(gene, 2) AS set_id, gene, gene_id AS pos FROM genes)"""
@@ -373,21 +377,21 @@ def _(spark, sf):
     lib = m.genes.select(F.lit("letters").alias("source"), F.lit(0).alias("source_pos"), F.substring("gene", 1, 2).alias("set_id"),
                          F.substring("gene", 1, 2).alias("set_name"), "gene", F.col("gene_id").alias("pos"))
     up = ranktest.markers(m).where(ranktest.significant(lfc=0.0) & (F.col("lfc") > 0)).select("grp", "gene")
-    return ora_rounded(ora.ora(up, lib, m.genes, (10, 500), by=["grp"]), "grp")
+    return ora_rounded(ora.ora_index(up, set_index(spark, sf, "letters", lib, m.genes), (10, 500), by=["grp"]), "grp")
 
 
 @register("ora_overlap", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))},
 ov AS (SELECT set_id, list_sort(list(gene)) AS overlap FROM (SELECT DISTINCT set_id, gene FROM members WHERE gene IN ({ASKED})) GROUP BY 1)
 SELECT set_id, overlap FROM ora JOIN ov USING (set_id)""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    terms_ = ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (3, 500), overlap=True)
     return terms_.select("set_id", "overlap")
 
 
 @register("ora_top", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))} SELECT set_id, {r('padj')} AS padj, overlap_size FROM ora
 ORDER BY overlap_size DESC, round(padj, 9), set_id LIMIT 15""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500)).withColumn("padj", F.round("padj", 9))
+    terms_ = ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (3, 500)).withColumn("padj", F.round("padj", 9))
     return rounded(ora.top_terms(terms_, 15, "overlap").select("set_id", "padj", "overlap_size"), "padj")
 
 
@@ -395,14 +399,14 @@ def _(spark, sf):
 FROM ora JOIN members USING (set_id) JOIN de ON upper(de.gene) = upper(members.gene) WHERE de.gene IN ({ASKED})""")
 def _(spark, sf):
     top = strongest(spark, sf)
-    terms_ = ora.ora(top.select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500))
+    terms_ = ora.ora_index(top.select("gene"), retail_index(spark, sf), (3, 500))
     return rounded(ora.term_detail(terms_, library(spark, sf), top).select("set_id", "gene", "lfc", "combined"), "lfc", "combined")
 
 
 @register("ora_color_domain", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))} SELECT {r('MIN(nlp_adj)')} AS lo,
 {r('greatest(-log10(0.05) * 1.2, MAX(nlp_adj))')} AS hi FROM ora""")
 def _(spark, sf):
-    terms_ = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500))
+    terms_ = ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (3, 500))
     return rounded(ora.colour_domain(terms_), "lo", "hi")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog.base import RETAIL, SETS, TEXT, ora_sql, r, register, retail, rounded, table, text
 from catalog.cells import PSEUDOBULK, _comp_sql, placed, pseudobulk
 from catalog.scoring import ALL_SCORES, AXIS, MARKS, SCORES, SEED, _corr_sql, all_scores, quantile_sql
-from catalog.sets import ASKED, CONTRAST_DE, library, strongest
+from catalog.sets import ASKED, CONTRAST_DE, library, retail_index, strongest
 from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
 from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
 from tallygrid.plans.ordering import numbered
@@ -259,7 +259,7 @@ ov AS (SELECT set_id, string_agg(gene, ' ' ORDER BY gene) AS genes FROM (SELECT
 SELECT set_id AS id, source, CAST(overlap_size AS VARCHAR) AS overlap, CAST(set_size AS VARCHAR) AS "setSize", {_fixed_sql('fold', 3)} AS "foldEnrichment",
 {_exp_sql('p')} AS p, {_exp_sql('padj')} AS padj, genes FROM ora JOIN ov USING (set_id)""")
 def _(spark, sf):
-    terms = ora.ora(strongest(spark, sf).select("gene"), library(spark, sf), retail(spark, sf).genes, (3, 500), overlap=True)
+    terms = ora.ora_index(strongest(spark, sf).select("gene"), retail_index(spark, sf), (3, 500), overlap=True)
     return _written(_round_trip(spark, tables.enrichment_table(terms), "enrichment").drop("set"))
 
 

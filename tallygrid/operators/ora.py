@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.special import ln_hypergeom_tail
 from tallygrid.operators.ranktest import combined_score
-from tallygrid.operators.sets import SIZE_MAX, SIZE_MIN, annotated_background, folded_members
+from tallygrid.operators.setindex import SetIndex
+from tallygrid.operators.sets import SIZE_MAX, SIZE_MIN
 from tallygrid.plans.ordering import Candidate, step_up
 from tallygrid.plans.session import cut_lineage
 
@@ -27,29 +28,40 @@ def ora(
 ) -> DataFrame:
     """Sets over-represented in ``query`` (gene, optional pos) against the annotated background.
 
+    Several queries of one library and background should share one ``SetIndex`` and ask
+    ``ora_index``; this builds an index for the one call.
+    """
+    return ora_index(query, SetIndex.build(members, background), sizes, sources, by, overlap)
+
+
+def ora_index(
+    query: DataFrame,
+    index: SetIndex,
+    sizes: tuple[int, int] = (SIZE_MIN, SIZE_MAX),
+    sources: list[str] | None = None,
+    by: list[str] | None = None,
+    overlap: bool = False,
+) -> DataFrame:
+    """Sets of ``index`` over-represented in ``query`` (gene, optional pos).
+
     ``by`` names query columns that tell several queries apart; all of them run in
-    the same joins. The population is taken over every set given, before the size
+    the same joins. The population is taken over every set of the index, before the size
     window and the source filter. BH counts the sets reported per query.
     """
     by = list(by or [])
-    inside = folded_members(members, background)
-    universe = annotated_background(background, members)
-    size = inside.groupBy("source", "set_id", "set_name").agg(F.count(F.lit(1)).alias("set_size"))
     spelled = query.select(
         *by, F.upper("gene").alias("u"), "gene", (F.col("pos") if "pos" in query.columns else F.lit(0)).alias("pos"))
-    asked = spelled.groupBy(*by, "u").agg(F.min_by("gene", "pos").alias("gene")).join(universe, "u", "left_semi")
-    asked = cut_lineage(asked)
+    asked = index.find(cut_lineage(spelled.groupBy(*by, "u").agg(F.min_by("gene", "pos").alias("gene"))))
     drawn = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn"))
-    size = size.where(F.col("set_size").between(*sizes))
-    hits = inside.join(asked, "u").groupBy(*by, "set_id").agg(F.count(F.lit(1)).alias("overlap_size"))
-    rows = hits.join(size, "set_id")
+    hits = asked.select(*by, "gene", F.inline("sets")).where(F.col("set_size").between(*sizes))
+    if sources is not None:
+        hits = hits.where(F.col("source").isin(sources))
+    rows = hits.groupBy(*by, "source", "set_id", "set_name", "set_size").agg(F.count(F.lit(1)).alias("overlap_size"))
     if by:
         rows = rows.join(drawn, by)
     else:
         rows = rows.withColumn("drawn", drawn.select("drawn").scalar())
-    if sources is not None:
-        rows = rows.where(F.col("source").isin(sources))
-    rows = rows.withColumn("population", universe.agg(F.count(F.lit(1)).alias("v")).scalar())
+    rows = rows.withColumn("population", index.population())
     ln_p = ln_hypergeom_tail(F.col("overlap_size"), F.col("set_size"), F.col("drawn"), F.col("population"))
     rows = (
         rows.withColumn("ln_p", ln_p)
@@ -61,9 +73,8 @@ def ora(
     out = bh_both(cut_lineage(rows), by)
     if overlap:
         # At most sizes[1] names per set, so each list is bounded by the size window.
-        names = (
-            inside.join(asked, "u").join(out.select(*by, "set_id"), [*by, "set_id"], "left_semi")
-            .groupBy(*by, "set_id").agg(F.array_sort(F.collect_list("gene")).alias("overlap")))
+        names = hits.join(out.select(*by, "set_id"), [*by, "set_id"], "left_semi").groupBy(*by, "set_id").agg(
+            F.array_sort(F.collect_list("gene")).alias("overlap"))
         out = out.join(names, [*by, "set_id"])
     return out
 

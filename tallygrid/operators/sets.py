@@ -42,12 +42,6 @@ def folded_members(members: DataFrame, background: DataFrame) -> DataFrame:
     return mine.join(symbols(background), "u", "left_semi")
 
 
-def set_index(members: DataFrame, background: DataFrame) -> DataFrame:
-    """Per set: its size inside the background."""
-    return folded_members(members, background).groupBy("source", "set_id", "set_name").agg(
-        F.count(F.lit(1)).alias("set_size"))
-
-
 def minimum_size(members: DataFrame) -> int:
     """Lower size bound offered at start: 3 when every collection is small, else 10."""
     sizes = members.groupBy("source").agg(F.count_distinct("set_id").alias("n")).agg(F.max("n")).first()[0]
