@@ -31,7 +31,7 @@ def _imul(a: str, b: str) -> str:
 
 
 SCORES = f"""{BINS}{SETS},
-mine AS MATERIALIZED (SELECT set_id, gene, pos FROM members WHERE source = 'type'),
+mine AS MATERIALIZED (SELECT source || '/' || set_id AS set_id, gene, pos FROM members),
 sz AS (SELECT set_id, COUNT(*) AS size, string_agg(gene, '|' ORDER BY pos) AS names FROM mine GROUP BY 1),
 seed AS (SELECT set_id, size, CASE WHEN h >= 2147483648 THEN {_M} - h ELSE h END AS seed FROM (
   SELECT set_id, size, list_reduce(list_transform(string_split(names, ''), lambda c: CAST(unicode(c) AS BIGINT)),
@@ -56,17 +56,18 @@ sc AS MATERIALIZED (SELECT z.set_id, lab.cell_id, COALESCE(score, 0.0) AS score
   ON x.set_id = z.set_id AND x.cell_id = lab.cell_id)"""
 
 
-def type_sets(spark, sf):
-    return views.retail_sets(spark, sf).where("source = 'type'").select("set_id", "gene", "pos")
+def all_sets(spark, sf):
+    """The whole library, sets named by source and id."""
+    return views.retail_sets(spark, sf).select(F.concat_ws("/", "source", "set_id").alias("set_id"), "gene", "pos")
 
 
 def scores(spark, sf):
-    return score.score_many(retail(spark, sf), type_sets(spark, sf))
+    return score.score_many(retail(spark, sf), all_sets(spark, sf))
 
 
 @register("control_weights", f"{RETAIL}{SCORES} SELECT set_id, gene, {r('weight', 9)} AS weight FROM w")
 def _(spark, sf):
-    out = score.control_weights(type_sets(spark, sf), score.expression_bins(score.gene_averages(retail(spark, sf))))
+    out = score.control_weights(all_sets(spark, sf), score.expression_bins(score.gene_averages(retail(spark, sf))))
     return rounded(out, "weight", digits=9)
 
 
@@ -75,9 +76,9 @@ def _(spark, sf):
     return rounded(scores(spark, sf), "score", digits=5)
 
 
-@register("module_score", f"{RETAIL}{SCORES} SELECT cell_id, {r('score', 5)} AS score FROM sc WHERE set_id = 'TYPE_PROMO'")
+@register("module_score", f"{RETAIL}{SCORES} SELECT cell_id, {r('score', 5)} AS score FROM sc WHERE set_id = 'type/TYPE_PROMO'")
 def _(spark, sf):
-    promo = type_sets(spark, sf).where("set_id = 'TYPE_PROMO'").select("gene", "pos")
+    promo = all_sets(spark, sf).where("set_id = 'type/TYPE_PROMO'").select("gene", "pos")
     return rounded(score.module_score(retail(spark, sf), promo), "score", digits=5)
 
 
@@ -102,58 +103,10 @@ def _(spark, sf):
     return rounded(score.score_clip(scores(spark, sf)), "lo", "hi", digits=5)
 
 
-# The same over the whole library: every source's sets, named by source and id.
-ALL_SCORES = SCORES.replace("SELECT set_id, gene, pos FROM members WHERE source = 'type'",
-                            "SELECT source || '/' || set_id AS set_id, gene, pos FROM members")
-
-
-def all_sets(spark, sf):
-    return views.retail_sets(spark, sf).select(F.concat_ws("/", "source", "set_id").alias("set_id"), "gene", "pos")
-
-
-def all_scores(spark, sf):
-    return score.score_many(retail(spark, sf), all_sets(spark, sf))
-
-
-def of_all(name: str) -> str:
-    return ORACLES[name].replace(SCORES, ALL_SCORES)
-
-
-@register("control_weights_whole", of_all("control_weights"))
-def _(spark, sf):
-    out = score.control_weights(all_sets(spark, sf), score.expression_bins(score.gene_averages(retail(spark, sf))))
-    return rounded(out, "weight", digits=9)
-
-
-@register("score_many_whole", of_all("score_many"))
-def _(spark, sf):
-    return rounded(all_scores(spark, sf), "score", digits=5)
-
-
-@register("score_grid_whole", of_all("score_grid"))
-def _(spark, sf):
-    return rounded(score.score_grid(all_scores(spark, sf), retail(spark, sf).cells, ["type"]), "mean", digits=5)
-
-
-@register("score_summary_whole", of_all("score_summary"))
-def _(spark, sf):
-    return rounded(score.score_summary(all_scores(spark, sf), retail(spark, sf).cells, ["type"]), *MARKS, "mean", digits=5)
-
-
-@register("score_clip_whole", of_all("score_clip"))
-def _(spark, sf):
-    return rounded(score.score_clip(all_scores(spark, sf)), "lo", "hi", digits=5)
-
-
 # ---- axes ----
 
 
-@register("cell_axis", f"{RETAIL} SELECT cell_id, cell_id AS bucket FROM lab WHERE type = 'BUILDING'")
-def _(spark, sf):
-    return axes.cell_axis(retail(spark, sf).cells.where("type = 'BUILDING'")).assign
-
-
-@register("cell_axis_whole", f"{RETAIL} SELECT cell_id, cell_id AS bucket FROM lab")
+@register("cell_axis", f"{RETAIL} SELECT cell_id, cell_id AS bucket FROM lab")
 def _(spark, sf):
     return axes.cell_axis(retail(spark, sf).cells).assign
 
@@ -315,6 +268,6 @@ def _(spark, sf):
 @register("composite_seed")
 def _(spark, sf):
     m = retail(spark, sf)
-    small = type_sets(spark, sf).where("set_id = 'TYPE_SMALL'")
+    small = all_sets(spark, sf).where("set_id = 'TYPE_SMALL'")
     shape = correlate.set_coherence(m, axes.group_axis(m.cells), small)
     return rounded(correlate.composite(m, axes.cell_axis(m.cells), shape), "s")

@@ -20,17 +20,12 @@ def retail_index(spark, sf):
     return set_index(spark, sf, "retail", library(spark, sf), retail(spark, sf).genes)
 
 
-@register("union_parts", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members WHERE source IN ('brand', 'type')")
+@register("union_parts", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members")
 def _(spark, sf):
     lib = library(spark, sf)
-    return lib.where("source = 'brand'").unionByName(lib.where("source = 'type'")).select("source", "set_id", "gene")
-
-
-@register("union_parts_whole", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members")
-def _(spark, sf):
-    lib = library(spark, sf)
-    parts = [lib.where(F.col("source") == s) for s in ("brand", "type", "size")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("source", "set_id", "gene")
+    # Two parts that split the library by source, however many sources it has.
+    first = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    return lib.where(first).unionByName(lib.where(~first)).select("source", "set_id", "gene")
 
 
 @register("enabled_sets", f"{RETAIL}{SETS} SELECT source, set_id, gene FROM members WHERE source = 'size' "
@@ -52,25 +47,12 @@ def _(spark, sf):
 
 
 @register("annotated_background", f"""{RETAIL}{SETS} SELECT DISTINCT upper(gene) AS u FROM genes
-WHERE upper(gene) IN (SELECT upper(gene) FROM members WHERE source_pos = 2 AND set_id < 'SIZE_2')""")
-def _(spark, sf):
-    small = library(spark, sf).where("source_pos = 2 AND set_id < 'SIZE_2'")
-    return sets.annotated_background(retail(spark, sf).genes, small)
-
-
-@register("annotated_background_whole", f"""{RETAIL}{SETS} SELECT DISTINCT upper(gene) AS u FROM genes
 WHERE upper(gene) IN (SELECT upper(gene) FROM members)""")
 def _(spark, sf):
     return sets.annotated_background(retail(spark, sf).genes, library(spark, sf))
 
 
-@register("query_in_background", f"{RETAIL} SELECT gene FROM genes WHERE gene IN (SELECT gene FROM counts WHERE count > 100)")
-def _(spark, sf):
-    heavy = views.retail_counts(spark, sf).where("count > 100").select("gene").distinct()
-    return heavy.join(retail(spark, sf).genes, "gene", "left_semi").select("gene")
-
-
-@register("query_in_background_whole", f"{RETAIL} SELECT gene FROM genes WHERE gene IN (SELECT gene FROM counts)")
+@register("query_in_background", f"{RETAIL} SELECT gene FROM genes WHERE gene IN (SELECT gene FROM counts)")
 def _(spark, sf):
     bought = views.retail_counts(spark, sf).select("gene").distinct()
     return bought.join(retail(spark, sf).genes, "gene", "left_semi").select("gene")
@@ -92,32 +74,17 @@ def _(spark, sf):
           "(SELECT COUNT(DISTINCT set_id) AS n FROM members GROUP BY source)")
 def _(spark, sf):
     lib = library(spark, sf)
-    return lib.limit(1).select(F.lit(sets.minimum_size(lib)).cast("long").alias("min_size"))
+    return spark.range(1).select(F.lit(sets.minimum_size(lib)).cast("long").alias("min_size"))
 
 
-@register("library_coverage", f"""{RETAIL}{SETS}, l AS (SELECT DISTINCT upper(gene) AS u FROM members WHERE source = 'brand'),
-b AS (SELECT DISTINCT upper(gene) AS u FROM genes)
-SELECT (SELECT COUNT(*) FROM l) AS library, (SELECT COUNT(*) FROM b) AS measured, (SELECT COUNT(*) FROM l JOIN b USING (u)) AS annotated""")
-def _(spark, sf):
-    return sets.library_coverage(library(spark, sf).where("source = 'brand'"), retail(spark, sf).genes)
-
-
-@register("library_coverage_whole", f"""{RETAIL}{SETS}, l AS (SELECT DISTINCT upper(gene) AS u FROM members),
+@register("library_coverage", f"""{RETAIL}{SETS}, l AS (SELECT DISTINCT upper(gene) AS u FROM members),
 b AS (SELECT DISTINCT upper(gene) AS u FROM genes)
 SELECT (SELECT COUNT(*) FROM l) AS library, (SELECT COUNT(*) FROM b) AS measured, (SELECT COUNT(*) FROM l JOIN b USING (u)) AS annotated""")
 def _(spark, sf):
     return sets.library_coverage(library(spark, sf), retail(spark, sf).genes)
 
 
-@register("set_coverage", f"""{RETAIL}{SETS}, have AS (SELECT DISTINCT lower(gene) AS l FROM counts WHERE count > 100)
-SELECT source, set_id, COUNT(h.l) AS found, COUNT(*) - COUNT(h.l) AS missing
-FROM (SELECT DISTINCT source, set_id, lower(gene) AS l FROM members) m LEFT JOIN have h USING (l) GROUP BY 1, 2""")
-def _(spark, sf):
-    heavy = views.retail_counts(spark, sf).where("count > 100").select("gene").distinct()
-    return sets.set_coverage(library(spark, sf), heavy)
-
-
-@register("set_coverage_whole", f"""{RETAIL}{SETS}, have AS (SELECT DISTINCT lower(gene) AS l FROM counts)
+@register("set_coverage", f"""{RETAIL}{SETS}, have AS (SELECT DISTINCT lower(gene) AS l FROM counts)
 SELECT source, set_id, COUNT(h.l) AS found, COUNT(*) - COUNT(h.l) AS missing
 FROM (SELECT DISTINCT source, set_id, lower(gene) AS l FROM members) m LEFT JOIN have h USING (l) GROUP BY 1, 2""")
 def _(spark, sf):

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import RETAIL, SETS, TEXT, ora_sql, r, register, retail, rounded, table, text
 from catalog.cells import PSEUDOBULK, _comp_sql, placed, pseudobulk
-from catalog.scoring import ALL_SCORES, AXIS, MARKS, SCORES, SEED, _corr_sql, all_scores, quantile_sql
+from catalog.scoring import AXIS, MARKS, SCORES, SEED, _corr_sql, quantile_sql, scores
 from catalog.sets import ASKED, CONTRAST_DE, library, retail_index, strongest
 from catalog.tests_ranks import SIG, TEXT_DE, TEXT_MARKERS, text_contrast
 from tallygrid.operators import axes, composition, correlate, ora, ranktest, score
@@ -160,17 +158,7 @@ def _(spark, sf):
 # ---- pseudobulk and result tables ----
 
 
-@register("read_pseudobulk", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT sample, type, n_cells FROM pb WHERE type = 'BUILDING')
-SELECT g.gene, k.sample, k.type, CAST(k.n_cells AS BIGINT) AS n_cells, COALESCE(pb.count, 0.0) AS count
-FROM (SELECT DISTINCT gene FROM pb WHERE type = 'BUILDING') g CROSS JOIN k LEFT JOIN pb ON pb.gene = g.gene AND pb.sample = k.sample AND pb.type = k.type""")
-def _(spark, sf):
-    pb = pseudobulk(spark, sf).where("type = 'BUILDING'").withColumn("h", F.concat_ws("||", "sample", "type", "n_cells"))
-    path = scratch(spark, "pseudobulk")
-    pb.groupBy("gene").pivot("h").agg(F.sum("count")).na.fill(0).write.csv(path, sep="\t", header=True)
-    return tables.read_pseudobulk(spark, path).withColumn("n_cells", F.col("n_cells").cast("long"))
-
-
-@register("read_pseudobulk_whole", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT sample, type, n_cells FROM pb)
+@register("read_pseudobulk", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT sample, type, n_cells FROM pb)
 SELECT g.gene, k.sample, k.type, CAST(k.n_cells AS BIGINT) AS n_cells, COALESCE(pb.count, 0.0) AS count
 FROM (SELECT DISTINCT gene FROM pb) g CROSS JOIN k LEFT JOIN pb ON pb.gene = g.gene AND pb.sample = k.sample AND pb.type = k.type""")
 def _(spark, sf):
@@ -225,33 +213,17 @@ def _(spark, sf):
     return out.withColumns({c: F.col(c).cast("long") for c in ("cells", "row_total", "samples")})
 
 
-@register("export_pseudobulk", f"""{RETAIL}{PSEUDOBULK} SELECT gene, SUM(count) AS total FROM pb JOIN (SELECT DISTINCT sample, cond FROM lab) USING (sample)
-WHERE type = 'BUILDING' AND cond IN ('ASIA', 'EUROPE') AND n_cells >= 10 GROUP BY 1""")
-def _(spark, sf):
-    pb = pseudobulk(spark, sf)
-    columns = tables.pseudobulk_columns(pb, retail(spark, sf).cells, "BUILDING", ["ASIA"], ["EUROPE"])
-    wide = _round_trip(spark, tables.pseudobulk_wide(pb, columns), "pseudobulk")
-    total = sum((F.col(f"`{c}`").cast("double") for c in wide.columns[1:]), F.lit(0.0))
-    return wide.select("gene", total.alias("total"))
-
-
-@register("export_pseudobulk_whole", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT type, sample, cond FROM pb JOIN (SELECT DISTINCT sample, cond FROM lab) USING (sample)
+@register("export_pseudobulk", f"""{RETAIL}{PSEUDOBULK}, k AS (SELECT DISTINCT type, sample, cond FROM pb JOIN (SELECT DISTINCT sample, cond FROM lab) USING (sample)
   WHERE cond IN ('ASIA', 'EUROPE') AND n_cells >= 10)
 SELECT k.type, g.gene, k.sample || '__' || k.cond AS "column", COALESCE(pb.count, 0.0) AS count
 FROM k JOIN (SELECT DISTINCT type, gene FROM pb JOIN k USING (type, sample)) g USING (type)
 LEFT JOIN pb ON pb.gene = g.gene AND pb.sample = k.sample AND pb.type = k.type""")
 def _(spark, sf):
     """Every column of every type's table, by its name in the file."""
-    m, pb = retail(spark, sf), pseudobulk(spark, sf)
-    types, out = [x["type"] for x in m.cells.select("type").distinct().collect()], []
-    for t in types:
-        columns = tables.pseudobulk_columns(pb, m.cells, t, ["ASIA"], ["EUROPE"])
-        wide = _round_trip(spark, tables.pseudobulk_wide(pb, columns), "pseudobulk")
-        each = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("count")) for c in wide.columns[1:]]
-        ).cast("array<struct<column:string,count:double>>"))
-        out.append(wide.select(F.lit(t).alias("type"), "gene", each.alias("e")).select("type", "gene", "e.column", "e.count"))
-    return reduce(DataFrame.unionByName, out)
+    path = scratch(spark, "pseudobulk")
+    tables.export_pseudobulk(pseudobulk(spark, sf), retail(spark, sf).cells, ["ASIA"], ["EUROPE"], path)
+    schema = "gene string, column string, count double, type string"
+    return spark.read.schema(schema).csv(path, sep="\t", header=True).select("type", "gene", "column", "count")
 
 
 @register("export_enrichment", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))},
@@ -263,24 +235,13 @@ def _(spark, sf):
     return _written(_round_trip(spark, tables.enrichment_table(terms), "enrichment").drop("set"))
 
 
-@register("export_scores", f"""{RETAIL}{SCORES}, sl AS (SELECT set_id, type, CAST(score AS FLOAT) AS v FROM sc JOIN lab USING (cell_id) WHERE set_id = 'TYPE_PROMO'),
-q AS ({quantile_sql('sl', 'set_id, type', 'v', MARKS, 5)}), a AS (SELECT set_id, type, AVG(CAST(v AS DOUBLE)) AS mean FROM sl GROUP BY 1, 2)
-SELECT type AS identity, CAST(n AS VARCHAR) AS cells, {_fixed_sql('med', 4)} AS median, {_fixed_sql(r('mean', 5), 4)} AS mean,
-{_fixed_sql('q1', 4)} AS q1, {_fixed_sql('q3', 4)} AS q3 FROM q JOIN a USING (set_id, type)""")
-def _(spark, sf):
-    m = retail(spark, sf)
-    sets = views.retail_sets(spark, sf).where("set_id = 'TYPE_PROMO'").select("set_id", "gene", "pos")
-    summary = rounded(score.score_summary(score.score_many(m, sets), m.cells, ["type"]), *MARKS, "mean", digits=5)
-    return _written(_round_trip(spark, tables.scores_table(summary, "type"), "scores"))
-
-
-@register("export_scores_whole", f"""{RETAIL}{ALL_SCORES}, sl AS (SELECT set_id, type, CAST(score AS FLOAT) AS v FROM sc JOIN lab USING (cell_id)),
+@register("export_scores", f"""{RETAIL}{SCORES}, sl AS (SELECT set_id, type, CAST(score AS FLOAT) AS v FROM sc JOIN lab USING (cell_id)),
 q AS ({quantile_sql('sl', 'set_id, type', 'v', MARKS, 9)}), a AS (SELECT set_id, type, AVG(CAST(v AS DOUBLE)) AS mean FROM sl GROUP BY 1, 2)
 SELECT set_id || ' ' || type AS identity, CAST(n AS VARCHAR) AS cells, {_fixed_sql('med', 4)} AS median, {_fixed_sql(r('mean', 9), 4)} AS mean,
 {_fixed_sql('q1', 4)} AS q1, {_fixed_sql('q3', 4)} AS q3 FROM q JOIN a USING (set_id, type)""")
 def _(spark, sf):
     # Nine digits, as five would leave halves that the engines format differently with four.
-    summary = rounded(score.score_summary(all_scores(spark, sf), retail(spark, sf).cells, ["type"]), *MARKS, "mean", digits=9)
+    summary = rounded(score.score_summary(scores(spark, sf), retail(spark, sf).cells, ["type"]), *MARKS, "mean", digits=9)
     named = summary.withColumn("identity", F.concat_ws(" ", "set_id", "type"))
     return _written(_round_trip(spark, tables.scores_table(named, "identity"), "scores"))
 

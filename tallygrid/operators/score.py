@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +20,8 @@ from tallygrid.plans.session import cut_lineage
 
 # Bins, controls per gene, and how often a small pool may be redrawn.
 BINS, CONTROLS, REDRAW = 24, 100, 4
+#: Weights of one block of sets, about; products and results formed at once in a task.
+BLOCK_WEIGHTS, PRODUCTS, RESULTS = 2_000_000, 1_000_000, 200_000
 
 
 def gene_averages(m: Matrix) -> DataFrame:
@@ -78,14 +88,88 @@ def control_weights(sets: DataFrame, bins: DataFrame, ctrl: int = CONTROLS) -> D
 
 
 def score_many(m: Matrix, sets: DataFrame, nbin: int = BINS, ctrl: int = CONTROLS) -> DataFrame:
-    """set_id, cell_id, score for several sets(set_id, gene, pos) in one scan; every cell has a row."""
-    weights = control_weights(sets, expression_bins(gene_averages(m), nbin), ctrl)
-    ids = sets.agg(F.collect_set("set_id").alias("v")).scalar()
-    blank = m.cells.select("cell_id", F.explode(ids).alias("set_id"), F.lit(0.0).alias("part"))
-    parts = m.expr.join(weights, "gene").groupBy("set_id", "cell_id").agg(
-        F.sum(F.col("value").cast("double") * F.col("weight")).alias("part"))
-    return parts.select("cell_id", "set_id", "part").unionByName(blank).groupBy("set_id", "cell_id").agg(
-        F.sum("part").alias("score"))
+    """set_id, cell_id, score for several sets(set_id, gene, pos); every cell has a row.
+
+    A blocked sparse product. The matrix is written once as a row per cell, and the weights are
+    dealt into blocks of whole sets of about ``BLOCK_WEIGHTS`` entries. A block goes to the tasks as
+    one compressed table by gene; a task adds up a cell's values times the block's weights in one
+    array, so nothing but the scores leaves it. However many sets there are, non-zeros are shuffled
+    once, and each block is a further scan.
+    """
+    cells = cut_lineage(m.cells.select("cell_id").join(
+        m.expr.groupBy("cell_id").agg(F.collect_list(F.struct("gene", F.col("value").cast("double").alias("value"))).alias("row")),
+        "cell_id", "left"))
+    weights = cut_lineage(control_weights(sets, expression_bins(gene_averages(m), nbin), ctrl).select(
+        "set_id", F.col("gene").cast("string").alias("gene"), "weight"))
+    ids = cut_lineage(sets.select("set_id").distinct())
+    blocks = max(1, math.ceil((weights.count() + ids.count()) / BLOCK_WEIGHTS))
+    mine = F.pmod(F.xxhash64("set_id"), F.lit(blocks))
+    kinds = dict(m.cells.select("cell_id").dtypes)["cell_id"], dict(sets.dtypes)["set_id"]
+    out = []
+    for k in range(blocks):
+        # About BLOCK_WEIGHTS rows; one set's weights are at most a row per gene.
+        block = Block.of(ids.where(mine == k).toArrow()["set_id"], weights.where(mine == k).toArrow())
+        out.append(_block_scores(cells, block, *kinds))
+    return reduce(DataFrame.union, out)
+
+
+class Block(NamedTuple):
+    """Weights of some sets, one gene after the other: the entries of gene k are starts[k]:starts[k + 1]."""
+
+    sets: pa.Array
+    genes: pa.Array
+    starts: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, sets: pa.ChunkedArray, weights: pa.Table) -> Block:
+        names = pa.array(sets.to_pylist(), sets.type)
+        place = pc.index_in(weights["set_id"], value_set=names).to_numpy()
+        coded = pa.array(weights["gene"].to_pylist(), pa.string()).dictionary_encode()
+        gene = coded.indices.to_numpy()
+        order = np.lexsort((place, gene))
+        starts = np.r_[0, np.cumsum(np.bincount(gene, minlength=len(coded.dictionary)))]
+        return cls(names, coded.dictionary, starts, place[order], weights["weight"].to_numpy()[order])
+
+    def scores(self, cell: np.ndarray, gene: pa.Array, value: np.ndarray, cells: int) -> np.ndarray:
+        """[cell, set] for entries (cell, gene, value)."""
+        coded = gene.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.genes).fill_null(-1).to_numpy(zero_copy_only=False)
+        at = known[coded.indices.to_numpy()]
+        cell, value, at = cell[at >= 0], value[at >= 0], at[at >= 0]
+        out = np.zeros(cells * len(self.sets))
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        first = 0
+        while first < len(at):  # pieces of about PRODUCTS products
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PRODUCTS, "right")))
+            n = size[first:last]
+            entry = np.arange(n.sum()) + np.repeat(self.starts[at[first:last]] - (np.cumsum(n) - n), n)
+            out += np.bincount(np.repeat(cell[first:last] * len(self.sets), n) + self.place[entry],
+                               np.repeat(value[first:last], n) * self.weight[entry], minlength=len(out))
+            first = last
+        return out.reshape(cells, len(self.sets))
+
+
+def _block_scores(cells: DataFrame, block: Block, cell_kind: str, set_kind: str) -> DataFrame:
+    """set_id, cell_id, score of a block's sets for every cell(cell_id, row)."""
+    step = max(1, RESULTS // max(1, len(block.sets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(block.sets) else 0, step):
+                part = batch.slice(start, step)
+                rows = part.column("row")
+                size = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
+                values = rows.flatten()
+                score = block.scores(np.repeat(np.arange(len(rows)), size), values.field("gene").cast(pa.string()),
+                                     values.field("value").to_numpy(zero_copy_only=False), len(rows))
+                yield pa.RecordBatch.from_arrays([
+                    block.sets.take(pa.array(np.tile(np.arange(len(block.sets)), len(rows)))),
+                    part.column("cell_id").take(pa.array(np.repeat(np.arange(len(rows)), len(block.sets)))),
+                    pa.array(score.reshape(-1))], ["set_id", "cell_id", "score"])
+    return cells.mapInArrow(run, f"set_id {set_kind}, cell_id {cell_kind}, score double")
 
 
 def module_score(m: Matrix, genes: DataFrame, nbin: int = BINS, ctrl: int = CONTROLS) -> DataFrame:

@@ -24,11 +24,11 @@ def read_pseudobulk(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("e.count", F.lit(0.0)).alias("count"))
 
 
-def pseudobulk_columns(pb: DataFrame, cells: DataFrame, cluster: str, control: list, compare: list,
+def pseudobulk_columns(pb: DataFrame, cells: DataFrame, cluster: str | None, control: list, compare: list,
                        min_cells: int = 10) -> DataFrame:
-    """Columns of one cluster on either side of a contrast that hold enough cells."""
+    """Columns of one cluster, or of every cluster, on either side of a contrast that hold enough cells."""
     of = cells.groupBy("sample").agg(F.min_by("cond", "cell_id").alias("cond"))
-    return pb.where(F.col("type") == cluster).select("sample", "type", "n_cells").distinct().join(of, "sample").where(
+    return (pb if cluster is None else pb.where(F.col("type") == cluster)).select("sample", "type", "n_cells").distinct().join(of, "sample").where(
         F.col("cond").isin([*control, *compare]) & (F.col("n_cells") >= min_cells))
 
 
@@ -40,6 +40,18 @@ def pseudobulk_wide(pb: DataFrame, columns: DataFrame) -> DataFrame:
         F.sum("count")).na.fill(0)
 
 
+def export_pseudobulk(pb: DataFrame, cells: DataFrame, control: list, compare: list, path: str, min_cells: int = 10) -> None:
+    """Every cluster's table of a contrast in one job: a folder per cluster, and in it a line (gene, column,
+    count) for each gene the cluster has counts of and each of its columns, zeros included."""
+    named = pseudobulk_columns(pb, cells, None, control, compare, min_cells).select(
+        "sample", "type", F.concat_ws("__", "sample", "cond").alias("column"))
+    counts = pb.join(named, ["sample", "type"]).groupBy("type", "gene", "column").agg(F.sum("count").alias("count"))
+    grid = counts.select("type", "gene").distinct().join(named.select("type", "column").distinct(), "type")
+    full = grid.join(counts, ["type", "gene", "column"], "left").select(
+        "gene", "column", F.coalesce("count", F.lit(0.0)).alias("count"), "type")
+    full.repartition("type", "gene").write.partitionBy("type").csv(path, sep="\t", header=True)
+
+
 def p_text(p: Column) -> Column:
     """A p-value for a file: a bound once it has underflowed, empty when untested."""
     return F.when(p < P_FLOOR, f"<{P_FLOOR:.0e}").when(p.isNotNull(), exponential(p)).otherwise("")

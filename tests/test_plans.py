@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from tallygrid.operators import ora, ranktest
-from tallygrid.plans.ordering import index_quantiles, numbered, value_bucket
+from tallygrid.operators.setindex import SetIndex
+from tallygrid.plans.ordering import Candidate, index_quantiles, numbered, value_bucket
+from tallygrid.plans.ordering import step_up as step_up_plan
 
 
 def skewed(n=3000, seed=3):
@@ -94,3 +96,42 @@ def test_bh_fixture_and_log_form(spark):
     for g, want in (("a", 0.03), ("b", 0.5), ("c", 0.045)):
         assert abs(got[g]["padj"] - want) < 1e-12
         assert abs(10 ** -got[g]["nlp_adj"] - want) < 1e-12
+
+
+def test_step_up_of_several_corrections_at_once(spark):
+    """A least and a most in one pass, over many buckets, ties and a group that holds most rows."""
+    rng = random.Random(11)
+    rows = [(k, "hot" if k % 5 else "cold", rng.choice([0.0, 0.25, rng.random() * 300, rng.random()])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double")
+    out = step_up_plan(df, ["grp"], "v", {
+        "low": Candidate(lambda rank: F.col("v") + 10 / rank), "high": Candidate(lambda rank: F.col("v") * 2 - rank, most=True)})
+    got = {r["id"]: (r["low"], r["high"]) for r in out.collect()}
+    for g in ("hot", "cold"):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: -r[2])
+        last = {v: max(k + 1 for k, r in enumerate(mine) if r[2] == v) for v in {r[2] for r in mine}}
+        low, high = float("inf"), float("-inf")
+        for k in range(len(mine) - 1, -1, -1):
+            v = mine[k][2]
+            low, high = min(low, v + 10 / last[v]), max(high, v * 2 - last[v])
+            assert abs(got[mine[k][0]][0] - low) < 1e-9 and abs(got[mine[k][0]][1] - high) < 1e-9
+
+
+def test_set_index_reads_its_own_buckets(spark, tmp_path):
+    lib = spark.createDataFrame(
+        [("one", 0, f"S{k % 9}", f"S{k % 9}", f"gene{k}", k) for k in range(200)]
+        + [("two", 1, "S1", "S1", "only_here", 1), ("two", 1, "T", "T", "Gene5", 2), ("two", 1, "T", "T", "GENE5", 3)],
+        "source string, source_pos int, set_id string, set_name string, gene string, pos int")
+    background = spark.createDataFrame([(f"GENE{k}",) for k in range(0, 150)] + [("Only_Here",), ("nowhere",)], "gene string")
+    index = SetIndex.build(lib, background, f"{tmp_path}/index")
+    assert index.postings.count() == 151 and spark.range(1).select(index.population().alias("v")).first()["v"] == 151
+    sizes = {(r["source"], r["set_id"]): r["set_size"] for r in index.sizes.collect()}
+    assert sizes["two", "T"] == 1 and sizes["one", "S0"] == 17 and ("two", "S1") not in sizes
+    asked = spark.createDataFrame([("GENE5",), ("ONLY_HERE",), ("NOWHERE",)], "u string")
+    found = index.find(asked)
+    rows = {r["u"]: sorted(s["set_id"] for s in r["sets"]) for r in found.collect()}
+    assert rows == {"GENE5": ["S5", "T"], "ONLY_HERE": []}
+    read = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in found.inputFiles() if "bucket=" in f}
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(read) > 3 and "PartitionFilters: [bucket" in scan
+    again = SetIndex(spark, f"{tmp_path}/index")
+    assert ora.ora_index(asked.withColumnRenamed("u", "gene"), again, (1, 100)).count() == 2
