@@ -267,7 +267,7 @@ def _(spark, sf):
 
 @register("composite_seed")
 def _(spark, sf):
+    """Every set's seed per cell, signs from metacells that no label constrains."""
     m = retail(spark, sf)
-    small = all_sets(spark, sf).where("set_id = 'TYPE_SMALL'")
-    shape = correlate.set_coherence(m, axes.group_axis(m.cells), small)
+    shape = correlate.set_coherence(m, axes.pool_axis(placed(spark, sf), 64), all_sets(spark, sf))
     return rounded(correlate.composite(m, axes.cell_axis(m.cells), shape), "s")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.axes import Axis
 from tallygrid.operators.matrix import Matrix
 from tallygrid.plans.pairs import pair_sums
+from tallygrid.plans.session import cut_lineage
 
 FLAT = 1e-12
 DETECTION_FLOOR = 0.1
 POWER_STEPS = 50
+#: Loads that move by less have settled.
+SETTLED = 1e-10
 
 
 def profiles(m: Matrix, axis: Axis, genes: DataFrame | None = None) -> DataFrame:
@@ -153,17 +154,6 @@ def correlate_dense(values: DataFrame, n_columns: int, seed: DataFrame, min_pct:
 # ---- sets as seeds ----
 
 
-def _matrix(rows: pd.DataFrame, n: int) -> tuple[list, np.ndarray]:
-    """Unit-norm member profiles of one set; members that do not vary are left out."""
-    wide = rows.pivot_table(index="gene", columns="bucket", values="mean", fill_value=0.0).sort_index()
-    full = np.zeros((len(wide), n))
-    full[:, : wide.shape[1]] = wide.to_numpy()
-    full -= full.mean(axis=1, keepdims=True)
-    norm = np.sqrt((full**2).sum(axis=1))
-    keep = norm > FLAT * np.sqrt(n)
-    return [g for g, k in zip(wide.index, keep) if k], full[keep] / norm[keep, None]
-
-
 def _set_profiles(m: Matrix, axis: Axis, sets: DataFrame) -> tuple[DataFrame, Column]:
     prof = profiles(m, axis, sets).join(sets.select("set_id", "gene").distinct(), "gene")
     return prof.select("set_id", "gene", "bucket", "mean"), axis.sizes.agg(F.count(F.lit(1)).alias("v")).scalar()
@@ -184,58 +174,92 @@ def within_set(m: Matrix, axis: Axis, sets: DataFrame) -> DataFrame:
 def set_coherence(m: Matrix, axis: Axis, sets: DataFrame) -> DataFrame:
     """Each set's leading direction: per member its sign and weight, per set coherence, flipped, mean_r.
 
-    One task iterates one set on its members' profiles over the pools.
+    Power steps for all sets at once, without any member-by-member matrix: a step adds up the
+    members' loads times their unit-norm profiles per set and pool, then these sums times the
+    profiles per set and member. Profiles are sparse; what a member's empty pools add is the same
+    for all of them, its baseline, and enters by arithmetic. The steps end when no load moves any
+    more. No group is gathered, so a set may hold any share of the genes.
     """
     prof, _ = _set_profiles(m, axis, sets)
+    prof = cut_lineage(prof)
     n = axis.sizes.count()
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        genes, z = _matrix(rows, n)
-        k = len(genes)
-        if k == 0:
-            return pd.DataFrame(columns=["set_id", "gene", "sign", "weight", "coherence", "flipped", "mean_r"])
-        if k == 1:
-            load, share, mean_r = np.ones(1), 1.0, 1.0
-        else:
-            corr = z @ z.T
-            load, top = np.full(k, k**-0.5), 0.0
-            for _ in range(POWER_STEPS):
-                step = corr @ load
-                top_now = float(np.linalg.norm(step))
-                if not top_now > FLAT:
-                    break
-                load, top = step / top_now, top_now
-            if load[np.argmax(np.abs(load))] < 0:
-                load = -load
-            s = np.where(load < 0, -1.0, 1.0)
-            off = (s @ corr @ s - np.trace(corr)) / 2
-            share, mean_r = min(1.0, max(0.0, top / k)), off / (k * (k - 1) / 2)
-        return pd.DataFrame({
-            "set_id": rows["set_id"].iloc[0], "gene": genes, "sign": np.where(load < 0, -1, 1),
-            "weight": np.abs(load), "coherence": share, "flipped": int((load < 0).sum()), "mean_r": mean_r})
-
-    return prof.groupBy("set_id").applyInPandas(
-        solve, "set_id string, gene string, sign int, weight double, coherence double, flipped int, mean_r double")
+    stat = prof.groupBy("set_id", "gene").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
+    mu = F.col("s") / n
+    stat = stat.withColumn("norm", F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * mu))).where(
+        F.col("norm") > FLAT * n ** 0.5).select("set_id", "gene", "norm", (mu / F.col("norm")).alias("mu"))
+    stat = cut_lineage(stat)
+    rows = cut_lineage(prof.join(stat, ["set_id", "gene"]).select("set_id", "gene", "bucket", (F.col("mean") / F.col("norm")).alias("x")))
+    size = stat.groupBy("set_id").agg(F.count(F.lit(1)).alias("k"))
+    loads = stat.join(size, "set_id").select(
+        "set_id", "gene", "mu", "k", (1 / F.sqrt("k")).alias("load"), F.lit(0.0).alias("top"))
+    for _ in range(POWER_STEPS):
+        step = rows.join(_pool_sums(rows, loads), ["set_id", "bucket"]).groupBy("set_id", "gene").agg(
+            F.sum(F.col("x") * F.col("y")).alias("v"))
+        length = step.groupBy("set_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+        goes = F.col("length") > FLAT
+        loads = cut_lineage(loads.drop("before").join(step, ["set_id", "gene"]).join(length, "set_id").select(
+            "set_id", "gene", "mu", "k", F.when(goes, F.col("v") / F.col("length")).otherwise(F.col("load")).alias("load"),
+            F.when(goes, F.col("length")).otherwise(F.col("top")).alias("top"), F.col("load").alias("before")))
+        moved = loads.agg(F.max(F.abs(F.col("load") - F.col("before")))).first()[0]
+        if moved is None or moved <= SETTLED:
+            break
+    # The largest load is positive; of loads that are equal but for rounding, that of the first gene.
+    lead = loads.groupBy("set_id").agg(F.min_by("load", F.struct(-F.round(F.abs("load"), 9), "gene")).alias("lead"))
+    signed = cut_lineage(loads.join(lead, "set_id").withColumn("load", F.when(F.col("lead") < 0, -F.col("load")).otherwise(F.col("load"))))
+    sign = F.when(F.col("load") < 0, -1).otherwise(1)
+    pools = _pool_sums(rows, signed.select("set_id", "gene", "mu", sign.cast("double").alias("load")))
+    base = signed.groupBy("set_id").agg(F.sum(sign * F.col("mu")).alias("c"))
+    square = pools.groupBy("set_id").agg(F.sum(F.col("y") * F.col("y")).alias("square"), F.count(F.lit(1)).alias("pools"))
+    whole = signed.groupBy("set_id", "k", "top").agg(F.count_if(F.col("load") < 0).cast("int").alias("flipped")).join(
+        square, "set_id").join(base, "set_id")
+    off = (F.col("square") + (n - F.col("pools")) * F.col("c") * F.col("c") - F.col("k")) / 2
+    one = F.col("k") == 1
+    whole = whole.select(
+        "set_id", F.when(one, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("top") / F.col("k")))).alias("coherence"),
+        "flipped", F.when(one, 1.0).otherwise(off / F.try_divide(F.col("k") * (F.col("k") - 1), F.lit(2))).alias("mean_r"))
+    return signed.select("set_id", "gene", sign.alias("sign"), F.abs("load").alias("weight")).join(whole, "set_id")
+
+
+def _pool_sums(rows: DataFrame, loads: DataFrame) -> DataFrame:
+    """(set_id, bucket, y): the members' profiles times their loads, for the pools that any member is seen in."""
+    base = loads.groupBy("set_id").agg(F.sum(F.col("load") * F.col("mu")).alias("c"))
+    sums = rows.join(loads.select("set_id", "gene", "load"), ["set_id", "gene"]).groupBy("set_id", "bucket").agg(
+        F.sum(F.col("load") * F.col("x")).alias("a"))
+    return sums.join(base, "set_id").select("set_id", "bucket", (F.col("a") - F.col("c")).alias("y"))
 
 
 def composite(m: Matrix, axis: Axis, shape: DataFrame) -> DataFrame:
-    """A set's combined seed over any axis: bucket, s.
+    """Sets' combined seeds over any axis: set_id, bucket, s; without set_id for a shape that has none.
 
-    ``shape`` is (gene, sign, weight) of one set. Every member counts as its signed,
+    ``shape`` is (set_id, gene, sign, weight). Every member counts as its signed,
     weighted unit-norm profile; a bucket without the member stands at that profile's
-    baseline, so only non-zeros are summed.
+    baseline, so only non-zeros are summed. A set whose seed does not vary has no rows. For the
+    per-cell axis the signs come from a pooled one, see ``set_coherence``.
     """
-    weights = shape.select("gene", (F.col("sign") * F.col("weight")).alias("w"))
+    named = "set_id" in shape.columns
+    weights = shape.select(F.col("set_id") if named else F.lit("").alias("set_id"), "gene", (F.col("sign") * F.col("weight")).alias("w"))
     n = buckets_of(axis).count()
     prof = profiles(m, axis, weights)
     stat = prof.groupBy("gene").agg(F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
     mean = F.col("s") / n
     var = F.col("q") / n - mean * mean
-    scaled = stat.join(weights, "gene").withColumn("var", var).where(F.col("var") > FLAT * FLAT).select(
-        "gene", mean.alias("mu"), (F.col("w") / F.sqrt(F.col("var") * n)).alias("scale"))
-    base = scaled.agg(F.sum(-F.col("mu") * F.col("scale"))).first()[0] or 0.0
-    sums = prof.join(scaled.select("gene", "scale"), "gene").groupBy("bucket").agg(
-        F.sum(F.col("mean") * F.col("scale")).alias("s"))
-    full = buckets_of(axis).join(sums, "bucket", "left").select(
-        "bucket", (F.coalesce("s", F.lit(0.0)) + base).alias("s"))
-    return standardise(full)
+    scaled = stat.withColumn("var", var).where(F.col("var") > FLAT * FLAT).join(weights, "gene").select(
+        "set_id", "gene", mean.alias("mu"), (F.col("w") / F.sqrt(F.col("var") * n)).alias("scale"))
+    scaled = cut_lineage(scaled)
+    base = scaled.groupBy("set_id").agg(F.sum(-F.col("mu") * F.col("scale")).alias("base"))
+    sums = cut_lineage(prof.join(scaled.select("set_id", "gene", "scale"), "gene").groupBy("set_id", "bucket").agg(
+        F.sum(F.col("mean") * F.col("scale")).alias("s")))
+    # Moments over all buckets; those without any member stand at the base.
+    value = F.col("s") + F.col("base")
+    moments = sums.join(base, "set_id").groupBy("set_id", "base").agg(
+        F.sum(value).alias("t"), F.sum(value * value).alias("q"), F.count(F.lit(1)).alias("seen"))
+    rest = n - F.col("seen")
+    mean = (F.col("t") + rest * F.col("base")) / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") + rest * F.col("base") * F.col("base")) / n - mean * mean))
+    facts = moments.select("set_id", "base", mean.alias("mean"), spread.alias("sd")).where(F.col("sd") > FLAT)
+    # Every bucket of every set is the result; the list has one entry per set.
+    listed = facts.agg(F.collect_list(F.struct("set_id", "base", "mean", "sd")).alias("v")).scalar()
+    full = buckets_of(axis).withColumn("facts", listed).select("bucket", F.inline("facts")).join(sums, ["set_id", "bucket"], "left")
+    out = full.select("set_id", "bucket", (
+        (F.coalesce("s", F.lit(0.0)) + F.col("base") - F.col("mean")) / (F.col("sd") * n ** 0.5)).alias("s"))
+    return out if named else out.drop("set_id")

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallygrid.operators import aggregate, axes, correlate, score
@@ -138,6 +139,60 @@ def test_coherence_of_one_programme(spark, make):
     assert abs(pairs[("a", "c")] + 1) < 1e-9 and abs(pairs[("a", "a")] - 1) < 1e-9
 
 
+def test_coherence_and_seeds_of_many_sets_equal_plain_matrices(spark, make, monkeypatch):
+    """Sets of one, of equal members, of opposed ones, and one that holds every gene, against numpy's eigenvectors."""
+    monkeypatch.setattr(correlate, "POWER_STEPS", 6)
+    rng = np.random.default_rng(12)
+    genes = {f"g{k:02d}": [float(v) for v in rng.integers(0, 6, 80) * (rng.random(80) < 0.6)] for k in range(24)}
+    genes["twin"] = list(genes["g00"])
+    genes["anti"] = [6.0 - v for v in genes["g00"]]
+    genes["flat"] = [2.0] * 80
+    m = make(genes, [(f"t{i % 9}", f"s{i % 2}", f"c{i % 2}") for i in range(80)])
+    axis = axes.group_axis(m.cells, "cond", 3)
+    groups: dict = {}
+    for r in axis.assign.collect():
+        groups.setdefault(r["bucket"], []).append(r["cell_id"])
+    mean = {g: np.array([np.mean([np.float32(col[c]) for c in groups[b]]) for b in sorted(groups)]) for g, col in genes.items()}
+    plan = {"hot": list(genes), "one": ["g03"], "same": ["g00", "twin"], "opposed": ["g00", "anti", "g05"], "none": ["flat"],
+            "few": ["g01", "g02", "g04", "g06", "g07"]}
+    sets = spark.createDataFrame([(s, g) for s, gs in plan.items() for g in gs] + [("few", "g01")], "set_id string, gene string")
+    shape = correlate.set_coherence(m, axis, sets).collect()
+    assert {r["set_id"] for r in shape} == set(plan) - {"none"}
+    for name in set(plan) - {"none"}:
+        mine = {r["gene"]: r for r in shape if r["set_id"] == name}
+        kept = sorted(g for g in set(plan[name]) if mean[g].std() > 1e-9)
+        assert sorted(mine) == kept
+        z = np.array([(mean[g] - mean[g].mean()) / np.linalg.norm(mean[g] - mean[g].mean()) for g in kept])
+        load = np.full(len(kept), len(kept) ** -0.5)
+        for _ in range(6):
+            load = z @ (z.T @ load)
+            top = np.linalg.norm(load)
+            load /= top
+        got = np.array([mine[g]["sign"] * mine[g]["weight"] for g in kept])
+        # Of the largest loads, equal but for rounding, one is positive.
+        assert got[np.abs(got) > np.abs(got).max() - 1e-6].max() > 0
+        load *= np.sign(got @ load)
+        assert np.allclose(got, load, atol=1e-6), name
+        s = np.sign(load)
+        off = s @ z @ z.T @ s - len(kept)
+        want = 1.0 if len(kept) == 1 else off / (len(kept) * (len(kept) - 1))
+        row = mine[kept[0]]
+        assert abs(row["coherence"] - min(1, top / len(kept))) < 1e-6 and abs(row["mean_r"] - want) < 1e-6
+        assert row["flipped"] == (load < 0).sum()
+    per_cell = axes.cell_axis(m.cells)
+    seeds = correlate.composite(m, per_cell, spark.createDataFrame(shape)).collect()
+    assert len(seeds) == 80 * (len(plan) - 1)
+    for name in ("hot", "one", "opposed"):
+        total = np.zeros(80)
+        for r in (r for r in shape if r["set_id"] == name):
+            col = np.array(genes[r["gene"]])
+            if col.std() > 0:
+                total += r["sign"] * r["weight"] * (col - col.mean()) / np.linalg.norm(col - col.mean())
+        total = (total - total.mean()) / np.linalg.norm(total - total.mean())
+        got = np.array([s for _, s in sorted((r["bucket"], r["s"]) for r in seeds if r["set_id"] == name)])
+        assert np.allclose(got, total, atol=1e-6)
+
+
 def test_group_axis_floor(spark):
     plan = [("0", "ctrl", "S1", 40), ("0", "treat", "S2", 30), ("1", "ctrl", "S1", 25), ("1", "treat", "S2", 25),
             ("2", "ctrl", "S1", 20), ("2", "treat", "S2", 4)]
