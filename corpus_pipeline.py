@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, one written table per stage."""
+"""From raw documents to packed training sequences, one written table per stage.
+
+Every stage works on all that its predecessor kept and is judged on its own input. Defined results:
+a null or empty text has no recognised language and goes at the second stage; texts of any length
+are read, compared and packed whole; null and repeated ids are rows like any others, of which near
+copies keep one per group; further columns pass through all stages but the last, whatever their
+names; an empty table gives an empty result; without labels the first stage rejects nothing.
+"""
 
 from __future__ import annotations
 
