@@ -290,7 +290,12 @@ class Join:
 
     def labelled(self, *columns: str) -> DataFrame:
         """(node, columns, label): the classes, each with the smallest node of its group."""
-        label = components(self.links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        # A class that met several blocks has a root from each. It is tied to the least of them, and so are
+        # the other roots, which the classes of a block share: a row per class, and few more.
+        least = F.min("root").over(Window.partitionBy("node"))
+        roots = self.links.where("node != root").select("node", "root", least.alias("least"))
+        pairs = roots.select(F.explode(F.array(F.col("node"), F.col("root"))).alias("a"), F.col("least").alias("b"))
+        label = components(pairs.where("a != b").distinct())
         return self.classes.select("node", *columns).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def documents(self) -> DataFrame:
