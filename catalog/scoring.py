@@ -167,6 +167,18 @@ def _(spark, sf):
     return rounded(correlate.correlate(m, axis, seed, "spearman"), "r", "pct")
 
 
+CELL_PROFILES = """, prof0 AS MATERIALIZED (SELECT g.gene, l.cell_id AS bucket, COALESCE(CAST(value AS DOUBLE), 0.0) AS mean,
+  CASE WHEN value <> 0 THEN 1 ELSE 0 END AS hit FROM genes g CROSS JOIN lab l LEFT JOIN expr e ON e.gene = g.gene AND e.cell_id = l.cell_id)"""
+
+
+@register("corr_spearman_cells", f"{RETAIL}{CELL_PROFILES}{RANKED} {_corr_sql('SELECT COUNT(*) FROM lab')}")
+def _(spark, sf):
+    """Ranks over every cell: a profile as long as the table."""
+    m = retail(spark, sf)
+    axis = axes.cell_axis(m.cells)
+    return rounded(correlate.correlate(m, axis, correlate.seed_profile(m, axis, SEED), "spearman"), "r", "pct")
+
+
 @register("corr_spearman_signed", f"""{VECTORS}, gx AS (SELECT type, COUNT(*) AS n, row_number() OVER (ORDER BY type) - 1 AS bucket FROM lab GROUP BY 1 HAVING COUNT(*) >= 10),
 ax AS (SELECT cell_id, bucket FROM lab JOIN gx USING (type)),
 prof0 AS MATERIALIZED (SELECT gene, bucket, AVG(CAST(value AS DOUBLE)) AS mean, COUNT(*) FILTER (value <> 0) AS hit FROM expr JOIN ax USING (cell_id) GROUP BY 1, 2)
@@ -225,6 +237,16 @@ def _(spark, sf):
     return rounded(correlate.correlate_dense(values, n, seed), "r", "pct")
 
 
+@register("corr_pseudobulk_spearman", f"""{RETAIL}{PSEUDOBULK}{PBN}, prof0 AS (SELECT g.gene, pk.bucket, COALESCE(mean, 0.0) AS mean, COALESCE(hit, 0) AS hit
+  FROM (SELECT DISTINCT gene FROM pv) g CROSS JOIN pk LEFT JOIN pv ON pv.gene = g.gene AND pv.bucket = pk.bucket){RANKED}
+SELECT a.gene, {r('corr(a.mean, s.mean)')} AS r, {r('SUM(a.hit) / CAST(COUNT(*) AS DOUBLE)')} AS pct FROM prof a JOIN prof s
+ON s.bucket = a.bucket AND s.gene = '{SEED}' GROUP BY 1 HAVING SUM(a.hit) / CAST(COUNT(*) AS DOUBLE) >= 0.1""")
+def _(spark, sf):
+    values, n = dense(spark, sf)
+    seed = values.where(F.col("gene") == SEED).select("bucket", F.col("mean").alias("s"))
+    return rounded(correlate.correlate_dense(values, n, seed, method="spearman"), "r", "pct")
+
+
 # ---- metacells and sets as seeds ----
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.axes import Axis
 from tallygrid.operators.matrix import Matrix
+from tallygrid.plans.ordering import average_ranks, tie_ranks, value_bucket
 from tallygrid.plans.pairs import pair_sums
 from tallygrid.plans.session import cut_lineage
 
@@ -47,16 +48,41 @@ def standardise(profile: DataFrame, value: str = "s") -> DataFrame:
     return profile.withColumn(value, (F.col(value) - stat["mean"]) * scale)
 
 
-def _ranked(profile: DataFrame, keys: list[str], value: str, n_buckets: Column | None = None) -> DataFrame:
-    """Average ranks over the axis; buckets not present tie at zero. Profiles are as long as the pooled axis."""
-    part = Window.partitionBy(*keys)
-    order = part.orderBy(value)
-    tie = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(order) + (tie - 1) / 2
-    if n_buckets is not None:
-        absent = n_buckets - F.count(F.lit(1)).over(part)
-        rank = rank + F.when(F.col(value) > 0, absent).otherwise(0)
-    return profile.withColumn("rank", rank)
+def _seed_ranks(seed: DataFrame, n: int) -> tuple[DataFrame, float, float]:
+    """Average ranks of a seed over ``n`` buckets: (bucket, s) where it is not zero, the rank of its
+    zeros, and the sum of squares of all ranks."""
+    some = cut_lineage(average_ranks(seed.where("s <> 0"), [], "s").select("bucket", "s", "rank"))
+    count = some.agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("s") < 0).alias("neg")).first()
+    absent = n - count["present"]
+    level = count["neg"] + (absent + 1) / 2
+    ranks = some.select("bucket", (F.col("rank") + F.when(F.col("s") > 0, absent).otherwise(0)).alias("s"))
+    square = ranks.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+    return ranks, level, square + absent * level * level
+
+
+def _rank_sums(values: DataFrame, seed: DataFrame, level: float, n: int) -> DataFrame:
+    """gene, hit and the sums of ranks that a correlation needs, for values(gene, bucket, mean, hit) over ``n`` buckets.
+
+    A profile may be as long as the table has cells: equal values collapse to one row with their
+    count and the sum of the seed's ranks, these rows are ranked by value buckets, and the buckets
+    without a value enter as one tie block by arithmetic.
+    """
+    own = F.coalesce("s", F.lit(level))
+    seen = F.col("mean") != 0
+    ties = values.join(seed, "bucket", "left").groupBy("gene", value_bucket(F.col("mean")).alias("_b"), "mean").agg(
+        F.count_if(seen).alias("_c"), F.sum(F.when(seen, own).otherwise(0.0)).alias("own"), F.sum("hit").alias("hit"))
+    c, rank, up = F.col("_c"), F.col("rank"), F.col("mean") > 0
+    only_up = lambda x: F.sum(F.when(up, x).otherwise(0))
+    sums = tie_ranks(ties, ["gene"], "mean").groupBy("gene").agg(
+        F.sum("hit").alias("hit"), F.sum("_c").alias("present"), F.sum(F.when(F.col("mean") < 0, c).otherwise(0)).alias("neg"),
+        F.sum("own").alias("own"), F.sum(c * rank * rank).alias("square"), F.sum(F.col("own") * rank).alias("product"),
+        only_up(c).alias("up"), only_up(c * rank).alias("up_rank"), only_up(F.col("own")).alias("up_own"))
+    absent = n - F.col("present")
+    zero = F.col("neg") + (absent + 1) / 2
+    return sums.select(
+        "gene", "hit", F.lit(n * (n + 1) / 2).alias("g"),
+        (F.col("square") + 2 * absent * F.col("up_rank") + absent * absent * F.col("up") + absent * zero * zero).alias("q"),
+        (F.col("product") + absent * F.col("up_own") + zero * (n * (n + 1) / 2 - F.col("own"))).alias("sg"))
 
 
 def correlate(m: Matrix, axis: Axis, seed: DataFrame, method: str = "pearson",
@@ -65,35 +91,21 @@ def correlate(m: Matrix, axis: Axis, seed: DataFrame, method: str = "pearson",
 
     Zero buckets add nothing to the sums, so only non-zeros are aggregated. On a
     pooled axis the seed is one short table; per cell it is joined on the cell.
-    Spearman ranks pooled profiles, whose length is the number of pools.
+    Spearman takes average ranks over an axis of any length.
     """
-    if method == "spearman" and not axis.pooled:
-        raise ValueError("ranks are taken over pooled axes")
     # Cells that landed in a bucket, as one number.
     cells = (axis.sizes.agg(F.sum("n").alias("v")) if axis.pooled
              else axis.assign.agg(F.count(F.lit(1)).alias("v"))).first()["v"] or 0
     prof = profiles(m, axis)
-    if method == "spearman":
-        seed = _ranked(seed, [], "s").select("bucket", F.col("rank").alias("s"))
     tot = seed.agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     n, s_sum, s_sq = tot["n"], tot["s"] or 0.0, tot["q"] or 0.0
-    joined = prof.join(seed, "bucket")
     if method == "spearman":
-        joined = _ranked(joined, ["gene"], "mean", F.lit(n))
-        x = F.col("rank")
-        sums = joined.groupBy("gene").agg(
-            F.sum("hit").alias("hit"), F.sum(x * x).alias("q"), F.sum(F.col("s") * x).alias("sg"),
-            F.count(F.lit(1)).alias("present"), F.count_if(F.col("mean") < 0).alias("neg"),
-            F.sum("s").alias("s_present"))
-        absent = F.lit(n) - F.col("present")
-        level = F.col("neg") + (absent + 1) / 2
-        sums = sums.select(
-            "gene", "hit", F.lit(n * (n + 1) / 2).alias("g"),
-            (F.col("q") + absent * level * level).alias("q"),
-            (F.col("sg") + level * (F.lit(s_sum) - F.col("s_present"))).alias("sg"))
+        ranks, level, s_sq = _seed_ranks(seed, n)
+        s_sum = n * (n + 1) / 2
+        sums = _rank_sums(prof, ranks, level, n)
     else:
         x = F.col("mean")
-        sums = joined.groupBy("gene").agg(
+        sums = prof.join(seed, "bucket").groupBy("gene").agg(
             F.sum("hit").alias("hit"), F.sum(x).alias("g"), F.sum(x * x).alias("q"), F.sum(F.col("s") * x).alias("sg"))
     return _r(sums, n, s_sum, s_sq, F.col("hit") / F.lit(float(max(cells, 1))), F.col("hit") >= min_pct * cells)
 
@@ -138,16 +150,21 @@ def pseudobulk_values(pb: DataFrame, cells: DataFrame, clusters: list | None = N
     return values, n
 
 
-def correlate_dense(values: DataFrame, n_columns: int, seed: DataFrame, min_pct: float = DETECTION_FLOOR) -> DataFrame:
-    """Pearson over pseudobulk columns; fewer than three columns give no result."""
+def correlate_dense(values: DataFrame, n_columns: int, seed: DataFrame, min_pct: float = DETECTION_FLOOR,
+                    method: str = "pearson") -> DataFrame:
+    """Pearson or Spearman over pseudobulk columns; fewer than three columns give no result."""
     if n_columns < 3:
         return values.select("gene", F.lit(None).cast("double").alias("r"), F.lit(0.0).alias("pct")).limit(0)
+    share = F.col("hit") / F.lit(float(n_columns))
+    if method == "spearman":
+        ranks, level, square = _seed_ranks(seed, n_columns)
+        sums = _rank_sums(values, ranks, level, n_columns)
+        return _r(sums, n_columns, n_columns * (n_columns + 1) / 2, square, share, share >= min_pct)
     tot = seed.agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     x = F.col("mean")
     sums = values.join(seed, "bucket", "left").groupBy("gene").agg(
         F.sum("hit").alias("hit"), F.sum(x).alias("g"), F.sum(x * x).alias("q"),
         F.sum(F.coalesce("s", F.lit(0.0)) * x).alias("sg"))
-    share = F.col("hit") / F.lit(float(n_columns))
     return _r(sums, n_columns, tot["s"] or 0.0, tot["q"] or 0.0, share, share >= min_pct)
 
 

@@ -122,6 +122,24 @@ def numbered(
     )
 
 
+def tie_ranks(ties: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """Average ranks within ``keys`` of ties(keys, _b, value, _c): a row per distinct value, its bucket and count."""
+    keys = list(keys)
+    per = ties.groupBy(*keys, "_b").agg(F.sum("_c").alias("_nb"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
+    upto = F.sum("_c").over(_up_to_here([*keys, "_b"], [value]))
+    return ties.join(per, [*keys, "_b"]).withColumn(out, F.col("_off") + upto - (F.col("_c") - 1) / 2)
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+    """Ascending ranks within ``keys``; equal values share the mean of theirs. A group of any length is
+    ordered by buckets, after equal values have collapsed."""
+    keys = list(keys)
+    ties = df.groupBy(*keys, value_bucket(F.col(value)).alias("_b"), value).agg(F.count(F.lit(1)).alias("_c"))
+    return df.join(tie_ranks(ties, keys, value, out).select(*keys, value, out), [*keys, value])
+
+
 def descending_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """1 + the number of strictly greater values within ``keys``; ties share a rank."""
     keys = list(keys)
