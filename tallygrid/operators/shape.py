@@ -144,7 +144,9 @@ def cluster_order(panels: DataFrame, metric: str = "correlation", most_rows: int
     """
     schema = "panel string, step int, a int, b int, height double, leaves array<string>"
     sizes = panels.groupBy("panel").agg(F.count_distinct("row").alias("rows"))
-    shown = distances(panels, metric).join(sizes.where(F.col("rows").between(3, most_rows)).select("panel"), "panel")
+    # Panels without a tree are left out before any distance is formed.
+    drawn = sizes.where(F.col("rows").between(3, most_rows)).select("panel")
+    shown = distances(panels.join(drawn, "panel", "left_semi"), metric)
 
     def solve(pairs: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pairs["row_a"], *pairs["row_b"]})

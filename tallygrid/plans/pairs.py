@@ -6,13 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a column, and of a group, in one block; a task joins one block with one.
+BLOCK = 1000
+
+
+def block_joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of rows (row_a of ``left``, row_b of ``right``) that agree on ``keys``, as products of blocks;
+    both sides hold the same rows.
+
+    Rows of a key are dealt into blocks of about ``BLOCK``, and each pair of blocks is a join key of its
+    own. So a column that very many rows share, or a group of very many rows, is spread over as many
+    tasks as the square of its blocks; a short one has one block and costs nothing more."""
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = lambda row: F.pmod(F.xxhash64(row), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = left.join(sizes, keys).withColumn("block_a", own("row_a")).withColumn("block_b", every).drop("blocks")
+    b = right.join(sizes, keys).withColumn("block_b", own("row_b")).withColumn("block_a", every).drop("blocks")
+    return a.join(b, [*keys, "block_a", "block_b"]).drop("block_a", "block_b")
+
+
 def pair_sums(rows: DataFrame, columns: DataFrame | Column) -> DataFrame:
     """grp, row_a <= row_b, cov, norm_a, norm_b, square for rows(grp, row, col, value).
 
     A column without a value of a row counts as zero. ``columns`` is the number of columns,
     one for all groups or a frame (grp, n). ``cov`` is the sum of products of deviations,
     ``square`` the sum of squared differences. The pairs are the result; only columns that
-    both rows have are joined, and what the others add follows from each row's own sums.
+    both rows have are joined, block by block, and what the others add follows from each row's own sums.
     """
     n = rows.withColumn("n", columns) if isinstance(columns, Column) else rows.join(columns, "grp")
     mean = n.groupBy("grp", "row", "n").agg(F.sum("value").alias("sum")).select(
@@ -27,11 +46,12 @@ def pair_sums(rows: DataFrame, columns: DataFrame | Column) -> DataFrame:
     cell = dev.select("grp", "row", "col", "dev", "value")
     left, right = side(cell, "a"), side(cell, "b")
     a, b = F.col("dev_a"), F.col("dev_b")
-    both = left.join(right, ["grp"], "inner").where("col_a = col_b AND row_a <= row_b").groupBy("grp", "row_a", "row_b").agg(
+    shared = block_joined(left.withColumnRenamed("col_a", "col"), right.withColumnRenamed("col_b", "col"), ["grp", "col"])
+    both = shared.where("row_a <= row_b").groupBy("grp", "row_a", "row_b").agg(
         F.count(F.lit(1)).alias("c"), F.sum(a).alias("ca"), F.sum(b).alias("cb"), F.sum(a * b).alias("cab"),
         F.sum((F.col("value_a") - F.col("value_b")) * (F.col("value_a") - F.col("value_b"))).alias("gap"),
         F.sum(F.col("value_a") * F.col("value_a")).alias("va"), F.sum(F.col("value_b") * F.col("value_b")).alias("vb"))
-    pairs = side(stat, "a").join(side(stat.drop("n"), "b"), "grp").where("row_a <= row_b")
+    pairs = block_joined(side(stat, "a"), side(stat.drop("n"), "b"), ["grp"]).where("row_a <= row_b")
     pairs = pairs.join(both, ["grp", "row_a", "row_b"], "left").na.fill(0, ["c", "ca", "cb", "cab", "gap", "va", "vb"])
     ma, mb = F.col("mean_a"), F.col("mean_b")
     neither = F.col("n_a") - F.col("k_a") - F.col("k_b") + F.col("c")

@@ -162,6 +162,63 @@ def test_composition_equals_a_tally(spark):
     assert composition.export_header("type", ["sample", "cells"]) == ["sample", "cells-2", "type", "cells", "row_total", "samples", "fraction"]
 
 
+def test_pairs_in_blocks_equal_pairs_at_once(spark, monkeypatch):
+    """A column that all rows share splits into blocks, and so does the table of pairs."""
+    from tallygrid.plans import pairs
+    rng = random.Random(3)
+    rows = [(p, f"r{k}", c, float(rng.randrange(1, 9))) for p in ("p", "q") for k in range(13) for c in range(5)
+            if c == 0 or rng.random() < 0.5]
+    panels = spark.createDataFrame(rows, "panel string, row string, col int, value double")
+    whole = {m: sorted(map(tuple, shape.distances(panels, m).collect())) for m in ("correlation", "euclidean")}
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    frame = panels.where("panel = 'p'").selectExpr("panel AS grp", "col", "row AS row_a")
+    split = pairs.block_joined(frame, frame.withColumnRenamed("row_a", "row_b"), ["grp", "col"])
+    assert split.count() == sum(n * n for n in (frame.where(F.col("col") == c).count() for c in range(5)))
+    for m, want in whole.items():
+        got = sorted(map(tuple, shape.distances(panels, m).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+    plain = {}
+    for p, r, c, v in rows:
+        plain.setdefault((p, r), [0.0] * 5)[c] = v
+    for p, a, b, d in whole["euclidean"]:
+        assert abs(d - sum((x - y) ** 2 for x, y in zip(plain[p, a], plain[p, b])) ** 0.5) < 1e-9
+    assert len(whole["euclidean"]) == 2 * 13 * 12 // 2
+
+
+def test_panels_beyond_a_figure_form_no_distances(spark):
+    rows = [("wide", f"r{k}", 0, float(k)) for k in range(9)] + [("small", f"r{k}", 0, float(k)) for k in range(3)]
+    panels = spark.createDataFrame(rows, "panel string, row string, col int, value double")
+    out = shape.cluster_order(panels, "euclidean", most_rows=5).collect()
+    assert sorted((r["panel"], r["step"] is None) for r in out) == [("small", False), ("small", False), ("wide", True)]
+
+
+def test_panel_of_a_frame_reads_its_own_folders(spark, tmp_path, make):
+    genes = {f"gene{k}": [float(k + 1)] * 4 for k in range(60)}
+    make(genes, [("t", "s", "c")] * 4).write(f"{tmp_path}/m")
+    m = Matrix.read(spark, f"{tmp_path}/m")
+    assert m.expr.columns == ["gene", "cell_id", "value"] and m.expr.count() == 240
+    spark.createDataFrame([("gene3", 1), ("gene7", 1), ("gene9", 0)], "gene string, want int").write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked").where("want = 1")
+    for panel in (m.panel(asked), m.panel(["gene3", "gene7"])):
+        assert sorted((r["gene"], r["value"]) for r in panel.collect()) == [("gene3", 4.0)] * 4 + [("gene7", 8.0)] * 4
+        plan = panel._jdf.queryExecution().executedPlan()
+        scans = []
+
+        def walk(node):
+            if "Adaptive" in node.nodeName():
+                return walk(node.executedPlan())
+            if "QueryStage" in node.nodeName():
+                return walk(node.plan())
+            if "Scan parquet" in node.nodeName():
+                scans.append(node)
+            for k in range(node.children().size()):
+                walk(node.children().apply(k))
+        walk(plan)
+        files = [s.metrics().apply("numFiles").value() for s in scans if "gene_part" in s.toString()]
+        assert files and max(files) == 2
+    assert m.panel(asked.where("want > 5")).count() == 0
+
+
 def test_distances_and_trees(spark):
     def panel(rows):
         return spark.createDataFrame([("p", f"r{i}", j, float(v)) for i, vs in enumerate(rows) for j, v in enumerate(vs)],
