@@ -141,6 +141,20 @@ def _(spark, sf):
     return genesets.parse_sets(texts).select("set_name", F.array_join("genes", ",").alias("members"))
 
 
+@register("parse_sets_json", f"{RETAIL}{SETS} SELECT source, set_id AS set_name, string_agg(gene, ',' ORDER BY pos) AS members FROM members GROUP BY source, set_id")
+def _(spark, sf):
+    """The library as JSON: brands as an object of lists, types as a list of records, sizes as an object of records."""
+    genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda x: x["gene"])
+    each = library(spark, sf).groupBy("source", "set_id", F.pmod(F.xxhash64("set_id"), F.lit(4)).alias("part")).agg(genes.alias("genes"))
+    shapes = {
+        "brand": F.to_json(F.map_from_entries(F.collect_list(F.struct("set_id", "genes")))),
+        "type": F.to_json(F.collect_list(F.struct(F.lit(1).alias("version"), F.col("set_id").alias("Name"), F.col("genes").alias("Symbols")))),
+        "size": F.to_json(F.map_from_entries(F.collect_list(F.struct("set_id", F.struct(F.lit("x").alias("about"), F.col("genes").alias("members"))))))}
+    texts = [each.where(F.col("source") == s).groupBy("source", "part").agg(text.alias("value")) for s, text in shapes.items()]
+    whole = texts[0].unionByName(texts[1]).unionByName(texts[2]).select(F.concat_ws("/", "source", "part").alias("path"), "value")
+    return genesets.parse_sets(whole).select(F.split("path", "/")[0].alias("source"), "set_name", F.array_join("genes", ",").alias("members"))
+
+
 @register("manifest_defaults", """SELECT n_name AS source, r_name AS species FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0""")
 def _(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")

@@ -93,14 +93,58 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- sets as people write them, one text per row ----
 
+# Keys that a record carries its name and its members under, in any case.
+NAME_KEYS = ["name", "id", "set", "pathway", "term", "geneset", "gene_set", "label"]
+GENE_KEYS = ["genes", "members", "symbols", "gene_symbols", "genesymbols", "ids", "list"]
+
+
+def json_sets(texts: DataFrame) -> DataFrame:
+    """path, pos, set_name, genes of texts(path, value) in JSON: an object of lists, an object of records
+    with a list each, or a list of records with a name and a list. A record without a name is ``set``
+    and its number. Members that are objects, lists or null are left out; so is what has no list.
+
+    Values are read as VARIANT, whose type decides the rule; keys keep the order of the text.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+    record = lambda text: F.from_json(text, "map<string,variant>")
+
+    def members(v: Column) -> Column:
+        plain = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: ~kind(x).rlike("^(ARRAY|OBJECT|VOID)"))
+        return F.transform(plain, lambda x: F.regexp_replace(
+            F.trim(F.try_variant_get(x, "$", "string")), r"^['\"]|['\"]$", ""))
+
+    def first_of(fields: Column, keys: list[str]) -> Column:
+        return F.try_element_at(F.map_values(F.map_filter(fields, lambda k, _: F.lower(k).isin(keys))), F.lit(1))
+
+    # Objects: the member list itself, or a record that carries one. Both maps have the keys of the text, in its order.
+    fields = F.arrays_zip(
+        F.map_keys(F.col("texts")).alias("name"), F.map_values(F.col("texts")).alias("text"), F.map_values(F.col("typed")).alias("own"))
+    opens = lambda c: F.ltrim("value").startswith(c)
+    entry = texts.where(opens("{")).select(
+        "path", F.from_json("value", "map<string,string>").alias("texts"), record(F.col("value")).alias("typed")).select(
+        "path", F.posexplode(fields).alias("pos", "e")).select(
+        "path", "pos", F.col("e.name").alias("set_name"), F.col("e.text").alias("text"), F.col("e.own").alias("own"))
+    inner = F.when(kind(F.col("own")).startswith("OBJECT"), first_of(record(F.col("text")), GENE_KEYS))
+    found = F.when(kind(F.col("own")).startswith("ARRAY"), F.col("own")).otherwise(inner)
+    named = entry.select("path", "pos", "set_name", members(found).alias("genes"))
+    # Lists of records.
+    each = texts.where(opens("[")).select(
+        "path", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text"))
+    each = each.withColumn("fields", record(F.col("text"))).select(
+        "path", "pos", F.try_variant_get(first_of(F.col("fields"), NAME_KEYS), "$", "string").alias("set_name"),
+        members(first_of(F.col("fields"), GENE_KEYS)).alias("genes")).where(F.size("genes") > 0)
+    # The records of one text are numbered; a text is one row, so they fit a task.
+    number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    each = each.withColumn("set_name", F.coalesce("set_name", F.concat(F.lit("set "), number.cast("string"))))
+    return named.unionByName(each).where((F.size("genes") > 0) & F.trim("set_name").rlike("[A-Za-z0-9]"))
+
 
 def parse_sets(texts: DataFrame) -> DataFrame:
-    """path, set_name, genes, pos of texts(path, value). A text is a JSON object of lists, or lines of
+    """path, set_name, genes, pos of texts(path, value). A text is JSON in one of its three shapes, or lines of
     tab-separated fields (a description in the second is dropped) or of ``Name: a, b``; any other line
     adds to one set named by the path. The last of several sets of one name wins."""
-    is_json = F.ltrim("value").startswith("{")
-    object_ = F.from_json("value", "map<string,array<string>>")
-    listed = texts.where(is_json).select("path", F.posexplode(object_).alias("pos", "set_name", "genes"))
+    is_json = F.ltrim("value").rlike(r"^[{\[]")
+    listed = json_sets(texts.where(is_json))
     line = texts.where(~is_json).select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "line")).where(
         F.trim("line") != "")
     tabs = F.split("line", "\t")

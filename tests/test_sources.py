@@ -301,3 +301,17 @@ def test_carried_columns_have_two_levels(spark):
     out = prep.carried_columns(cells, ["many", "gap", "one"])
     assert sorted(map(tuple, out.collect())) == [("gap", 2), ("many", 3)]
     assert [r["column"] for r in prep.carried_columns(cells, ["many", "gap", "one"], 2).collect()] == ["gap"]
+
+
+def test_json_sets_in_all_shapes(spark):
+    """Objects of lists and of records, lists of records; order, repeats, numbers, nulls and what is no set."""
+    texts = [
+        ("lists", '{"B": ["x", "y", "x"], "A": ["z", 7, null, {"q": 1}, ["n"]], "C": "no", "D": [], "B": ["last"]}'),
+        ("records", ' {"one": {"about": 1, "Genes": ["a", "b"]}, "two": {"members": "no"}, "three": {"IDS": ["c"]}, "!!": ["k"]}'),
+        ("array", '[{"Pathway": "P", "symbols": ["a"]}, {"genes": ["b", " c "]}, 5, "s", {"name": "none"}, {"id": 9, "list": ["\'d\'"]}]'),
+        ("text", "Name: g, h"), ("broken", '{"A": [1, 2')]
+    rows = spark.createDataFrame(texts, "path string, value string")
+    got = {(r["path"], r["set_name"]): r["genes"] for r in genesets.parse_sets(rows).collect()}
+    assert got == {
+        ("lists", "B"): ["last"], ("lists", "A"): ["z", "7"], ("records", "one"): ["a", "b"], ("records", "three"): ["c"],
+        ("array", "P"): ["a"], ("array", "set 2"): ["b", "c"], ("array", "9"): ["d"], ("text", "Name"): ["g", "h"]}
