@@ -237,3 +237,11 @@ def _(spark, sf):
     return rounded(parts.groupBy("gene").agg(F.sum("hits").alias("hits"), F.max("top").alias("top")), "top")
 
 
+@register("shared_scan", f"""{RETAIL}, n AS (SELECT COUNT(*) AS n FROM lab)
+SELECT gene, {r('SUM(CAST(value AS DOUBLE)) / MAX(n)')} AS avg, {r('COUNT(*) FILTER (value > 0) / CAST(MAX(n) AS DOUBLE)')} AS pct,
+{r('sqrt(SUM(CAST(value AS DOUBLE) * value) / MAX(n) - (SUM(CAST(value AS DOUBLE)) / MAX(n)) ** 2)', 5)} AS sd, {r('MAX(CAST(value AS DOUBLE))')} AS top
+FROM expr, n GROUP BY 1""")
+def _(spark, sf):
+    """Averages, detection, deviations and maxima of every gene, from one scan."""
+    plans = [aggregate.AVERAGE, aggregate.DETECTION, aggregate.DEVIATION, aggregate.LARGEST]
+    return rounded(rounded(aggregate.run_plans(retail(spark, sf), plans), "avg", "pct", "top"), "sd", digits=5)

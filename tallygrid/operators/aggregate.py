@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
@@ -308,3 +311,59 @@ def per_gene(expr: DataFrame, fn, schema: str) -> DataFrame:
     the caller combines with an ordinary aggregate. No gene is gathered in one task.
     """
     return expr.mapInPandas(lambda batches: (fn(batch) for batch in batches), schema)
+
+
+# ---- plans that share a scan ----
+
+
+@dataclass(frozen=True)
+class GenePlan:
+    """One statistic per gene, as the three steps that let several share one scan and several parts one result.
+
+    ``partial`` gives aggregates over non-zeros (column ``value``), ``merge`` how two partials of a
+    gene become one, and ``finish`` the statistic from the merged columns and the number of cells.
+    """
+
+    name: str
+    partial: Callable[[], dict[str, Column]]
+    finish: Callable[[Callable[[str], Column], Column], Column]
+    merge: Callable[[Column], Column] = F.sum
+
+    def columns(self) -> dict[str, Column]:
+        return {f"{self.name}_{k}": v for k, v in self.partial().items()}
+
+
+def _value() -> Column:
+    return F.col("value").cast("double")
+
+
+#: Mean over all cells, cells with a positive value, standard deviation over all cells, largest value seen.
+AVERAGE = GenePlan("avg", lambda: {"sum": F.sum(_value())}, lambda c, n: c("sum") / n)
+DETECTION = GenePlan("pct", lambda: {"hits": F.count_if(F.col("value") > 0)}, lambda c, n: c("hits") / n)
+DEVIATION = GenePlan(
+    "sd", lambda: {"sum": F.sum(_value()), "square": F.sum(_value() * _value())},
+    lambda c, n: F.sqrt(F.greatest(F.lit(0.0), c("square") / n - (c("sum") / n) * (c("sum") / n))))
+LARGEST = GenePlan("top", lambda: {"top": F.max(_value())}, lambda c, n: c("top"), merge=F.max)
+
+
+def gene_partials(expr: DataFrame, plans: list[GenePlan]) -> DataFrame:
+    """gene and the partial columns of all plans, in one aggregation of one scan."""
+    columns = {k: v for p in plans for k, v in p.columns().items()}
+    return expr.groupBy("gene").agg(*[v.alias(k) for k, v in columns.items()])
+
+
+def merge_partials(partials: DataFrame, plans: list[GenePlan]) -> DataFrame:
+    """One row per gene from partials of several parts of a matrix, or of several runs."""
+    return partials.groupBy("gene").agg(*[p.merge(F.col(k)).alias(k) for p in plans for k in p.columns()])
+
+
+def finish_plans(partials: DataFrame, plans: list[GenePlan], cells: Column) -> DataFrame:
+    """gene and one column per plan, named as the plan."""
+    return partials.select("gene", *[
+        p.finish(lambda k, p=p: F.col(f"{p.name}_{k}"), cells).alias(p.name) for p in plans])
+
+
+def run_plans(m: Matrix, plans: list[GenePlan]) -> DataFrame:
+    """Every plan over every gene that has a value: one scan and one shuffle however many plans there are."""
+    n = m.cells.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return finish_plans(gene_partials(m.expr, plans), plans, n)

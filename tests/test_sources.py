@@ -315,3 +315,21 @@ def test_json_sets_in_all_shapes(spark):
     assert got == {
         ("lists", "B"): ["last"], ("lists", "A"): ["z", "7"], ("records", "one"): ["a", "b"], ("records", "three"): ["c"],
         ("array", "P"): ["a"], ("array", "set 2"): ["b", "c"], ("array", "9"): ["d"], ("text", "Name"): ["g", "h"]}
+
+
+def test_plans_share_one_scan_and_parts_merge(spark, make):
+    """Four statistics from one aggregation; partials of two parts of the cells give the same."""
+    from tallygrid.operators import aggregate as ag
+    dense = {"a": [1.0, 0, 2.0, 0, 4.0, 0], "b": [0, 0, -1.0, 0, 0, 3.0], "c": [2.0] * 6}
+    m = make(dense, [("t", "s", "c")] * 6)
+    plans = [ag.AVERAGE, ag.DETECTION, ag.DEVIATION, ag.LARGEST]
+    out = ag.run_plans(m, plans)
+    got = {r["gene"]: tuple(r)[1:] for r in out.collect()}
+    for g, col in dense.items():
+        want = (np.mean(col), np.mean(np.array(col) > 0), np.std(col), max(v for v in col if v))
+        assert np.allclose(got[g], want)
+    plan = ag.gene_partials(m.expr, plans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan") == 1
+    halves = [ag.gene_partials(m.expr.where(F.col("cell_id") % 2 == k), plans) for k in (0, 1)]
+    merged = ag.finish_plans(ag.merge_partials(halves[0].unionByName(halves[1]), plans), plans, F.lit(6))
+    assert all(np.allclose(tuple(r)[1:], got[r["gene"]]) for r in merged.collect())
