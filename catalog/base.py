@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators.matrix import Matrix
+from tallygrid.operators.nameindex import NameIndex
 from tallygrid.operators.setindex import SetIndex
 from tallygrid.sources import views
 
@@ -51,6 +52,17 @@ def set_index(spark, sf, library: str, members: DataFrame, background: DataFrame
     return _indexes[key]
 
 
+_names: dict[tuple[str, str, str], NameIndex] = {}
+
+
+def name_index(spark, sf, which: str, names: Callable[[], DataFrame], *searched) -> NameIndex:
+    """The index of some names, written once per application."""
+    key = (spark.sparkContext.applicationId, sf, which)
+    if key not in _names:
+        _names[key] = NameIndex.build(names(), list(searched))
+    return _names[key]
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Round computed doubles and drop negative zeros, for comparison across engines."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import (ORA_COLUMNS, RETAIL, SETS, TEXT, ora_rounded, ora_sql, r, register, retail, rounded, set_index, table, text)
+from catalog.base import (ORA_COLUMNS, RETAIL, SETS, TEXT, name_index, ora_rounded, ora_sql, r, register, retail, rounded, set_index, table, text)
 from catalog.tests_ranks import BY_TYPE, TEXT_MARKERS
 from catalog.base import lnchoose_sql, rank_test_sql
 from tallygrid.functions import special
@@ -95,7 +95,9 @@ def _(spark, sf):
 WHERE contains(lower(set_id || ' ' || replace(set_id, '_', ' ')), 'brand') AND contains(lower(set_id), '1')
 ORDER BY set_id LIMIT 40""")
 def _(spark, sf):
-    return sets.find_sets(library(spark, sf), "Brand 1").select("source", "set_id")
+    named = lambda: library(spark, sf).select("source", "source_pos", "set_id", "set_name").distinct()
+    index = name_index(spark, sf, "sets", named, F.concat_ws(" ", "set_name", "set_id"))
+    return sets.find_sets(index.candidates("Brand 1".split()), "Brand 1").select("source", "set_id")
 
 
 @register("derive_collection", f"""{RETAIL}{SETS} SELECT 'Chosen' AS source, 'C_' || set_id AS set_id, gene FROM members
@@ -177,7 +179,8 @@ def _(spark, sf):
 @register("rank_genes", f"""{TEXT} SELECT gene, CASE WHEN gene = 'en' THEN 0 WHEN starts_with(gene, 'en') THEN 1 ELSE 2 END AS band FROM genes
 WHERE contains(gene, 'en') ORDER BY band, length(gene), gene LIMIT 8""")
 def _(spark, sf):
-    return sets.rank_genes(text(spark, sf).genes.select("gene"), "EN ").withColumn("band", F.col("band").cast("long"))
+    index = name_index(spark, sf, "words", lambda: text(spark, sf).genes.select("gene"), F.col("gene"))
+    return sets.rank_genes(index.candidates(["en"]), "EN ").withColumn("band", F.col("band").cast("long"))
 
 
 @register("merge_genes", f"""{RETAIL}, b AS (SELECT 0 AS turn, gene_id AS pos, gene FROM genes UNION ALL
@@ -229,7 +232,8 @@ def _(spark, sf):
     for c in ("gene", "bare", "other")) + """) AS band FROM g)
 SELECT gene, band FROM b WHERE band < 3 ORDER BY band, length(gene), gene LIMIT 8""")
 def _(spark, sf):
-    return sets.rank_genes(named_parts(spark, sf), "P1").withColumn("band", F.col("band").cast("long"))
+    index = name_index(spark, sf, "parts", lambda: named_parts(spark, sf), *map(F.col, ("gene", "bare", "other")))
+    return sets.rank_genes(index.candidates(["p1"]), "P1").withColumn("band", F.col("band").cast("long"))
 
 
 @register("natural_order", r"""WITH n AS (SELECT DISTINCT p_brand || ' ' || p_size || '/' || p_type AS name FROM part)

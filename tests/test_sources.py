@@ -333,3 +333,25 @@ def test_plans_share_one_scan_and_parts_merge(spark, make):
     halves = [ag.gene_partials(m.expr.where(F.col("cell_id") % 2 == k), plans) for k in (0, 1)]
     merged = ag.finish_plans(ag.merge_partials(halves[0].unionByName(halves[1]), plans), plans, F.lit(6))
     assert all(np.allclose(tuple(r)[1:], got[r["gene"]]) for r in merged.collect())
+
+
+def test_name_index_gives_what_a_full_scan_gives(spark, tmp_path):
+    """Short and long words, several of them, names without a third character, nulls and repeats; few folders are read."""
+    from tallygrid.operators.nameindex import FOLDERS, NameIndex
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abAB1é ") for _ in range(rng.randrange(1, 9))), k) for k in range(300)]
+    rows += [("Sox2", 900), ("sox21", 901), ("Sox9", 902), ("", 903), (None, 904), ("Sox2", 900)]
+    names = spark.createDataFrame(rows, "gene string, id int").withColumn("other", F.concat(F.lit("acc"), "id"))
+    index = NameIndex.build(names, [F.col("gene"), F.col("other")], f"{tmp_path}/names")
+    for words in (["SOX2"], ["sox"], ["a"], ["ab", "1"], ["acc90"], ["éa"], ["nowhere"], ["b1a"]):
+        low = [(i, " ".join((g or "", f"acc{i}")).lower(), (g or "").lower(), f"acc{i}") for g, i in set(rows)]
+        want = {i for i, _, g, o in low if all(w.lower() in g or w.lower() in o for w in words)}
+        got = index.candidates(words)
+        verified = {r["id"] for r in got.collect() if all(w.lower() in (r["gene"] or "").lower() or w.lower() in r["other"] for w in words)}
+        assert verified == want, words
+        assert got.count() == got.distinct().count()
+    assert index.candidates([]).count() == 0
+    top = sets.rank_genes(index.candidates(["sox2"]).select("gene"), "sox2").collect()
+    assert [(r["gene"], r["band"]) for r in top] == [("Sox2", 0), ("sox21", 1)]
+    plan = index.candidates(["sox2"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan and "In(part" in plan and FOLDERS == 16
