@@ -341,14 +341,21 @@ def _(spark, sf):
 WORD_SETS = """, members AS MATERIALIZED (SELECT 'letters' AS source, 0 AS source_pos, left(gene, 2) AS set_id, gene, gene_id AS pos FROM genes)"""
 
 
+def letters_index(spark, sf):
+    """Words by their first two letters."""
+    genes = text(spark, sf).genes
+    start = F.substring("gene", 1, 2)
+    lib = genes.select(F.lit("letters").alias("source"), F.lit(0).alias("source_pos"), start.alias("set_id"), start.alias("set_name"),
+                       "gene", F.col("gene_id").alias("pos"))
+    return set_index(spark, sf, "letters", lib, genes)
+
+
 @register("ora_words", f"""{ora_sql(TEXT_MARKERS + WORD_SETS, "SELECT grp, gene FROM de WHERE padj < 0.05 AND lfc > 0", (10, 500), by="grp")}
 SELECT grp, {ORA_COLUMNS} FROM ora""")
 def _(spark, sf):
     m = text(spark, sf)
-    lib = m.genes.select(F.lit("letters").alias("source"), F.lit(0).alias("source_pos"), F.substring("gene", 1, 2).alias("set_id"),
-                         F.substring("gene", 1, 2).alias("set_name"), "gene", F.col("gene_id").alias("pos"))
     up = ranktest.markers(m).where(ranktest.significant(lfc=0.0) & (F.col("lfc") > 0)).select("grp", "gene")
-    return ora_rounded(ora.ora_index(up, set_index(spark, sf, "letters", lib, m.genes), (10, 500), by=["grp"]), "grp")
+    return ora_rounded(ora.ora_index(up, letters_index(spark, sf), (10, 500), by=["grp"]), "grp")
 
 
 @register("ora_overlap", f"""{ora_sql(CONTRAST_DE + SETS, ASKED, (3, 500))},

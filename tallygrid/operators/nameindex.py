@@ -9,13 +9,12 @@ folders, never all names.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.plans.session import ensure_checkpoint_dir
+from tallygrid.plans.session import shared_path
 
 #: Length of the longest substring, and folders of lists.
 LONGEST, FOLDERS = 3, 16
@@ -30,8 +29,7 @@ class NameIndex:
     def build(cls, names: DataFrame, searched: list[Column], path: str | None = None) -> NameIndex:
         """Write the index of the rows of ``names`` by the texts ``searched``, below ``path`` or in the shared folder."""
         spark = names.sparkSession
-        ensure_checkpoint_dir(spark)
-        path = path or f"{spark.sparkContext.getCheckpointDir()}/names-{uuid.uuid4().hex}"
+        path = path or shared_path(spark, "names")
         found = F.array_distinct(F.flatten(F.array(*[parts(F.lower(F.coalesce(t, F.lit("")))) for t in searched])))
         filed = names.select(F.struct(*names.columns).alias("entry"), F.explode(found).alias("part"))
         folder = F.pmod(F.crc32(F.col("part").cast("binary")), F.lit(FOLDERS)).cast("int")

@@ -9,13 +9,11 @@ shuffles of all members, happens when the index is built and not when it is aske
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators.sets import annotated_background, folded_members
-from tallygrid.plans.session import ensure_checkpoint_dir
+from tallygrid.plans.session import shared_path
 
 #: Buckets of symbols; a bucket of a library of a hundred million symbols has some three million.
 BUCKETS = 32
@@ -33,8 +31,7 @@ class SetIndex:
         A set id that several collections carry belongs to the first; symbols that only dropped
         collections mention are annotated all the same and stand in no set."""
         spark = members.sparkSession
-        ensure_checkpoint_dir(spark)
-        path = path or f"{spark.sparkContext.getCheckpointDir()}/sets-{uuid.uuid4().hex}"
+        path = path or shared_path(spark, "sets")
         inside = folded_members(members, background)
         named = ["source", "set_id", "set_name"]
         inside.groupBy(*named).agg(F.count(F.lit(1)).alias("set_size")).write.parquet(f"{path}/sizes")

@@ -41,10 +41,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+_written: list[str] = []
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder; ``clear_written`` removes what is written there."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Evaluated once into a table in the shared folder: survives the loss of any executor."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this application has written so far; results that are still
+    read from them must have been stored elsewhere. Returns how many there were."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count

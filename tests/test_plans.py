@@ -135,3 +135,14 @@ def test_set_index_reads_its_own_buckets(spark, tmp_path):
     assert len(read) > 3 and "PartitionFilters: [bucket" in scan
     again = SetIndex(spark, f"{tmp_path}/index")
     assert ora.ora_index(asked.withColumnRenamed("u", "gene"), again, (1, 100)).count() == 2
+
+
+def test_written_tables_are_removed_on_request(spark):
+    from tallygrid.plans import session
+    before = list(session._written)
+    session._written.clear()
+    out = session.cut_lineage(spark.range(5))
+    path = session._written[0]
+    assert out.count() == 5 and session.clear_written(spark) == 1 and session.clear_written(spark) == 0
+    assert not __import__("os").path.exists(path.removeprefix("file:"))
+    session._written.extend(before)
