@@ -8,8 +8,8 @@ in the same order.
 For comparison with an edited text every document needs the next one by id. Documents are
 dealt into ranges of ids and sorted within them; each range also gets the first document of
 the next one, so that neighbours meet in one pass over the texts. Ranges are cut at a sample
-of the ids, taken by hash; their number follows from the bytes of the texts alone. Many
-rows of one id are cut by the hash of their text too; a task streams its rows and computes
+of the ids, taken by hash; their number follows from the bytes of the texts alone, and so does that
+of the tasks. Many rows of one id are cut by the hash of their text too; a task streams its rows and computes
 the fingerprint of a run of equal texts once.
 
 Defined results: a null text counts as empty; an empty text has the all-zero fingerprint; a
@@ -37,8 +37,9 @@ from tallygrid.llm.textstats import code_points
 
 #: Length of a k-mer in code points, k-mers per tuple, and hash functions.
 K, TUPLE, FUNCTIONS = 8, 2, 64
-#: Bytes of text in a range, about, and sampled ids per range.
-RANGE_BYTES, SAMPLED = 16 << 20, 16
+#: There are a range per so many bytes of text, and as many more as the square root of the number of
+#: small pieces, so that little text is spread too; sampled ids per range.
+RANGE_BYTES, PIECE_BYTES, SAMPLED = 64 << 20, 256 << 10, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 2048
 _LOW = np.uint64(0xFFFFFFFF)
@@ -115,9 +116,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def cuts(narrow: DataFrame) -> np.ndarray:
-    """The (key, mark) at which ranges of about ``RANGE_BYTES`` begin, but for the first; by a sample of the rows."""
+    """The (key, mark) at which ranges begin, but for the first; by a sample of the rows."""
     size = narrow.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    count = max(1, math.ceil((size["bytes"] or 0) / RANGE_BYTES))
+    total = size["bytes"] or 0
+    count = max(1, math.ceil(total / RANGE_BYTES + math.sqrt(total / PIECE_BYTES)))
     every = max(1, size["rows"] // (count * SAMPLED))
     chosen = narrow.where(F.pmod(F.xxhash64("key", "mark"), F.lit(every)) == 0).select("key", "mark").distinct().toArrow()
     places = np.rec.fromarrays([chosen["key"].to_numpy(), chosen["mark"].to_numpy()], names="key,mark")
@@ -159,7 +161,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
         return pd.Series([[p] if host is None else [p, host] for p, host in zip(own.tolist(), hosts)])
 
     rows = source.select(F.posexplode(parts("key", "mark")).alias("guest", "part"), "key", "mark", "doc_id", "text")
-    return rows.repartition("part").sortWithinPartitions("part", "guest", "key", "mark")
+    tasks = max(len(bounds) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "guest", "key", "mark")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:

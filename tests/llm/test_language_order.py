@@ -145,6 +145,7 @@ def test_fingerprints():
 def test_ranges_follow_bytes_and_split_one_id(spark, monkeypatch):
     """With few shuffle partitions there are as many ranges as the bytes ask for, also within one id."""
     monkeypatch.setattr(om, "RANGE_BYTES", 400)
+    monkeypatch.setattr(om, "PIECE_BYTES", 1 << 20)
     rows = [(7 if k % 3 else k, f"text {k} " * 3, "", 0, 0.0) for k in range(300)]
     docs = spark.createDataFrame(rows, DOCS)
     parts = om.with_neighbours(docs).where("guest = 0").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys")).collect()
