@@ -355,3 +355,31 @@ def test_name_index_gives_what_a_full_scan_gives(spark, tmp_path):
     assert [(r["gene"], r["band"]) for r in top] == [("Sox2", 0), ("sox21", 1)]
     plan = index.candidates(["sox2"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [folder" in plan and "In(part" in plan and FOLDERS == 16
+
+
+def test_a_name_that_many_share_and_many_ask_for(spark):
+    """Words and genes that share one name meet once per gene, not as often as their product."""
+    n = 3000
+    genes = spark.range(n).select(F.col("id").alias("gene_id"), F.concat(F.lit("g"), "id").alias("gene"), F.lit("ring").alias("bare"))
+    words = spark.range(n).select((F.col("id") + 7).alias("pos"), F.lit(" Ring").alias("word"))
+    found, missing = sets.resolve(words, genes)
+    rows = found.collect()
+    assert len(rows) == n and {r["pos"] for r in rows} == {7} and missing.count() == 0
+    assert joined_rows(spark, found) <= 2 * n
+
+
+def joined_rows(spark, df):
+    """Most rows that any join of an executed plan gave out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+            node = node.executedPlan()
+        if "QueryStage" in node.getClass().getSimpleName():
+            node = node.plan()
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
