@@ -57,17 +57,23 @@ def p_text(p: Column) -> Column:
     return F.when(p < P_FLOOR, f"<{P_FLOOR:.0e}").when(p.isNotNull(), exponential(p)).otherwise("")
 
 
+def printed(v: Column, form: str) -> Column:
+    """A number as C's printf writes it: rounded from its exact binary value, ties to even. ``format_string``
+    rounds the shortest decimal half up, so that 0.5625 or a value computed as 0.12345 may end in another digit."""
+    return F.udf(lambda x: None if x is None else format(x, form), "string")(v.cast("double"))
+
+
 def exponential(v: Column) -> Column:
     """Four decimals and an exponent without padding zeros, e.g. 1.2346e-7."""
-    return F.regexp_replace(F.format_string("%.4e", v), r"e([+-])0(\d)$", "e$1$2")
+    return F.regexp_replace(printed(v, ".4e"), r"e([+-])0(\d)$", "e$1$2")
 
 
 def nlp_text(nlp: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", nlp), F.lit(""))
+    return F.coalesce(printed(nlp, ".4f"), F.lit(""))
 
 
 def _fixed(column: str, digits: int) -> Column:
-    return F.when(F.col(column).isNotNull(), F.format_string(f"%.{digits}f", F.col(column))).otherwise("")
+    return F.coalesce(printed(F.col(column), f".{digits}f"), F.lit(""))
 
 
 def deg_table(de: DataFrame, compare: str, control: str) -> DataFrame:

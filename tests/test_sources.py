@@ -383,3 +383,11 @@ def joined_rows(spark, df):
         children = node.children()
         todo += [children.apply(k) for k in range(children.size())]
     return most
+
+
+def test_numbers_are_printed_from_their_exact_value(spark):
+    values = [0.5625, 0.0625, 0.12345, 0.00015, 2.5, -0.5625, 1e-7, None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(
+        tables._fixed("v", 3).alias("three"), tables._fixed("v", 4).alias("four"), tables.exponential(F.col("v")).alias("e")).collect()
+    assert [tuple(r)[:2] for r in got] == [("", "") if v is None else (f"{v:.3f}", f"{v:.4f}") for v in values]
+    assert got[0]["three"] == "0.562" and got[6]["e"] == "1.0000e-7" and got[7]["e"] is None
