@@ -84,7 +84,7 @@ def _(spark, sf):
 
 @register("score_grid", f"{RETAIL}{SCORES} SELECT set_id, type, {r('AVG(score)', 5)} AS mean FROM sc JOIN lab USING (cell_id) GROUP BY 1, 2")
 def _(spark, sf):
-    return rounded(score.score_grid(scores(spark, sf), retail(spark, sf).cells, ["type"]), "mean", digits=5)
+    return rounded(score.score_grid(scores(spark, sf), views.retail_cells(spark, sf), ["type"]), "mean", digits=5)
 
 
 MARKS = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
@@ -94,7 +94,7 @@ MARKS = {"min": 0.0, "q1": 0.25, "med": 0.5, "q3": 0.75, "max": 1.0}
 q AS ({quantile_sql('sl', 'set_id, type', 'v', MARKS, 5)}), a AS (SELECT set_id, type, AVG(CAST(v AS DOUBLE)) AS mean FROM sl GROUP BY 1, 2)
 SELECT set_id, type, n, {', '.join(MARKS)}, {r('mean', 5)} AS mean FROM q JOIN a USING (set_id, type)""")
 def _(spark, sf):
-    return rounded(score.score_summary(scores(spark, sf), retail(spark, sf).cells, ["type"]), *MARKS, "mean", digits=5)
+    return rounded(score.score_summary(scores(spark, sf), views.retail_cells(spark, sf), ["type"]), *MARKS, "mean", digits=5)
 
 
 @register("score_clip", f"""{RETAIL}{SCORES}, sl AS (SELECT set_id, CAST(score AS FLOAT) AS v FROM sc),
@@ -108,7 +108,7 @@ def _(spark, sf):
 
 @register("cell_axis", f"{RETAIL} SELECT cell_id, cell_id AS bucket FROM lab")
 def _(spark, sf):
-    return axes.cell_axis(retail(spark, sf).cells).assign
+    return axes.cell_axis(views.retail_cells(spark, sf)).assign
 
 
 AXIS = """, gs AS (SELECT type, cond, COUNT(*) AS n FROM lab GROUP BY 1, 2 HAVING COUNT(*) >= 10),
@@ -121,7 +121,7 @@ prof AS MATERIALIZED (SELECT g.gene, gx.bucket, COALESCE(s, 0.0) / gx.n AS mean,
 
 @register("group_axis", f"{RETAIL}{AXIS} SELECT cell_id, bucket FROM ax")
 def _(spark, sf):
-    return axes.group_axis(retail(spark, sf).cells).assign.withColumn("bucket", F.col("bucket").cast("long"))
+    return axes.group_axis(views.retail_cells(spark, sf)).assign.withColumn("bucket", F.col("bucket").cast("long"))
 
 
 @register("profiles", f"{RETAIL}{AXIS} SELECT gene, bucket, {r('mean')} AS mean, hit FROM prof WHERE hit > 0")
@@ -218,7 +218,7 @@ pv AS MATERIALIZED (SELECT gene, bucket, ln(1 + count / total * 1e4) AS mean, CA
 
 
 def dense(spark, sf):
-    return correlate.pseudobulk_values(pseudobulk(spark, sf), retail(spark, sf).cells, ["BUILDING", "MACHINERY"], ["ASIA", "EUROPE"])
+    return correlate.pseudobulk_values(pseudobulk(spark, sf), views.retail_cells(spark, sf), ["BUILDING", "MACHINERY"], ["ASIA", "EUROPE"])
 
 
 @register("pb_normalize", f"{RETAIL}{PSEUDOBULK}{PBN} SELECT gene, bucket, {r('mean')} AS mean, hit FROM pv")

@@ -54,3 +54,12 @@ def test_every_types_pseudobulk_in_one_export(spark, tmp_path):
     back = spark.read.schema("gene string, column string, count double, type string").csv(f"{tmp_path}/out", sep="\t", header=True)
     assert sorted(map(tuple, back.collect())) == [
         ("A", "s1__x", 3.0, "t/1"), ("A", "s2__y", 1.0, "t/1"), ("B", "s1__x", 5.0, "t/1"), ("B", "s1__x", 7.0, "u"), ("B", "s2__y", 0.0, "t/1")]
+
+
+def test_queries_of_cells_alone_write_no_matrix(spark, monkeypatch):
+    def written(*_):
+        raise AssertionError("a matrix was written for its cells")
+    monkeypatch.setattr(views, "prepared", written)
+    for name in ("split_parts", "union_levels_inferred", "composition_pooled", "export_composition", "type_facets",
+                 "cell_axis", "annotated_background"):
+        assert QUERIES[name](spark, SF).count() > 0
