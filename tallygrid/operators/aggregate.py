@@ -175,7 +175,9 @@ def identity_stats(m: Matrix, genes: DataFrame | list | None, group_by: str, wit
 
 def nonzero_percentile(m: Matrix, q: float = 0.99) -> DataFrame:
     """Colour ceiling per gene: the q-th percentile of its positive values; 1 when it has none."""
-    top = index_quantiles(m.expr.where(F.col("value") > 0), ["gene"], "value", {"ceiling": q})
+    # Equal values of a gene are one row before they are placed.
+    seen = m.expr.where(F.col("value") > 0).groupBy("gene", "value").agg(F.count(F.lit(1)).alias("k"))
+    top = index_quantiles(seen, ["gene"], "value", {"ceiling": q}, "k")
     return m.genes.select("gene").join(top, "gene", "left").select(
         "gene", F.coalesce(F.col("ceiling"), F.lit(1.0).cast("float")).alias("ceiling"))
 

@@ -93,7 +93,7 @@ def _test(m: Matrix, labels: DataFrame, want: list | None, gates: Gates, min_cel
     report = sizes.where((F.col("n1") >= min_cells) & (F.col("n2") >= min_cells))
     if want is not None:
         report = report.where(F.col("grp").isin(list(want)) if want else F.lit(False))
-    reduced = m.nonzero().join(labels, "cell_id").groupBy("gene", "value", "grp").agg(F.count(F.lit(1)).alias("k"))
+    reduced = m.labelled(labels).groupBy("gene", "value", "grp").agg(F.count(F.lit(1)).alias("k"))
     genes = _rank_masses(reduced, total)
     if every_gene:
         # Genes without a value: nothing seen, everything in the block of zeros.

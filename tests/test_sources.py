@@ -391,3 +391,22 @@ def test_numbers_are_printed_from_their_exact_value(spark):
         tables._fixed("v", 3).alias("three"), tables._fixed("v", 4).alias("four"), tables.exponential(F.col("v")).alias("e")).collect()
     assert [tuple(r)[:2] for r in got] == [("", "") if v is None else (f"{v:.3f}", f"{v:.4f}") for v in values]
     assert got[0]["three"] == "0.562" and got[6]["e"] == "1.0000e-7" and got[7]["e"] is None
+
+
+def test_words_are_counted_in_their_rows(spark, tmp_path):
+    """Empty, missing and repeated words; ids on several rows meet by a shuffle and count alike."""
+    from tallygrid.sources import views
+    docs = [(1, "b a, B! a a", "en", "s"), (2, "", "en", "s"), (3, None, "de", "s"), (4, "...", "de", "t"), (5, "a", "de", "t")]
+    for name, more in (("one", []), ("two", [(5, "A c", "de", "t")])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(docs + more, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+        got = {(r["gene"], r["cell_id"]): r["count"] for r in views.text_counts(spark, path).collect()}
+        want = {("a", 1): 3, ("b", 1): 2, ("a", 5): 1} if not more else {("a", 1): 3, ("b", 1): 2, ("a", 5): 2, ("c", 5): 1}
+        assert got == want
+        assert (views.text_rows(spark, path) is None) == bool(more)
+    m = views.text(spark, str(tmp_path / "one"))
+    labels = m.cells.select("cell_id", F.col("type").alias("grp"))
+    columns = ["gene", "cell_id", "grp", "value"]
+    assert sorted(map(tuple, m.labelled(labels).select(columns).collect())) == sorted(
+        map(tuple, m.nonzero().join(labels, "cell_id").select(columns).collect()))
+    assert "Exchange" not in m.expr._jdf.queryExecution().executedPlan().toString()
