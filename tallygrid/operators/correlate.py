@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.operators.axes import Axis
 from tallygrid.operators.matrix import Matrix
+from tallygrid.operators.score import block_moments, block_scores, weight_blocks
 from tallygrid.plans.ordering import average_ranks, tie_ranks, value_bucket
 from tallygrid.plans.pairs import pair_sums
 from tallygrid.plans.session import cut_lineage
@@ -251,7 +255,8 @@ def composite(m: Matrix, axis: Axis, shape: DataFrame) -> DataFrame:
     ``shape`` is (set_id, gene, sign, weight). Every member counts as its signed,
     weighted unit-norm profile; a bucket without the member stands at that profile's
     baseline, so only non-zeros are summed. A set whose seed does not vary has no rows. For the
-    per-cell axis the signs come from a pooled one, see ``set_coherence``.
+    per-cell axis the signs come from a pooled one, see ``set_coherence``; there the sums are as many
+    as the result and are formed cell by cell.
     """
     named = "set_id" in shape.columns
     weights = shape.select(F.col("set_id") if named else F.lit("").alias("set_id"), "gene", (F.col("sign") * F.col("weight")).alias("w"))
@@ -263,6 +268,9 @@ def composite(m: Matrix, axis: Axis, shape: DataFrame) -> DataFrame:
     scaled = stat.withColumn("var", var).where(F.col("var") > FLAT * FLAT).join(weights, "gene").select(
         "set_id", "gene", mean.alias("mu"), (F.col("w") / F.sqrt(F.col("var") * n)).alias("scale"))
     scaled = cut_lineage(scaled)
+    if not axis.pooled:
+        out = _cell_seeds(buckets_of(axis), prof, scaled, n)
+        return out if named else out.drop("set_id")
     base = scaled.groupBy("set_id").agg(F.sum(-F.col("mu") * F.col("scale")).alias("base"))
     sums = cut_lineage(prof.join(scaled.select("set_id", "gene", "scale"), "gene").groupBy("set_id", "bucket").agg(
         F.sum(F.col("mean") * F.col("scale")).alias("s")))
@@ -280,3 +288,26 @@ def composite(m: Matrix, axis: Axis, shape: DataFrame) -> DataFrame:
     out = full.select("set_id", "bucket", (
         (F.coalesce("s", F.lit(0.0)) + F.col("base") - F.col("mean")) / (F.col("sd") * n ** 0.5)).alias("s"))
     return out if named else out.drop("set_id")
+
+
+def _cell_seeds(buckets: DataFrame, prof: DataFrame, scaled: DataFrame, n: int) -> DataFrame:
+    """set_id, bucket, s over cells. A cell is written once as a row and meets the scaled members in a task,
+    as in ``score_many``: first for the moments of each set over all cells, then for the result. No product
+    of a value with a set leaves its task, so what is shuffled grows with the non-zeros, however many sets hold a gene."""
+    rows = cut_lineage(buckets.join(
+        prof.groupBy("bucket").agg(F.collect_list(F.struct("gene", F.col("mean").alias("value"))).alias("row")),
+        "bucket", "left").withColumnRenamed("bucket", "cell_id"))
+    sets = cut_lineage(scaled.groupBy("set_id").agg(F.sum(-F.col("mu") * F.col("scale")).alias("base")))
+    bases = {row["set_id"]: row["base"] for row in sets.select("set_id", "base").toLocalIterator()}
+    weights = scaled.select("set_id", F.col("gene").cast("string").alias("gene"), F.col("scale").alias("weight"))
+    parts = []
+    for block in weight_blocks(sets.select("set_id"), weights):
+        ids = block.sets.to_pylist()
+        base = np.array([bases[s] for s in ids])
+        sums = {row["set_id"]: (row["t"], row["q"]) for row in block_moments(rows, block, base).collect()}
+        t, q = np.array([sums[s] for s in ids]).reshape(-1, 2).T
+        spread = np.sqrt(np.maximum(0.0, q / n - (t / n) ** 2))
+        varies = spread > FLAT
+        scale = 1 / (spread[varies] * n ** 0.5)
+        parts.append(block_scores(rows, block.scaled(varies, scale), (base - t / n)[varies] * scale))
+    return reduce(DataFrame.union, parts).withColumnsRenamed({"cell_id": "bucket", "score": "s"})

@@ -102,35 +102,45 @@ def score_many(m: Matrix, sets: DataFrame, nbin: int = BINS, ctrl: int = CONTROL
     weights = cut_lineage(control_weights(sets, expression_bins(gene_averages(m), nbin), ctrl).select(
         "set_id", F.col("gene").cast("string").alias("gene"), "weight"))
     ids = cut_lineage(sets.select("set_id").distinct())
+    return reduce(DataFrame.union, (block_scores(cells, block) for block in weight_blocks(ids, weights)))
+
+
+def weight_blocks(ids: DataFrame, weights: DataFrame) -> Iterator[Block]:
+    """The sets of ids(set_id) with their weights(set_id, gene as text, weight), in blocks of whole sets of about
+    ``BLOCK_WEIGHTS`` entries. Both frames are read once per block; expensive ones should be written before."""
     blocks = max(1, math.ceil((weights.count() + ids.count()) / BLOCK_WEIGHTS))
     mine = F.pmod(F.xxhash64("set_id"), F.lit(blocks))
-    kinds = dict(m.cells.select("cell_id").dtypes)["cell_id"], dict(sets.dtypes)["set_id"]
-    out = []
     for k in range(blocks):
         # About BLOCK_WEIGHTS rows; one set's weights are at most a row per gene.
-        block = Block.of(ids.where(mine == k).toArrow()["set_id"], weights.where(mine == k).toArrow())
-        out.append(_block_scores(cells, block, *kinds))
-    return reduce(DataFrame.union, out)
+        yield Block.of(ids.where(mine == k).toArrow()["set_id"], weights.where(mine == k).toArrow(), dict(ids.dtypes)["set_id"])
 
 
 class Block(NamedTuple):
     """Weights of some sets, one gene after the other: the entries of gene k are starts[k]:starts[k + 1]."""
 
     sets: pa.Array
+    kind: str
     genes: pa.Array
     starts: np.ndarray
     place: np.ndarray
     weight: np.ndarray
 
     @classmethod
-    def of(cls, sets: pa.ChunkedArray, weights: pa.Table) -> Block:
+    def of(cls, sets: pa.ChunkedArray, weights: pa.Table, kind: str) -> Block:
         names = pa.array(sets.to_pylist(), sets.type)
         place = pc.index_in(weights["set_id"], value_set=names).to_numpy()
         coded = pa.array(weights["gene"].to_pylist(), pa.string()).dictionary_encode()
         gene = coded.indices.to_numpy()
         order = np.lexsort((place, gene))
         starts = np.r_[0, np.cumsum(np.bincount(gene, minlength=len(coded.dictionary)))]
-        return cls(names, coded.dictionary, starts, place[order], weights["weight"].to_numpy()[order])
+        return cls(names, kind, coded.dictionary, starts, place[order], weights["weight"].to_numpy()[order])
+
+    def scaled(self, keep: np.ndarray, factor: np.ndarray) -> Block:
+        """The sets of a mask alone, each with its weights times its factor."""
+        mine = keep[self.place]
+        place = (np.cumsum(keep) - 1)[self.place[mine]]
+        return self._replace(sets=self.sets.filter(pa.array(keep)), starts=np.r_[0, np.cumsum(mine)][self.starts],
+                             place=place, weight=self.weight[mine] * factor[place])
 
     def scores(self, cell: np.ndarray, gene: pa.Array, value: np.ndarray, cells: int) -> np.ndarray:
         """[cell, set] for entries (cell, gene, value)."""
@@ -152,24 +162,40 @@ class Block(NamedTuple):
         return out.reshape(cells, len(self.sets))
 
 
-def _block_scores(cells: DataFrame, block: Block, cell_kind: str, set_kind: str) -> DataFrame:
-    """set_id, cell_id, score of a block's sets for every cell(cell_id, row)."""
+def _products(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of cells(cell_id, row) with the block's scores [cell, set], about ``RESULTS`` at once."""
     step = max(1, RESULTS // max(1, len(block.sets)))
+    for batch in batches:
+        for start in range(0, batch.num_rows if len(block.sets) else 0, step):
+            part = batch.slice(start, step)
+            rows = part.column("row")
+            size = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
+            values = rows.flatten()
+            yield part, block.scores(np.repeat(np.arange(len(rows)), size), values.field("gene").cast(pa.string()),
+                                     values.field("value").to_numpy(zero_copy_only=False), len(rows))
+
 
+def block_scores(cells: DataFrame, block: Block, shift: np.ndarray | float = 0.0) -> DataFrame:
+    """set_id, cell_id, score of a block's sets for every cell(cell_id, row), plus each set's ``shift``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows if len(block.sets) else 0, step):
-                part = batch.slice(start, step)
-                rows = part.column("row")
-                size = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
-                values = rows.flatten()
-                score = block.scores(np.repeat(np.arange(len(rows)), size), values.field("gene").cast(pa.string()),
-                                     values.field("value").to_numpy(zero_copy_only=False), len(rows))
-                yield pa.RecordBatch.from_arrays([
-                    block.sets.take(pa.array(np.tile(np.arange(len(block.sets)), len(rows)))),
-                    part.column("cell_id").take(pa.array(np.repeat(np.arange(len(rows)), len(block.sets)))),
-                    pa.array(score.reshape(-1))], ["set_id", "cell_id", "score"])
-    return cells.mapInArrow(run, f"set_id {set_kind}, cell_id {cell_kind}, score double")
+        for part, score in _products(batches, block):
+            sets, rows = np.arange(len(block.sets)), np.arange(part.num_rows)
+            yield pa.RecordBatch.from_arrays([
+                block.sets.take(pa.array(np.tile(sets, len(rows)))), part.column("cell_id").take(pa.array(np.repeat(rows, len(sets)))),
+                pa.array((score + shift).reshape(-1))], ["set_id", "cell_id", "score"])
+    return cells.mapInArrow(run, f"set_id {block.kind}, cell_id {dict(cells.dtypes)['cell_id']}, score double")
+
+
+def block_moments(cells: DataFrame, block: Block, shift: np.ndarray | float = 0.0) -> DataFrame:
+    """set_id, t, q: sums of a block's shifted scores and of their squares over all cells. A task adds up its own cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, q = np.zeros(len(block.sets)), np.zeros(len(block.sets))
+        for _, score in _products(batches, block):
+            t += (score + shift).sum(axis=0)
+            q += ((score + shift) ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([block.sets, pa.array(t), pa.array(q)], ["set_id", "t", "q"])
+    return cells.mapInArrow(run, f"set_id {block.kind}, t double, q double").groupBy("set_id").agg(
+        F.sum("t").alias("t"), F.sum("q").alias("q"))
 
 
 def module_score(m: Matrix, genes: DataFrame, nbin: int = BINS, ctrl: int = CONTROLS) -> DataFrame:

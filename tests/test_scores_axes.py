@@ -230,3 +230,20 @@ def test_dot_grid_is_point_reads(small):
             mine = col[k::2]
             assert abs(got[(g, t)]["mean"] - sum(mine) / len(mine)) < 1e-6
             assert got[(g, t)]["pct"] == sum(v > 0 for v in mine) / len(mine)
+
+
+def test_seeds_per_cell_are_formed_cell_by_cell(spark, small):
+    """No product of a value with a set is shuffled: what a set adds to a cell stays in the cell's task."""
+    m, dense = small
+    shape = spark.createDataFrame(
+        [("a", "g01", 1, 0.6), ("a", "g02", -1, 0.8), ("b", "g01", 1, 1.0), ("flat", "none", 1, 1.0)],
+        "set_id string, gene string, sign int, weight double")
+    out = correlate.composite(m, axes.cell_axis(m.cells), shape)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    unit = lambda g: (np.array(dense[g], np.float32) - np.mean(np.array(dense[g], np.float32), dtype=float)) / (np.std(np.array(dense[g], float)) * 60 ** 0.5)
+    want = {"a": 0.6 * unit("g01") - 0.8 * unit("g02"), "b": unit("g01")}
+    want["a"] = want["a"] / (np.std(want["a"]) * 60 ** 0.5)
+    got = {(r["set_id"], r["bucket"]): r["s"] for r in out.collect()}
+    assert set(got) == {(s, i) for s in want for i in range(60)}
+    assert all(abs(got[s, i] - want[s][i]) < 1e-6 for s, i in got)
