@@ -137,7 +137,11 @@ def corr_top(rows: DataFrame, n: int, members: list[str] = (), hide_members: boo
 
 def pseudobulk_values(pb: DataFrame, cells: DataFrame, clusters: list | None = None,
                       conds: list | None = None) -> tuple[DataFrame, int]:
-    """log1p of counts per ten thousand per column: gene, bucket, mean, hit; and the number of columns."""
+    """log1p of counts per ten thousand per column: gene, bucket, mean, hit; and the number of columns.
+
+    The table, a row per gene and column, is written first: its columns, totals and values are all
+    read off it, and the matrix behind it is summed once."""
+    pb = cut_lineage(pb)
     columns = pb.select("sample", "type").distinct()
     if clusters is not None:
         columns = columns.where(F.col("type").isin(clusters))

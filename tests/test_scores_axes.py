@@ -247,3 +247,19 @@ def test_seeds_per_cell_are_formed_cell_by_cell(spark, small):
     got = {(r["set_id"], r["bucket"]): r["s"] for r in out.collect()}
     assert set(got) == {(s, i) for s in want for i in range(60)}
     assert all(abs(got[s, i] - want[s][i]) < 1e-6 for s, i in got)
+
+
+def test_pseudobulk_values_read_the_counts_once(spark, small):
+    """The columns, their totals and the values come from one written table, not from the matrix each time."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    pb = spark.createDataFrame([(g, s, "p", 1, 1.0 + k) for k, (g, s) in enumerate((g, s) for g in "xyz" for s in "123")],
+                               "gene string, sample string, type string, n_cells long, count double").mapInArrow(
+        seen, "gene string, sample string, type string, n_cells long, count double")
+    values, n = correlate.pseudobulk_values(pb, spark.createDataFrame([(1, "1", "A")], "cell_id long, sample string, cond string"))
+    assert n == 3 and values.count() == 9 and len(values.collect()) == 9
+    assert read.value == 9
