@@ -146,3 +146,20 @@ def test_written_tables_are_removed_on_request(spark):
     assert out.count() == 5 and session.clear_written(spark) == 1 and session.clear_written(spark) == 0
     assert not __import__("os").path.exists(path.removeprefix("file:"))
     session._written.extend(before)
+
+
+def test_a_large_table_starts_shuffles_from_more_partitions(spark, monkeypatch):
+    from tallygrid.plans import session
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    before = {key: spark.conf.get(key, None) for key in (session.START, "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        session.room_for(spark.range(300))
+        assert spark.conf.get(session.START, None) == before[session.START]
+        session.room_for(spark.range(1001))
+        assert spark.conf.get(session.START) == "11"
+        session.room_for(spark.range(500))
+        assert spark.conf.get(session.START) == "11"
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
