@@ -32,8 +32,8 @@ from tallygrid.llm.common import stored, texts, vocabulary
 
 ROOM = 2048
 END = 0
-#: Parts of texts one worker remembers in each of two generations, and their greatest length.
-PARTS, LONG_PART = 300_000, 48
+#: Parts of texts one task remembers in each of two generations, and their greatest length.
+PARTS, LONG_PART = 100_000, 48
 _SHIFT = 44
 
 
@@ -59,6 +59,10 @@ class TokenBytes:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered parts: a worker lives on, and the stages after this one need its memory."""
+        self.known, self.older = {}, {}
+
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -152,6 +156,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, ranks: str | None = Non
                 [batch.column("doc_id").take(take), pa.array(rows[1], pa.int32()),
                  *(pa.array(c, pa.int64()) for c in rows[2:]), batch.column("shard").take(take), pa.array(places, pa.int64())],
                 names)
+        model.forget()
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),

@@ -26,6 +26,8 @@ from tallygrid.llm.textstats import FEATURES, features
 
 #: Labelled rows the trees are grown on, at most; taken in the order of a hash of the id.
 SAMPLE_ROWS = 20_000
+#: Rows judged at once, whose texts and statistics are in a worker's memory together.
+SLICE = 1000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST_WEIGHT = 60, 4, 64, 0.15, 1.0, 4.0
 
 
@@ -151,6 +153,7 @@ def reject_poor(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataF
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(score_texts(trees, texts(batch)) >= least))
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array(score_texts(trees, texts(part)) >= least))
     return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallygrid.llm import packing as pk
@@ -144,3 +145,15 @@ def test_packing(spark):
         assert [s for s, _ in items] == [0, *np.cumsum([n for _, n in items])[:-1].tolist()] and sum(n for _, n in items) <= 64
     assert len(held) == len(plain_best_fit([r["length"] for r in out], 64))
     assert pk.pack(docs.limit(0), BYTES).count() == 0
+
+
+def test_workers_keep_no_parts_after_a_task(spark):
+    """A worker lives on after the packing stage; what it remembered must not stay in its memory."""
+    docs = spark.createDataFrame([(k, " ".join(f"word{k}x{j}" for j in range(50))) for k in range(40)], "doc_id long, text string")
+    assert pk.pieces(docs, BYTES).count() == 40
+
+    def kept(batches):
+        for batch in batches:
+            model = pk.token_bytes(BYTES, None)
+            yield pa.RecordBatch.from_arrays([pa.array([len(model.known) + len(model.older)], pa.int64())], ["n"])
+    assert {row["n"] for row in docs.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
